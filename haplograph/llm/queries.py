@@ -6,16 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import superminhash
+from pyspark.sql import functions as F
+
+from . import decontaminate, packing, rangecoder, sharding, superminhash, token_counts
 from .common import table
 
 
+def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op4_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangecoder.round_trip(table(spark, sf_dir, "documents"), end_id=2)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minimax_shards": op1_minimax_shards,
+    "op2_token_counts": op2_token_counts,
     "op3_superminhash": op3_superminhash,
+    "op4_range_coder": op4_range_coder,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_vector_packing": op6_vector_packing,
 }
 
 #: Lower-casing of A-Z alone, in DuckDB.
@@ -39,6 +67,26 @@ def near_duplicate_sql(words: int, relation: str = "documents") -> str:
     FROM l d LEFT JOIN c ON c.v = d.doc_id"""
 
 
+def decontaminate_sql(docs: str = "documents", items: str = "benchmark") -> str:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) by joining all windows."""
+    words = rf"regexp_extract_all(coalesce({LOWER_SQL}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+    WITH iw AS (SELECT item_id, {words} AS w FROM {items} WHERE item_id IS NOT NULL),
+    win AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM iw WHERE len(w) > 0)),
+    ks AS (SELECT DISTINCT k FROM win),
+    dw AS (SELECT doc_id, {words} AS w FROM {docs}),
+    dg AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+           FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k)),
+    m AS (SELECT DISTINCT doc_id, i, k, item_id FROM dg JOIN win USING (k, s)),
+    h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY 1),
+    t AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+           sha256(coalesce(t.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+    FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate_sql(),
     "op3_superminhash": near_duplicate_sql(2),
 }
