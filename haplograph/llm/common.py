@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BASE = 0x9E3779B97F4A7C15
 MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Bytes of text that one vectorised step takes at once (a longer document is taken alone).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, rangecoder, sharding, superminhash, token_counts
+from . import decontaminate, order_minhash, packing, rangecoder, sharding, superminhash, token_counts, toxicity
 from .common import table
 
 
@@ -37,6 +37,17 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=toxicity.held_out_fold(F.col("doc_id")))
+    scored = toxicity.score(docs, net)
+    return scored.select("doc_id", toxicity.held_out_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minimax_shards": op1_minimax_shards,
     "op2_token_counts": op2_token_counts,
@@ -44,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_range_coder": op4_range_coder,
     "op5_decontaminate": op5_decontaminate,
     "op6_vector_packing": op6_vector_packing,
+    "op8_order_minhash": op8_order_minhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Lower-casing of A-Z alone, in DuckDB.
