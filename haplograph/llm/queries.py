@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, order_minhash, packing, rangecoder, sharding, superminhash, token_counts, toxicity
+from . import decontaminate, html_extract, order_minhash, packing, rangecoder, sharding, superminhash, token_counts, toxicity
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=toxicity.held_out_fold(F.col("doc_id")))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_vector_packing": op6_vector_packing,
     "op8_order_minhash": op8_order_minhash,
+    "op9_html_min_cut": op9_html_min_cut,
     "op10_toxicity": op10_toxicity,
 }
 

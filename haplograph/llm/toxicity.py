@@ -175,13 +175,13 @@ def _descend(net: Classifier, docs: list[np.ndarray], labels: np.ndarray, fit: n
                     np.add.at(net.tables[c], slot, -0.02 * part / np.sqrt(squares[c][slot])[:, None])
 
 
-def _calibrate(net: Classifier, docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], least: int = 40) -> None:
-    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+def _calibrate(net: Classifier, docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], least: int = 30) -> None:
+    """Sets the threshold of each language with at least `least` rows of each label to the best F1's; others share one."""
     scores = np.concatenate([net.scores(docs[i], np.array([0, len(docs[i])])) for i in range(len(docs))])
 
     def best(mask: np.ndarray) -> float | None:
         s, y = scores[mask], labels[mask]
-        if len(s) < least or not 0 < y.sum() < len(y):
+        if min(y.sum(), len(y) - y.sum()) < least:
             return None
         order = np.argsort(-s)
         s, y = s[order], y[order]
@@ -191,7 +191,6 @@ def _calibrate(net: Classifier, docs: list[np.ndarray], labels: np.ndarray, lang
         at = int(np.argmax(f1))
         return float((s[at] + (s[at + 1] if at + 1 < len(s) else 0.0)) / 2)
 
-    del first
     everyone = best(np.ones(len(docs), bool))
     net.thresholds[""] = everyone if everyone is not None else 0.5
     for lang in sorted({x for x in langs if x}):
