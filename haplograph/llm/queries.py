@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, order_minhash, packing, rangecoder, sharding, superminhash, token_counts, toxicity
+from . import context_mixing, decontaminate, html_extract, order_minhash, packing, rangecoder, sharding, superminhash, token_counts, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_range_coder": op4_range_coder,
     "op5_decontaminate": op5_decontaminate,
     "op6_vector_packing": op6_vector_packing,
+    "op7_context_mixing": op7_context_mixing,
     "op8_order_minhash": op8_order_minhash,
     "op9_html_min_cut": op9_html_min_cut,
     "op10_toxicity": op10_toxicity,
