@@ -26,17 +26,21 @@ from pyspark.sql import functions as F
 from .common import MIX1, MIX2, SPACED, Words, crc_mod, cut, mix, text_steps
 
 U = np.uint64
-#: Most words of the vocabulary (the most counted, at least twice), and of those with a symbol of their own.
-VOCABULARY, TOP = 1 << 20, 128
+#: Most words of the vocabulary (the most counted), and of those with a symbol of their own.
+VOCABULARY, TOP = 1 << 21, 128
+#: Where all words fit, this share of those counted once stays out, to show how new words look; they weigh as many times.
+THIN = 8
 #: Groups of first and of last bytes, some of which take the rarer ones by a hash.
 PREFIXES, SUFFIXES, OTHER = 112, 48, 16
 #: Slots of each predictor's table (bits), slots that travel in one row, predictors.
 TABLE_BITS, CHUNK, K = 20, 1 << 14, 4
-#: Tokens after which a document's weights are refined, the rate of that, and of the first fit.
-BLOCK, RATE, FIT_RATE, FIT_EPOCHS = 128, 0.02, 0.02, 12
+#: Tokens after which a document's weights are refined, and the rate of that.
+BLOCK, RATE = 128, 0.05
+#: Newton steps of the first fit, and its pull towards equal weights.
+FIT_STEPS, FIT_RIDGE = 8, 20.0
 #: Held-back training rows (remainder 9) that the first weights are fitted to, at most.
 FIT_ROWS = 256
-STEP_BYTES = 1 << 19
+STEP_BYTES = 1 << 18
 #: Words that a task counts before it passes the counts on.
 COUNT_FLUSH = 1 << 22
 GATES = 48
@@ -88,7 +92,8 @@ class Code:
 class Vocabulary:
     """Counted words: ranks by hash, symbols, and shares within a group."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, affixes: np.ndarray, rare: int, end: int, byte_counts: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, affixes: np.ndarray, rare: int, end: int, byte_counts: np.ndarray, thin: int = 1):
+        self.thin = thin
         order = np.lexsort((hashes, -counts))
         self.hashes, self.counts = hashes[order], counts[order]
         affixes = affixes[order].astype(np.int64)
@@ -104,15 +109,14 @@ class Vocabulary:
             return group[at]
 
         first, last = groups(affixes >> 16, PREFIXES), groups(affixes & 0xFFFF, SUFFIXES)
-        self.main = np.where(np.arange(n) < top, np.arange(n), TOP + first).astype(np.int64)
+        self.main = np.where(np.arange(n) < top, np.arange(n), TOP + first).astype(np.int16)
         self.escape, self.end = TOP + PREFIXES + OTHER, TOP + PREFIXES + OTHER + 1
-        self.suffix = np.where(np.arange(n) < top, -1, last).astype(np.int64)
-        group = self.main * (SUFFIXES + OTHER) + self.suffix
+        self.suffix = np.where(np.arange(n) < top, -1, last).astype(np.int8)
+        group = self.main.astype(np.int64) * (SUFFIXES + OTHER) + self.suffix
         sums = np.bincount(np.maximum(group, 0), self.counts, (self.end + 1) * (SUFFIXES + OTHER))
-        self.share = np.where(self.suffix < 0, 0.0, np.log2(np.maximum(self.counts, 1)) - np.log2(np.maximum(sums[np.maximum(group, 0)], 1)))
-        self.log_count = np.log10(self.counts + 0.1)
+        self.share = np.where(self.suffix < 0, 0.0, np.log2(np.maximum(self.counts, 1)) - np.log2(np.maximum(sums[np.maximum(group, 0)], 1))).astype(np.float32)
         main = np.bincount(self.main, self.counts, self.end + 1)
-        main[self.escape], main[self.end] = rare, end
+        main[self.escape], main[self.end] = rare * thin, end
         held = self.suffix >= 0
         self.codes = [Code.of(1, main), Code.of(2, np.bincount(self.suffix[held], self.counts[held], SUFFIXES + OTHER)), Code.of(3, byte_counts)]
         self._index(n)
@@ -158,8 +162,8 @@ class Tokens:
     symbols: list[tuple[Code, np.ndarray, np.ndarray, list[np.ndarray]]]  # code, token, symbol, contexts
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> Tokens:
-    """Tokens, symbols and the four hashed contexts of each symbol."""
+def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, learning: bool = False) -> Tokens:
+    """Tokens, symbols and the four hashed contexts of each symbol; learning also spells all words counted once."""
     words = Words(data, offsets, SPACED)
     n_docs = len(offsets) - 1
     rank = vocabulary.ranks(words.hashes)
@@ -190,7 +194,10 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) ->
     some = np.flatnonzero(suffix >= 0)
     own = main[some].astype(np.uint64)
     symbols.append((vocabulary.codes[1], some, suffix[some], [own * U(MIX1), mix(own + h1[some]), mix(own + kind1[some] * U(MIX2)), mix(own * U(1024) + m1[some].astype(np.uint64) + U(3))]))
-    rare = np.flatnonzero(~known)
+    spelled = ~known
+    if learning and vocabulary.thin > 1 and len(vocabulary.counts):
+        spelled |= vocabulary.counts[rank] == 1
+    rare = np.flatnonzero(spelled)
     lengths = words.lengths()[rare] if len(rare) else np.zeros(0, np.int64)
     many = lengths + 1
     place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
@@ -290,10 +297,13 @@ def _learn_batches(shared):
         tables = np.zeros((K, 2 << TABLE_BITS), np.uint32)
         for batch in batches:
             for _, _, data, offsets in text_steps(batch.column(0), STEP_BYTES):
-                for code, _, symbol, contexts in tokens_of(data, offsets, vocabulary).symbols:
-                    _, bit, slots = bit_events(code, symbol, contexts)
+                for code, _, symbol, contexts in tokens_of(data, offsets, vocabulary, learning=True).symbols:
+                    owner, bit, slots = bit_events(code, symbol, contexts)
+                    times = np.uint32(1)
+                    if vocabulary.thin > 1 and code.kind == 1:
+                        times = np.where(symbol == vocabulary.escape, np.uint32(vocabulary.thin), times)[owner]
                     for k in range(K):
-                        np.add.at(tables[k], 2 * slots[k] + bit, np.uint32(1))
+                        np.add.at(tables[k], 2 * slots[k] + bit, times)
         for k in range(K):
             for chunk in range((2 << TABLE_BITS) // CHUNK):
                 part = tables[k, chunk * CHUNK : (chunk + 1) * CHUNK]
@@ -342,54 +352,59 @@ def _inputs(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _mixed(x: np.ndarray, weights: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log2 of the probability of each bit, the error that drives the weights)."""
-    z = np.clip(np.einsum("ij,ij->i", x, weights), -14, 14)
-    p = 1 / (1 + np.exp(-z))
-    return np.log2(np.where(bit, p, 1 - p)), bit - p
-
-
 def _fit_weights(model: Model, texts: list[str | None]) -> None:
-    """First weights, by online passes over held-back rows."""
+    """First weights: each gate's logistic regression on held-back rows, by Newton steps."""
     found = [_inputs(model, tokens_of(data, offsets, model.vocabulary)) for _, _, data, offsets in text_steps(pa.array(texts, pa.large_string()), STEP_BYTES)]
-    for epoch in range(FIT_EPOCHS):
-        rate = FIT_RATE / (1 + epoch)
-        for token, gate, bit, x in found:
-            order = np.argsort(token // 16, kind="stable")
-            for part in np.array_split(order, max(1, len(order) // 4096)):
-                _, error = _mixed(x[part], model.weights[gate[part]], bit[part])
-                for k in range(K):
-                    model.weights[:, k] += rate * np.bincount(gate[part], error * x[part, k], GATES) / np.maximum(np.sqrt(np.bincount(gate[part], minlength=GATES)), 1)
+    gate, bit, x = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
+    order = np.argsort(gate, kind="stable")
+    edge = np.searchsorted(gate[order], np.arange(GATES + 1))
+    for g in range(GATES):
+        rows = order[edge[g] : edge[g + 1]]
+        own, y, w = x[rows].astype(np.float64), bit[rows], model.weights[g]
+        for _ in range(FIT_STEPS if len(rows) else 0):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -14, 14)))
+            slope = own.T @ (y - p) + FIT_RIDGE * (0.35 - w)
+            curve = (own * (p * (1 - p))[:, None]).T @ own + FIT_RIDGE * np.eye(K)
+            w += np.clip(np.linalg.solve(curve, slope), -0.5, 0.5)
 
 
 def score_run(model: Model, tokens: Tokens) -> np.ndarray:
     """log2 probability of each document, its weights refined block after block."""
     n_docs = len(tokens.first) - 1
     token, gate, bit, x = _inputs(model, tokens)
-    doc = np.searchsorted(tokens.first, token, "right") - 1
-    block = (token - tokens.first[doc]) // BLOCK
-    out = np.zeros(n_docs)
-    weights = np.tile(model.weights.astype(np.float32), (n_docs, 1))
-    order = np.argsort(block.astype(np.uint32), kind="stable")
-    cell, x, bit, doc = (doc * GATES + gate)[order], x[order], bit[order], doc[order]
+    doc = np.searchsorted(tokens.first, np.arange(tokens.first[-1]), "right") - 1
+    block = ((np.arange(tokens.first[-1]) - tokens.first[doc]) // BLOCK)[token]
+    doc = doc[token]
+    order = np.argsort(block.astype(np.uint16 if block.max() < 1 << 16 else np.uint32), kind="stable")
     edge = np.concatenate([[0], np.cumsum(np.bincount(block))])
+    cell, doc = (doc * GATES + gate)[order], doc[order]
+    sign = np.where(bit, np.float32(1), np.float32(-1))[order]
+    x = [(column[order] * sign) for column in x.T]
+    weights = np.tile(model.weights.astype(np.float32).T, (1, n_docs))  # predictor x (document, gate)
+    cells = weights.shape[1]
+    out = np.zeros(n_docs)
     for a, b in zip(edge[:-1], edge[1:]):
         if a == b:
             continue
-        at, part = cell[a:b], x[a:b]
-        bits, error = _mixed(part, weights[at], bit[a:b])
-        out += np.bincount(doc[a:b], bits, n_docs)
-        if b < len(cell):
-            error = (RATE * error).astype(np.float32)
-            if b - a > weights.shape[0]:
-                scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=weights.shape[0]), 1))
-                for k in range(K):
-                    weights[:, k] += (np.bincount(at, error * part[:, k], weights.shape[0]) * scale).astype(np.float32)
-            else:
-                scale = 1 / np.sqrt(np.bincount(np.unique(at, return_inverse=True)[1]))
-                value, back = np.unique(at, return_inverse=True)
-                for k in range(K):
-                    weights[value, k] += (np.bincount(back, error * part[:, k]) * scale).astype(np.float32)
+        at = cell[a:b]
+        z = x[0][a:b] * weights[0][at]
+        for k in range(1, K):
+            z += x[k][a:b] * weights[k][at]
+        # probability of the bit that came, and of the other one
+        other = 1 / (1 + np.exp(np.clip(z, -14, 14)))
+        out += np.bincount(doc[a:b], np.log1p(-other), n_docs)
+        if b == len(cell):
+            break
+        other *= np.float32(RATE)
+        if b - a > cells:
+            scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=cells), 1))
+            for k in range(K):
+                weights[k] += (np.bincount(at, other * x[k][a:b], cells) * scale).astype(np.float32)
+        else:
+            value, back, many = np.unique(at, return_inverse=True, return_counts=True)
+            for k in range(K):
+                weights[k][value] += (np.bincount(back, other * x[k][a:b]) / np.sqrt(many)).astype(np.float32)
+    out /= math.log(2)
     known = tokens.rank >= 0
     if known.any():
         out += np.bincount(tokens.words.owners()[known], model.vocabulary.share[tokens.rank[known]], n_docs)
@@ -410,23 +425,26 @@ def learn(docs: DataFrame, remainder: Column, id_col: str = "doc_id", text_col:
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), remainder.alias("fold"))
     training = own.where("fold <> 0")
     counts = cut(training.select("text").mapInArrow(_count_batches, "word long, n long, affix long").groupBy("word").agg(F.sum("n").alias("n"), F.max("affix").alias("affix")))
-    spread = sorted(((r[0], r[1]) for r in counts.where(f"n >= 2 and n < {VOCABULARY}").groupBy("n").count().collect()), reverse=True)
-    often = counts.where(f"n >= {VOCABULARY}").count()
-    least = VOCABULARY
-    for n, words in spread:
-        if often + words > VOCABULARY:
-            break
-        often, least = often + words, n
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
+    if totals[1] - totals[2] // THIN <= VOCABULARY:
+        thin, inside = THIN, (F.col("n") > 1) | (F.pmod(F.xxhash64("word"), F.lit(THIN)) > 0)
+    else:
+        spread = sorted(((r[0], r[1]) for r in counts.where(f"n >= 2 and n < {VOCABULARY}").groupBy("n").count().collect()), reverse=True)
+        often, least = counts.where(f"n >= {VOCABULARY}").count(), VOCABULARY
+        for n, words in spread:
+            if often + words > VOCABULARY:
+                break
+            often, least = often + words, n
+        thin, inside = 1, F.col("n") >= least
     end = training.count()
-    kept = counts.where(F.col("n") >= least).toPandas()
+    kept = counts.where(inside).toPandas()
     arrays = (kept["word"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64), kept["affix"].to_numpy(np.int64))
     rare = int(totals[0]) - int(arrays[1].sum())
-    plain = Vocabulary(*arrays, rare, end, np.ones(257, np.int64))
+    plain = Vocabulary(*arrays, rare, end, np.ones(257, np.int64), thin)
     spelled = np.zeros(257, np.int64)
     for byte, n in training.where("fold = 1").select("text").mapInArrow(_byte_batches(spark.sparkContext.broadcast(plain)), "byte long, n long").groupBy("byte").agg(F.sum("n")).collect():
         spelled[byte] = n
-    vocabulary = Vocabulary(*arrays, rare, end, spelled)
+    vocabulary = Vocabulary(*arrays, rare, end, spelled, thin)
     shared = spark.sparkContext.broadcast(vocabulary)
     # chunks of tables: their number is fixed, whatever the corpus
     learned = training.where("fold <> 9").select("text").mapInArrow(_learn_batches(shared), "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_batches, "chunk int, counts binary")
@@ -460,7 +478,7 @@ def _score_batches(shared):
                 known, owner = tokens.rank >= 0, tokens.words.owners()
                 n_tokens = tokens.words.counts() + 1
                 n_known = np.bincount(owner[known], minlength=n) + (model.end_count > 0)
-                base = log_end + (np.bincount(owner[known], model.vocabulary.log_count[tokens.rank[known]], n) if known.any() else np.zeros(n))
+                base = log_end + (np.bincount(owner[known], np.log10(model.vocabulary.counts[tokens.rank[known]] + 0.1), n) if known.any() else np.zeros(n))
                 rare = tokens.words.hashes[~known].view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=n))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
