@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, Words, text_steps
 
@@ -155,6 +156,9 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
+DIGEST = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())]
+
+
 def blocks_of(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
     """The items in blocks of about block_bytes of text, by a hash of item_id."""
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
@@ -171,8 +175,12 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str
     have no words; items without words or without an id match nothing; repeated items count
     once. Other columns are ignored. Items go to the tasks in blocks of a checked size.
     """
+    return _matched(docs, F.col(id_col).cast("long"), items, window, text_col, item_col, item_text_col, block_bytes)
+
+
+def _matched(docs: DataFrame, key: Column, items: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
     spark = docs.sparkSession
-    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<long>").alias("items"))
+    state = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<long>").alias("items"))
     own = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
     for block in blocks_of(own, block_bytes):
         index = Index([tuple(r) for r in block.distinct().collect()], window)
@@ -182,13 +190,21 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str
             for word, n in docs.select(F.col(text_col).alias("text")).mapInArrow(_count_batches(words), "word long, n long").groupBy("word").agg(F.sum("n")).collect():
                 counts[word] = n
         index.order(counts)
-        state = state.select("doc_id", "text", "hit", "items").mapInArrow(_match_batches(spark.sparkContext.broadcast(index)), "doc_id long, text string, hit binary, items array<long>, n_words long")
+        state = state.select("doc_id", "text", "hit", "items")
+        state = state.mapInArrow(_match_batches(spark.sparkContext.broadcast(index)), T.StructType([*state.schema, T.StructField("n_words", T.LongType())]))
     return state
 
 
+def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated; see contamination()."""
+    state = _matched(docs, F.struct(*docs.columns), items, window, text_col, item_col, item_text_col, block_bytes).drop("text")
+    schema = T.StructType([state.schema["doc_id"], *DIGEST[1:], T.StructField("contaminated", T.BooleanType())])
+    return state.mapInArrow(_digest_batches, schema).where("not contaminated").select("doc_id.*")
+
+
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs; see matched().
 
     contaminated: some word is hit, and at least a twentieth of the words are.
     """
-    return matched(docs, items, **options).drop("text").mapInArrow(_digest_batches, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return matched(docs, items, **options).drop("text").mapInArrow(_digest_batches, T.StructType([*DIGEST, T.StructField("contaminated", T.BooleanType())]))

@@ -212,3 +212,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     linked = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
     out = rows.select("doc_id", "n_shingles", "hi", "lo").join(label, ["hi", "lo"], "left").select("doc_id", "n_shingles", linked.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without those that near_duplicates() does not keep."""
+    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

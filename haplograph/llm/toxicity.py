@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, Words, crc_mod, text_steps
 
@@ -233,16 +234,24 @@ def _score_batches(shared):
     return run
 
 
-def score(docs: DataFrame, net: Classifier, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
-    """(doc_id, score), with lang_col also (flag): score at or above the language's threshold.
+def score(docs: DataFrame, net: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every row.
 
     A score depends on the whole text alone; null and empty texts get the score of no words.
     """
-    columns = [F.col(id_col).alias("doc_id")] + ([F.col(lang_col).alias("lang")] if lang_col else [])
-    own = docs.select(*columns, F.col(text_col).alias("text"))
-    schema = ", ".join([f"doc_id {dict(own.dtypes)['doc_id']}", *(["lang string"] if lang_col else []), "score double"])
-    out = own.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(net)), schema)
-    return out.withColumn("flag", F.col("score") >= net.threshold(F.col("lang"))).drop("lang") if lang_col else out
+    return _scored(docs, net, F.col(id_col), text_col)
+
+
+def _scored(docs: DataFrame, net: Classifier, key: Column, text_col: str) -> DataFrame:
+    own = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([own.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(net)), schema)
+
+
+def reject_toxic(docs: DataFrame, net: Classifier, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose score stays below the calibrated threshold of their language."""
+    scored = _scored(docs, net, F.struct(*docs.columns), text_col)
+    return scored.where(F.col("score") < net.threshold(F.col(f"doc_id.{lang_col}"))).select("doc_id.*")
 
 
 def held_out_fold(doc_id: Column) -> Column:
