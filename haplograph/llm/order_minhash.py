@@ -17,9 +17,8 @@ KMER = 3
 BIN_BITS = 6
 #: Low bits of a packed hash that hold the k-mer's place in the text.
 PLACE_BITS = 26
-#: Rows of a bucket of neighbouring ids, and buckets of a group of them.
-BUCKET_ROWS = 512
-BUCKET_GROUP = 4096
+#: Rows of a bucket of neighbouring ids on average, and most buckets (then they hold more rows).
+BUCKET_ROWS, BUCKETS = 512, 1 << 16
 
 
 def signature(text: str, kmer: int = KMER, bin_bits: int = BIN_BITS) -> Column:
@@ -59,31 +58,35 @@ def likeness(a: str, b: str, bin_bits: int = BIN_BITS) -> Column:
     return F.expr(f"CAST({same} AS DOUBLE) / greatest(size({a}) + size({b}) - {both}, 1)")
 
 
-def with_next(docs: DataFrame, carried: list[str], id_col: str = "doc_id") -> DataFrame:
-    """docs with a column next: the carried columns of the next row by descending id, after the last the first.
+def dealt(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with columns bucket and ghost: buckets of neighbouring ids, and a copy (ghost) of each bucket's first row.
 
-    Rows are dealt into buckets of neighbouring ids; a copy of each bucket's first row joins the
-    bucket before it, so no row moves further than one bucket. A null id comes last; rows of one
-    id are ordered by the carried columns' hash.
+    The copy stands in the bucket before (by ascending id; that of the first of all in the
+    last), so that every row finds its next by descending id in its own bucket. A null id has
+    the lowest bucket. The copies are found by a list of one id for each bucket, BUCKETS at most.
     """
     ends = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
     low, high = (ends[0], ends[1]) if ends[0] is not None else (0, 0)
-    width = max(1, (high - low + 1) // max(1, -(-ends[2] // BUCKET_ROWS)))
-    least = int(low / width) if abs(low) < 1 << 52 else (abs(low) // width) * (1 if low > 0 else -1)
+    wanted = min(BUCKETS // 2, max(1, -(-ends[2] // BUCKET_ROWS)))
+    width = min(-(-(high - low + 1) // wanted), (1 << 63) - 1)
+    least = (abs(low) // width) * (1 if low > 0 else -1)
     bucket = F.coalesce(F.expr(f"{id_col} div {width}L"), F.lit(least - 1)).cast("long")
-    rows = docs.withColumn("bucket", bucket)
-    tops = docs.select(id_col, bucket.alias("bucket")).groupBy("bucket").agg(F.max(id_col).alias("top")).withColumn("grp", F.expr(f"bucket div {BUCKET_GROUP}"))
-    groups = tops.groupBy("grp").agg(F.min("bucket").alias("lowest"))
-    # one row for each BUCKET_ROWS * BUCKET_GROUP rows of the table
-    line = Window.orderBy(F.desc("grp"))
-    everyone = Window.orderBy(F.desc("grp")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    groups = groups.select("grp", F.coalesce(F.lag("lowest").over(line), F.last("lowest").over(everyone)).alias("outer"))
-    inner = Window.partitionBy("grp").orderBy(F.desc("bucket"))
-    targets = tops.withColumn("inner", F.lag("bucket").over(inner)).join(groups, "grp").select(F.col("top").alias("top_id"), F.coalesce("inner", "outer").alias("target"))
-    ghosts = docs.join(targets, docs[id_col].eqNullSafe(F.col("top_id"))).drop("top_id").withColumnRenamed("target", "bucket")
-    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col(id_col).desc_nulls_last(), F.xxhash64(*carried))
-    return both.withColumn("next", F.lead(F.struct(*carried)).over(order)).where(~F.col("ghost")).drop("bucket", "ghost")
+    tops = docs.select(id_col, bucket.alias("bucket")).groupBy("bucket").agg(F.max(id_col).alias("top_id"))
+    line = Window.orderBy(F.desc("bucket"))
+    everyone = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    targets = tops.select("top_id", F.coalesce(F.lag("bucket").over(line), F.last("bucket").over(everyone)).alias("target"))
+    ghosts = docs.join(F.broadcast(targets), docs[id_col].eqNullSafe(F.col("top_id"))).drop("top_id").withColumnRenamed("target", "bucket")
+    return docs.withColumn("bucket", bucket).withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
+
+
+def with_next(rows: DataFrame, carried: list[str], id_col: str = "doc_id") -> DataFrame:
+    """dealt() rows with a column next, the carried columns of the next row by descending id, and without the copies.
+
+    After the last row comes the first. A null id comes last; rows of one id are ordered by the
+    hash of the first carried column.
+    """
+    order = Window.partitionBy("bucket").orderBy("ghost", F.col(id_col).desc_nulls_last(), F.xxhash64(carried[0]))
+    return rows.withColumn("next", F.lead(F.struct(*carried)).over(order)).where(~F.col("ghost")).drop("bucket", "ghost")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,7 +97,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     equal fingerprints. Other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.select("doc_id", "text", signature("text").alias("sig"))
+    own = dealt(own).select("doc_id", "text", "bucket", "ghost", signature("text").alias("sig"))
     paired = with_next(own, ["text", "sig"])
     edited = F.expr("concat(substring(text, 1, n_chars - n_chars div 2), substring(next.text, 1, n_chars div 2))")
     paired = paired.withColumn("n_chars", F.char_length("text").cast("int")).select("doc_id", "n_chars", "sig", F.col("next.sig").alias("next_sig"), edited.alias("edited"))
