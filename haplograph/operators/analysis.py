@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def quick_frequencies(subreads: DataFrame, lengths: DataFrame, k: int, min_len: int) -> DataFrame:
     """(read_id, frequency): each original's weight is split over the contigs that hold it; shares are per base and sum to 1.
@@ -32,8 +34,6 @@ def tpm_frequencies(abundance: DataFrame, min_len: int) -> DataFrame:
 
 def em_abundance(hits: DataFrame, lengths: DataFrame, rounds: int = 20) -> DataFrame:
     """(target, est_count): expectation-maximisation over compatible (read, target) pairs, shares per effective length."""
-    from .fixpoint import cut
-
     h = cut(hits.join(lengths, "target").select("read", "target", "length"))
     reads = h.select("read").distinct().count()
     rho = cut(h.select("target").distinct().withColumn("rho", F.lit(1.0)))

@@ -14,35 +14,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..fixtures import scratch
+from ..session import cut
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written in the shared folder and read back."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _least(both: DataFrame) -> DataFrame:
+    return both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): the least node reachable, for every node of undirected edges (u, v).
 
-    Labels flow to neighbours, then jump to their label's label, until none changes.
+    Large-star and small-star steps in turn tie every node to its least neighbour, until the
+    edges stay as they are: about log(n) rounds, also on long paths. Loops and repeated edges
+    are allowed, rows with a null are passed over.
     """
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("component")))
+    now = cut(edges.select("u", "v").where("u <> v").distinct())
+    state = None
     for _ in range(rounds):
-        near = both.join(labels.withColumnsRenamed({"node": "v", "component": "l"}), "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("l"))
-        flowed = labels.join(near, "node").select("node", F.least("component", "l").alias("component"), F.col("component").alias("old"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        stepped = cut(flowed.join(jump, "component").select("node", F.least("component", "further").alias("component"), "old"))
-        labels = stepped.select("node", "component")
-        if stepped.where("component <> old").isEmpty():
-            break
-    return labels
-
-
-def orientation_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(_least(both), "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v")))
+        now = cut(small.distinct())
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == state:
+            named = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            return named.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        state = seen
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def orientation_labels(edges: DataFrame) -> DataFrame:
     """(node, component, flipped, conflict) for edges (v1, v2, same_ori): labels under which edges agree.
 
     Components of the doubled graph, in which an edge ties equal sides when its orientations
@@ -52,33 +54,31 @@ def orientation_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     side = lambda v, s: F.col(v) * 2 + s
     turn = F.when(F.col("same_ori"), 0).otherwise(1)
     doubled = edges.select(side("v1", F.lit(0)).alias("u"), side("v2", turn).alias("v")).union(edges.select(side("v1", F.lit(1)).alias("u"), side("v2", 1 - turn).alias("v")))
-    c = connected_components(doubled, rounds)
+    c = connected_components(doubled)
     plus = c.where("node % 2 = 0").select(F.expr("node div 2").alias("node"), F.col("component").alias("p"))
     minus = c.where("node % 2 = 1").select(F.expr("node div 2").alias("node"), F.col("component").alias("m"))
     both = plus.join(minus, "node")
     return both.select("node", F.expr("least(p, m) div 2").alias("component"), (F.col("p") > F.col("m")).alias("flipped"), (F.col("p") == F.col("m")).alias("conflict"))
 
 
-def greedy_matching(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def greedy_matching(edges: DataFrame) -> DataFrame:
     """(v1, v2) of the matching that takes edges in order (v1, rank) whenever both ends are free.
 
     Each round takes the edges that come first at both their ends, which the sequential pass
     would take too, and drops all edges at the ends of those.
     """
     now = cut(edges.select("v1", "v2", "rank"))
-    taken = None
-    for _ in range(rounds):
+    taken = now.select("v1", "v2").limit(0)
+    while not now.isEmpty():
         order = F.struct("v1", "rank", "v2")
         ends = now.select(F.col("v1").alias("x"), order.alias("o")).union(now.select(F.col("v2").alias("x"), order.alias("o")))
         first = ends.groupBy("x").agg(F.min("o").alias("o"))
         a = first.select(F.col("x").alias("v1"), F.col("o").alias("oa"))
         b = first.select(F.col("x").alias("v2"), F.col("o").alias("ob"))
         won = cut(now.join(a, "v1").join(b, "v2").where((F.col("oa") == F.struct("v1", "rank", "v2")) & (F.col("ob") == F.struct("v1", "rank", "v2"))).select("v1", "v2"))
-        taken = won if taken is None else taken.union(won)
+        taken = taken.union(won)
         gone = won.select(F.explode(F.array("v1", "v2")).alias("x")).distinct()
         now = cut(now.join(gone.withColumnRenamed("x", "v1"), "v1", "left_anti").join(gone.withColumnRenamed("x", "v2"), "v2", "left_anti").select("v1", "v2", "rank"))
-        if now.isEmpty():
-            break
     return taken
 
 
@@ -182,25 +182,23 @@ def back_edges(core: DataFrame) -> DataFrame:
     return own.groupBy("component").applyInPandas(_feedback, "u long, v long")
 
 
-def first_choice(pairs: DataFrame, rounds: int = 200) -> DataFrame:
+def first_choice(pairs: DataFrame) -> DataFrame:
     """The nodes that a pass in order of id keeps when it skips neighbours of kept ones.
 
     pairs: (node, neighbour), both directions, a null neighbour for a lone node.
     """
     now = cut(pairs.distinct())
-    kept = None
-    for _ in range(rounds):
+    kept = now.select("node").limit(0)
+    while not now.isEmpty():
         least = now.groupBy("node").agg(F.min("neighbour").alias("m"))
         won = cut(least.where("m IS NULL OR node < m").select("node"))
-        kept = won if kept is None else kept.union(won)
+        kept = kept.union(won)
         lost = now.join(won.withColumnRenamed("node", "neighbour"), "neighbour", "left_semi").select("node").distinct()
         gone = won.union(lost)
         left = now.join(gone, "node", "left_anti")
         names = left.select("node").distinct()
         edges = left.join(gone.withColumnRenamed("node", "neighbour"), "neighbour", "left_anti").select("node", "neighbour")
         now = cut(names.join(edges, "node", "left").select("node", "neighbour").distinct())
-        if now.isEmpty():
-            break
     return kept
 
 

@@ -1,4 +1,4 @@
-"""Shipping the package to executors."""
+"""What a session shares: the package on its executors, and a folder for cut lineages."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,3 +33,22 @@ def ship(spark: SparkSession) -> None:
                     archive.write(full, os.path.relpath(full, os.path.dirname(top)))
     context.addPyFile(path)
     context._haplograph_shipped = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share.
+
+    It lies in spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary folder serves.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = f"file://{tempfile.mkdtemp(prefix='haplograph_')}"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/cut_{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """The same rows, written to the shared folder and read back: ends the lineage and survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

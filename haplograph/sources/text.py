@@ -2,31 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole records of each file block, and the halves that its borders cut."""
+    where, open_head, fresh = None, None, True
+    for pdf in frames:
+        out = []
+
+        def close() -> None:
+            if open_head is not None:
+                out.append((*where, "head", open_head))
+
+        for file, block, piece in zip(pdf["file"], pdf["block"], pdf["value"]):
+            if (file, block) != where:
+                close()
+                where, open_head, fresh = (file, block), None, True
+            piece = piece.rstrip("\r\n")
+            if open_head is not None:
+                piece, open_head = f"{open_head}\n@{piece}", None
+            if not piece:
+                continue
+            lines = [x.rstrip("\r") for x in piece.split("\n")]
+            if len(lines) == 4 and lines[2].startswith("+") and len(lines[1]) == len(lines[3]):
+                out.append((*where, "record", "\n".join(lines)))
+            elif len(lines) == 3 and lines[2].startswith("+"):
+                open_head = "\n".join(lines)  # its quality line begins with @
+            elif fresh and block > 0 and len(lines) == 1:
+                out.append((*where, "tail", lines[0]))
+            else:
+                raise ValueError(f"not a FASTQ record in {file}: {piece[:80]!r}")
+            fresh = False
+        yield pd.DataFrame(out, columns=["file", "block", "kind", "body"])
+    if open_head is not None:
+        yield pd.DataFrame([(*where, "head", open_head)], columns=["file", "block", "kind", "body"])
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, read_id, seq, qual) of four-line records.
+    """(read_id, seq, qual) of four-line records, sequences in upper case.
 
-    '@' also occurs in qualities, so records are split where a line that begins with @ is
-    followed by a sequence line, any line and a quality line; the files of a directory are read
-    as whole records, file by file in name order.
+    Files are split at lines that begin with @. Where that is a quality line, its record's
+    halves follow one another in a block and are joined there; the few that a block's border
+    parts meet in a window over those halves alone.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("lines"))
-    rows = raw.select("file", F.posexplode(F.expr("transform(sequence(0, greatest(size(lines) div 4 - 1, 0)), i -> slice(lines, 4 * i + 1, 4))")).alias("k", "r"))
-    rows = rows.where("length(r[0]) > 0")
-    bad = F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.col("r")[0]))
-    name = F.when(F.col("r")[0].startswith("@") & (F.length(F.col("r")[1]) > 0), F.regexp_extract(F.col("r")[0], r"^@(\S+)", 1)).otherwise(bad)
-    return rows.select("file", F.col("k").cast("long").alias("ordinal"), name.alias("read_id"), F.upper(F.col("r")[1]).alias("seq"), F.col("r")[3].alias("qual"))
+    raw = spark.read.option("lineSep", "\n@").text(path)
+    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = raw.mapInPandas(_records, "file string, block long, kind string, body string")
+    whole = rows.where("kind = 'record'").select("body")
+    w = Window.partitionBy("file").orderBy("block", F.expr("IF(kind = 'tail', 0, 1)"))
+    halves = rows.where("kind <> 'record'").withColumn("head", F.lag("body").over(w)).where("kind = 'tail'")
+    lines = whole.union(halves.select(F.concat("head", F.lit("\n@"), "body").alias("body"))).select(F.split("body", "\n").alias("r"))
+    at = lambda i: F.get("r", F.lit(i))
+    name = F.regexp_extract(F.regexp_replace(at(0), "^@", ""), r"^(\S+)", 1)
+    good = (name != "") & (F.length(at(1)) > 0)
+    return lines.select(F.when(good, name).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), at(0)))).alias("read_id"), F.upper(at(1)).alias("seq"), at(3).alias("qual"))
 
 
 def read_fastq_pairs(spark: SparkSession, path1: str, path2: str) -> DataFrame:
-    """(read_id, seq1, qual1, seq2, qual2): two files in step, whose ids must agree."""
-    a, b = (read_fastq(spark, p).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1)).drop("file") for p in (path1, path2))
-    j = a.withColumnsRenamed({"read_id": "id1", "seq": "seq1", "qual": "qual1"}).join(b.withColumnsRenamed({"read_id": "id2", "seq": "seq2", "qual": "qual2"}), ["part", "ordinal"])
-    same = F.when(F.col("id1") == F.col("id2"), F.col("id1")).otherwise(F.raise_error(F.concat(F.lit("mates out of step at "), F.col("id1"))))
-    return j.select(same.alias("read_id"), "seq1", "qual1", "seq2", "qual2")
+    """(read_id, seq1, qual1, seq2, qual2): the mates of two files, each of which must have its partner."""
+    a = read_fastq(spark, path1).withColumnsRenamed({"seq": "seq1", "qual": "qual1"})
+    b = read_fastq(spark, path2).withColumnsRenamed({"seq": "seq2", "qual": "qual2"})
+    j = a.join(b, "read_id", "full_outer")
+    both = F.col("seq1").isNotNull() & F.col("seq2").isNotNull()
+    return j.select(F.when(both, F.col("read_id")).otherwise(F.raise_error(F.concat(F.lit("a mate is missing: "), F.col("read_id")))).alias("read_id"), "seq1", "qual1", "seq2", "qual2")
 
 
 def fastq_lines(reads: DataFrame, id_col: str = "read_id") -> DataFrame:
