@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, default_path, text_slices
+from .tokens import default_path, encoder, text_slices
 
 #: Waiting examples among which a bin chooses.
 WINDOW = 256
@@ -146,8 +146,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _pack_batches(path: str, end_id: int, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(path), Packer(limits)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        coder, packer = encoder(path), Packer(limits)
+        end = np.array([end_id], coder.dtype).tobytes()
         sequence = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         rows: list[tuple] = []
 
@@ -168,8 +168,8 @@ def _pack_batches(path: str, end_id: int, limits: Limits):
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for first, texts in text_slices(batch.column(1)):
-                for k, packed in enumerate(encoder.encode(texts)):
-                    ids = np.frombuffer(packed + end, encoder.dtype)
+                for k, packed in enumerate(coder.encode(texts)):
+                    ids = np.frombuffer(packed + end, coder.dtype)
                     for pieces in packer.add((docs[first + k], ids), 0, len(ids), len(ids)):
                         note(pieces)
                 if rows:

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-
-#: Distinct words whose ids a worker keeps; then it starts afresh.
-KEPT_WORDS = 300_000
+import pyarrow.compute
+
+#: Distinct words that a worker notes before the older of two generations of them goes.
+KEPT_WORDS = 1_000_000
+#: Marks that may follow a word's letters without changing their ids (no apostrophe: it joins).
+MARKS = ",.;:!?%&$#*+=|~^-_/()[]{}<>@"
+#: A word of Latin letters and marks: its letters, its marks.
+LATIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)")
 #: A longer word is encoded each time.
-KEPT_LENGTH = 64
-#: Characters of words encoded in one call.
-CALL_CHARS = 1 << 20
+KEPT_LENGTH = 48
+#: Words encoded in one call.
+CALL_WORDS = 4096
 
 
 def default_path() -> str:
@@ -25,7 +33,10 @@ class Encoder:
     """ids of texts by a tokenizer that never joins characters across white space.
 
     Such a tokenizer gives a text the ids of its space-separated words in turn, so each distinct
-    word is encoded once. The ids are those of encode(text, add_special_tokens=False).
+    word is encoded once. folds says that it also lower-cases and cuts letters from marks: then
+    a word of Latin letters, whatever its case, followed by marks or not, has the ids of its
+    letters and those of the marks. The ids are those of encode(text, add_special_tokens=False).
+    Words are noted in two generations, the older of which goes when the younger is full.
     """
 
     def __init__(self, path: str):
@@ -35,39 +46,94 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self.vocabulary = max(self._tokenizer.get_vocab().values()) + 1
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self._code = "H" if self.vocabulary <= 1 << 16 else "I"
         self._known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        self._older: dict[str, bytes] = {}
+        probes = ["Ab", "ÀÉ", *(f"{core}{mark}" for mark in [*MARKS, MARKS, "..", "!?", "%%%"] for core in ("Abc", "ÀÉ"))]
+        cores = [w.rstrip(MARKS) for w in probes]
+        parts = self._ids([x for w, c in zip(probes, cores) for x in (c.lower(), w[len(c) :])])
+        self.folds = all(p == a + b for p, a, b in zip(self._ids(probes), parts[::2], parts[1::2]))
+        self._letters = self._for_letters(path) if self.folds else None
+
+    def _for_letters(self, path: str):
+        """The same model without the steps that leave lower-case letters as they are; None where ids would differ."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = None
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        words = ["a", "the", "straße", "çàéîõüÿñ", "entierement", "qzjxkvw", "a" * 40]
+        same = [e.ids for e in bare.encode_batch_fast(words, add_special_tokens=False)] == [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return bare if same else None
+
+    def _ids(self, words: list[str], coder=None) -> list[bytes]:
+        return [array(self._code, e.ids).tobytes() for e in (coder or self._tokenizer).encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str], coder=None) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        i = 0
-        while i < len(words):
-            j, chars = i, 0
-            while j < len(words) and (j == i or chars + len(words[j]) <= CALL_CHARS):
-                chars += len(words[j])
-                j += 1
-            for w, e in zip(words[i:j], self._tokenizer.encode_batch_fast(words[i:j], add_special_tokens=False)):
-                out[w] = np.array(e.ids, self.dtype).tobytes()
-            i = j
+        for i in range(0, len(words), CALL_WORDS):
+            part = words[i : i + CALL_WORDS]
+            out.update(zip(part, self._ids(part, coder)))
         return out
 
+    def _learn(self, missing: set[str]) -> None:
+        """Notes the ids of the missing words."""
+        known, older = self._known, self._older
+        if older:
+            again = [w for w in missing if w in older]
+            known.update((w, older[w]) for w in again)
+            missing = missing.difference(again)
+        stems: list[tuple[str, str, str]] = []
+        letters: set[str] = set()
+        direct: set[str] = set()
+        parts = LATIN.fullmatch if self.folds else (lambda w: None)
+        for w in missing:
+            m = parts(w)
+            if m is None:
+                direct.add(w)
+                continue
+            core, mark = m.groups()
+            low = core.lower()
+            letters.add(low)
+            if low != w:
+                direct.add(mark)
+                stems.append((w, low, mark))
+        for some, coder in ((letters, self._letters), (direct, None)):
+            some = some.difference(known)
+            if older:
+                again = [w for w in some if w in older]
+                known.update((w, older[w]) for w in again)
+                some = some.difference(again)
+            known.update(self._encode_words(list(some), coder))
+        for w, low, mark in stems:
+            known[w] = known[low] + known[mark]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed as little-endian integers of dtype; null is empty."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self._known) > KEPT_WORDS:
-            self._known = {"": b""}
+            self._known, self._older = {"": b""}, self._known
         known = self._known
-        missing = {w for words in split for w in words if w not in known}
+        missing = set(chain.from_iterable(split)).difference(known)
         if missing:
-            new = self._learn(list(missing))
-            if any(len(w) > KEPT_LENGTH for w in new):
-                long = {w: e for w, e in new.items() if len(w) > KEPT_LENGTH}
-                for w in long:
-                    del new[w]
-                known.update(new)
-                return [b"".join([known[w] if w in known else long[w] for w in words]) for words in split]
-            known.update(new)
+            self._learn(missing)
         get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for w in missing:
+            if len(w) > KEPT_LENGTH:
+                del known[w]
+                known.pop(w.rstrip(MARKS).lower(), None)
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder of a file, kept from task to task with the words it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def text_slices(column: pa.Array, most_bytes: int = 2 << 20):
@@ -80,6 +146,3 @@ def text_slices(column: pa.Array, most_bytes: int = 2 << 20):
         j = max(i + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
         yield i, column.slice(i, j - i).to_pylist()
         i = j
-
-
-import pyarrow.compute  # noqa: E402, F401
