@@ -12,12 +12,19 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a batch that goes to a Python worker, where the session leaves Spark's 10000: rows may be long texts.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to all Python workers of the session, once.
+    """Sends this package's modules to all Python workers of the session, once, and bounds their batches.
 
-    Spark's own file server hands them out, so executors need neither an installation nor a
-    shared source folder.
+    Spark's own file server hands the modules out, so executors need neither an installation nor
+    a shared source folder.
     """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_haplograph_shipped", False):
         return
