@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, scratch, ship  # noqa: F401
 
 #: Fixed odd multipliers of the polynomial hash and of the finishing mix.
 BASE = 0x9E3779B97F4A7C15
 MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Bytes of text that one vectorised step takes at once (a longer document is taken alone).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -40,34 +41,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
+def crc_mod(doc_id: Column, n: int) -> Column:
+    """crc32 of the id's text, modulo n: the folds of the contracts (a null id falls in fold 0)."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
-    It lies in spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary folder serves.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='llm_')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/llm_{uuid.uuid4().hex}"
 
+def release() -> None:
+    """Gives memory that is no longer used back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
-def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """The same rows, written to the shared folder and read back: ends the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def freeing(run):
+    """run, a function of batches, with a release() at its end.
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    Workers stay for later stages, and what they keep would add up over the stages of a pipeline.
+    """
 
+    def freed(batches):
+        yield from run(batches)
+        release()
 
-def crc_mod(doc_id: Column, n: int) -> Column:
-    """crc32 of the id's text, modulo n: the folds of the contracts (a null id falls in fold 0)."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
+    return freed
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX1, MIX2, SPACED, Words, crc_mod, cut, mix, text_steps
+from .common import MIX1, MIX2, SPACED, Words, crc_mod, cut, freeing, mix, text_steps
 
 U = np.uint64
 #: Most words of the vocabulary (the most counted), and of those with a symbol of their own.
@@ -39,7 +39,7 @@ BLOCK, RATE = 128, 0.05
 #: Newton steps of the first fit, and its pull towards equal weights.
 FIT_STEPS, FIT_RIDGE = 8, 20.0
 #: Held-back training rows (remainder 9) that the first weights are fitted to, at most.
-FIT_ROWS = 256
+FIT_ROWS = 128
 STEP_BYTES = 1 << 18
 #: Words that a task counts before it passes the counts on.
 COUNT_FLUSH = 1 << 22
@@ -96,19 +96,20 @@ class Vocabulary:
         self.thin = thin
         order = np.lexsort((hashes, -counts))
         self.hashes, self.counts = hashes[order], counts[order]
-        affixes = affixes[order].astype(np.int64)
+        affixes = affixes[order]
+        del order
         n = len(self.hashes)
         top = min(TOP, n)
 
         def groups(keys: np.ndarray, most: int) -> np.ndarray:
-            value, at = np.unique(keys, return_inverse=True)
-            weight = np.bincount(at, self.counts, len(value))
+            """The most counted 16-bit keys get a group each, the others share some."""
+            weight = np.bincount(keys, self.counts, 1 << 16)
+            group = (most + np.arange(1 << 16) % OTHER).astype(np.int16)
             own = np.argsort(-weight, kind="stable")[:most]
-            group = most + value % OTHER
-            group[own] = np.arange(len(own))
-            return group[at]
+            group[own[weight[own] > 0]] = np.flatnonzero(weight[own] > 0)
+            return group[keys]
 
-        first, last = groups(affixes >> 16, PREFIXES), groups(affixes & 0xFFFF, SUFFIXES)
+        first, last = groups(affixes >> np.uint32(16), PREFIXES), groups(affixes & np.uint32(0xFFFF), SUFFIXES)
         self.main = np.where(np.arange(n) < top, np.arange(n), TOP + first).astype(np.int16)
         self.escape, self.end = TOP + PREFIXES + OTHER, TOP + PREFIXES + OTHER + 1
         self.suffix = np.where(np.arange(n) < top, -1, last).astype(np.int8)
@@ -122,19 +123,22 @@ class Vocabulary:
         self._index(n)
 
     def _index(self, n: int) -> None:
+        """An open-addressing table of ranks by the hash's top bits, filled in runs of words."""
         bits = max(4, int(n).bit_length() + 1)
         self._shift = U(64 - bits)
         self._table = np.full(1 << bits, -1, np.int32)
-        rest, probe = np.arange(n), 0
-        while len(rest):
-            slot = ((self.hashes[rest] >> self._shift).astype(np.int64) + probe) & (len(self._table) - 1)
-            free = self._table[slot] < 0
-            _, first = np.unique(slot[free], return_index=True)
-            won = np.flatnonzero(free)[first]
-            self._table[slot[won]] = rest[won]
-            rest = np.delete(rest, won)
-            probe += 1
-        self._probes = probe
+        self._probes = 0
+        for start in range(0, n, 1 << 18):
+            rest, probe = np.arange(start, min(n, start + (1 << 18))), 0
+            while len(rest):
+                slot = ((self.hashes[rest] >> self._shift).astype(np.int64) + probe) & (len(self._table) - 1)
+                free = self._table[slot] < 0
+                _, first = np.unique(slot[free], return_index=True)
+                won = np.flatnonzero(free)[first]
+                self._table[slot[won]] = rest[won]
+                rest = np.delete(rest, won)
+                probe += 1
+            self._probes = max(self._probes, probe)
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
         """The rank of each hash, -1 outside the vocabulary."""
@@ -218,8 +222,9 @@ def bit_events(code: Code, symbol: np.ndarray, contexts: list[np.ndarray]) -> tu
     """(symbol of each bit, the bit, its slot in each table)."""
     many = code.lengths[symbol]
     owner = np.repeat(np.arange(len(symbol)), many)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    flat = symbol[owner] * code.nodes.shape[1] + place
+    # the place of a symbol's path in the code's table, less the events before it
+    shift = symbol * code.nodes.shape[1] - (np.cumsum(many) - many)
+    flat = np.arange(len(owner)) + shift[owner]
     node, bit = code.nodes.reshape(-1)[flat], code.bits.reshape(-1)[flat]
     slots = [(((c[owner] + node) * U(MIX2 + 2 * k)) >> U(64 - TABLE_BITS)).astype(np.int64) for k, c in enumerate(contexts)]
     return owner, bit, slots
@@ -269,23 +274,28 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield row(merged())
 
 
-def _byte_batches(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(257, np.int64)
-        hashes = shared.value
-        for batch in batches:
-            for _, _, data, offsets in text_steps(batch.column(0)):
-                words = Words(data, offsets, SPACED)
-                rank = hashes.ranks(words.hashes)
-                rare = np.flatnonzero(rank < 0)
-                if len(rare):
-                    word = np.searchsorted(words.starts, np.arange(len(words.low)), "right") - 1
-                    spelled = words.word & (rank[np.maximum(word, 0)] < 0)
-                    total[:256] += np.bincount(words.low[spelled], minlength=256)
-                    total[256] += len(rare)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(total)], names=["byte", "n"])
+def _byte_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte, and the end of a word (256), occurs in the distinct words of each run."""
+    total = np.zeros(257, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in text_steps(batch.column(0)):
+            words = Words(data, offsets, SPACED)
+            if not len(words.hashes):
+                continue
+            _, at = np.unique(words.hashes, return_index=True)
+            fresh = np.zeros(len(words.hashes), bool)
+            fresh[at] = True
+            word = np.cumsum(np.bincount(words.starts, minlength=len(words.low))) - 1
+            total[:256] += np.bincount(words.low[words.word & fresh[np.maximum(word, 0)]], minlength=256)
+            total[256] += len(at)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(total)], names=["byte", "n"])
 
-    return run
+
+def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch of (word, n, affix) as one row of packed 64, 64 and 32 bit columns."""
+    for batch in batches:
+        word, n, affix = (np.ascontiguousarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("word", "n", "affix"))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (word, n, affix.astype(np.uint32))], names=["word", "n", "affix"])
 
 
 # ---- learning --------------------------------------------------------------------------------
@@ -354,8 +364,12 @@ def _inputs(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _fit_weights(model: Model, texts: list[str | None]) -> None:
     """First weights: each gate's logistic regression on held-back rows, by Newton steps."""
-    found = [_inputs(model, tokens_of(data, offsets, model.vocabulary)) for _, _, data, offsets in text_steps(pa.array(texts, pa.large_string()), STEP_BYTES)]
-    gate, bit, x = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
+    found = []
+    for _, _, data, offsets in text_steps(pa.array(texts, pa.large_string()), STEP_BYTES):
+        _, gate, bit, x = _inputs(model, tokens_of(data, offsets, model.vocabulary))
+        found.append((gate.astype(np.int16), bit, x))
+    gate, bit, x = (np.concatenate([f[i] for f in found]) for i in range(3))
+    del found
     order = np.argsort(gate, kind="stable")
     edge = np.searchsorted(gate[order], np.arange(GATES + 1))
     for g in range(GATES):
@@ -369,45 +383,65 @@ def _fit_weights(model: Model, texts: list[str | None]) -> None:
 
 
 def score_run(model: Model, tokens: Tokens) -> np.ndarray:
-    """log2 probability of each document, its weights refined block after block."""
+    """log2 probability of each document, its weights refined block after block.
+
+    Kinds of symbol have gates of their own, so each kind is mixed in a pass of its own.
+    """
     n_docs = len(tokens.first) - 1
-    token, gate, bit, x = _inputs(model, tokens)
-    doc = np.searchsorted(tokens.first, np.arange(tokens.first[-1]), "right") - 1
-    block = ((np.arange(tokens.first[-1]) - tokens.first[doc]) // BLOCK)[token]
-    doc = doc[token]
-    order = np.argsort(block.astype(np.uint16 if block.max() < 1 << 16 else np.uint32), kind="stable")
-    edge = np.concatenate([[0], np.cumsum(np.bincount(block))])
-    cell, doc = (doc * GATES + gate)[order], doc[order]
-    sign = np.where(bit, np.float32(1), np.float32(-1))[order]
-    x = [(column[order] * sign) for column in x.T]
-    weights = np.tile(model.weights.astype(np.float32).T, (1, n_docs))  # predictor x (document, gate)
+    many = np.diff(tokens.first)
+    owner = np.repeat(np.arange(n_docs), many)
+    place = (np.arange(len(owner)) - np.repeat(tokens.first[:-1], many)) // BLOCK
+    place = place.astype(np.uint16 if len(place) == 0 or place.max() < 1 << 16 else np.uint32)
+    out = np.zeros(n_docs)
+    for code, token, symbol, contexts in tokens.symbols:
+        if not len(symbol):
+            continue
+        order = np.argsort(place[token], kind="stable")
+        block, doc, symbol = place[token][order], owner[token][order], symbol[order]
+        event, bit, slots = bit_events(code, symbol, [c[order] for c in contexts])
+        # events of each block of all documents
+        ends = np.concatenate([[0], np.cumsum(code.lengths[symbol])])
+        edge = ends[np.searchsorted(block, np.arange(int(block[-1]) + 2))]
+        doc = doc[event]
+        gate = model.seen[1][slots[1]] * np.uint8(4) + model.seen[2][slots[2]]
+        cell = doc * 16 + gate
+        sign = np.where(bit, np.float32(1), np.float32(-1))
+        x = [model.logits[k][slots[k]] * sign for k in range(K)]
+        first = model.weights[(code.kind - 1) * 16 : code.kind * 16].astype(np.float32)
+        out += _mixed_online(x, cell, doc, np.tile(first.T, (1, n_docs)), edge, n_docs)
+    out /= math.log(2)
+    known = tokens.rank >= 0
+    if known.any():
+        out += np.bincount(tokens.words.owners()[known], model.vocabulary.share[tokens.rank[known]], n_docs)
+    return out
+
+
+def _mixed_online(x: list[np.ndarray], cell: np.ndarray, doc: np.ndarray, weights: np.ndarray, edge: np.ndarray, n_docs: int) -> np.ndarray:
+    """Natural log probability of each document's bits; x: logits turned so that positive speaks for the bit that came."""
     cells = weights.shape[1]
     out = np.zeros(n_docs)
-    for a, b in zip(edge[:-1], edge[1:]):
+    last = int(edge[-1])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if a == b:
             continue
         at = cell[a:b]
         z = x[0][a:b] * weights[0][at]
         for k in range(1, K):
             z += x[k][a:b] * weights[k][at]
-        # probability of the bit that came, and of the other one
-        other = 1 / (1 + np.exp(np.clip(z, -14, 14)))
-        out += np.bincount(doc[a:b], np.log1p(-other), n_docs)
-        if b == len(cell):
+        np.clip(z, -14, 14, out=z)
+        other = 1 / (1 + np.exp(z))  # probability of the bit that did not come
+        out += np.bincount(doc[a:b], np.log(1 - other), n_docs)
+        if b == last:
             break
         other *= np.float32(RATE)
         if b - a > cells:
             scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=cells), 1))
             for k in range(K):
-                weights[k] += (np.bincount(at, other * x[k][a:b], cells) * scale).astype(np.float32)
+                weights[k] += np.bincount(at, other * x[k][a:b], cells) * scale
         else:
-            value, back, many = np.unique(at, return_inverse=True, return_counts=True)
+            value, back, times = np.unique(at, return_inverse=True, return_counts=True)
             for k in range(K):
-                weights[k][value] += (np.bincount(back, other * x[k][a:b]) / np.sqrt(many)).astype(np.float32)
-    out /= math.log(2)
-    known = tokens.rank >= 0
-    if known.any():
-        out += np.bincount(tokens.words.owners()[known], model.vocabulary.share[tokens.rank[known]], n_docs)
+                weights[k][value] += np.bincount(back, other * x[k][a:b]) / np.sqrt(times)
     return out
 
 
@@ -424,7 +458,7 @@ def learn(docs: DataFrame, remainder: Column, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), remainder.alias("fold"))
     training = own.where("fold <> 0")
-    counts = cut(training.select("text").mapInArrow(_count_batches, "word long, n long, affix long").groupBy("word").agg(F.sum("n").alias("n"), F.max("affix").alias("affix")))
+    counts = cut(training.select("text").mapInArrow(freeing(_count_batches), "word long, n long, affix long").groupBy("word").agg(F.sum("n").alias("n"), F.max("affix").alias("affix")))
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
     if totals[1] - totals[2] // THIN <= VOCABULARY:
         thin, inside = THIN, (F.col("n") > 1) | (F.pmod(F.xxhash64("word"), F.lit(THIN)) > 0)
@@ -437,24 +471,29 @@ def learn(docs: DataFrame, remainder: Column, id_col: str = "doc_id", text_col:
             often, least = often + words, n
         thin, inside = 1, F.col("n") >= least
     end = training.count()
-    kept = counts.where(inside).toPandas()
-    arrays = (kept["word"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64), kept["affix"].to_numpy(np.int64))
-    rare = int(totals[0]) - int(arrays[1].sum())
-    plain = Vocabulary(*arrays, rare, end, np.ones(257, np.int64), thin)
+    # packed columns, batch by batch: rows would take the driver many times their size
+    kept = [tuple(r) for r in counts.where(inside).mapInArrow(_packed_batches, "word binary, n binary, affix binary").toLocalIterator()]
+    hashes, many, affixes = (np.frombuffer(b"".join(r[i] for r in kept), kind) for i, kind in enumerate((np.uint64, np.int64, np.uint32)))
+    del kept
     spelled = np.zeros(257, np.int64)
-    for byte, n in training.where("fold = 1").select("text").mapInArrow(_byte_batches(spark.sparkContext.broadcast(plain)), "byte long, n long").groupBy("byte").agg(F.sum("n")).collect():
+    for byte, n in training.where("fold = 1").select("text").mapInArrow(_byte_batches, "byte long, n long").groupBy("byte").agg(F.sum("n")).collect():
         spelled[byte] = n
-    vocabulary = Vocabulary(*arrays, rare, end, spelled, thin)
+    vocabulary = Vocabulary(hashes, many, affixes, int(totals[0]) - int(many.sum()), end, spelled, thin)
+    del hashes, many, affixes
     shared = spark.sparkContext.broadcast(vocabulary)
     # chunks of tables: their number is fixed, whatever the corpus
-    learned = training.where("fold <> 9").select("text").mapInArrow(_learn_batches(shared), "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_batches, "chunk int, counts binary")
+    learned = training.where("fold <> 9").select("text").mapInArrow(freeing(_learn_batches(shared)), "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_batches, "chunk int, counts binary")
     tables = np.zeros((K, 2 << TABLE_BITS), np.float32)
     for chunk, part in learned.toLocalIterator():
         k, at = divmod(chunk, 1000)
         tables[k, at * CHUNK : (at + 1) * CHUNK] = np.frombuffer(part, np.uint32)
-    logits = np.log((tables[:, 1::2] + 0.4) / (tables[:, 0::2] + 0.4))
-    seen = tables[:, 1::2] + tables[:, 0::2]
-    seen = ((seen > 0).astype(np.uint8) + (seen > 2) + (seen > 15)).astype(np.uint8)
+    logits = np.empty((K, 1 << TABLE_BITS), np.float32)
+    seen = np.empty((K, 1 << TABLE_BITS), np.uint8)
+    for k in range(K):
+        zeros, ones = tables[k, 0::2], tables[k, 1::2]
+        logits[k] = np.log((ones + 0.4) / (zeros + 0.4))
+        seen[k] = np.searchsorted(np.array([0.5, 2.5, 15.5], np.float32), zeros + ones)
+    del tables
     model = Model(vocabulary, logits, seen, np.full((GATES, K), 0.35), int(totals[0]) + end, int(totals[1]) + (end > 0), end)
     sample = training.where("fold = 9").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("text").collect()
     if sample:
@@ -504,7 +543,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     remainder = crc_mod(F.col(id_col), 10)
     model, counts = learn(docs, remainder, id_col, text_col)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), remainder.cast("long").alias("fold"), F.col(text_col).alias("text"))
-    sized = own.mapInArrow(_score_batches(spark.sparkContext.broadcast(model)), SCHEMA)
+    sized = own.mapInArrow(freeing(_score_batches(spark.sparkContext.broadcast(model))), SCHEMA)
     rows = cut(sized)
     rare = rows.select("row", F.explode("rare").alias("word"))
     found = rare.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.count("n").alias("more_known"))

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
 from .tokens import default_path, encoder, text_slices
 
 #: Waiting examples among which a bin chooses.
@@ -190,7 +191,7 @@ def pack_documents(docs: DataFrame, limits: Limits | None = None, end_id: int =
     others. Each task packs what it reads, holding a bounded window of examples, so sequence
     ids are unique but not dense. Cut the lineage of an input whose row order can change.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pack_batches(path or default_path(), end_id, limits or Limits()), SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(_pack_batches(path or default_path(), end_id, limits or Limits())), SCHEMA)
 
 
 def _pack_lengths(limits: Limits):

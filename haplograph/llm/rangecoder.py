@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
-from .tokens import Encoder, default_path, text_slices
+from .common import freeing, scratch
+from .tokens import default_path, encoder, text_slices
 
 MAGIC = b"TIDS1\0\0\0"
 #: Ids after which a block is closed at the next end of a document.
@@ -42,8 +42,8 @@ class Model:
         self.vocabulary = vocabulary
         self.frequency = np.ones(vocabulary, np.int64)
         self.cumulative = np.zeros(vocabulary + 1, np.uint64)
-        self.next1, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << TABLE_BITS, np.int64), np.zeros(1 << TABLE_BITS, np.int64)
+        self.next1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int8)
+        self.next2, self.sure2 = np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1 << TABLE_BITS, np.int8)
         self.gate = np.tile(np.array([4, 2, 16], np.int64), (256, 1))
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
@@ -58,47 +58,51 @@ class Model:
             self.total0 = self.cumulative[-1]
             share = U(63 << (TOTAL_BITS - 6))
             both = self.gate.astype(np.uint64)
-            self._shares = both[:, :2] * share // both.sum(axis=1)[:, None]
+            shares = both[:, :2] * share // both.sum(axis=1)[:, None]
+            key = np.arange(256)
+            # nothing for a context that has not been seen
+            self._shares2 = np.where(key >= 16, shares[:, 0], U(0))
+            self._shares1 = np.where(key % 16 > 0, shares[:, 1], U(0))
         self.slot = ((self.last * 0x9E3779B1 + self.before * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
-        self.guess2, c2 = self.next2[self.slot], self.sure2[self.slot]
-        self.guess1, c1 = self.next1[self.last], self.sure1[self.last]
-        c1 = np.where((self.guess1 == self.guess2) & (c2 > 0), 0, c1)
-        self.has2, self.has1, self.c2, self.key = c2 > 0, c1 > 0, c2, c2 * 16 + c1
-        share = self._shares[self.key]
-        self.f2 = np.where(self.has2, share[:, 0], U(0))
-        self.f1 = np.where(self.has1, share[:, 1], U(0))
+        self.guess2, self.c2 = self.next2[self.slot], self.sure2[self.slot]
+        self.guess1, self.c1 = self.next1[self.last], self.sure1[self.last]
+        self.has2 = self.c2 > 0
+        twice = self.has2 & (self.guess1 == self.guess2)
+        self.key = self.c2.astype(np.int64) * 16 + np.where(twice, np.int8(0), self.c1)
+        self.f2, self.f1 = self._shares2[self.key], self._shares1[self.key]
         self.rest = self.f2 + self.f1
         self.escape = _TOTAL - self.rest
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, width) of each lane's id; notes which prediction it followed."""
-        self.hit2 = self.has2 & (ids == self.guess2)
-        self.hit1 = self.has1 & (ids == self.guess1) & ~self.hit2
+        self.right2 = self.has2 & (ids == self.guess2)
+        self.hit1 = (self.f1 > 0) & (ids == self.guess1) & ~self.right2
         low = self.escape * self.cumulative[ids] // self.total0
         high = self.escape * self.cumulative[ids + 1] // self.total0
-        start = np.where(self.hit2, U(0), np.where(self.hit1, self.f2, self.rest + low))
-        return start, np.where(self.hit2, self.f2, np.where(self.hit1, self.f1, high - low))
+        start = np.where(self.right2, U(0), np.where(self.hit1, self.f2, self.rest + low))
+        return start, np.where(self.right2, self.f2, np.where(self.hit1, self.f1, high - low))
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """The id whose interval holds each lane's target."""
         v = np.where(target >= self.rest, target - self.rest, U(0))
         x = ((v + U(1)) * self.total0 - U(1)) // self.escape
-        ids = np.searchsorted(self.cumulative, x, "right").astype(np.int64) - 1
-        ids = np.minimum(ids, self.vocabulary - 1)
+        order = np.argsort(x)  # a sorted search runs through the table once
+        ids = np.empty(len(x), np.int64)
+        ids[order] = np.searchsorted(self.cumulative, x[order], "right") - 1
+        np.minimum(ids, self.vocabulary - 1, out=ids)
         return np.where(target < self.f2, self.guess2, np.where(target < self.rest, self.guess1, ids))
 
     def update(self, ids: np.ndarray) -> None:
         np.add.at(self.frequency, ids, self.weight)
-        np.add.at(self.gate, (self.key, np.where(self.hit2, 0, np.where(self.hit1, 1, 2))), 2)
+        way = self.key * 3 + np.where(self.right2, 0, np.where(self.hit1, 1, 2))
+        self.gate += 2 * np.bincount(way, minlength=768).reshape(256, 3)
         if self.step % 16 == 0:
             self.gate = np.where(self.gate.sum(axis=1, keepdims=True) > 1 << 16, (self.gate + 1) >> 1, self.gate)
-        right = self.has2 & (ids == self.guess2)
-        self.next2[self.slot] = np.where(right | (self.c2 > 1), self.guess2, ids)
-        self.sure2[self.slot] = np.where(right, np.minimum(self.c2 + 1, 15), np.maximum(self.c2 >> 1, 1))
-        sure = self.sure1[self.last]
-        right = (sure > 0) & (ids == self.guess1)
-        self.next1[self.last] = np.where(right | (sure > 1), self.guess1, ids)
-        self.sure1[self.last] = np.where(right, np.minimum(sure + 1, 15), np.maximum(sure >> 1, 1))
+        self.next2[self.slot] = np.where(self.right2 | (self.c2 > 1), self.guess2, ids)
+        self.sure2[self.slot] = np.where(self.right2, np.minimum(self.c2 + 1, 15), np.maximum(self.c2 >> 1, 1))
+        right1 = (self.c1 > 0) & (ids == self.guess1)
+        self.next1[self.last] = np.where(right1 | (self.c1 > 1), self.guess1, ids)
+        self.sure1[self.last] = np.where(right1, np.minimum(self.c1 + 1, 15), np.maximum(self.c1 >> 1, 1))
         self.before, self.last = self.last, ids
         self.step += 1
 
@@ -203,17 +207,17 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 def _write_batches(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        coder = encoder(path)
+        end = np.array([end_id], coder.dtype).tobytes()
         part, seq, before, held = TaskContext.get().partitionId(), 0, 0, 0
         docs: list[int | None] = []
         packed: list[bytes] = []
 
         def close() -> pa.RecordBatch:
             nonlocal seq, before, held
-            lengths = np.array([len(p) // encoder.dtype.itemsize for p in packed], np.int64)
-            ids = np.frombuffer(b"".join(packed), encoder.dtype)
-            block = write_block(docs, lengths, ids, encoder.vocabulary)
+            lengths = np.array([len(p) // coder.dtype.itemsize for p in packed], np.int64)
+            ids = np.frombuffer(b"".join(packed), coder.dtype)
+            block = write_block(docs, lengths, ids, coder.vocabulary)
             out = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_ids": len(ids), "block": block}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("block", pa.binary())]))
             seq, before, held = seq + 1, before + len(ids), 0
             docs.clear()
@@ -223,10 +227,10 @@ def _write_batches(path: str, end_id: int, block_ids: int):
         for batch in batches:
             names = batch.column(0).to_pylist()
             for first, texts in text_slices(batch.column(1)):
-                for k, e in enumerate(encoder.encode(texts)):
+                for k, e in enumerate(coder.encode(texts)):
                     docs.append(names[first + k])
                     packed.append(e + end)
-                    held += len(packed[-1]) // encoder.dtype.itemsize
+                    held += len(packed[-1]) // coder.dtype.itemsize
                     if held >= block_ids:
                         yield close()
         if docs:
@@ -245,7 +249,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, vocabulary_path: str
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    blocks = ordered.mapInArrow(_write_batches(vocabulary_path or default_path(), end_id, block_ids), "part int, seq int, before long, n_ids long, block binary")
+    blocks = ordered.mapInArrow(freeing(_write_batches(vocabulary_path or default_path(), end_id, block_ids)), "part int, seq int, before long, n_ids long, block binary")
     blocks.write.option("compression", "none").parquet(path)
 
 
@@ -289,6 +293,6 @@ def read_ids(spark, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Writes the ids to files, reads the files back and digests what they hold: (doc_id, start, n_tokens, ids_crc32)."""
-    path = path or shared_dir(docs.sparkSession)
+    path = path or scratch(docs.sparkSession)
     write_ids(docs, path, **options)
-    return _placed(docs.sparkSession, path).mapInArrow(_digest_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(docs.sparkSession, path).mapInArrow(freeing(_digest_batches), "doc_id long, start long, n_tokens long, ids_crc32 long")

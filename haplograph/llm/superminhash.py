@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, cut, mix, shingles, text_steps
-from .graph import components
+from ..operators.fixpoint import connected_components as components
+from .common import SPACED, Words, cut, freeing, mix, shingles, text_steps
 
 #: Positions of a signature, and of one band: a pair at similarity 0.8 shares none of 24 bands once in 300,000 times.
 POSITIONS, BAND = 96, 4
@@ -93,7 +93,7 @@ def _sketch_batches(words: int, m: int, band: int):
 
 def sketch(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", m: int = POSITIONS, band: int = BAND) -> DataFrame:
     """(doc_id, n_shingles, hi, lo, bands): each document's set size, 128-bit set name and band hashes."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketch_batches(words, m, band), "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(_sketch_batches(words, m, band)), "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
 
 
 def _linked(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         texts = texts.select(F.when(blocks == 1, F.col("component")).otherwise(F.xxhash64("component", "pair.i", "pair.j")).alias("task"), "node", "text")
     else:
         texts = texts.select(F.col("component").alias("task"), "node", "text")
-    links = texts.repartition("task").sortWithinPartitions("task", "node").mapInArrow(_verify_groups(words, percent), "u long, v long")
+    links = texts.repartition("task").sortWithinPartitions("task", "node").mapInArrow(freeing(_verify_groups(words, percent)), "u long, v long")
     final = components(links)
     label = classes.select("hi", "lo", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     linked = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
