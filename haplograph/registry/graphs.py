@@ -295,10 +295,11 @@ def read_evidence(spark, sf):
     return _evidence(spark, sf).groupBy("branch", "v2").agg(F.count("*").alias("n"))
 
 
-@query(with_tables("graph", _BR + _EV, "SELECT branch, read_id FROM ev WHERE v2 % 2 = 0 INTERSECT SELECT branch, read_id FROM ev WHERE v2 % 2 = 1"))
+@query(with_tables("graph", _BR + _EV, "SELECT read_id FROM ev WHERE branch % 2 = 0 INTERSECT SELECT read_id FROM ev WHERE branch % 2 = 1"))
 def evidence_intersect(spark, sf):
+    """Reads that are evidence at branches of either kind."""
     e = fixpoint.cut(_evidence(spark, sf))
-    return e.where("v2 % 2 = 0").select("branch", "read_id").intersect(e.where("v2 % 2 = 1").select("branch", "read_id"))
+    return e.where("branch % 2 = 0").select("read_id").intersect(e.where("branch % 2 = 1").select("read_id"))
 
 
 _UNIQ = """, one AS (SELECT branch, read_id FROM ev GROUP BY 1, 2 HAVING count(DISTINCT v2) = 1), named AS (SELECT DISTINCT branch, v2 FROM ev),
@@ -328,9 +329,9 @@ def _thresholds(spark):
 _THR = ", thr AS (SELECT d AS dist, CAST(1 + d // 20 AS BIGINT) AS min_ev FROM (SELECT unnest(range(0, 50)) AS d)), dst AS (SELECT branch AS component, CAST(round(0.5 * (min(place) + max(place)) + 0.0000001) AS BIGINT) AS dist FROM df GROUP BY branch)"
 
 
-@query(with_tables("graph", _BR + _DF + _THR, "SELECT component, dist, min_ev FROM dst LEFT JOIN thr USING (dist)"))
+@query(with_tables("graph", _BR + _DF + _THR, "SELECT component, dist, coalesce(min_ev, -1) AS min_ev FROM dst LEFT JOIN thr USING (dist)"))
 def threshold_lookup(spark, sf):
-    return _distances(spark, sf).join(F.broadcast(_thresholds(spark)), "dist", "left").select("component", "dist", "min_ev")
+    return _distances(spark, sf).join(F.broadcast(_thresholds(spark)), "dist", "left").select("component", "dist", F.coalesce("min_ev", F.lit(-1).cast("long")).alias("min_ev"))
 
 
 @query(with_tables("graph", _BR + _EV + _UNIQ + _THR, "SELECT component, v1, v2, CASE WHEN min_ev IS NULL THEN 'skip' WHEN support < min_ev THEN 'remove' ELSE 'keep' END AS verdict FROM sup JOIN dst USING (component) LEFT JOIN thr USING (dist)"))

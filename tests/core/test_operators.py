@@ -108,6 +108,22 @@ def test_back_edges_leave_no_cycle(spark):
     assert not rest
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_cyclic_core_equals_peeling(spark, seed):
+    rng = random.Random(seed)
+    n = [12, 30, 40, 25][seed]
+    pairs = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range([14, 40, 38, 60][seed])) if a != b}
+    pairs |= {(100 + i, 101 + i) for i in range(60)} | ({(160, 130)} if seed % 2 else set()) | {(300, 301), (301, 300), (302, 300)}
+    core = set(pairs)
+    while True:
+        heads, tails = {b for _, b in core}, {a for a, _ in core}
+        after = {(a, b) for a, b in core if a in heads and b in tails}
+        if after == core:
+            break
+        core = after
+    assert {(r.u, r.v) for r in G.cyclic_core(graph(spark, sorted(pairs)), fixpoint.cut).collect()} == core
+
+
 def test_orientation_conflict(spark):
     rows = [(1, 2, True), (2, 3, False), (5, 6, True), (6, 7, True), (7, 5, False)]
     out = {r.node: (r.component, r.flipped, r.conflict) for r in fixpoint.orientation_labels(spark.createDataFrame(rows, "v1 long, v2 long, same_ori boolean")).collect()}
