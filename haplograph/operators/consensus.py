@@ -26,9 +26,8 @@ def downsample(members: DataFrame, k: int) -> DataFrame:
 
 def columns(members: DataFrame) -> DataFrame:
     """(group, pos, base, q): one row for each base of each member (group, at, seq, qual)."""
-    m = members.select("group", "at", "seq", "qual", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("k"))
-    base = F.expr("substring(seq, k + 1, 1)")
-    return m.select("group", (F.col("at") + F.col("k")).alias("pos"), base.alias("base"), (F.ascii(F.expr("substring(qual, k + 1, 1)")) - 33).alias("q"))
+    m = members.select("group", "at", F.posexplode(F.arrays_zip(F.split("seq", "").alias("b"), F.split("qual", "").alias("q"))).alias("k", "c"))
+    return m.select("group", (F.col("at") + F.col("k")).alias("pos"), F.col("c.b").alias("base"), (F.ascii("c.q") - 33).alias("q"))
 
 
 def _log(x: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import seq as S
+
 
 def route(overlaps: DataFrame, min_len: int, min_perc: int, relax: bool = False) -> DataFrame:
     """Adds route: score, nonedge (too short) or drop (long enough, but too small a share, or a self-overlap)."""
@@ -21,23 +23,20 @@ def score_overlaps(overlaps: DataFrame, reads: DataFrame) -> DataFrame:
     """Adds score (geometric mean of the columns' probabilities) and mismatch (share of differing columns).
 
     Columns with an N do not count; without any other column the score is 0 and the mismatch 1.
-    Each side's sequence and qualities come in one equi-join; the columns are folded in place,
-    so an overlap is never spread over rows.
+    Overlaps that repeat in all columns come out once. Both sides come in equi-joins; each
+    overlap's columns are made and summed within its task, so that one row for each overlap
+    is all that the aggregation shuffles.
     """
     r = reads.select("read_id", "seq", "qual")
     o = overlaps.join(r.withColumnsRenamed({"read_id": "id1", "seq": "a", "qual": "qa"}), "id1").join(r.withColumnsRenamed({"read_id": "id2", "seq": "b", "qual": "qb"}), "id2")
-    prob = lambda q, at: f"pow(10D, -(ascii(substring({q}, CAST({at} AS INT), 1)) - 33) / 10D)"
-    column = f"""named_struct('x', substring(a, CAST(pos + k + 1 AS INT), 1), 'y', substring(b, CAST(k + 1 AS INT), 1),
-        'p', {prob('qa', 'pos + k + 1')}, 'q', {prob('qb', 'k + 1')})"""
-    fold = f"""aggregate(filter(transform(sequence(0L, greatest(len, 1) - 1), k -> {column}), c -> c.x <> 'N' AND c.y <> 'N'),
-        named_struct('l', 0D, 'm', 0D, 'n', 0D),
-        (s, c) -> named_struct('l', s.l + ln(IF(c.x = c.y, (1 - c.p) * (1 - c.q) + c.p * c.q / 3, c.p * (1 - c.q) / 3 + c.q * (1 - c.p) / 3 + 2 * c.p * c.q / 9)),
-                               'm', s.m + IF(c.x = c.y, 0D, 1D), 'n', s.n + 1D))"""
-    o = o.withColumn("fold", F.expr(fold))
-    some = F.col("fold.n") > 0
-    score = F.when(some, F.exp(F.col("fold.l") / F.col("fold.n"))).otherwise(0.0)
-    mismatch = F.when(some, F.col("fold.m") / F.col("fold.n")).otherwise(1.0)
-    return o.select(*overlaps.columns, score.alias("score"), mismatch.alias("mismatch"))
+    part = lambda c, at: f"split(substring({c}, CAST({at} AS INT), CAST(len AS INT)), '')"
+    pairs = F.expr(f"arrays_zip({part('a', 'pos + 1')}, {part('b', '1')}, {part('qa', 'pos + 1')}, {part('qb', '1')})")
+    cells = o.select(*overlaps.columns, F.inline(pairs).alias("x", "y", "p", "q"))
+    chance = lambda c: S.error_probability(F.ascii(c) - 33)
+    log = F.log(S.pair_probability(F.col("x"), F.col("y"), chance("p"), chance("q")))
+    counted = F.when((F.col("x") != "N") & (F.col("y") != "N"), F.when(F.col("x") == F.col("y"), 0.0).otherwise(1.0))
+    sums = cells.groupBy(*overlaps.columns).agg(F.avg(log).alias("_log"), F.avg(counted).alias("_mm"))
+    return sums.select(*overlaps.columns, F.coalesce(F.exp("_log"), F.lit(0.0)).alias("score"), F.coalesce("_mm", F.lit(1.0)).alias("mismatch"))
 
 
 def combine_paired(score1, score2, mm1, mm2, edge_threshold: float):

@@ -99,7 +99,7 @@ def iterate(state: State, cfg: Config) -> State:
     groups = cut(_cliques(e, cfg.min_clique_size) if cfg.cliques else _pairs(e))
     members = consensus.layout(groups.join(state.reads, "read_id").withColumn("length", F.length("seq").cast("long")))
     members = cut(consensus.downsample(members, 50) if cfg.cliques else members)
-    bases = consensus.consensus_bases(consensus.columns(members), cfg.min_qual)
+    bases = cut(consensus.consensus_bases(consensus.columns(members), cfg.min_qual))
     made = cut(consensus.consensus_sequences(bases, cfg.min_clique_size if cfg.error_correction else 1).where("length > 0"))
     phred = bases.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", "phred"))).alias("q"))
     qual = F.array_join(F.transform("q", lambda x: F.char(x["phred"] + 33)), "")
