@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, text_steps
+from .common import ALNUM, Words, freeing, text_steps
 
 #: Words of a window.
 WINDOW = 13
@@ -109,12 +109,14 @@ def _count_batches(vocabulary):
     return run
 
 
-def _match_batches(shared):
+def _match_batches(shared, text_col: str, last: bool, digest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
-            held_words, held_items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i, j, data, offsets in text_steps(batch.column(1)):
+            held_words, held_items = batch.column("hit").to_pylist(), batch.column("items").to_pylist()
+            row = batch.column("doc_id")
+            text = batch.column("text") if "text" in batch.schema.names else row.field(text_col)
+            for i, j, data, offsets in text_steps(text):
                 words = Words(data, offsets, ALNUM)
                 doc, start, window = index.matches(words)
                 step = np.zeros(len(words.hashes) + 1, np.int32)
@@ -136,27 +138,32 @@ def _match_batches(shared):
                         span = np.packbits(bits).tobytes()
                     out_spans.append(span)
                     out_items.append(sorted({*(own or ()), *(held_items[i + k] or ())}))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(out_spans, pa.binary()), pa.array(out_items, pa.list_(pa.int64())), pa.array(n_words.astype(np.int64))],
-                    names=["doc_id", "text", "hit", "items", "n_words"],
-                )
+                found = {"doc_id": row.slice(i, j - i)}
+                if not last:
+                    if "text" in batch.schema.names:
+                        found["text"] = text.slice(i, j - i)
+                    found |= {"hit": pa.array(out_spans, pa.binary()), "items": pa.array(out_items, pa.list_(pa.int64()))}
+                else:
+                    found |= digest(n_words, out_spans, out_items) if digest else {"hit": pa.array(out_spans, pa.binary()), "items": pa.array(out_items, pa.list_(pa.int64())), "n_words": pa.array(n_words.astype(np.int64))}
+                yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
     return run
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_words = batch.column("n_words").to_pylist()
-        n_hit = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in batch.column("hit").to_pylist()]
-        items = batch.column("items").to_pylist()
-        digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words)])],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+def _digest(n_words: np.ndarray, spans: list[bytes | None], items: list[list[int]]) -> dict[str, pa.Array]:
+    n_hit = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in spans]
+    names = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
+    return {
+        "n_words": pa.array(n_words.astype(np.int64)),
+        "n_hit": pa.array(n_hit, pa.int64()),
+        "n_items": pa.array([len(x) for x in items], pa.int64()),
+        "items_sha256": pa.array(names, pa.string()),
+        "contaminated": pa.array([h > 0 and 20 * h >= int(n) for h, n in zip(n_hit, n_words)], pa.bool_()),
+    }
 
 
-DIGEST = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())]
+SPANS = [T.StructField("hit", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType())), T.StructField("n_words", T.LongType())]
+DIGEST = [*(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
 
 
 def blocks_of(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
@@ -167,7 +174,7 @@ def blocks_of(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFram
 
 
 def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text, hit, items, n_words) for every row of docs.
+    """(doc_id, hit, items, n_words) for every row of docs.
 
     hit: a bit for each word, set inside an occurrence of a window (null where none is);
     items: the sorted ids of the items with occurring windows; n_words: the words of the text.
@@ -175,14 +182,17 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str
     have no words; items without words or without an id match nothing; repeated items count
     once. Other columns are ignored. Items go to the tasks in blocks of a checked size.
     """
-    return _matched(docs, F.col(id_col).cast("long"), items, window, text_col, item_col, item_text_col, block_bytes)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _matched(own, docs, items, window, text_col, item_col, item_text_col, block_bytes)
 
 
-def _matched(docs: DataFrame, key: Column, items: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
+def _matched(own: DataFrame, docs: DataFrame, items: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str, block_bytes: int, digest=None) -> DataFrame:
+    """As matched(), for columns doc_id and text, or for whole rows of docs as one struct doc_id; with digest, its columns instead."""
     spark = docs.sparkSession
-    state = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<long>").alias("items"))
-    own = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
-    for block in blocks_of(own, block_bytes):
+    state = own.withColumns({"hit": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<long>")})
+    asked = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
+    blocks = blocks_of(asked, block_bytes)
+    for k, block in enumerate(blocks):
         index = Index([tuple(r) for r in block.distinct().collect()], window)
         words = spark.sparkContext.broadcast(index.vocabulary)
         counts = np.zeros(len(index.vocabulary), np.int64)
@@ -190,21 +200,24 @@ def _matched(docs: DataFrame, key: Column, items: DataFrame, window: int, text_c
             for word, n in docs.select(F.col(text_col).alias("text")).mapInArrow(_count_batches(words), "word long, n long").groupBy("word").agg(F.sum("n")).collect():
                 counts[word] = n
         index.order(counts)
-        state = state.select("doc_id", "text", "hit", "items")
-        state = state.mapInArrow(_match_batches(spark.sparkContext.broadcast(index)), T.StructType([*state.schema, T.StructField("n_words", T.LongType())]))
+        state = state.select(*own.columns, "hit", "items")
+        last = k == len(blocks) - 1
+        fields = [own.schema["doc_id"], *(DIGEST if digest else SPANS)] if last else list(state.schema)
+        state = state.mapInArrow(freeing(_match_batches(spark.sparkContext.broadcast(index), text_col, last, digest)), T.StructType(fields))
     return state
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated; see contamination()."""
-    state = _matched(docs, F.struct(*docs.columns), items, window, text_col, item_col, item_text_col, block_bytes).drop("text")
-    schema = T.StructType([state.schema["doc_id"], *DIGEST[1:], T.StructField("contaminated", T.BooleanType())])
-    return state.mapInArrow(_digest_batches, schema).where("not contaminated").select("doc_id.*")
+    own = docs.select(F.struct(*docs.columns).alias("doc_id"))
+    state = _matched(own, docs, items, window, text_col, item_col, item_text_col, block_bytes, _digest)
+    return state.where("not contaminated").select("doc_id.*")
 
 
-def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs; see matched().
 
     contaminated: some word is hit, and at least a twentieth of the words are.
     """
-    return matched(docs, items, **options).drop("text").mapInArrow(_digest_batches, T.StructType([*DIGEST, T.StructField("contaminated", T.BooleanType())]))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _matched(own, docs, items, window, text_col, item_col, item_text_col, block_bytes, _digest)

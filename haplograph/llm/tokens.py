@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Distinct words that a worker notes before the older of two generations of them goes.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 800_000
 #: Marks that may follow a word's letters without changing their ids (no apostrophe: it joins).
 MARKS = ",.;:!?%&$#*+=|~^-_/()[]{}<>@"
 #: A word of Latin letters and marks: its letters, its marks.

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, crc_mod, text_steps
+from .common import ALNUM, Words, crc_mod, freeing, release, text_steps
 
 #: Labelled rows of each label that training takes at most, those with the least hash of their id.
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 2048
 #: Slots of the embedding tables, one for whole words and one for each prefix length (in bytes).
 SLOTS = 1 << 18
 PREFIXES = (4, 5)
@@ -24,8 +24,9 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: Documents to which a feature's log-odds are drawn back.
 SHRINK = 8.0
-EPOCHS = 6
-STEP_BYTES = 1 << 20
+#: Passes over the sample: as many as make about STEPS steps of 64 documents, between these bounds.
+EPOCHS, STEPS = (5, 40), 320
+STEP_BYTES = 1 << 19
 
 
 def _features(words: Words) -> np.ndarray:
@@ -132,7 +133,8 @@ def _descend(net: Classifier, docs: list[np.ndarray], labels: np.ndarray, fit: n
     b1 = b2 = 0.0
     squares = np.full(net.tables.shape[:2], 1e-4, np.float32)
     step = 0
-    for _ in range(EPOCHS):
+    epochs = min(max(-(-STEPS * size // len(fit)), EPOCHS[0]), EPOCHS[1])
+    for _ in range(epochs):
         fit = rng.permutation(fit)
         for at in range(0, len(fit), size):
             own = fit[at : at + size]
@@ -216,20 +218,24 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, rows
     # at most twice `rows` ids: a bounded table
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     found = sorted(texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "lang", "y").collect(), key=lambda r: (r[0], r[1] or ""))
-    return train([r[1] for r in found], np.array([r[3] for r in found], np.float64), [r[2] for r in found])
+    texts, y, langs = [r[1] for r in found], np.array([r[3] for r in found], np.float64), [r[2] for r in found]
+    del found
+    net = train(texts, y, langs)
+    del texts, y, langs
+    release()  # the driver goes on with less
+    return net
 
 
-def _score_batches(shared):
+def _score_batches(shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Classifier = shared.value
         for batch in batches:
-            out = []
-            for _, _, data, offsets in text_steps(batch.column(batch.num_columns - 1), STEP_BYTES):
+            row = batch.column(0)
+            text = row.field(text_col) if batch.num_columns == 1 else batch.column(1)
+            for i, j, data, offsets in text_steps(text, STEP_BYTES):
                 words = Words(data, offsets, ALNUM)
                 slots = _features(words) if len(words.hashes) else np.zeros((0, 1 + len(PREFIXES)), np.int64)
-                out.append(net.scores(slots, words.first))
-            scores = pa.array(np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([row.slice(i, j - i), pa.array(net.scores(slots, words.first))], names=["doc_id", "score"])
 
     return run
 
@@ -239,18 +245,18 @@ def score(docs: DataFrame, net: Classifier, id_col: str = "doc_id", text_col: st
 
     A score depends on the whole text alone; null and empty texts get the score of no words.
     """
-    return _scored(docs, net, F.col(id_col), text_col)
+    return _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), net, text_col)
 
 
-def _scored(docs: DataFrame, net: Classifier, key: Column, text_col: str) -> DataFrame:
-    own = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+def _scored(own: DataFrame, net: Classifier, text_col: str) -> DataFrame:
+    """(doc_id, score) from columns doc_id and text, or from whole rows as one struct doc_id."""
     schema = T.StructType([own.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    return own.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(net)), schema)
+    return own.mapInArrow(freeing(_score_batches(own.sparkSession.sparkContext.broadcast(net), text_col)), schema)
 
 
 def reject_toxic(docs: DataFrame, net: Classifier, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, all columns, whose score stays below the calibrated threshold of their language."""
-    scored = _scored(docs, net, F.struct(*docs.columns), text_col)
+    scored = _scored(docs.select(F.struct(*docs.columns).alias("doc_id")), net, text_col)
     return scored.where(F.col("score") < net.threshold(F.col(f"doc_id.{lang_col}"))).select("doc_id.*")
 
 
