@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, crc_mod, freeing, release, text_steps
+from .common import ALNUM, Words, crc_mod, cut, freeing, release, text_steps
 
 #: Labelled rows of each label that training takes at most, those with the least hash of their id.
 SAMPLE_ROWS = 2048
@@ -27,6 +28,8 @@ SHRINK = 8.0
 #: Passes over the sample: as many as make about STEPS steps of 64 documents, between these bounds.
 EPOCHS, STEPS = (5, 40), 320
 STEP_BYTES = 1 << 19
+#: Bins of a score's logit in calibration, over -LOGITS..LOGITS.
+BINS, LOGITS = 4096, 16.0
 
 
 def _features(words: Words) -> np.ndarray:
@@ -105,13 +108,13 @@ def _log_odds(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.log((seen[1] + SHRINK * share) / (seen[0] + SHRINK * (1 - share))) - np.log(share / (1 - share))
 
 
-def train(texts: list[str | None], labels: np.ndarray, langs: list[str | None], seed: int = 7) -> Classifier:
-    """Fits the network to the rows, and thresholds by language to a fifth of them that it does not see."""
+def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> tuple[Classifier, np.ndarray]:
+    """(network, positions of the rows it has seen): a fifth of the rows is kept from it."""
     rng = np.random.default_rng(seed)
     docs = _documents(texts)
     labels = np.asarray(labels, np.float64)
     order = rng.permutation(len(docs))
-    kept, fit = order[: len(docs) // 5], order[len(docs) // 5 :]
+    fit = order[len(docs) // 5 :]
     channels = 1 + len(PREFIXES)
     tables = rng.normal(0, 0.01, (channels, SLOTS, DIMS)).astype(np.float32)
     if len(fit):
@@ -122,9 +125,7 @@ def train(texts: list[str | None], labels: np.ndarray, langs: list[str | None],
     net = Classifier(tables, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), -1.0, {"": 0.5})
     if len(fit) and 0 < labels[fit].sum() < len(fit):
         _descend(net, docs, labels, fit, rng)
-    if len(kept):
-        _calibrate(net, [docs[i] for i in kept], labels[kept], [langs[i] for i in kept])
-    return net
+    return net, fit
 
 
 def _descend(net: Classifier, docs: list[np.ndarray], labels: np.ndarray, fit: np.ndarray, rng, size: int = 64) -> None:
@@ -178,33 +179,58 @@ def _descend(net: Classifier, docs: list[np.ndarray], labels: np.ndarray, fit: n
                     np.add.at(net.tables[c], slot, -0.02 * part / np.sqrt(squares[c][slot])[:, None])
 
 
-def _calibrate(net: Classifier, docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], least: int = 30) -> None:
-    """Sets the threshold of each language with at least `least` rows of each label to the best F1's; others share one."""
-    scores = np.concatenate([net.scores(docs[i], np.array([0, len(docs[i])])) for i in range(len(docs))])
+def _edge(at: int) -> float:
+    """The least score of a bin."""
+    return 1 / (1 + math.exp(LOGITS - 2 * LOGITS * at / BINS)) if at > 0 else 0.0
+
+
+def _best(hist: np.ndarray, totals: np.ndarray, least: int) -> float | None:
+    """The threshold of the best F1, from (label x bin) counts of unseen rows, weighted to the totals of each label."""
+    seen = hist.sum(axis=1)
+    if seen.min() < least:
+        return None
+    clean, toxic = (hist * (totals / seen)[:, None])[:, ::-1]
+    hit, taken = np.cumsum(toxic), np.cumsum(clean + toxic)
+    some = np.flatnonzero(clean + toxic)
+    at = int(np.argmax((2 * hit / (taken + totals[1]))[some]))
+    low = BINS - 1 - some[at]
+    below = _edge(BINS - some[at + 1]) if at + 1 < len(some) else 0.0
+    return (_edge(low) + below) / 2
 
-    def best(mask: np.ndarray) -> float | None:
-        s, y = scores[mask], labels[mask]
-        if min(y.sum(), len(y) - y.sum()) < least:
-            return None
-        order = np.argsort(-s)
-        s, y = s[order], y[order]
-        hit = np.cumsum(y)
-        f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-        f1[:-1][s[:-1] == s[1:]] = -1  # rows of one score stay together
-        at = int(np.argmax(f1))
-        return float((s[at] + (s[at + 1] if at + 1 < len(s) else 0.0)) / 2)
 
-    everyone = best(np.ones(len(docs), bool))
-    net.thresholds[""] = everyone if everyone is not None else 0.5
-    for lang in sorted({x for x in langs if x}):
-        own = best(np.array([x == lang for x in langs]))
-        if own is not None:
-            net.thresholds[lang] = own
+def _calibrate(net: Classifier, texts: DataFrame, known: DataFrame, fitted: DataFrame, least: int = 30) -> None:
+    """Sets thresholds of the best F1 at the label shares of all labelled rows: texts (doc_id, text, lang) and known (doc_id, y).
+
+    Every row is scored where it lies, so that no text is shuffled, and counted by language, label and bin. Scores of the rows
+    that the network has seen (fitted) speak too well of it: those rows count in the shares alone.
+    A language with fewer than `least` unseen rows of a label shares the threshold of all.
+    """
+    rows = texts.select(F.struct("doc_id", F.coalesce("lang", F.lit("")).alias("lang")).alias("doc_id"), "text")
+    place = F.floor((F.log(F.col("score") / (1 - F.col("score"))) + LOGITS) * (BINS / (2 * LOGITS)))
+    place = F.when(F.col("score") >= 1, BINS - 1).when(F.col("score") <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place))).cast("int")
+    scored = _scored(rows, net, "text").select("doc_id.*", place.alias("bin")).join(known, "doc_id")
+    scored = scored.join(F.broadcast(fitted.select("doc_id", F.lit(True).alias("seen"))), "doc_id", "left").withColumn("fitted", F.col("seen").isNotNull())
+    hist = cut(scored.groupBy("lang", F.col("y").cast("int").alias("y"), "fitted", "bin").count())
+    enough = [F.sum(F.when((F.col("y") == y) & ~F.col("fitted"), F.col("count"))) >= least for y in (0, 1)]
+    langs = hist.where("lang <> ''").groupBy("lang").agg((enough[0] & enough[1]).alias("enough")).where("enough").select("lang")
+    found = hist.join(langs, "lang", "left_semi").unionByName(hist.groupBy("y", "fitted", "bin").agg(F.sum("count").alias("count")).withColumn("lang", F.lit("")))
+    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for lang, y, fitted, at, n in found.select("lang", "y", "fitted", "bin", "count").toLocalIterator():
+        own, totals = counts.setdefault(lang, (np.zeros((2, BINS)), np.zeros(2)))
+        totals[y] += n
+        if not fitted:
+            own[y, at] += n
+    for lang, (own, totals) in counts.items():
+        threshold = _best(own, totals, least)
+        if threshold is not None:
+            net.thresholds[lang] = threshold
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Classifier:
     """Trains on at most `rows` labelled rows of each label, never on rows of the held-out fold.
 
+    Thresholds are set by all labelled rows outside that fold, at the shares that their labels have.
+
     Labels other than 0 and 1 and null ids are passed over; a doc_id labelled twice counts with
     its larger label. Without usable rows the network keeps its first weights.
     """
@@ -217,11 +243,13 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, rows
         taken = own if taken is None else taken.unionAll(own)
     # at most twice `rows` ids: a bounded table
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found = sorted(texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "lang", "y").collect(), key=lambda r: (r[0], r[1] or ""))
-    texts, y, langs = [r[1] for r in found], np.array([r[3] for r in found], np.float64), [r[2] for r in found]
+    found = sorted(texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y").collect(), key=lambda r: (r[0], r[1] or ""))
+    ids, sample, y = [r[0] for r in found], [r[1] for r in found], np.array([r[2] for r in found], np.float64)
     del found
-    net = train(texts, y, langs)
-    del texts, y, langs
+    net, seen = train(sample, y)
+    del sample, y
+    fitted = docs.sparkSession.createDataFrame([(x,) for x in sorted({ids[i] for i in seen})], T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType)]))
+    _calibrate(net, texts.where("doc_id is not null") if held_out is None else texts.where(F.col("doc_id").isNotNull() & ~held_out), known, fitted)
     release()  # the driver goes on with less
     return net
 

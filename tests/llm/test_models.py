@@ -104,6 +104,23 @@ def test_toxicity_rows(spark, toxic, empty, clashing):
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, blank).collect())
 
 
+def test_toxicity_thresholds_at_true_shares(spark):
+    """A balanced sample would reject the doubtful word: four fifths of its rows are clean, but half the sample is toxic."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(3000):
+        kind = "vile" if i < 150 else "doubtful" if i < 900 else "plain"
+        text = [f"w{rng.randint(0, 60)}" for _ in range(20)]
+        rows.append((i, " ".join([*text[:10], kind, *text[10:]]), rng.choice(["en", "de"])))
+        labels.append((i, int(i < 300)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    y = spark.createDataFrame(labels, "doc_id long, toxic int")
+    net = toxicity.fit(d, y, rows=300)
+    kept = {r.doc_id for r in toxicity.reject_toxic(d, net).collect()}
+    assert len(kept & set(range(300, 900))) > 540 and len(kept & set(range(900, 3000))) > 2050
+    assert len(kept & set(range(150))) < 15
+
+
 def test_words_and_shingles():
     texts = ["Ab  cd\tEF\x0bgh", "", "é É one-two", "x", "a b a b a b"]
     column = pa.array(texts)
