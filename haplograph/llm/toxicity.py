@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .common import ALNUM, Words, crc_mod, cut, freeing, release, text_steps
 
 #: Labelled rows of each label that training takes at most, those with the least hash of their id.
-SAMPLE_ROWS = 2048
+SAMPLE_ROWS = 4096
 #: Slots of the embedding tables, one for whole words and one for each prefix length (in bytes).
 SLOTS = 1 << 18
 PREFIXES = (4, 5)
@@ -89,9 +89,9 @@ class Classifier:
         return F.coalesce(F.create_map(*(F.lit(x) for kv in own.items() for x in kv))[lang], rest)
 
 
-def _documents(texts: list[str | None]) -> list[np.ndarray]:
+def _documents(texts: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     out: list[np.ndarray] = []
-    for _, _, data, offsets in text_steps(pa.array(texts, pa.large_string()), STEP_BYTES):
+    for _, _, data, offsets in text_steps(texts, STEP_BYTES):
         words = Words(data, offsets, ALNUM)
         slots = _features(words).astype(np.int32)
         out += [slots[words.first[k] : words.first[k + 1]] for k in range(len(offsets) - 1)]
@@ -108,7 +108,7 @@ def _log_odds(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.log((seen[1] + SHRINK * share) / (seen[0] + SHRINK * (1 - share))) - np.log(share / (1 - share))
 
 
-def train(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> tuple[Classifier, np.ndarray]:
+def train(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray, seed: int = 7) -> tuple[Classifier, np.ndarray]:
     """(network, positions of the rows it has seen): a fifth of the rows is kept from it."""
     rng = np.random.default_rng(seed)
     docs = _documents(texts)
@@ -243,8 +243,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, rows
         taken = own if taken is None else taken.unionAll(own)
     # at most twice `rows` ids: a bounded table
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found = sorted(texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y").collect(), key=lambda r: (r[0], r[1] or ""))
-    ids, sample, y = [r[0] for r in found], [r[1] for r in found], np.array([r[2] for r in found], np.float64)
+    # Arrow buffers to the driver: rows of Python strings would take it many times their size
+    found = texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", F.col("y").cast("double").alias("y")).toArrow()
+    found = found.set_column(1, "text", found["text"].cast(pa.large_string())).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    ids, sample, y = found["doc_id"].to_pylist(), found["text"], found["y"].to_numpy()
     del found
     net, seen = train(sample, y)
     del sample, y

@@ -121,6 +121,16 @@ def test_toxicity_thresholds_at_true_shares(spark):
     assert len(kept & set(range(150))) < 15
 
 
+def test_toxicity_sample_is_whole(spark, monkeypatch):
+    """All of 3000 rows of each label train the network or are kept from it for the thresholds."""
+    taken = []
+    plain = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taken.append((len(texts), labels.sum())) or plain(texts, labels))
+    d = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 2 = 1, concat('vile ', id % 40), concat('fine ', id % 50)) AS text", "'en' AS lang")
+    toxicity.fit(d, d.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"))
+    assert taken == [(6000, 3000)]
+
+
 def test_words_and_shingles():
     texts = ["Ab  cd\tEF\x0bgh", "", "é É one-two", "x", "a b a b a b"]
     column = pa.array(texts)
