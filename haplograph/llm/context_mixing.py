@@ -38,8 +38,8 @@ TABLE_BITS, CHUNK, K = 20, 1 << 14, 4
 BLOCK, RATE = 128, 0.05
 #: Newton steps of the first fit, and its pull towards equal weights.
 FIT_STEPS, FIT_RIDGE = 8, 20.0
-#: Held-back training rows (remainder 9) that the first weights are fitted to, at most.
-FIT_ROWS = 128
+#: Held-back training rows (remainder 9) from which the fit to all of them starts, and the move at which it ends.
+FIT_ROWS, FIT_MOVE = 256, 0.02
 STEP_BYTES = 1 << 18
 #: Words that a task counts before it passes the counts on.
 COUNT_FLUSH = 1 << 22
@@ -245,6 +245,8 @@ def _affixes(words: Words) -> np.ndarray:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words, and with the affix -1 how often each byte, and the end of a word (256), occurs in the distinct words of each run."""
+    spelled = np.zeros(257, np.int64)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -263,6 +265,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 continue
             value, at, many = np.unique(words.hashes, return_index=True, return_counts=True)
             held.append((value, many, _affixes(words)[at]))
+            fresh = np.zeros(len(words.hashes), bool)
+            fresh[at] = True
+            spelled[:256] += np.bincount(words.low[words.word][np.repeat(fresh, words.lengths())], minlength=256)
+            spelled[256] += len(at)
             size += len(value)
             if size > COUNT_FLUSH:
                 held[:] = [merged()]
@@ -272,23 +278,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     size = 0
     if held:
         yield row(merged())
-
-
-def _byte_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each byte, and the end of a word (256), occurs in the distinct words of each run."""
-    total = np.zeros(257, np.int64)
-    for batch in batches:
-        for _, _, data, offsets in text_steps(batch.column(0)):
-            words = Words(data, offsets, SPACED)
-            if not len(words.hashes):
-                continue
-            _, at = np.unique(words.hashes, return_index=True)
-            fresh = np.zeros(len(words.hashes), bool)
-            fresh[at] = True
-            word = np.cumsum(np.bincount(words.starts, minlength=len(words.low))) - 1
-            total[:256] += np.bincount(words.low[words.word & fresh[np.maximum(word, 0)]], minlength=256)
-            total[256] += len(at)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(total)], names=["byte", "n"])
+    if spelled.any():
+        yield row((np.arange(257, dtype=np.uint64), spelled, np.full(257, -1)))
 
 
 def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,23 +354,65 @@ def _inputs(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _fit_weights(model: Model, texts: list[str | None]) -> None:
-    """First weights: each gate's logistic regression on held-back rows, by Newton steps."""
+    """Where the fit starts: each gate's logistic regression on some held-back rows, by Newton steps."""
     found = []
     for _, _, data, offsets in text_steps(pa.array(texts, pa.large_string()), STEP_BYTES):
         _, gate, bit, x = _inputs(model, tokens_of(data, offsets, model.vocabulary))
         found.append((gate.astype(np.int16), bit, x))
     gate, bit, x = (np.concatenate([f[i] for f in found]) for i in range(3))
     del found
-    order = np.argsort(gate, kind="stable")
+    for _ in range(FIT_STEPS):
+        _newton(model.weights, _slopes(gate, bit, x, model.weights))
+
+
+def _slopes(gate: np.ndarray, bit: np.ndarray, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(gate x K x K+1): curvature of each gate's log loss, and beside it the slope."""
+    out = np.zeros((GATES, K, K + 1))
+    order = np.argsort(gate.astype(np.int16), kind="stable")
     edge = np.searchsorted(gate[order], np.arange(GATES + 1))
-    for g in range(GATES):
+    for g in np.flatnonzero(np.diff(edge)):
         rows = order[edge[g] : edge[g + 1]]
-        own, y, w = x[rows].astype(np.float64), bit[rows], model.weights[g]
-        for _ in range(FIT_STEPS if len(rows) else 0):
-            p = 1 / (1 + np.exp(-np.clip(own @ w, -14, 14)))
-            slope = own.T @ (y - p) + FIT_RIDGE * (0.35 - w)
-            curve = (own * (p * (1 - p))[:, None]).T @ own + FIT_RIDGE * np.eye(K)
-            w += np.clip(np.linalg.solve(curve, slope), -0.5, 0.5)
+        own = x[rows].astype(np.float64)
+        p = 1 / (1 + np.exp(-np.clip(own @ weights[g], -14, 14)))
+        out[g, :, :K] = (own * (p * (1 - p))[:, None]).T @ own
+        out[g, :, K] = own.T @ (bit[rows] - p)
+    return out
+
+
+def _newton(weights: np.ndarray, sums: np.ndarray) -> float:
+    """One step of each gate that has bits; the largest move."""
+    moved = 0.0
+    for g in np.flatnonzero(sums.any(axis=(1, 2))):
+        step = np.clip(np.linalg.solve(sums[g, :, :K] + FIT_RIDGE * np.eye(K), sums[g, :, K] + FIT_RIDGE * (0.35 - weights[g])), -0.5, 0.5)
+        weights[g] += step
+        moved = max(moved, float(np.abs(step).max()))
+    return moved
+
+
+def _slope_batches(shared, weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        sums = np.zeros((GATES, K, K + 1))
+        for batch in batches:
+            for _, _, data, offsets in text_steps(batch.column(0), STEP_BYTES):
+                _, gate, bit, x = _inputs(model, tokens_of(data, offsets, model.vocabulary))
+                sums += _slopes(gate, bit, x, weights)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.reshape(-1)[at])], names=["at", "part"])
+
+    return run
+
+
+def _fit_all(model: Model, rows: DataFrame) -> None:
+    """Goes on with Newton steps whose sums run over all rows (text), until the weights rest."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    for _ in range(FIT_STEPS):
+        sums = np.zeros(GATES * K * (K + 1))
+        for at, part in rows.mapInArrow(freeing(_slope_batches(shared, model.weights.copy())), "at long, part double").groupBy("at").agg(F.sum("part")).collect():
+            sums[at] = part
+        if _newton(model.weights, sums.reshape(GATES, K, K + 1)) < FIT_MOVE:
+            break
+    shared.unpersist()
 
 
 def score_run(model: Model, tokens: Tokens) -> np.ndarray:
@@ -451,14 +484,15 @@ def _mixed_online(x: list[np.ndarray], cell: np.ndarray, doc: np.ndarray, weight
 def learn(docs: DataFrame, remainder: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """(model, counts of all training words) from the rows whose remainder is not 0.
 
-    Counts cover all training rows. Predictors learn from those with remainders 1 to 8; the
-    first weights from at most FIT_ROWS rows with remainder 9. To the driver come the vocabulary
+    Counts cover all training rows. Predictors learn from those with remainders 1 to 8; then the
+    first weights are fitted to all rows with remainder 9, which the predictors learn at last. To the driver come the vocabulary
     (at most VOCABULARY rows) and the tables, whose size is fixed.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), remainder.alias("fold"))
     training = own.where("fold <> 0")
-    counts = cut(training.select("text").mapInArrow(freeing(_count_batches), "word long, n long, affix long").groupBy("word").agg(F.sum("n").alias("n"), F.max("affix").alias("affix")))
+    counted = cut(training.select("text").mapInArrow(freeing(_count_batches), "word long, n long, affix long").groupBy("word", (F.col("affix") < 0).alias("byte")).agg(F.sum("n").alias("n"), F.max("affix").alias("affix")))
+    counts = counted.where("not byte").drop("byte")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
     if totals[1] - totals[2] // THIN <= VOCABULARY:
         thin, inside = THIN, (F.col("n") > 1) | (F.pmod(F.xxhash64("word"), F.lit(THIN)) > 0)
@@ -476,28 +510,39 @@ def learn(docs: DataFrame, remainder: Column, id_col: str = "doc_id", text_col:
     hashes, many, affixes = (np.frombuffer(b"".join(r[i] for r in kept), kind) for i, kind in enumerate((np.uint64, np.int64, np.uint32)))
     del kept
     spelled = np.zeros(257, np.int64)
-    for byte, n in training.where("fold = 1").select("text").mapInArrow(_byte_batches, "byte long, n long").groupBy("byte").agg(F.sum("n")).collect():
+    for byte, n in counted.where("byte").select("word", "n").collect():
         spelled[byte] = n
     vocabulary = Vocabulary(hashes, many, affixes, int(totals[0]) - int(many.sum()), end, spelled, thin)
     del hashes, many, affixes
     shared = spark.sparkContext.broadcast(vocabulary)
-    # chunks of tables: their number is fixed, whatever the corpus
-    learned = training.where("fold <> 9").select("text").mapInArrow(freeing(_learn_batches(shared)), "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_batches, "chunk int, counts binary")
     tables = np.zeros((K, 2 << TABLE_BITS), np.float32)
-    for chunk, part in learned.toLocalIterator():
-        k, at = divmod(chunk, 1000)
-        tables[k, at * CHUNK : (at + 1) * CHUNK] = np.frombuffer(part, np.uint32)
+
+    def add(rows: DataFrame) -> None:
+        # chunks of tables: their number is fixed, whatever the corpus
+        learned = rows.select("text").mapInArrow(freeing(_learn_batches(shared)), "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_batches, "chunk int, counts binary")
+        for chunk, part in learned.toLocalIterator():
+            k, at = divmod(chunk, 1000)
+            tables[k, at * CHUNK : (at + 1) * CHUNK] += np.frombuffer(part, np.uint32)
+
     logits = np.empty((K, 1 << TABLE_BITS), np.float32)
     seen = np.empty((K, 1 << TABLE_BITS), np.uint8)
-    for k in range(K):
-        zeros, ones = tables[k, 0::2], tables[k, 1::2]
-        logits[k] = np.log((ones + 0.4) / (zeros + 0.4))
-        seen[k] = np.searchsorted(np.array([0.5, 2.5, 15.5], np.float32), zeros + ones)
-    del tables
+
+    def predict() -> None:
+        for k in range(K):
+            zeros, ones = tables[k, 0::2], tables[k, 1::2]
+            logits[k] = np.log((ones + 0.4) / (zeros + 0.4))
+            seen[k] = np.searchsorted(np.array([0.5, 2.5, 15.5], np.float32), zeros + ones)
+
+    held_back = training.where("fold = 9")
+    add(training.where("fold <> 9"))
+    predict()
     model = Model(vocabulary, logits, seen, np.full((GATES, K), 0.35), int(totals[0]) + end, int(totals[1]) + (end > 0), end)
-    sample = training.where("fold = 9").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("text").collect()
+    sample = held_back.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("text").collect()
     if sample:
         _fit_weights(model, [r[0] for r in sample])
+        _fit_all(model, held_back.select("text"))
+        add(held_back)
+        predict()
     return model, counts
 
 

@@ -182,6 +182,24 @@ def test_lm_scores(spark, lm_rows, empty):
     assert context_mixing.score(empty).count() == 0
 
 
+def test_lm_learns_from_every_training_row(spark):
+    """Predictors count the symbols of all training rows, remainder 9 included."""
+    texts = {i: f"the of q{i}x" for i in range(400)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    model, _ = context_mixing.learn(d, F.expr("crc32(cast(cast(doc_id as string) as binary)) % 10"))
+    training = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    code = model.vocabulary.codes[0]
+    data = np.frombuffer("".join(training).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, training)])
+    tokens = context_mixing.tokens_of(data, offsets, model.vocabulary, learning=True)
+    want = np.zeros((2, 1 << context_mixing.TABLE_BITS))
+    for own, _, symbol, contexts in tokens.symbols:
+        owner, bit, slots = context_mixing.bit_events(own, symbol, contexts)
+        times = np.where((own.kind == 1) & (symbol == model.vocabulary.escape), model.vocabulary.thin, 1)[owner]
+        np.add.at(want, (bit.astype(int), slots[0]), times)
+    assert code.kind == 1 and np.allclose(model.logits[0], np.log((want[1] + 0.4) / (want[0] + 0.4)), atol=1e-4)
+
+
 def test_lm_codes_are_prefix_free():
     code = context_mixing.Code.of(1, np.array([5, 1, 1, 0, 40, 3]))
     paths = ["".join("01"[int(b)] for b in code.bits[i, : code.lengths[i]]) for i in range(6)]
