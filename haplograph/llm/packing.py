@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import freeing
-from .tokens import default_path, encoder, text_slices
+from .tokens import default_path, encoded_runs, encoder
 
 #: Waiting examples among which a bin chooses.
 WINDOW = 256
@@ -148,7 +148,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def _pack_batches(path: str, end_id: int, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, packer = encoder(path), Packer(limits)
-        end = np.array([end_id], coder.dtype).tobytes()
+        end = np.array([end_id], coder.dtype)
         sequence = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         rows: list[tuple] = []
 
@@ -168,10 +168,10 @@ def _pack_batches(path: str, end_id: int, limits: Limits):
 
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for first, texts in text_slices(batch.column(1)):
-                for k, packed in enumerate(coder.encode(texts)):
-                    ids = np.frombuffer(packed + end, coder.dtype)
-                    for pieces in packer.add((docs[first + k], ids), 0, len(ids), len(ids)):
+            for first, last, flat, ends in encoded_runs(coder, batch.column(1)):
+                for doc, a, b in zip(docs[first:last], [0, *ends.tolist()], ends.tolist()):
+                    ids = np.concatenate([flat[a:b], end])  # a copy: what waits must not hold the whole run
+                    for pieces in packer.add((doc, ids), 0, len(ids), len(ids)):
                         note(pieces)
                 if rows:
                     yield batch_of()

@@ -1,10 +1,15 @@
 """Token ids in files: an adaptive context-mixing range coder over independent, checksummed blocks.
 
 A block's ids are dealt to lanes, contiguous stretches that are coded in step with one another
-and share one model. For each id, the order-2 and order-1 contexts name the id that followed
-them last; an adaptive gate, chosen by how often each has been right, mixes those two with
-adaptive order-0 frequencies into one interval, which a carry-less range coder narrows. A block
-starts from a fresh model, carries its documents' table and ends with a crc32 of all its bytes.
+and share one model. The block's distinct ids are ranked by frequency; the most frequent ones
+are the symbols of the mixed model, and one more symbol stands before each rarer id, whose own
+adaptive order-0 frequencies then code it. A symbol's probability is a weighted mean of three
+predictions: adaptive order-0 frequencies, order-1 frequencies after the last symbol, and the
+symbol that followed the last two when they were last seen. Weights belong to a gate, chosen by
+how much the order-1 and order-2 contexts have seen, and follow the share that each prediction
+had in what came (online expectation-maximisation). A carry-less range coder narrows the
+interval. A block starts from a fresh model, carries its documents' table and ends with a crc32
+of all its bytes.
 """
 
 from __future__ import annotations
@@ -20,170 +25,281 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import freeing, scratch
-from .tokens import default_path, encoder, text_slices
+from .tokens import default_path, encoded_runs, encoder
 
-MAGIC = b"TIDS1\0\0\0"
+MAGIC = b"TIDS2\0\0\0"
 #: Ids after which a block is closed at the next end of a document.
 BLOCK_IDS = 1 << 21
 LANES, STEPS = 4096, 256
-#: Bits of the order-2 table, of the interval's total, and the escape's least share in 64ths.
-TABLE_BITS = 18
-TOTAL_BITS = 32
+#: Most symbols of the mixed model, and slots of the order-2 table (bits).
+SYMBOLS, TABLE_BITS = 1024, 18
+#: Bits of a prediction's total and of the weights' total; an interval's total is their product.
+PART_BITS, WEIGHT_BITS = 15, 13
+TOTAL_BITS = PART_BITS + WEIGHT_BITS
+PART, WEIGHT = 1 << PART_BITS, 1 << WEIGHT_BITS
+#: Order 0 keeps this weight, so that every symbol can come.
+LEAST_WEIGHT = 32
+#: Totals beyond which an order-1 row, the order-0 counts and a gate's memory are halved.
+ROW_MOST, ORDER0_MOST, GATE_MOST = 1 << 14, 1 << 20, 1 << 15
+#: Steps between two looks at the counts; at the start, each that is a power of two.
+REFRESH = 32
+#: Steps between two lessons of the gates.
+GATE_STEPS = 4
 U = np.uint64
-_TOTAL, _TOP, _BOTTOM, _LOW32 = U(1 << TOTAL_BITS), U(1 << 48), U(1 << 32), U((1 << 32) - 1)
-_ORDER0_MOST = 1 << 23
-_REFRESH = 4
+_TOP, _BOTTOM, _LOW32 = U(1 << 48), U(1 << 32), U((1 << 32) - 1)
+#: Classes of an order-2 slot's confidence (0 to 15), and of an order-1 row's total by its bit length.
+_SURE = np.array([0, 1, 2, 3, 4, 4, 4, 4, 5, 5, 5, 5, 5, 5, 5, 6], np.int64)
+_ROW_CLASSES = 10
+#: A slot's confidence after a wrong guess, and after a right one.
+_AFTER = np.array([max(c >> 1, 1) for c in range(16)] + [min(c + 1, 15) for c in range(16)], np.int8)
+
+
+def _looks(step: int) -> bool:
+    return step % REFRESH == 0 or (step < REFRESH and step & (step - 1) == 0)
 
 
 class Model:
-    """Adaptive order-0 to order-2 predictions for all lanes of a block."""
-
-    def __init__(self, vocabulary: int, lanes: int):
-        self.vocabulary = vocabulary
-        self.frequency = np.ones(vocabulary, np.int64)
-        self.cumulative = np.zeros(vocabulary + 1, np.uint64)
-        self.next1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.int8)
-        self.next2, self.sure2 = np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1 << TABLE_BITS, np.int8)
-        self.gate = np.tile(np.array([4, 2, 16], np.int64), (256, 1))
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+    """Adaptive order-0 to order-2 predictions of symbols below `size`, a power of two, for all lanes of a block."""
+
+    def __init__(self, size: int, lanes: int):
+        self.size = size
+        self.count0 = np.ones(size, np.int64)
+        self.count1 = np.zeros((size, size), np.int32)
+        self.cum0 = np.zeros(size + 1, np.int32)
+        self.cum1 = np.zeros((size, size + 1), np.int32)
+        self.next2, self.sure2 = np.zeros(1 << TABLE_BITS, np.int16), np.zeros(1 << TABLE_BITS, np.int8)
+        self.gate = np.tile(np.array([8.0, 8.0, 4.0]), (7 * _ROW_CLASSES, 1))
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self._summed, self._scaled = np.zeros((size, size), np.int32), np.zeros((size, size), np.float32)
         self.step = 0
-        self.weight = max(1, min(32, (1 << 17) // lanes))
+        self.seen: list[np.ndarray] = []
+
+    def _refresh(self) -> None:
+        """Cumulated frequencies, each scaled to PART, and the gates' weights."""
+        size = self.size
+        if self.seen:
+            seen = np.concatenate(self.seen)
+            np.add.at(self.count1.reshape(-1), seen, np.full(len(seen), 2, np.int32))
+            self.count0 += np.bincount(seen & (size - 1), minlength=size)
+            self.seen.clear()
+        if int(self.count0.sum()) > ORDER0_MOST:
+            self.count0 = (self.count0 + 1) >> 1
+        cum = np.cumsum(self.count0)
+        self.cum0[1:] = cum * (PART - size) // cum[-1] + np.arange(1, size + 1)
+        cum = np.cumsum(self.count1, axis=1, dtype=np.int32, out=self._summed)
+        many = np.flatnonzero(cum[:, -1] > ROW_MOST)
+        if len(many):
+            self.count1[many] >>= 1
+            cum[many] = np.cumsum(self.count1[many], axis=1)
+        rows = cum[:, -1].astype(np.int64)
+        self.cum1[:, 1:] = np.multiply(cum, (PART / np.maximum(rows, 1)).astype(np.float32)[:, None], dtype=np.float32, casting="unsafe", out=self._scaled)
+        self.cum1[:, size] = PART
+        self.row_class = np.minimum(np.ceil(np.log2(rows + 1)), _ROW_CLASSES - 1).astype(np.int64)
+        big = self.gate.sum(axis=1) > GATE_MOST
+        self.gate[big] *= 0.5
+        share = self.gate / self.gate.sum(axis=1, keepdims=True)
+        key = np.arange(len(share))
+        # nothing for a context that has not been seen
+        self.weight1 = np.where(key % _ROW_CLASSES > 0, (share[:, 1] * (WEIGHT - 2 * LEAST_WEIGHT)).astype(np.int32), 0).astype(np.int32)
+        self.weight2 = np.where(key >= _ROW_CLASSES, (share[:, 2] * (WEIGHT - 2 * LEAST_WEIGHT)).astype(np.int32), 0).astype(np.int32)
 
     def predict(self) -> None:
-        if self.step % _REFRESH == 0 or self.step < _REFRESH:
-            if int(self.frequency.sum()) > _ORDER0_MOST:
-                self.frequency = (self.frequency + 1) >> 1
-            np.cumsum(self.frequency, out=self.cumulative[1:].view(np.int64))
-            self.total0 = self.cumulative[-1]
-            share = U(63 << (TOTAL_BITS - 6))
-            both = self.gate.astype(np.uint64)
-            shares = both[:, :2] * share // both.sum(axis=1)[:, None]
-            key = np.arange(256)
-            # nothing for a context that has not been seen
-            self._shares2 = np.where(key >= 16, shares[:, 0], U(0))
-            self._shares1 = np.where(key % 16 > 0, shares[:, 1], U(0))
+        if _looks(self.step):
+            self._refresh()
         self.slot = ((self.last * 0x9E3779B1 + self.before * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
-        self.guess2, self.c2 = self.next2[self.slot], self.sure2[self.slot]
-        self.guess1, self.c1 = self.next1[self.last], self.sure1[self.last]
-        self.has2 = self.c2 > 0
-        twice = self.has2 & (self.guess1 == self.guess2)
-        self.key = self.c2.astype(np.int64) * 16 + np.where(twice, np.int8(0), self.c1)
-        self.f2, self.f1 = self._shares2[self.key], self._shares1[self.key]
-        self.rest = self.f2 + self.f1
-        self.escape = _TOTAL - self.rest
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width) of each lane's id; notes which prediction it followed."""
-        self.right2 = self.has2 & (ids == self.guess2)
-        self.hit1 = (self.f1 > 0) & (ids == self.guess1) & ~self.right2
-        low = self.escape * self.cumulative[ids] // self.total0
-        high = self.escape * self.cumulative[ids + 1] // self.total0
-        start = np.where(self.right2, U(0), np.where(self.hit1, self.f2, self.rest + low))
-        return start, np.where(self.right2, self.f2, np.where(self.hit1, self.f1, high - low))
+        self.guess, self.sure = self.next2[self.slot].astype(np.int64), self.sure2[self.slot]
+        self.key = _SURE[self.sure] * _ROW_CLASSES + self.row_class[self.last]
+        self.w1, self.w2 = self.weight1[self.key], self.weight2[self.key]
+        self.w0 = WEIGHT - self.w1 - self.w2
+        self.extra = self.w2 << PART_BITS
+        self.base = self.last * (self.size + 1)
+
+    def _below(self, symbol: np.ndarray) -> np.ndarray:
+        """Where a symbol's interval starts by the orders 0 and 1 alone."""
+        return self.w0 * self.cum0[symbol] + self.w1 * self.cum1.reshape(-1)[self.base + symbol]
+
+    def interval(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of each lane's symbol; notes what each prediction gave it."""
+        row, flat = self.base + symbol, self.cum1.reshape(-1)
+        c0, c1 = self.cum0[symbol], flat[row]
+        self.got0 = self.w0 * (self.cum0[symbol + 1] - c0)
+        self.got1 = self.w1 * (flat[row + 1] - c1)
+        self.right = (symbol == self.guess) & (self.sure > 0)
+        start = self.w0 * c0 + self.w1 * c1 + self.extra * (symbol > self.guess)
+        self.width = self.got0 + self.got1 + self.extra * self.right
+        return start.astype(np.uint64), self.width.astype(np.uint64)
 
     def find(self, target: np.ndarray) -> np.ndarray:
-        """The id whose interval holds each lane's target."""
-        v = np.where(target >= self.rest, target - self.rest, U(0))
-        x = ((v + U(1)) * self.total0 - U(1)) // self.escape
-        order = np.argsort(x)  # a sorted search runs through the table once
-        ids = np.empty(len(x), np.int64)
-        ids[order] = np.searchsorted(self.cumulative, x[order], "right") - 1
-        np.minimum(ids, self.vocabulary - 1, out=ids)
-        return np.where(target < self.f2, self.guess2, np.where(target < self.rest, self.guess1, ids))
-
-    def update(self, ids: np.ndarray) -> None:
-        np.add.at(self.frequency, ids, self.weight)
-        way = self.key * 3 + np.where(self.right2, 0, np.where(self.hit1, 1, 2))
-        self.gate += 2 * np.bincount(way, minlength=768).reshape(256, 3)
-        if self.step % 16 == 0:
-            self.gate = np.where(self.gate.sum(axis=1, keepdims=True) > 1 << 16, (self.gate + 1) >> 1, self.gate)
-        self.next2[self.slot] = np.where(self.right2 | (self.c2 > 1), self.guess2, ids)
-        self.sure2[self.slot] = np.where(self.right2, np.minimum(self.c2 + 1, 15), np.maximum(self.c2 >> 1, 1))
-        right1 = (self.c1 > 0) & (ids == self.guess1)
-        self.next1[self.last] = np.where(right1 | (self.c1 > 1), self.guess1, ids)
-        self.sure1[self.last] = np.where(right1, np.minimum(self.c1 + 1, 15), np.maximum(self.c1 >> 1, 1))
-        self.before, self.last = self.last, ids
+        """The symbol whose interval holds each lane's target."""
+        low, high = self._below(self.guess), self._below(self.guess + 1) + self.extra
+        guessed = (target >= low) & (target < high)
+        target = np.where(target >= high, target - self.extra, target)
+        target, flat = target.astype(np.int32), self.cum1.reshape(-1)
+        symbol, half = np.zeros(len(target), np.int64), self.size >> 1
+        while half:
+            at = symbol + half
+            below = self.cum0.take(at, mode="clip") * self.w0
+            at += self.base
+            below += flat.take(at, mode="clip") * self.w1
+            symbol += (below <= target) * half
+            half >>= 1
+        return np.where(guessed, self.guess, symbol)
+
+    def update(self, symbol: np.ndarray) -> None:
+        self.seen.append(self.last * self.size + symbol)
+        if self.step % GATE_STEPS == 0:
+            share = 1.0 / self.width
+            part0, part1 = self.got0 * share, self.got1 * share
+            for k, part in enumerate((part0, part1, 1.0 - part0 - part1)):
+                self.gate[:, k] += np.bincount(self.key, part, len(self.gate))
+        # a sure guess stays, half as sure, when another symbol came
+        self.next2[self.slot] = np.where(self.sure > 1, self.guess, symbol)
+        self.sure2[self.slot] = _AFTER[self.sure + 16 * self.right]
+        self.before, self.last = self.last, symbol
         self.step += 1
 
 
-def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(lanes, 16-bit words of each lane, all words, lane after lane)."""
+class Rare:
+    """Adaptive order-0 frequencies of the ids that have no symbol of their own, looked at anew every few steps."""
+
+    def __init__(self, many: int):
+        self.count = np.ones(max(many, 1), np.int64)
+        self.cum = np.zeros(len(self.count) + 1, np.int64)
+        self.total = 1 << TOTAL_BITS
+
+    def refresh(self, step: int) -> None:
+        if _looks(step):
+            cum, n = np.cumsum(self.count), len(self.count)
+            self.cum[1:] = cum * (self.total - n) // cum[-1] + np.arange(1, n + 1)
+
+    def interval(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = self.cum[rank]
+        return low.astype(np.uint64), (self.cum[rank + 1] - low).astype(np.uint64)
+
+    def find(self, target: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cum, target, "right") - 1
+
+    def update(self, rank: np.ndarray) -> None:
+        np.add.at(self.count, rank, 16)
+
+
+def _symbols(n: int, distinct: int) -> int:
+    """Symbols of a block of n ids: a power of two, and a table of pairs that the block can fill."""
+    size = 2
+    while size < min(SYMBOLS, distinct + 1) and 4 * size * size <= 4 * n:
+        size *= 2
+    return size
+
+
+class _Lanes:
+    """The interval of each lane, narrowed in step."""
+
+    def __init__(self, lanes: int):
+        self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+
+    def narrow(self, at, start: np.ndarray, size: np.ndarray):
+        """Takes an interval in the lanes at; yields (lanes, what leaves on their left) until all are wide again."""
+        unit = self.width[at] >> U(TOTAL_BITS)
+        low, width = self.low[at] + unit * start, unit * size
+        self.low[at], self.width[at] = low, width
+        settled = (low ^ (low + width)) < _TOP
+        due = np.flatnonzero(settled | (width < _BOTTOM))
+        lanes = due if isinstance(at, slice) else at[due]
+        own, span, settled = low[due], width[due], settled[due]
+        while len(lanes):
+            span = np.where(settled, span, (~own + U(1)) & _LOW32)
+            yield lanes, (own >> U(48)).astype(np.uint16)
+            own, span = own << U(16), span << U(16)
+            self.low[lanes], self.width[lanes] = own, span
+            settled = (own ^ (own + span)) < _TOP
+            more = settled | (span < _BOTTOM)
+            lanes, own, span, settled = lanes[more], own[more], span[more], settled[more]
+
+
+_ALL = slice(None)
+
+
+def encode_ids(ids: np.ndarray, ranked: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(lanes, 16-bit words of each lane, all words, lane after lane); ranked: the distinct ids, most frequent first."""
     n = len(ids)
     lanes = int(min(LANES, max(1, n // STEPS)))
     steps = -(-n // lanes)
+    rank = np.zeros(int(ranked.max()) + 1, np.int64)
+    rank[ranked] = np.arange(len(ranked))
     grid = np.zeros(lanes * steps, np.int64)
-    grid[:n] = ids
+    grid[:n] = rank[ids]
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = Model(vocabulary, lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    size = _symbols(n, len(ranked))
+    model, rare, state = Model(size, lanes), Rare(len(ranked) - size + 1), _Lanes(lanes)
     out_lane, out_word = [], []
     for step in range(steps):
         model.predict()
-        start, size = model.interval(grid[step])
-        unit = width >> U(TOTAL_BITS)
-        low = low + unit * start
-        width = unit * size
-        while True:
-            settled = (low ^ (low + width)) < _TOP
-            due = np.flatnonzero(settled | (width < _BOTTOM))
-            if not len(due):
-                break
-            own, span = low[due], width[due]
-            span = np.where(settled[due], span, (~own + U(1)) & _LOW32)
-            out_lane.append(due.astype(np.uint16))
-            out_word.append((own >> U(48)).astype(np.uint16))
-            low[due] = own << U(16)
-            width[due] = span << U(16)
-        model.update(grid[step])
+        rare.refresh(step)
+        symbol = np.minimum(grid[step], size - 1)
+        for lane, word in state.narrow(_ALL, *model.interval(symbol)):
+            out_lane.append(lane.astype(np.uint16))
+            out_word.append(word)
+        model.update(symbol)
+        escaped = np.flatnonzero(symbol == size - 1)
+        if len(escaped):
+            own = grid[step][escaped] - (size - 1)
+            for lane, word in state.narrow(escaped, *rare.interval(own)):
+                out_lane.append(lane.astype(np.uint16))
+                out_word.append(word)
+            rare.update(own)
     for shift in (48, 32, 16, 0):
         out_lane.append(np.arange(lanes, dtype=np.uint16))
-        out_word.append(((low >> U(shift)) & U(0xFFFF)).astype(np.uint16))
+        out_word.append(((state.low >> U(shift)) & U(0xFFFF)).astype(np.uint16))
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
     return lanes, np.bincount(lane, minlength=lanes), word[np.argsort(lane, kind="stable")]
 
 
-def decode_ids(n: int, vocabulary: int, lanes: int, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
+def decode_ids(n: int, ranked: np.ndarray, lanes: int, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
     steps = -(-n // lanes)
-    model = Model(vocabulary, lanes)
-    stream = np.concatenate([words.astype(np.uint64), np.zeros(8, np.uint64)])
+    size = _symbols(n, len(ranked))
+    model, rare, state = Model(size, lanes), Rare(len(ranked) - size + 1), _Lanes(lanes)
+    stream = np.concatenate([words, np.zeros(8, words.dtype)]).astype(np.uint64)
     at = np.cumsum(lengths) - lengths
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
         code = (code << U(16)) | stream[at]
         at = at + 1
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+
+    def take(where, found, source) -> np.ndarray:
+        """The symbols in the lanes where, which leave their words behind."""
+        target = (code[where] - state.low[where]) // (state.width[where] >> U(TOTAL_BITS))
+        symbol = found(np.minimum(target, U((1 << TOTAL_BITS) - 1)).astype(np.int64))
+        for lane, _ in state.narrow(where, *source.interval(symbol)):
+            code[lane] = (code[lane] << U(16)) | stream[at[lane]]
+            at[lane] += 1
+        source.update(symbol)
+        return symbol
+
     grid = np.zeros((steps, lanes), np.int64)
     for step in range(steps):
         model.predict()
-        unit = width >> U(TOTAL_BITS)
-        ids = model.find(np.minimum((code - low) // unit, _TOTAL - U(1)))
-        start, size = model.interval(ids)
-        low = low + unit * start
-        width = unit * size
-        while True:
-            settled = (low ^ (low + width)) < _TOP
-            due = np.flatnonzero(settled | (width < _BOTTOM))
-            if not len(due):
-                break
-            own, span = low[due], width[due]
-            span = np.where(settled[due], span, (~own + U(1)) & _LOW32)
-            code[due] = (code[due] << U(16)) | stream[at[due]]
-            at[due] += 1
-            low[due] = own << U(16)
-            width[due] = span << U(16)
-        model.update(ids)
-        grid[step] = ids
-    return np.ascontiguousarray(grid.T).reshape(-1)[:n]
-
-
-def write_block(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
+        rare.refresh(step)
+        symbol = take(_ALL, model.find, model)
+        escaped = np.flatnonzero(symbol == size - 1)
+        if len(escaped):
+            symbol = symbol.copy()
+            symbol[escaped] += take(escaped, rare.find, rare)
+        grid[step] = symbol
+    return ranked[np.ascontiguousarray(grid.T).reshape(-1)[:n]]
+
+
+HEAD = "<QQIIIQ"
+
+
+def write_block(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One self-contained block of the file format."""
-    lanes, per_lane, words = encode_ids(ids, vocabulary) if len(ids) else (0, np.zeros(0, np.int64), np.zeros(0, np.uint16))
+    distinct, many = np.unique(ids, return_counts=True)
+    ranked = distinct[np.argsort(-many, kind="stable")]
+    lanes, per_lane, words = encode_ids(ids, ranked) if len(ids) else (0, np.zeros(0, np.int64), np.zeros(0, np.uint16))
     there = np.array([d is not None for d in doc_ids], bool)
     names = np.array([d or 0 for d in doc_ids], np.int64)
-    head = zlib.compress(names.astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + np.packbits(there).tobytes() + per_lane.astype("<u4").tobytes(), 6)
-    body = MAGIC + struct.pack("<QQIIIQ", len(doc_ids), len(ids), vocabulary, lanes, len(head), len(words)) + head + words.astype("<u2").tobytes()
+    head = zlib.compress(names.astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + np.packbits(there).tobytes() + per_lane.astype("<u4").tobytes() + ranked.astype("<u4").tobytes(), 6)
+    body = MAGIC + struct.pack(HEAD, len(doc_ids), len(ids), len(ranked), lanes, len(head), len(words)) + head + words.astype("<u2").tobytes()
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -192,45 +308,55 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     body, (crc,) = block[:-4], struct.unpack("<I", block[-4:])
     if body[:8] != MAGIC or zlib.crc32(body) != crc:
         raise ValueError("damaged block of token ids")
-    docs, n, vocabulary, lanes, head, words = struct.unpack_from("<QQIIIQ", body, 8)
-    at = 8 + struct.calcsize("<QQIIIQ")
+    docs, n, distinct, lanes, head, words = struct.unpack_from(HEAD, body, 8)
+    at = 8 + struct.calcsize(HEAD)
     plain = zlib.decompress(body[at : at + head])
     names = np.frombuffer(plain, "<i8", docs)
     lengths = np.frombuffer(plain, "<u4", docs, 8 * docs).astype(np.int64)
     flags = -(-docs // 8)
     there = np.unpackbits(np.frombuffer(plain, np.uint8, flags, 12 * docs), count=docs).astype(bool)
     per_lane = np.frombuffer(plain, "<u4", lanes, 12 * docs + flags).astype(np.int64)
+    ranked = np.frombuffer(plain, "<u4", distinct, 12 * docs + flags + 4 * lanes).astype(np.int64)
     stream = np.frombuffer(body, "<u2", words, at + head)
-    ids = decode_ids(n, vocabulary, lanes, per_lane, stream) if n else np.zeros(0, np.int64)
+    ids = decode_ids(n, ranked, lanes, per_lane, stream) if n else np.zeros(0, np.int64)
     return [int(d) if t else None for d, t in zip(names, there)], lengths, ids
 
 
 def _write_batches(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        end = np.array([end_id], coder.dtype).tobytes()
+        end = np.array([end_id], coder.dtype)
         part, seq, before, held = TaskContext.get().partitionId(), 0, 0, 0
         docs: list[int | None] = []
-        packed: list[bytes] = []
+        lengths: list[int] = []
+        runs: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
             nonlocal seq, before, held
-            lengths = np.array([len(p) // coder.dtype.itemsize for p in packed], np.int64)
-            ids = np.frombuffer(b"".join(packed), coder.dtype)
-            block = write_block(docs, lengths, ids, coder.vocabulary)
-            out = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_ids": len(ids), "block": block}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("block", pa.binary())]))
-            seq, before, held = seq + 1, before + len(ids), 0
+            block = write_block(docs, np.array(lengths, np.int64), np.concatenate(runs))
+            out = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_ids": held, "block": block}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("block", pa.binary())]))
+            seq, before, held = seq + 1, before + held, 0
             docs.clear()
-            packed.clear()
+            lengths.clear()
+            runs.clear()
             return out
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for first, texts in text_slices(batch.column(1)):
-                for k, e in enumerate(coder.encode(texts)):
-                    docs.append(names[first + k])
-                    packed.append(e + end)
-                    held += len(packed[-1]) // coder.dtype.itemsize
+            for first, last, ids, ends in encoded_runs(coder, batch.column(1)):
+                many = np.diff(ends, prepend=0) + 1
+                ids = np.insert(ids, ends, end)
+                ends = np.cumsum(many)
+                a = 0
+                while a < last - first:
+                    # documents up to the one with which the block is full
+                    done = int(ends[a - 1]) if a else 0
+                    b = min(last - first, int(np.searchsorted(ends, done + block_ids - held)) + 1)
+                    docs += names[first + a : first + b]
+                    lengths += many[a:b].tolist()
+                    runs.append(ids[done : ends[b - 1]])
+                    held += len(runs[-1])
+                    a = b
                     if held >= block_ids:
                         yield close()
         if docs:

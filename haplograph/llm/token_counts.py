@@ -10,16 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import default_path, encoder, text_slices
+from .tokens import default_path, encoded_runs, encoder
 
 
 def _count_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        width = coder.dtype.itemsize
         for batch in batches:
-            lengths = [len(e) // width for _, texts in text_slices(batch.column(0)) for e in coder.encode(texts)]
-            value, many = np.unique(np.array(lengths, np.int64), return_counts=True)
+            lengths = [np.diff(ends, prepend=0) for _, _, _, ends in encoded_runs(coder, batch.column(0))]
+            value, many = np.unique(np.concatenate([*lengths, np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(many.astype(np.int64))], names=["n_tokens", "n_docs"])
 
     return run

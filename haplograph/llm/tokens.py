@@ -5,22 +5,66 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
+
+from .common import text_buffers
 
 #: Distinct words that a worker notes before the older of two generations of them goes.
 KEPT_WORDS = 800_000
 #: Marks that may follow a word's letters without changing their ids (no apostrophe: it joins).
 MARKS = ",.;:!?%&$#*+=|~^-_/()[]{}<>@"
-#: A word of Latin letters and marks: its letters, its marks.
-LATIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)")
+#: Lower-case words of Latin letters alone.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: A longer word is encoded each time.
 KEPT_LENGTH = 48
-#: Words encoded in one call.
-CALL_WORDS = 4096
+#: Words encoded in one call, and words of letters that make up one text of such a call.
+CALL_WORDS, JOINED_WORDS = 4096, 512
+#: Kinds of bytes: in a word; lower and upper ASCII letters; a mark; the lead of a Latin-1 letter; what may follow it, for upper and lower; white space.
+OTHER, LOW, UP, MARK, LEAD, FOLLOW_UP, FOLLOW_LOW, SEPARATOR = range(8)
+#: What a byte does, from its kind and that of the byte before: starts a word, breaks the form letters-then-marks, is a mark right after a letter, is an upper-case letter's.
+BEGINS, BREAKS, TURNS, RISES = 1, 2, 4, 8
+#: The separators: a tokenizer that drops white space sees neither.
+WHITE = b" \n"
+
+
+def _kinds() -> bytes:
+    kind = bytearray(256)
+    kind[97:123], kind[65:91] = [LOW] * 26, [UP] * 26
+    for c in MARKS.encode():
+        kind[c] = MARK
+    kind[0xC3] = LEAD
+    for i in range(0x80, 0xC0):
+        sign = i in (0x97, 0xB7)  # multiplication and division
+        kind[i] = OTHER if sign else FOLLOW_UP if i < 0x9F else FOLLOW_LOW
+    for c in WHITE:
+        kind[c] = SEPARATOR
+    return bytes(kind)
+
+
+def _roles() -> bytes:
+    """Roles by 8 times the kind before plus the kind; a text's first byte comes after white space."""
+    role = bytearray(256)
+    for before in range(8):
+        for kind in range(7):
+            follows = kind in (FOLLOW_UP, FOLLOW_LOW)
+            letter = kind in (LOW, UP, LEAD) or (follows and before == LEAD)
+            flags = BEGINS if before == SEPARATOR else 0
+            if kind == MARK:
+                flags |= BREAKS if before == SEPARATOR else TURNS if before != MARK else 0
+            elif not letter or before == MARK:
+                flags |= BREAKS
+            if before == LEAD and not follows:
+                flags |= BREAKS
+            if kind == UP or kind == FOLLOW_UP:
+                flags |= RISES
+            role[8 * before + kind] = flags
+    return bytes(role)
+
+
+KINDS, ROLES = _kinds(), _roles()
 
 
 def default_path() -> str:
@@ -29,14 +73,46 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Noted:
+    """Words and their ids: the word's number by its text, and all ids in one array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.number: dict[str, int] = {}
+        self.starts, self.lens = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.ids = np.zeros(1 << 14, dtype)
+        self.words = self.used = 0
+
+    def add(self, lens: np.ndarray, ids: np.ndarray) -> int:
+        """Notes the ids of some words; the number of the first."""
+        first, n, used = self.words, self.words + len(lens), self.used + len(ids)
+        if n > len(self.lens):
+            self.starts, self.lens = (np.concatenate([x[:first], np.zeros(n, x.dtype)]) for x in (self.starts, self.lens))
+        if used > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(used, self.ids.dtype)])
+        self.lens[first:n] = lens
+        self.starts[first:n] = self.used + np.cumsum(lens) - lens
+        self.ids[self.used : used] = ids
+        self.words, self.used = n, used
+        return first
+
+
+def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places start .. start + len - 1 of each run, one run after another."""
+    ends = np.cumsum(lens, dtype=np.int64)
+    at = np.repeat(starts - (ends - lens), lens)
+    at += np.arange(len(at))
+    return at
+
+
 class Encoder:
     """ids of texts by a tokenizer that never joins characters across white space.
 
     Such a tokenizer gives a text the ids of its space-separated words in turn, so each distinct
-    word is encoded once. folds says that it also lower-cases and cuts letters from marks: then
-    a word of Latin letters, whatever its case, followed by marks or not, has the ids of its
-    letters and those of the marks. The ids are those of encode(text, add_special_tokens=False).
-    Words are noted in two generations, the older of which goes when the younger is full.
+    word is encoded once and the ids of a run of texts are gathered from those of its distinct
+    words. folds says that it also lower-cases and cuts letters from marks: then a word of Latin
+    letters, whatever its case, followed by marks or not, has the ids of its letters and those of
+    the marks. The ids are those of encode(text, add_special_tokens=False). Words are noted in
+    two generations, the older of which goes when the younger is full.
     """
 
     def __init__(self, path: str):
@@ -47,8 +123,7 @@ class Encoder:
         self.vocabulary = max(self._tokenizer.get_vocab().values()) + 1
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self._code = "H" if self.vocabulary <= 1 << 16 else "I"
-        self._known: dict[str, bytes] = {"": b""}
-        self._older: dict[str, bytes] = {}
+        self._noted, self._older = _Noted(self.dtype), _Noted(self.dtype)
         probes = ["Ab", "ÀÉ", *(f"{core}{mark}" for mark in [*MARKS, MARKS, "..", "!?", "%%%"] for core in ("Abc", "ÀÉ"))]
         cores = [w.rstrip(MARKS) for w in probes]
         parts = self._ids([x for w, c in zip(probes, cores) for x in (c.lower(), w[len(c) :])])
@@ -56,74 +131,137 @@ class Encoder:
         self._letters = self._for_letters(path) if self.folds else None
 
     def _for_letters(self, path: str):
-        """The same model without the steps that leave lower-case letters as they are; None where ids would differ."""
+        """The same model for texts of lower-case words of letters; None where ids or their borders would differ."""
         from tokenizers import Tokenizer, pre_tokenizers
 
         bare = Tokenizer.from_file(path)
         bare.normalizer = None
-        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(bare.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        self._last = np.zeros(self.vocabulary, bool)
+        self._last[[i for token, i in bare.get_vocab().items() if token.endswith(suffix)]] = True
         words = ["a", "the", "straße", "çàéîõüÿñ", "entierement", "qzjxkvw", "a" * 40]
-        same = [e.ids for e in bare.encode_batch_fast(words, add_special_tokens=False)] == [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return bare if same else None
+        found = bare.encode(" ".join(words), add_special_tokens=False).ids
+        same = found == [i for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False) for i in e.ids]
+        return bare if same and int(self._last[found].sum()) == len(words) else None
 
-    def _ids(self, words: list[str], coder=None) -> list[bytes]:
-        return [array(self._code, e.ids).tobytes() for e in (coder or self._tokenizer).encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [array(self._code, e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str], coder=None) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for i in range(0, len(words), CALL_WORDS):
-            part = words[i : i + CALL_WORDS]
-            out.update(zip(part, self._ids(part, coder)))
-        return out
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        return [x for i in range(0, len(words), CALL_WORDS) for x in self._ids(words[i : i + CALL_WORDS])]
 
-    def _learn(self, missing: set[str]) -> None:
-        """Notes the ids of the missing words."""
-        known, older = self._known, self._older
-        if older:
-            again = [w for w in missing if w in older]
-            known.update((w, older[w]) for w in again)
-            missing = missing.difference(again)
-        stems: list[tuple[str, str, str]] = []
-        letters: set[str] = set()
-        direct: set[str] = set()
-        parts = LATIN.fullmatch if self.folds else (lambda w: None)
-        for w in missing:
-            m = parts(w)
-            if m is None:
-                direct.add(w)
+    def _of_letters(self, words: list[str]) -> list[bytes]:
+        """The ids of lower-case words of letters. Many go as one text: a word's last id, and no other, ends a word."""
+        if self._letters is None:
+            return self._of_words(words)
+        out: list[bytes] = []
+        texts = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        for part, e in zip(texts, self._letters.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            ends = (np.flatnonzero(self._last[ids]) + 1) * self.dtype.itemsize
+            if len(ends) != len(part):
+                out += self._of_words(part)
                 continue
-            core, mark = m.groups()
-            low = core.lower()
-            letters.add(low)
-            if low != w:
-                direct.add(mark)
-                stems.append((w, low, mark))
-        for some, coder in ((letters, self._letters), (direct, None)):
-            some = some.difference(known)
-            if older:
-                again = [w for w in some if w in older]
-                known.update((w, older[w]) for w in again)
-                some = some.difference(again)
-            known.update(self._encode_words(list(some), coder))
-        for w, low, mark in stems:
-            known[w] = known[low] + known[mark]
+            raw, a = ids.tobytes(), 0
+            for b in ends.tolist():
+                out.append(raw[a:b])
+                a = b
+        return out
+
+    def _learn(self, missing: list[str]) -> list[bytes]:
+        """The ids of the missing words."""
+        if self._letters is None:
+            return self._of_words(missing)
+        letters = [w for w in missing if LETTERS.fullmatch(w)]
+        found = dict(zip(letters, self._of_letters(letters)))
+        rest = [w for w in missing if w not in found]
+        found.update(zip(rest, self._of_words(rest)))
+        return [found[w] for w in missing]
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """(the pieces of all texts that are encoded on their own, how many lie before each text's end).
+
+        A piece is a word between white space. Where the tokenizer folds, a word of Latin letters
+        with or without marks after them is two pieces, and its letters come in lower case.
+        """
+        raw = data.tobytes()
+        kind = np.frombuffer(raw.translate(KINDS), np.uint8)
+        role = np.empty(len(kind), np.uint8)
+        if len(kind):
+            role[0] = SEPARATOR
+            role[1:] = kind[:-1]
+            role[offsets[:-1][offsets[:-1] < len(kind)]] = SEPARATOR
+            role <<= 3
+            role |= kind
+        role = np.frombuffer(bytearray(role.tobytes().translate(ROLES)), np.uint8)
+        starts = np.flatnonzero(role & BEGINS)
+        if self.folds and len(starts):
+            broken = np.searchsorted(starts, np.flatnonzero(role & BREAKS), "right") - 1
+            broken = broken[np.diff(broken, prepend=-1) > 0]
+            ends = np.append(starts, len(role))[broken + 1]
+            role[_spans(starts[broken], ends - starts[broken])] &= BEGINS
+            rises = np.flatnonzero(role & RISES)
+            if len(rises):
+                text = data.copy()
+                text[rises] += 32
+                raw = text.tobytes()
+            starts = np.flatnonzero(role & (BEGINS | TURNS))
+        white = np.zeros(len(kind) + 1, np.int64 if len(kind) >> 31 else np.int32)
+        np.cumsum(kind == SEPARATOR, dtype=white.dtype, out=white[1:])
+        bounds = np.append(starts - white[starts], len(kind) - int(white[-1])).astype(np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw.translate(None, WHITE)))
+        return pieces, np.searchsorted(starts, offsets[1:])
+
+    def encode_flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a string column, the end of each text's ids); null is empty."""
+        pieces, text_ends = self._pieces(*text_buffers(column))
+        named = pieces.dictionary_encode()
+        distinct = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self._noted.words > KEPT_WORDS:
+            self._older, self._noted = self._noted, _Noted(self.dtype)
+        noted = self._noted
+        number = np.array([noted.number.get(w, -1) for w in distinct], np.int64)
+        missing = np.flatnonzero(number < 0).tolist()
+        short = [i for i in missing if len(distinct[i]) <= KEPT_LENGTH]
+        number[short] = self._note([distinct[i] for i in short])
+        mark = noted.words, noted.used
+        if len(short) < len(missing):
+            long = [i for i in missing if len(distinct[i]) > KEPT_LENGTH]
+            number[long] = self._add(self._learn([distinct[i] for i in long]))
+        rank = number[named.indices.to_numpy()] if len(pieces) else number[:0]
+        lens = noted.lens[rank].astype(np.int64)
+        ids = noted.ids[_spans(noted.starts[rank], lens)]
+        noted.words, noted.used = mark
+        total = np.zeros(len(lens) + 1, np.int64)
+        np.cumsum(lens, out=total[1:])
+        return ids, total[text_ends]
+
+    def _add(self, found: list[bytes]) -> np.ndarray:
+        """The numbers of words whose ids were found."""
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        return self._noted.add(lens, np.frombuffer(b"".join(found), self.dtype)) + np.arange(len(found))
+
+    def _note(self, words: list[str]) -> np.ndarray:
+        """The numbers of words that were not noted, from the older generation or from the tokenizer."""
+        noted, older = self._noted, self._older
+        old = np.array([older.number.get(w, -1) for w in words], np.int64) if older.words else np.full(len(words), -1)
+        out, again = np.empty(len(words), np.int64), old >= 0
+        if again.any():
+            lens = older.lens[old[again]]
+            out[again] = noted.add(lens, older.ids[_spans(older.starts[old[again]], lens.astype(np.int64))]) + np.arange(len(lens))
+        fresh = np.flatnonzero(~again).tolist()
+        out[fresh] = self._add(self._learn([words[i] for i in fresh]))
+        noted.number.update(zip(words, out.tolist()))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed as little-endian integers of dtype; null is empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self._known) > KEPT_WORDS:
-            self._known, self._older = {"": b""}, self._known
-        known = self._known
-        missing = set(chain.from_iterable(split)).difference(known)
-        if missing:
-            self._learn(missing)
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for w in missing:
-            if len(w) > KEPT_LENGTH:
-                del known[w]
-                known.pop(w.rstrip(MARKS).lower(), None)
-        return out
+        ids, ends = self.encode_flat(pa.array(texts, pa.large_string()))
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        return [raw[a * width : b * width] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -136,13 +274,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def text_slices(column: pa.Array, most_bytes: int = 2 << 20):
-    """(first, list of texts) of runs of a column that hold about most_bytes together."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+def encoded_runs(coder: Encoder, column: pa.Array, most_bytes: int = 8 << 20):
+    """(first, last + 1, ids, end of each text's ids) of runs of a column that hold about most_bytes together."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     ends = np.cumsum(sizes)
     i = 0
     while i < len(column):
         before = ends[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
-        yield i, column.slice(i, j - i).to_pylist()
+        yield i, j, *coder.encode_flat(column.slice(i, j - i))
         i = j
