@@ -25,15 +25,13 @@ def _replaced(s: str, at: str, to: str) -> Column:
 
 
 def genome_length(spark: SparkSession, sf_dir: str) -> int:
-    n = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").count()
-    return (n * 5 + 95) // 96 * 32
+    return (table(spark, sf_dir, "orders").count() * 5 + 31) // 32 * 32
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read_id, start, hap, seq, qual): 60 bases of one of two haplotypes, with errors and qualities 20..39."""
+    """(read_id, start, hap, seq, qual): for each order, 60 bases of one of two haplotypes, with errors and qualities 20..39."""
     g = genome_length(spark, sf_dir)
-    base = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
-    rows = base.select(F.expr("o_orderkey div 5").alias("read_id"), F.expr(f"o_orderkey * 37 % {g - READ}").alias("start"), (F.col("o_custkey") % 2).alias("hap"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), F.expr(f"(o_orderkey * 37 + o_custkey * 101) % {g - READ}").alias("start"), (F.col("o_custkey") % 2).alias("hap"))
     at = F.expr("start div 32")
     rows = rows.withColumn("s0", F.concat(_block(at), _block(at + 1), _block(at + 2))).withColumn("s0", F.expr(f"substring(s0, CAST(start % 32 + 1 AS INT), {READ})"))
     rows = rows.withColumns({"k1": F.expr("(97 - start % 97) % 97"), "k2": F.expr("(211 - read_id * 31 % 211) % 211")})
@@ -44,9 +42,8 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 READS_SQL = """
-base AS (SELECT o_orderkey // 5 AS read_id, o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 = 0),
-size AS (SELECT (count(*) * 5 + 95) // 96 * 32 AS g FROM base),
-placed AS (SELECT read_id, o_orderkey * 37 % (g - 60) AS start, o_custkey % 2 AS hap FROM base, size),
+size AS (SELECT (count(*) * 5 + 31) // 32 * 32 AS g FROM orders),
+placed AS (SELECT o_orderkey AS read_id, (o_orderkey * 37 + o_custkey * 101) % (g - 60) AS start, o_custkey % 2 AS hap FROM orders, size),
 raw AS (SELECT read_id, start, hap, (97 - start % 97) % 97 AS k1, (211 - read_id * 31 % 211) % 211 AS k2,
         substr(translate(md5('g' || (start // 32)) || md5('g' || (start // 32 + 1)) || md5('g' || (start // 32 + 2)), '0123456789abcdef', 'ACGTACGTACGTACGT'), start % 32 + 1, 60) AS s0 FROM placed),
 hapd AS (SELECT *, CASE WHEN hap = 1 AND k1 < 60 THEN substr(s0, 1, k1) || translate(substr(s0, k1 + 1, 1), 'ACGT', 'CGTA') || substr(s0, k1 + 2) ELSE s0 END AS s1 FROM raw),
@@ -144,14 +141,14 @@ mixed AS (SELECT id1, id2, CAST(pos AS INT) AS pos1, CAST(CASE WHEN id1 % 4 = 0
 
 
 def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(u, v): a directed graph with cycles, without loops."""
+    """(u, v): a directed graph with cycles, without loops, an arc for each order."""
     o = table(spark, sf_dir, "orders")
-    n = max(20, o.count() // 75)
-    return o.where("o_orderkey % 12 = 0").select(F.expr(f"o_custkey % {n}").alias("u"), F.expr(f"(o_orderkey * 37 + o_custkey) % {n}").alias("v")).where("u <> v").distinct()
+    n = max(20, o.count() // 6)
+    return o.select(F.expr(f"o_custkey % {n}").alias("u"), F.expr(f"(o_orderkey * 37 + o_custkey) % {n}").alias("v")).where("u <> v").distinct()
 
 
 ARCS_SQL = """
-arcs AS (SELECT DISTINCT u, v FROM (SELECT o_custkey % n AS u, (o_orderkey * 37 + o_custkey) % n AS v FROM orders, (SELECT greatest(20, count(*) // 75) AS n FROM orders) WHERE o_orderkey % 12 = 0) WHERE u <> v)"""
+arcs AS (SELECT DISTINCT u, v FROM (SELECT o_custkey % n AS u, (o_orderkey * 37 + o_custkey) % n AS v FROM orders, (SELECT greatest(20, count(*) // 6) AS n FROM orders)) WHERE u <> v)"""
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,12 +182,12 @@ sam AS (SELECT read_id AS qname, CASE read_id % 7 WHEN 1 THEN 16 WHEN 2 THEN 4 W
 
 
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pos, depth) of covered genome positions, reads that start late in each 400 left out."""
-    r = reads(spark, sf_dir).where("start % 400 <= 300").select(F.explode(F.expr(f"sequence(start, start + {READ - 1})")).alias("pos"))
+    """(pos, depth) of covered genome positions."""
+    r = reads(spark, sf_dir).select(F.explode(F.expr(f"sequence(start, start + {READ - 1})")).alias("pos"))
     return r.groupBy("pos").agg(F.count("*").alias("depth"))
 
 
-DEPTH_SQL = "depth AS (SELECT pos, count(*) AS depth FROM (SELECT unnest(range(start, start + 60)) AS pos FROM reads WHERE start % 400 <= 300) GROUP BY 1)"
+DEPTH_SQL = "depth AS (SELECT pos, count(*) AS depth FROM (SELECT unnest(range(start, start + 60)) AS pos FROM reads) GROUP BY 1)"
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:

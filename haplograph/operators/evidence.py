@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame
@@ -78,60 +79,52 @@ def resolve(support: DataFrame, distance: DataFrame, thresholds: DataFrame) -> D
     return s.select("component", "v1", "v2", F.when(F.col("min_ev").isNull(), "skip").when(F.col("support") < F.col("min_ev"), "remove").otherwise("keep").alias("verdict"))
 
 
-def diploid_verdict(supports: dict[tuple[int, int], int]) -> set[tuple[int, int]]:
-    """The edges to remove of a double branch of two in- and two out-vertices with three or four edges.
+def diploid_removals(support: DataFrame, min_evidence: int = 1) -> DataFrame:
+    """(component, v1, v2): edges to remove of double branches, two in- and two out-vertices with three or four edges.
 
-    The best supported edge stays with its complement, the edge that shares neither end; the
-    other two go. Without a single best edge nothing goes.
+    support (component, v1, v2, support), one row for each edge. The best supported edge (the
+    least by ends among equals) and the edge that shares neither end with it are one pair, the
+    other two are its rivals. With three or more supported edges the pair of the larger total
+    stays. With two that share an end both stay and all unsupported edges go, unless their
+    supports differ by more than half of min_evidence. Otherwise the rivals go. Components
+    without support, and others than double branches, lose nothing here.
     """
-    edges = sorted(supports)
-    if len(edges) not in (3, 4) or len({a for a, _ in edges}) != 2 or len({b for _, b in edges}) != 2:
-        return set()
-    best = max(supports.values())
-    top = [e for e in edges if supports[e] == best]
-    if best == 0:
-        return set()
-    keep = set(top[:1])
-    a, b = top[0]
-    keep |= {e for e in edges if e[0] != a and e[1] != b}
-    if len(top) > 1 and not set(top) <= keep:
-        return set()
-    return set(edges) - keep
-
-
-def min_evidence(count: int, error: float = 0.01, tail: float = 1e-3) -> int:
-    """The least m for which m of `count` reads err with probability at most `tail` (the term of all `count` left out)."""
-    for m in range(count + 1):
-        if sum(math.comb(count, i) * error**i * (1 - error) ** (count - i) for i in range(m, count)) <= tail:
-            return m
-    return count
+    shape = support.groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("v1").alias("n1"), F.count_distinct("v2").alias("n2"), F.max(F.struct("support", (-F.col("v1")).alias("b1"), (-F.col("v2")).alias("b2"))).alias("best"))
+    shape = shape.where("n IN (3, 4) AND n1 = 2 AND n2 = 2 AND best.support > 0").select("component", (-F.col("best.b1")).alias("b1"), (-F.col("best.b2")).alias("b2"), F.col("best.support").alias("most"))
+    e = support.select("component", "v1", "v2", "support").join(shape, "component").withColumn("rival", (F.col("v1") == F.col("b1")) != (F.col("v2") == F.col("b2")))
+    loads = e.groupBy("component").agg(F.sum(F.when(F.col("support") > 0, 1).otherwise(0)).alias("supported"), F.sum(F.when(F.col("rival"), F.col("support")).otherwise(0)).alias("rivals"), F.sum(F.when(F.col("rival"), 0).otherwise(F.col("support"))).alias("own"))
+    e = e.join(loads, "component")
+    close = (F.col("supported") == 2) & (F.col("rivals") > 0) & (F.col("most") - F.col("rivals") <= 0.5 * min_evidence)
+    gone = F.when(close, F.col("support") == 0).when((F.col("supported") > 2) & (F.col("rivals") > F.col("own")), ~F.col("rival")).otherwise(F.col("rival"))
+    return e.where(gone).select("component", "v1", "v2")
+
+
+def min_evidence(count: int, error: float = 0.01, tail: float = 1e-3, least: int = 1) -> int:
+    """The least m, from `least` on, for which m of `count` reads err with probability at most `tail` (the term of all `count` left out)."""
+    m = least
+    while sum(math.comb(count, i) * error**i * (1 - error) ** (count - i) for i in range(m, count)) > tail:
+        m += 1
+    return m
 
 
 def evidence_table(coverage: float, read_len: int, mean: float, sd: float) -> list[tuple[int, int, int]]:
-    """(dist, expected, minimum) for distances from 1 until no evidence is expected.
+    """(dist, expected, minimum) for distances from 1, the last one being the first at which no evidence is expected.
 
-    A read spans a distance with probability (L - d) / L; a pair adds the chance that its insert
-    does. Minimums never fall with more evidence.
+    A read spans a distance with probability (L - d) / L; a pair adds the chance that its inner
+    segment, normal around mean, has one of the lengths that put d between its mates. Distances
+    end beyond the mean fragment and two deviations. Minimums never fall with more evidence.
     """
-    cdf = lambda x: 0.5 * (1 + math.erf((x - mean) / (sd * math.sqrt(2))))
-    memo: dict[int, float] = {}
-    out = []
+    cdf = functools.cache(lambda x: 0.5 * (1 + math.erf((x - mean) / (sd * math.sqrt(2)))))
+    rows: list[tuple[int, int]] = []
     d = 1
-    while d <= mean + 2 * read_len + 2 * sd:
-        total = 0.0
-        for x in range(read_len):
-            low = d - 2 * read_len + x
-            if low not in memo:
-                memo[low] = cdf(low + read_len) - cdf(low)
-            total += memo[low]
-        expected = int(coverage * max(0, read_len - d) / read_len + coverage * total / read_len)
-        if expected == 0:
+    while d == 1 or d <= mean + 2 * read_len + 2 * sd:
+        spans = sum(cdf(d - read_len + x) - cdf(d - 2 * read_len + x + 1) for x in range(read_len))
+        rows.append((d, math.floor(coverage * max(0, read_len - d) / read_len + coverage * spans / read_len)))
+        if rows[-1][1] == 0:
             break
-        out.append((d, expected, min_evidence(expected)))
         d += 1
-    low = None
-    fixed = []
-    for d, e, m in out:
-        low = m if low is None else min(low, m)
-        fixed.append((d, e, low))
-    return fixed
+    least: dict[int, int] = {}
+    m = 1
+    for expected in sorted({e for _, e in rows}):
+        m = least[expected] = min_evidence(expected, least=m)
+    return [(d, e, least[e]) for d, e in rows]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import seq as S
+from ..functions.buffers import string_buffers
 
 
 def route(overlaps: DataFrame, min_len: int, min_perc: int, relax: bool = False) -> DataFrame:
@@ -19,24 +23,57 @@ def route(overlaps: DataFrame, min_len: int, min_perc: int, relax: bool = False)
     return overlaps.withColumn("route", F.when(F.col("id1") == F.col("id2"), "drop").when(~long, "nonedge").when(perc < min_perc, "drop").otherwise("score"))
 
 
-def score_overlaps(overlaps: DataFrame, reads: DataFrame) -> DataFrame:
+def _log_chances(least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability, rejected) of columns, by (bases equal, Phred score of the one, of the other)."""
+    error = 10.0 ** (-np.arange(94) / 10.0)
+    p, q = error[:, None], error[None, :]
+    chance = np.stack([p * (1 - q) / 3 + q * (1 - p) / 3 + 2 * p * q / 9, (1 - p) * (1 - q) + p * q / 3])
+    with np.errstate(divide="ignore"):
+        return np.log(chance), chance < least
+
+
+def _score_batches(n_own: int, names: list[str], min_read_len: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, rejected = _log_chances(least)
+        for batch in batches:
+            (a, at_a), (qa, at_qa), (b, at_b), (qb, at_qb) = (string_buffers(batch.column(n_own + i)) for i in range(4))
+            pos = batch.column(names.index("pos")).to_numpy(zero_copy_only=False).astype(np.int64)
+            n1, n2 = np.diff(at_a), np.diff(at_b)
+            fits = (pos >= 0) & (pos < n1) & (np.minimum(n1, n2) >= max(min_read_len, 1)) & (np.diff(at_qa) == n1) & (np.diff(at_qb) == n2)
+            many = np.where(fits, np.minimum(n1 - pos, n2), 0)
+            owner = np.repeat(np.arange(len(many)), many)
+            k = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            x, y = a[(at_a[:-1] + pos)[owner] + k], b[at_b[:-1][owner] + k]
+            p, q = qa[(at_qa[:-1] + pos)[owner] + k].astype(np.int64) - 33, qb[at_qb[:-1][owner] + k].astype(np.int64) - 33
+            counts = (x != 78) & (y != 78)
+            same = (x == y).astype(np.int64)
+            total = np.bincount(owner, counts, len(many))
+            log = np.bincount(owner, np.where(counts, logs[same, p, q], 0.0), len(many))
+            apart = np.bincount(owner, counts & (same == 0), len(many))
+            bad = np.bincount(owner, counts & rejected[same, p, q], len(many)) > 0
+            good = (total > 0) & ~bad
+            score = np.where(good, np.exp(log / np.maximum(total, 1)), 0.0)
+            mismatch = np.where(good, apart / np.maximum(total, 1), 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_own], pa.array(score), pa.array(mismatch)], names=[*names, "score", "mismatch"])
+
+    return run
+
+
+def score_overlaps(overlaps: DataFrame, reads: DataFrame, min_read_len: int = 0, mismatch: float = 0.0) -> DataFrame:
     """Adds score (geometric mean of the columns' probabilities) and mismatch (share of differing columns).
 
-    Columns with an N do not count; without any other column the score is 0 and the mismatch 1.
-    Overlaps that repeat in all columns come out once. Both sides come in equi-joins; each
-    overlap's columns are made and summed within its task, so that one row for each overlap
-    is all that the aggregation shuffles.
+    An overlap's columns run from pos of the first read to the end of the shorter remainder.
+    Columns with an N do not count. The score is 0 and the mismatch 1 where pos lies outside
+    the first read, a read is shorter than min_read_len, a column is less probable than
+    `mismatch`, or none counts. Both sides come in equi-joins; each row gives one row, whose
+    columns numpy sums in the task that joined it.
     """
     r = reads.select("read_id", "seq", "qual")
-    o = overlaps.join(r.withColumnsRenamed({"read_id": "id1", "seq": "a", "qual": "qa"}), "id1").join(r.withColumnsRenamed({"read_id": "id2", "seq": "b", "qual": "qb"}), "id2")
-    part = lambda c, at: f"split(substring({c}, CAST({at} AS INT), CAST(len AS INT)), '')"
-    pairs = F.expr(f"arrays_zip({part('a', 'pos + 1')}, {part('b', '1')}, {part('qa', 'pos + 1')}, {part('qb', '1')})")
-    cells = o.select(*overlaps.columns, F.inline(pairs).alias("x", "y", "p", "q"))
-    chance = lambda c: S.error_probability(F.ascii(c) - 33)
-    log = F.log(S.pair_probability(F.col("x"), F.col("y"), chance("p"), chance("q")))
-    counted = F.when((F.col("x") != "N") & (F.col("y") != "N"), F.when(F.col("x") == F.col("y"), 0.0).otherwise(1.0))
-    sums = cells.groupBy(*overlaps.columns).agg(F.avg(log).alias("_log"), F.avg(counted).alias("_mm"))
-    return sums.select(*overlaps.columns, F.coalesce(F.exp("_log"), F.lit(0.0)).alias("score"), F.coalesce("_mm", F.lit(1.0)).alias("mismatch"))
+    o = overlaps.join(r.withColumnsRenamed({"read_id": "id1", "seq": "_a", "qual": "_qa"}), "id1").join(r.withColumnsRenamed({"read_id": "id2", "seq": "_b", "qual": "_qb"}), "id2")
+    names = overlaps.columns
+    kinds = dict(o.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "score double", "mismatch double"])
+    return o.select(*names, "_a", "_qa", "_b", "_qb").mapInArrow(_score_batches(len(names), names, min_read_len, mismatch), schema)
 
 
 def combine_paired(score1, score2, mm1, mm2, edge_threshold: float):

@@ -66,13 +66,13 @@ def snp_eval(spark, sf):
 
 @query(with_tables("depth", "g AS (SELECT *, pos - row_number() OVER (ORDER BY pos) AS g FROM depth), i AS (SELECT min(pos) AS start, max(pos) AS stop, max(depth) AS max_depth FROM g GROUP BY g)", "SELECT start, stop, max_depth FROM i WHERE max_depth > 2 AND stop - start > 100"))
 def coverage_islands(spark, sf):
-    return A.islands(depth(spark, sf), 2, 100)
+    return A.islands(depth(spark, sf), 8, 100)
 
 
 @query(with_tables("depth", "g AS (SELECT *, pos - row_number() OVER (ORDER BY pos) AS g FROM depth), i AS (SELECT min(pos) AS start, max(pos) AS stop, max(depth) AS d FROM g GROUP BY g HAVING max(depth) > 2 AND max(pos) - min(pos) > 100)",
     "SELECT f AS start, least(stop, f + 119) AS stop FROM (SELECT stop, unnest(range(start, stop + 1, 100)) AS f FROM i)"))
 def region_tiles(spark, sf):
-    return A.tiles(A.islands(depth(spark, sf), 2, 100), 100, 20)
+    return A.tiles(A.islands(depth(spark, sf), 8, 100), 100, 20)
 
 
 @query(with_tables("reads", "t AS (SELECT DISTINCT start // 250 AS region, start // 250 * 250 AS a, start // 250 * 250 + 299 AS b FROM reads)", "SELECT read_id, region FROM reads JOIN t ON start <= b AND start + 59 >= a"))
@@ -112,13 +112,13 @@ def apply_phase(spark, sf):
     return g.where("gt <> '0/0'").join(phases, "block", "left").select("pos", F.when(F.col("phase").isNull() | ~het, F.col("gt")).otherwise(F.col("phase")).alias("gt"))
 
 
-_PC = """ref AS (SELECT read_id AS block, start AS first_pos, seq FROM reads WHERE read_id % 20 = 0), vs AS (SELECT block, first_pos + o AS pos, CASE WHEN o % 2 = 0 THEN ['A', 'G'] ELSE ['T', 'C'] END AS al FROM (SELECT *, unnest([7, 20, 33]) AS o FROM ref)),
+_PC = """ref AS (SELECT read_id AS block, start AS first_pos, seq FROM reads), vs AS (SELECT block, first_pos + o AS pos, CASE WHEN o % 2 = 0 THEN ['A', 'G'] ELSE ['T', 'C'] END AS al FROM (SELECT *, unnest([7, 20, 33]) AS o FROM ref)),
     cl AS (SELECT ref.block, hap, k, coalesce(al[hap + 1], substr(seq, k + 1, 1)) AS b FROM (SELECT *, unnest(range(60)) AS k FROM ref) ref CROSS JOIN (SELECT unnest([0, 1]) AS hap) h LEFT JOIN vs ON vs.block = ref.block AND vs.pos = first_pos + k)"""
 
 
 @query(with_tables("reads", _PC, "SELECT block, hap, string_agg(b, '' ORDER BY k) AS seq FROM cl GROUP BY 1, 2"))
 def phase_contigs(spark, sf):
-    ref = reads(spark, sf).where("read_id % 20 = 0").select(F.col("read_id").alias("block"), F.col("start").alias("first_pos"), "seq")
+    ref = reads(spark, sf).select(F.col("read_id").alias("block"), F.col("start").alias("first_pos"), "seq")
     v = ref.select("block", "first_pos", F.explode(F.array(F.lit(7), F.lit(20), F.lit(33))).alias("o"))
     v = v.select("block", (F.col("first_pos") + F.col("o")).alias("pos"), F.expr("IF(o % 2 = 0, array('A', 'G'), array('T', 'C'))").alias("alleles"))
     return A.phase_contigs(ref, v)

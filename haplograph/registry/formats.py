@@ -19,12 +19,13 @@ def scan_fastq(spark, sf):
     return src.read_fastq(spark, path).select("read_id", "seq", "qual")
 
 
-@query(with_tables("mates", "", "SELECT CAST(pair_id AS VARCHAR) AS read_id, seq1, qual1, seq2, qual2 FROM mates"))
+@query(with_tables("mates", "", "SELECT CAST(pair_id AS VARCHAR) AS read_id, CASE WHEN pair_id % 3 = 0 THEN lower(seq1) ELSE seq1 END AS seq1, qual1, CASE WHEN pair_id % 2 = 0 THEN lower(seq2) ELSE seq2 END AS seq2, qual2 FROM mates"))
 def scan_fastq_paired(spark, sf):
+    """Mates keep the case of their letters."""
     one, two = scratch(spark), scratch(spark)
     m = mates(spark, sf).repartitionByRange(4, "pair_id").sortWithinPartitions("pair_id")
-    src.write_fastq(m.select("pair_id", F.col("seq1").alias("seq"), F.col("qual1").alias("qual")), one, "pair_id")
-    src.write_fastq(m.select("pair_id", F.col("seq2").alias("seq"), F.col("qual2").alias("qual")), two, "pair_id")
+    src.write_fastq(m.select("pair_id", F.expr("IF(pair_id % 3 = 0, lower(seq1), seq1)").alias("seq"), F.col("qual1").alias("qual")), one, "pair_id")
+    src.write_fastq(m.select("pair_id", F.expr("IF(pair_id % 2 = 0, lower(seq2), seq2)").alias("seq"), F.col("qual2").alias("qual")), two, "pair_id")
     return src.read_fastq_pairs(spark, one, two)
 
 
@@ -121,10 +122,10 @@ def iteration_stats(spark, sf):
     return analysis.iteration_stats(reads(spark, sf), graph(spark, sf), plain_overlaps(spark, sf), 3)
 
 
-@query("SELECT event_id AS pos, 1 AS hap, event_type AS allele FROM events WHERE event_id % 5 = 0 AND value IS NOT NULL UNION ALL SELECT event_id, 2, event_type FROM events WHERE event_id % 5 = 0 AND value IS NOT NULL")
+@query("SELECT event_id AS pos, 1 AS hap, event_type AS allele FROM events WHERE value IS NOT NULL UNION ALL SELECT event_id, 2, event_type FROM events WHERE value IS NOT NULL")
 def snps_by_hap(spark, sf):
     """Each row of a SNP table as seen from both haplotypes."""
-    e = table(spark, sf, "events").where("event_id % 5 = 0 AND value IS NOT NULL").select(F.col("event_id").alias("pos"), F.col("event_type").alias("allele"))
+    e = table(spark, sf, "events").where("value IS NOT NULL").select(F.col("event_id").alias("pos"), F.col("event_type").alias("allele"))
     return e.select("pos", F.explode(F.array(F.lit(1), F.lit(2))).alias("hap"), "allele")
 
 

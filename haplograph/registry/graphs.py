@@ -315,9 +315,6 @@ def unique_evidence(spark, sf):
     return _support(spark, sf)
 
 
-_THR = ", thr AS (SELECT d AS dist, CAST(1 + d // 20 AS BIGINT) AS min_ev FROM (SELECT unnest(range(0, 50)) AS d)), dst AS (SELECT branch AS component, CAST(0.5 * (min(place) + max(place)) AS BIGINT) AS dist FROM df GROUP BY branch)"
-
-
 def _distances(spark, sf):
     return _diffs(spark, sf)[1].groupBy(F.col("branch").alias("component")).agg(F.round((F.min("at") + F.max("at")) * 0.5 + 0.0000001).cast("long").alias("dist"))
 
@@ -339,18 +336,18 @@ def branch_resolve(spark, sf):
     return evidence.resolve(_support(spark, sf), _distances(spark, sf), F.broadcast(_thresholds(spark)))
 
 
-@query()
-def diploid_branch(spark, sf):
-    """Verdicts on double branches: pairs of vertices that share the same two out-neighbours."""
-    import pandas as pd
-
-    rows = table(spark, sf, "lineitem").select(F.expr("l_partkey % 30").alias("u"), F.expr("100 + l_orderkey % 30").alias("v"))
-    e = rows.groupBy("u", "v").agg(F.count("*").alias("support"))
-    # at most four edges reach a task's group: two vertices on either side
-    small = e.withColumn("component", F.expr("concat(u div 2, ':', v div 2)"))
+_DOUBLE = """e AS (SELECT l_partkey AS u, 100000000 + l_orderkey AS v, count(*) AS n FROM (SELECT l_partkey % 400 AS l_partkey, l_orderkey % 400 AS l_orderkey FROM lineitem) GROUP BY ALL),
+    s AS (SELECT (u // 2) * 1000 + (v // 2) % 1000 AS component, u AS v1, v AS v2, (n * 5 + u + 3 * v) % 7 * 2 AS support FROM e),
+    b AS (SELECT component, arg_max(v1, support * 1000000000000 - v1 * 1000 - v2 % 1000) AS b1, arg_max(v2, support * 1000000000000 - v1 * 1000 - v2 % 1000) AS b2, max(support) AS most FROM s GROUP BY 1 HAVING count(*) IN (3, 4) AND count(DISTINCT v1) = 2 AND count(DISTINCT v2) = 2 AND max(support) > 0),
+    r AS (SELECT s.*, most, (v1 = b1) <> (v2 = b2) AS rival FROM s JOIN b USING (component)),
+    l AS (SELECT component, count(*) FILTER (support > 0) AS supported, coalesce(sum(support) FILTER (rival), 0) AS rivals, coalesce(sum(support) FILTER (NOT rival), 0) AS own FROM r GROUP BY 1)"""
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone = evidence.diploid_verdict({(int(a), int(b)): int(s) for a, b, s in zip(pdf["u"], pdf["v"], pdf["support"])})
-        return pd.DataFrame(sorted(gone), columns=["u", "v"], dtype="int64")
 
-    return small.groupBy("component").applyInPandas(decide, "u long, v long")
+@query("WITH " + _DOUBLE + """ SELECT component, v1, v2 FROM r JOIN l USING (component)
+    WHERE CASE WHEN supported = 2 AND rivals > 0 AND most - rivals <= 4 THEN support = 0 WHEN supported > 2 AND rivals > own THEN NOT rival ELSE rival END""")
+def diploid_branch(spark, sf):
+    """Verdicts on double branches, with a margin for two supported edges that share an end."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_partkey") % 400).alias("u"), (100000000 + F.col("l_orderkey") % 400).alias("v"))
+    e = rows.groupBy("u", "v").agg(F.count("*").alias("n"))
+    s = e.select(F.expr("u div 2 * 1000 + (v div 2) % 1000").alias("component"), F.col("u").alias("v1"), F.col("v").alias("v2"), F.expr("(n * 5 + u + 3 * v) % 7 * 2").alias("support"))
+    return evidence.diploid_removals(s, min_evidence=8)

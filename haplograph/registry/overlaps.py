@@ -8,6 +8,7 @@ from ..fixtures import edges, graph, lineage, mates, mixed, plain_overlaps, read
 from ..functions import cigar
 from ..operators import evidence, induce, joins, overlap
 from ..operators import graph as G
+from ..session import cut
 from ..sources import text as src
 from . import query
 from .scalars import _POS34, _reversed
@@ -21,9 +22,40 @@ def overlap_route(spark, sf):
     return overlap.route(mixed(spark, sf), 40, 70).select("id1", "id2", "route")
 
 
-@query(with_tables("mixed", "", "SELECT id1, id2, type1, type2, ord, true AS valid FROM mixed"))
+#: Faults that some of the mixed overlaps get, by the ids' sum.
+_FAULTS = {
+    "pos1": "CASE (id1 + id2) % 17 WHEN 1 THEN -1 - pos1 ELSE pos1 END",
+    "perc1": "CASE (id1 + id2) % 17 WHEN 2 THEN 101 WHEN 3 THEN -1 ELSE perc1 END",
+    "perc2": "CASE (id1 + id2) % 17 WHEN 4 THEN 120 ELSE perc2 END",
+    "ori1": "CASE (id1 + id2) % 17 WHEN 5 THEN '*' ELSE ori1 END",
+    "type2": "CASE (id1 + id2) % 17 WHEN 6 THEN 'x' ELSE type2 END",
+    "ord": "CASE (id1 + id2) % 17 WHEN 7 THEN '-' WHEN 8 THEN '1' WHEN 9 THEN '3' ELSE ord END",
+}
+_FAULTY = "faulty AS (SELECT * REPLACE (" + ", ".join(f"{sql} AS {c}" for c, sql in _FAULTS.items()) + ") FROM mixed)"
+
+
+@query(with_tables("mixed", _FAULTY, """SELECT id1, id2, pos1, perc1, perc2, ori1, type1, type2, ord, id1 >= 0 AND id2 >= 0 AND pos1 >= 0 AND pos2 >= 0 AND perc1 BETWEEN 0 AND 100 AND perc2 BETWEEN 0 AND 100
+    AND ori1 IN ('+', '-') AND ori2 IN ('+', '-') AND type1 IN ('s', 'p') AND type2 IN ('s', 'p') AND CASE WHEN type1 = 'p' AND type2 = 'p' THEN ord IN ('1', '2') ELSE ord = '-' END AS valid FROM faulty"""))
 def overlap_validate(spark, sf):
-    return src.validate_overlaps(mixed(spark, sf)).select("id1", "id2", "type1", "type2", "ord", "valid")
+    rows = mixed(spark, sf).withColumns({c: F.expr(sql) for c, sql in _FAULTS.items()})
+    return src.validate_overlaps(rows).select("id1", "id2", "pos1", "perc1", "perc2", "ori1", "type1", "type2", "ord", "valid")
+
+
+_EDGY = """rd AS (SELECT read_id, substr(CASE WHEN read_id % 4 = 0 THEN substr(seq, 1, 54) || 'NNNNNN' ELSE seq END, 1, CASE WHEN read_id % 9 = 0 THEN 40 ELSE 60 END) AS seq FROM reads),
+    o3 AS (SELECT id1, id2, CASE WHEN id2 % 5 = 0 THEN pos * 3 ELSE pos END AS pos, a.seq AS a, b.seq AS b FROM ovl JOIN rd a ON a.read_id = id1 JOIN rd b ON b.read_id = id2),
+    c3 AS (SELECT id1, id2, substr(a, pos + k + 1, 1) AS x, substr(b, k + 1, 1) AS y, pow(10, -(20 + (id1 * 7 + pos + k) % 20) / 10.0) AS p, pow(10, -(20 + (id2 * 7 + k) % 20) / 10.0) AS q
+           FROM (SELECT *, unnest(range(greatest(0, least(len(a) - pos, len(b))))) AS k FROM o3 WHERE len(a) >= 50 AND len(b) >= 50)),
+    v3 AS (SELECT id1, id2, CASE WHEN x = y THEN (1 - p) * (1 - q) + p * q / 3 ELSE p * (1 - q) / 3 + q * (1 - p) / 3 + 2 * p * q / 9 END AS pr, CASE WHEN x = y THEN 0.0 ELSE 1.0 END AS d FROM c3 WHERE x <> 'N' AND y <> 'N'),
+    g3 AS (SELECT id1, id2, exp(avg(ln(pr))) AS s, avg(d) AS m FROM v3 GROUP BY ALL HAVING min(pr) >= 0.0002)"""
+
+
+@query(with_tables("overlaps", _EDGY, "SELECT o.id1, o.id2, o.pos, round(CAST(coalesce(s, 0) AS DOUBLE), 6) AS score, round(CAST(coalesce(m, 1) AS DOUBLE), 6) AS mismatch FROM o3 o LEFT JOIN g3 USING (id1, id2)"))
+def overlap_score_bounds(spark, sf):
+    """Overlaps that begin beyond the first read, short reads, unknown bases and columns too improbable to accept."""
+    r = reads(spark, sf).select("read_id", F.expr("IF(read_id % 4 = 0, concat(substring(seq, 1, 54), 'NNNNNN'), seq)").alias("seq"), "qual", F.expr("IF(read_id % 9 = 0, 40, 60)").alias("n"))
+    r = r.select("read_id", F.expr("substring(seq, 1, n)").alias("seq"), F.expr("substring(qual, 1, n)").alias("qual"))
+    o = plain_overlaps(spark, sf).select("id1", "id2", F.expr("IF(id2 % 5 = 0, pos * 3, pos)").alias("pos"))
+    return overlap.score_overlaps(o, r, min_read_len=50, mismatch=2e-4).select("id1", "id2", "pos", F.round("score", 6).alias("score"), F.round("mismatch", 6).alias("mismatch"))
 
 
 @query(with_tables("scored", "", "SELECT id1, id2, CASE WHEN score > 0.97 OR mismatch <= 0 THEN 'edge' WHEN score > 0.9 THEN 'nonedge' ELSE 'drop' END AS class FROM scored"))
@@ -93,7 +125,7 @@ def transitive_edges(spark, sf):
 
 @query(with_tables("edges", "", "SELECT e.v1, e.v2, e.pos, round(e.score, 6) AS score FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges a JOIN edges b ON b.v1 = a.v2 WHERE a.v1 = e.v1 AND b.v2 = e.v2)"))
 def transitive_reduction(spark, sf):
-    e = edges(spark, sf).persist()
+    e = cut(edges(spark, sf))
     return G.transitive_reduction(e).select("v1", "v2", "pos", F.round("score", 6).alias("score"))
 
 

@@ -48,12 +48,12 @@ def overlap_score(spark, sf):
     return scored(spark, sf).select("id1", "id2", "pos", F.round("score", 6).alias("score"), F.round("mismatch", 6).alias("mismatch"))
 
 
-@query(with_tables("scored", "two AS (SELECT a.id1, a.id2, b.id2 AS nxt, a.score AS s1, b.score AS s2, a.mismatch AS m1, b.mismatch AS m2 FROM scored a JOIN scored b ON b.id1 = a.id2 AND (a.id1 + b.id2) % 11 = 0)",
+@query(with_tables("scored", "two AS (SELECT a.id1, a.id2, b.id2 AS nxt, a.score AS s1, b.score AS s2, a.mismatch AS m1, b.mismatch AS m2 FROM scored a JOIN scored b ON b.id1 = a.id2)",
     "SELECT id1, id2, nxt, round(CASE WHEN s1 > 0.97 AND s2 > 0.97 THEN (s1 + s2) / 2 ELSE least(s1, s2) END, 6) AS score, round(greatest(m1, m2), 6) AS mismatch FROM two"))
 def paired_score(spark, sf):
     s = scored(spark, sf)
     a, b = s.select("id1", "id2", F.col("score").alias("s1"), F.col("mismatch").alias("m1")), s.select(F.col("id1").alias("id2"), F.col("id2").alias("nxt"), F.col("score").alias("s2"), F.col("mismatch").alias("m2"))
-    two = a.join(b, "id2").where("(id1 + nxt) % 11 = 0")
+    two = a.join(b, "id2")
     score, mm = overlap.combine_paired(F.col("s1"), F.col("s2"), F.col("m1"), F.col("m2"), 0.97)
     return two.select("id1", "id2", "nxt", F.round(score, 6).alias("score"), F.round(mm, 6).alias("mismatch"))
 
@@ -130,39 +130,77 @@ def cigar_tokens(spark, sf):
     return sam(spark, sf).select("qname", F.array_join(F.transform(t, lambda x: F.concat(x["n"].cast("string"), x["op"])), " ").alias("tokens"), F.size(t).cast("long").alias("n"))
 
 
-@query(with_tables("overlaps", "", "SELECT id1, id2, CASE WHEN pos < 60 THEN pos ELSE -1 END AS place FROM ovl"))
+_CIGARS = ("60M", "20M3I37M", "12M4D40M", "5S20M2I33M", "6M1D6M6D48M", "2M9I20M")
+
+
+def _cigar_sql(key: str) -> str:
+    return f"CASE {key} % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CIGARS)) + " END"
+
+
+@query(with_tables("overlaps", f"""al AS (SELECT id1, id2, 3 * pos AS apart, {_cigar_sql('id1')} AS front, {_cigar_sql('(id1 + id2)')} AS back FROM ovl),
+    tk AS (SELECT cigar, i, CAST(regexp_extract(t[i], '[0-9]+') AS BIGINT) AS n, right(t[i], 1) AS op FROM (SELECT cigar, regexp_extract_all(cigar, '[0-9]+[A-Z]') AS t, unnest(range(1, len(regexp_extract_all(cigar, '[0-9]+[A-Z]')) + 1)) AS i FROM (SELECT unnest({list(_CIGARS)}) AS cigar))),
+    tp AS (SELECT *, coalesce(sum(CASE WHEN op = 'I' THEN 0 ELSE n END) OVER (PARTITION BY cigar ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM tk),
+    rl AS (SELECT cigar, sum(CASE WHEN op = 'I' THEN 0 ELSE n END) AS rl FROM tk GROUP BY 1),
+    fw AS (SELECT id1, id2, apart, back, sum(CASE WHEN op <> 'D' THEN least(n, apart + rl - p) ELSE 0 END) AS fs, sum(CASE WHEN op <> 'I' THEN least(n, apart + rl - p) ELSE 0 END) AS fr
+           FROM al JOIN rl ON rl.cigar = back JOIN tp ON tp.cigar = front AND p < apart + rl GROUP BY ALL),
+    bw AS (SELECT id1, id2, apart, fs, fr, coalesce(sum(CASE WHEN op <> 'D' THEN least(n, fr - apart - p) ELSE 0 END), 0) AS bs FROM fw LEFT JOIN tp ON tp.cigar = back AND p < fr - apart GROUP BY ALL),
+    plc AS (SELECT id1, id2, apart, fr, apart - ((fr - fs) - (fr - apart - bs)) AS place FROM bw)""",
+    "SELECT id1, id2, CAST(CASE WHEN fr <= apart OR place < 0 THEN -1 ELSE place END AS BIGINT) AS place FROM plc"))
 def cigar_overlap(spark, sf):
-    o = plain_overlaps(spark, sf)
-    return o.select("id1", "id2", cigar.overlap_position(F.lit(0), F.col("pos"), F.lit("60M"), F.lit("20M40M")).alias("place"))
+    """Alignments with insertions, deletions and clips, some of which lie too far apart."""
+    o = plain_overlaps(spark, sf).select("id1", "id2", F.expr("3 * pos").alias("apart"), F.expr(_cigar_sql("id1")).alias("front"), F.expr(_cigar_sql("(id1 + id2)")).alias("back"))
+    return o.select("id1", "id2", cigar.overlap_position(F.lit(0), F.col("apart"), F.col("front"), F.col("back")).alias("place"))
 
 
 @query(with_tables("overlaps", "", """SELECT id1, id2, CAST(floor(100 * greatest(len / 60.0, len / 80.0) + 1e-9) AS BIGINT) AS fno, CAST(least(round(100.0 * len / 60), 100) AS BIGINT) AS sfo,
-    CAST(least(round(100 * greatest(CAST(len AS DOUBLE) / 60, CAST(len AS DOUBLE) / 80)), 100) AS BIGINT) AS blast FROM ovl WHERE len % 3 <> 0"""))
+    CAST(least(round(100 * greatest(CAST(len AS DOUBLE) / 60, CAST(len AS DOUBLE) / 80)), 100) AS BIGINT) AS blast FROM ovl"""))
 def overlap_perc(spark, sf):
-    o = plain_overlaps(spark, sf).where("len % 3 <> 0")
+    o = plain_overlaps(spark, sf)
     return o.select("id1", "id2", *(edge.overlap_percent(k, F.col("len"), F.lit(60), F.lit(80)).cast("long").alias(k) for k in ("fno", "sfo", "blast")))
 
 
-@query(with_tables("mates", "", "SELECT pair_id, array_to_string([i FOR i IN range(1, 61) IF substr(seq1, i, 1) <> substr(seq2, i, 1)][1:20], ',') AS places FROM mates"))
+@query(with_tables("mates", "", "SELECT pair_id, array_to_string([i FOR i IN range(1, 61) IF substr(seq1, i, 1) <> substr(seq2, i, 1)], ',') AS places FROM mates"))
 def diff_positions(spark, sf):
-    return mates(spark, sf).select("pair_id", F.array_join(seq.differences(F.col("seq1"), F.col("seq2"), 20).cast("array<string>"), ",").alias("places"))
+    return mates(spark, sf).select("pair_id", F.array_join(seq.differences(F.col("seq1"), F.col("seq2")).cast("array<string>"), ",").alias("places"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT unnest(range(1, 61)) AS n), f AS (SELECT unnest(range(0, 61)) AS k), t AS (SELECT n, k, CAST(1 AS DOUBLE) * exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) * pow(0.01, k) * pow(0.99, n - k) AS p FROM c JOIN f ON k < n),
-    s AS (SELECT n, m, (SELECT coalesce(sum(p), 0) FROM t WHERE t.n = x.n AND t.k >= x.m) AS tail FROM (SELECT n, unnest(range(0, n + 1)) AS m FROM c) x)
-    SELECT n, CAST(min(m) AS BIGINT) AS least FROM s WHERE tail <= 0.001 GROUP BY n""")
+    s AS (SELECT n, m, (SELECT coalesce(sum(p), 0) FROM t WHERE t.n = x.n AND t.k >= x.m) AS tail FROM (SELECT n, unnest(range(0, n + 2)) AS m FROM c) x)
+    SELECT n, CAST(min(m) AS BIGINT) AS least FROM s WHERE tail <= 0.001 AND m >= 1 GROUP BY n""")
 def min_evidence(spark, sf):
     return spark.createDataFrame([(n, evidence.min_evidence(n)) for n in range(1, 61)], "n long, least long")
 
 
-@query()
+#: Coverage, read length, mean and deviation of the inner segment: the terms differ between neighbouring distances.
+_EV = (100, 250, 200, 50)
+
+
+def _normal_sql(x: str) -> str:
+    """The normal distribution function by the error function's series of positive terms."""
+    z = f"(abs({x} - {_EV[2]}) / ({_EV[3]} * sqrt(2)))"
+    terms = f"list_sum([exp(-{z} * {z} + 2 * n * ln(2) + (2 * n + 1) * ln({z}) - lgamma(2 * n + 2) + lgamma(n + 1)) FOR n IN range(0, 160)])"
+    return f"0.5 * (1 + sign({x} - {_EV[2]}) * CASE WHEN {z} > 6 THEN 1 WHEN {z} = 0 THEN 0 ELSE 2 / sqrt(pi()) * {terms} END)"
+
+
+_EXPECTED = f"""WITH k AS (SELECT CAST(unnest(range(-{2 * _EV[1]}, {_EV[2] + 3 * _EV[1] + 2 * _EV[3]})) AS DOUBLE) AS x), cdf AS (SELECT x, {_normal_sql('x')} AS f FROM k),
+    ds AS (SELECT unnest(range(1, {_EV[2] + 2 * _EV[1] + 2 * _EV[3] + 1})) AS d), xs AS (SELECT unnest(range(0, {_EV[1]})) AS x),
+    ex AS (SELECT d, CAST(floor({_EV[0]} * greatest(0, {_EV[1]} - d) / {_EV[1]}.0 + {_EV[0]} * sum(hi.f - lo.f) / {_EV[1]}) AS BIGINT) AS e
+           FROM ds, xs JOIN cdf lo ON lo.x = d - {2 * _EV[1]} + xs.x + 1 JOIN cdf hi ON hi.x = d - {_EV[1]} + xs.x GROUP BY d),
+    rows AS (SELECT * FROM ex WHERE d <= (SELECT coalesce(min(d), 1000000) FROM ex WHERE e = 0))"""
+
+
+@query(_EXPECTED + "SELECT d AS dist, e AS expected FROM rows")
 def expected_evidence(spark, sf):
-    return spark.createDataFrame([(d, e) for d, e, _ in evidence.evidence_table(20, 100, 300, 30)], "dist long, expected long")
+    return spark.createDataFrame([(d, e) for d, e, _ in evidence.evidence_table(*_EV)], "dist long, expected long")
 
 
-@query()
+@query(_EXPECTED + """, es AS (SELECT DISTINCT e FROM rows), ms AS (SELECT e, unnest(range(1, e + 2)) AS m FROM es),
+    t AS (SELECT e, k, exp(lgamma(e + 1) - lgamma(k + 1) - lgamma(e - k + 1)) * pow(0.01, k) * pow(0.99, e - k) AS p FROM (SELECT e, unnest(range(0, e)) AS k FROM es)),
+    tl AS (SELECT ms.e, m, coalesce(sum(p), 0) AS tail FROM ms LEFT JOIN t ON t.e = ms.e AND k >= m GROUP BY ALL),
+    own AS (SELECT e, min(m) AS m FROM tl WHERE tail <= 0.001 GROUP BY e), up AS (SELECT e, max(m) OVER (ORDER BY e) AS m FROM own)
+    SELECT d AS dist, rows.e AS exp_ev, CAST(m AS BIGINT) AS min_ev FROM rows JOIN up ON up.e = rows.e""")
 def evidence_table(spark, sf):
-    return spark.createDataFrame(evidence.evidence_table(20, 100, 300, 30), "dist long, exp_ev long, min_ev long")
+    return spark.createDataFrame(evidence.evidence_table(*_EV), "dist long, exp_ev long, min_ev long")
 
 
 _GT = "g AS (SELECT pos, block, string_split(sample, ':')[list_position(string_split(format, ':'), 'GT')] AS gt FROM variants)"

@@ -11,19 +11,22 @@ from pyspark.sql.window import Window
 
 
 def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole records of each file block, and the halves that its borders cut."""
-    where, open_head, fresh = None, None, True
+    """Whole records of each file block with their place in it, and the halves that its borders cut.
+
+    A record that a border cuts has its place in the block of its tail.
+    """
+    where, open_head, fresh, at = None, None, True, 0
     for pdf in frames:
         out = []
 
         def close() -> None:
             if open_head is not None:
-                out.append((*where, "head", open_head))
+                out.append((*where, None, "head", open_head))
 
         for file, block, piece in zip(pdf["file"], pdf["block"], pdf["value"]):
             if (file, block) != where:
                 close()
-                where, open_head, fresh = (file, block), None, True
+                where, open_head, fresh, at = (file, block), None, True, 0
             piece = piece.rstrip("\r\n")
             if open_head is not None:
                 piece, open_head = f"{open_head}\n@{piece}", None
@@ -31,21 +34,26 @@ def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             lines = [x.rstrip("\r") for x in piece.split("\n")]
             if len(lines) == 4 and lines[2].startswith("+") and len(lines[1]) == len(lines[3]):
-                out.append((*where, "record", "\n".join(lines)))
+                out.append((*where, at, "record", "\n".join(lines)))
+                at += 1
             elif len(lines) == 3 and lines[2].startswith("+"):
                 open_head = "\n".join(lines)  # its quality line begins with @
             elif fresh and block > 0 and len(lines) == 1:
-                out.append((*where, "tail", lines[0]))
+                out.append((*where, at, "tail", lines[0]))
+                at += 1
             else:
                 raise ValueError(f"not a FASTQ record in {file}: {piece[:80]!r}")
             fresh = False
-        yield pd.DataFrame(out, columns=["file", "block", "kind", "body"])
+        yield pd.DataFrame(out, columns=_RECORD)
     if open_head is not None:
-        yield pd.DataFrame([(*where, "head", open_head)], columns=["file", "block", "kind", "body"])
+        yield pd.DataFrame([(*where, None, "head", open_head)], columns=_RECORD)
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, seq, qual) of four-line records, sequences in upper case.
+_RECORD = ["file", "block", "at", "kind", "body"]
+
+
+def _fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, read_id, seq, qual) of four-line records, as they are.
 
     Files are split at lines that begin with @. Where that is a quality line, its record's
     halves follow one another in a block and are joined there; the few that a block's border
@@ -53,24 +61,40 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", "\n@").text(path)
     raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    rows = raw.mapInPandas(_records, "file string, block long, kind string, body string")
-    whole = rows.where("kind = 'record'").select("body")
+    rows = raw.mapInPandas(_records, "file string, block long, at long, kind string, body string")
+    whole = rows.where("kind = 'record'").select("file", "block", "at", "body")
     w = Window.partitionBy("file").orderBy("block", F.expr("IF(kind = 'tail', 0, 1)"))
     halves = rows.where("kind <> 'record'").withColumn("head", F.lag("body").over(w)).where("kind = 'tail'")
-    lines = whole.union(halves.select(F.concat("head", F.lit("\n@"), "body").alias("body"))).select(F.split("body", "\n").alias("r"))
-    at = lambda i: F.get("r", F.lit(i))
-    name = F.regexp_extract(F.regexp_replace(at(0), "^@", ""), r"^(\S+)", 1)
-    good = (name != "") & (F.length(at(1)) > 0)
-    return lines.select(F.when(good, name).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), at(0)))).alias("read_id"), F.upper(at(1)).alias("seq"), at(3).alias("qual"))
+    lines = whole.union(halves.select("file", "block", "at", F.concat("head", F.lit("\n@"), "body").alias("body"))).select("file", "block", "at", F.split("body", "\n").alias("r"))
+    line = lambda i: F.get("r", F.lit(i))
+    name = F.regexp_extract(F.regexp_replace(line(0), "^@", ""), r"^(\S+)", 1)
+    good = (name != "") & (F.length(line(1)) > 0)
+    named = F.when(good, name).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), line(0))))
+    return lines.select("file", "block", "at", named.alias("read_id"), line(1).alias("seq"), line(3).alias("qual"))
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(read_id, seq, qual) of four-line records, sequences in upper case."""
+    return _fastq(spark, path).select("read_id", F.upper("seq").alias("seq"), "qual")
+
+
+def _placed(records: DataFrame) -> DataFrame:
+    """Adds place: a record's number in all files by name. One row for each block of a file is summed up in one task."""
+    w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    first = records.groupBy("file", "block").agg((F.max("at") + 1).alias("n")).select("file", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
+    return records.join(first, ["file", "block"]).withColumn("place", F.col("first") + F.col("at"))
 
 
 def read_fastq_pairs(spark: SparkSession, path1: str, path2: str) -> DataFrame:
-    """(read_id, seq1, qual1, seq2, qual2): the mates of two files, each of which must have its partner."""
-    a = read_fastq(spark, path1).withColumnsRenamed({"seq": "seq1", "qual": "qual1"})
-    b = read_fastq(spark, path2).withColumnsRenamed({"seq": "seq2", "qual": "qual2"})
-    j = a.join(b, "read_id", "full_outer")
-    both = F.col("seq1").isNotNull() & F.col("seq2").isNotNull()
-    return j.select(F.when(both, F.col("read_id")).otherwise(F.raise_error(F.concat(F.lit("a mate is missing: "), F.col("read_id")))).alias("read_id"), "seq1", "qual1", "seq2", "qual2")
+    """(read_id, seq1, qual1, seq2, qual2): the mates of two files, record by record, letters as they are.
+
+    The files must list the same ids in the same order; another id at a place, or none, is an error.
+    """
+    a = _placed(_fastq(spark, path1)).select("place", F.col("read_id").alias("a"), F.col("seq").alias("seq1"), F.col("qual").alias("qual1"))
+    b = _placed(_fastq(spark, path2)).select("place", F.col("read_id").alias("b"), F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
+    j = a.join(b, "place", "full_outer")
+    wrong = F.raise_error(F.concat(F.lit("mates are not in the same order: "), F.coalesce("a", F.lit("none")), F.lit(" and "), F.coalesce("b", F.lit("none"))))
+    return j.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(wrong).alias("read_id"), "seq1", "qual1", "seq2", "qual2")
 
 
 def fastq_lines(reads: DataFrame, id_col: str = "read_id") -> DataFrame:

@@ -1,5 +1,6 @@
 """Properties of the operators and the registered queries against DuckDB."""
 
+import math
 import random
 
 import duckdb
@@ -180,12 +181,85 @@ def test_fastq_with_at_in_qualities(spark, tmp_path):
     assert out == set(recs)
 
 
-def test_evidence_and_thresholds():
-    assert evidence.min_evidence(0) == 0
-    table = evidence.evidence_table(20, 100, 300, 30)
-    assert all(a[1] >= b[1] or True for a, b in zip(table, table[1:])) and all(a[2] >= b[2] for a, b in zip(table, table[1:]))
-    assert evidence.diploid_verdict({(1, 3): 9, (1, 4): 1, (2, 3): 2, (2, 4): 7}) == {(1, 4), (2, 3)}
-    assert evidence.diploid_verdict({(1, 3): 9, (1, 4): 1}) == set()
+def plain_expected(coverage, length, mean, sd):
+    """The table's first two columns, distance by distance and placement by placement."""
+    import math
+
+    cdf = lambda x: 0.5 * (1 + math.erf((x - mean) / (sd * math.sqrt(2))))
+    out = []
+    for d in range(1, int(mean + 2 * length + 2 * sd) + 1):
+        pairs = 0.0
+        for x in range(length):
+            longest, shortest = d - length + x, d - 2 * length + x + 1
+            pairs += cdf(longest) - cdf(shortest)
+        out.append((d, math.floor(coverage * max(0, length - d) / length + coverage * pairs / length)))
+        if out[-1][1] == 0:
+            break
+    return out
+
+
+@pytest.mark.parametrize("numbers", [(20, 100, 300, 30), (100, 250, 200, 50), (50, 150, 100, 40)])
+def test_evidence_table(numbers):
+    table = evidence.evidence_table(*numbers)
+    assert [r[:2] for r in table] == plain_expected(*numbers)
+    least = {e: m for _, e, m in table}
+    assert all(m == least[e] for _, e, m in table) and min(least.values()) >= 1
+    assert [least[e] for e in sorted(least)] == sorted(least.values())
+
+
+def test_evidence_thresholds():
+    assert evidence.min_evidence(0) == 1
+    assert evidence.min_evidence(30) == min(m for m in range(1, 31) if sum(math.comb(30, i) * 0.01**i * 0.99 ** (30 - i) for i in range(m, 30)) <= 1e-3)
+
+
+@pytest.mark.parametrize(
+    ("loads", "margin", "gone"),
+    [
+        ({(1, 3): 9, (1, 4): 1, (2, 3): 2, (2, 4): 7}, 1, {(1, 4), (2, 3)}),
+        ({(1, 3): 9, (2, 4): 1, (1, 4): 8, (2, 3): 8}, 1, {(1, 3), (2, 4)}),  # the pair of 8s has more in all
+        ({(1, 3): 9, (1, 4): 1}, 1, set()),
+        ({(1, 3): 5, (1, 4): 0, (2, 3): 0, (2, 4): 0}, 1, {(1, 4), (2, 3)}),
+        ({(1, 3): 5, (1, 4): 0, (2, 3): 0, (2, 4): 4}, 1, {(1, 4), (2, 3)}),
+        ({(1, 3): 5, (1, 4): 4, (2, 3): 0, (2, 4): 0}, 4, {(2, 3), (2, 4)}),  # close: both stay, all unsupported go
+        ({(1, 3): 9, (1, 4): 4, (2, 3): 0, (2, 4): 0}, 4, {(1, 4), (2, 3)}),
+        ({(1, 3): 0, (1, 4): 0, (2, 3): 0, (2, 4): 0}, 1, set()),
+        ({(1, 3): 4, (1, 4): 3, (2, 4): 0}, 8, {(2, 4)}),
+    ],
+)
+def test_double_branches(spark, loads, margin, gone):
+    rows = [(7, a, b, n) for (a, b), n in loads.items()] + [(8, a, 50, 3) for a in range(5)]
+    found = evidence.diploid_removals(spark.createDataFrame(rows, "component long, v1 long, v2 long, support long"), margin)
+    assert {(r.v1, r.v2) for r in found.collect()} == gone
+
+
+def test_scores_at_borders(spark):
+    reads = spark.createDataFrame([(1, "ACGT", "IIII"), (2, "ACG", "III"), (3, "NNNN", "IIII"), (4, "AC", "II"), (5, "TTTT", "IIII")], "read_id long, seq string, qual string")
+    rows = [(1, 2, 6), (1, 2, 4), (1, 2, 1), (1, 3, 0), (1, 4, 0), (1, 5, 3), (1, 5, 3), (1, 5, 0)]
+    out = overlap.score_overlaps(spark.createDataFrame(rows, "id1 long, id2 long, pos long"), reads, min_read_len=3, mismatch=1e-4).collect()
+    found = sorted((r.id1, r.id2, r.pos, round(r.score, 3), r.mismatch) for r in out)
+    assert [x for x in found if x[1:3] in ((2, 6), (2, 4), (3, 0), (4, 0))] == [(1, 2, 4, 0, 1), (1, 2, 6, 0, 1), (1, 3, 0, 0, 1), (1, 4, 0, 0, 1)]
+    assert [x for x in found if x[1:3] == (5, 3)] == [(1, 5, 3, 1.0, 0)] * 2  # a row that repeats comes out twice
+    assert [x for x in found if x[1:3] == (5, 0)] == [(1, 5, 0, 0, 1)]  # a column too improbable
+    lax = overlap.score_overlaps(spark.createDataFrame([(1, 5, 0)], "id1 long, id2 long, pos long"), reads).first()
+    assert lax.mismatch == 0.75 and 0 < lax.score < 0.01
+
+
+def test_mates_by_position(spark, tmp_path):
+    one = [(str(i % 7), "acGTn"[: 1 + i % 5] + "A") for i in range(300)]  # ids repeat, letters keep their case
+    two = [(i, s[::-1]) for i, s in one]
+    for name, rows in (("1", one), ("2", two), ("3", two[1:] + two[:1]), ("4", two[:-1])):
+        (tmp_path / name).write_text("".join(f"@{i} x\n{s}\n+\n{'@' * len(s)}\n" for i, s in rows))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+    try:
+        at = lambda n: f"file://{tmp_path}/{n}"
+        found = sorted((r.read_id, r.seq1, r.seq2) for r in src.read_fastq_pairs(spark, at(1), at(2)).collect())
+        assert found == sorted((i, s, t) for (i, s), (_, t) in zip(one, two))
+        for other in (3, 4):
+            with pytest.raises(Exception, match="same order"):
+                src.read_fastq_pairs(spark, at(1), at(other)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_islands_across_bins(spark):
