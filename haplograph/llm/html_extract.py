@@ -1,4 +1,11 @@
-"""Main text of web pages by minimum-cut labelling of their blocks."""
+"""Main text of web pages by minimum-cut labelling of their blocks.
+
+A page's text is cut into blocks at elements that bound text. A linear classifier gives each
+block log-odds of being content from its place (elements, class and id words, roles, whether the
+page marks an article), its own text (length, sentences, links, capitals, digits) and its kind.
+The log-odds are terminal capacities; blocks that follow one another, the more so the nearer
+they are in the tree, and blocks of one parent are tied by edges. A minimum cut labels the page.
+"""
 
 from __future__ import annotations
 
@@ -18,14 +25,17 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose content is no text of the page, skipped up to their end tag.
-RAW = frozenset("script style title textarea noscript template svg math select iframe object button option datalist canvas audio video xmp noembed noframes".split())
+#: Elements whose content is not text of the page as shown (code, fallbacks, pictures) or belongs to a form; skipped up to their end tag.
+RAW = frozenset("script style title template noscript iframe noembed noframes audio video canvas svg textarea select option datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article's text.
 CHROME = frozenset("nav footer aside form menu dialog search".split())
-#: Starts of class and id words that mark boilerplate, and whole words that do.
-CHROME_START = ("advert", "breadcrumb", "cookie", "consent", "comment", "disqus", "gdpr", "masthead", "menu", "modal", "nav", "newsletter", "notice", "pagination", "popup", "promo", "related", "reply", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "subscri", "toolbar", "widget")
-CHROME_WORD = frozenset("ad ads adv adbox adslot alert aside banner copyright discussion dropdown footer footnav header legal links login notification overlay privacy rail recommend recommended search skip skyscraper tags toc topbar warning".split())
+#: Class and id words that name boilerplate, whatever stands in it, and what may be joined to them: navbar, commentlist, sidebar2.
+NAMES = "ad ads adsbygoogle adv advert advertisement advertising adsense breadcrumb comment cookie consent disqus discussion footer gdpr login masthead menu modal nav navigation newsletter notice notification popup promo promotion reply replies respond sidebar signup sponsor sponsored subscribe subscription toolbar topbar widget banner copyright dropdown overlay skyscraper alert"
+JOINED = "s area bar block body box container content count feed form group holder inner item items link links list menu module panel row section slot text thread title top unit wrap wrapper"
+MARKED = re.compile("(?:{})(?:{})*+".format(*("|".join(sorted(w.split(), key=len, reverse=True)) for w in (NAMES, JOINED))))
+#: Words that often name boilerplate and sometimes a subject: the block's own text decides with them.
+HINTS = frozenset("related share sharing social search tags toc links legal privacy rail recommend recommended recommendations skip warning print header pagination aside footnav trending popular".split())
 CONTENT_WORD = frozenset("article content entry main post story text body".split())
 CHROME_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: End tags of these close an open p, as their start tags do.
@@ -33,21 +43,27 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*>|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z))", re.S)
 ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+STOP = re.compile(r"[.!?…](?=\s|$)")
 
-#: Costs in the classifier's units (log-odds) and the capacities of smoothness edges.
-HARD, OUTSIDE, INSIDE = 9.0, 4.0, 3.0
-ADJACENT, SIBLING = 0.8, 0.8
+#: Log-odds of a block's place: boilerplate by name, a hint of it, beside or inside a marked article, a word for content.
+NAMED, HINTED, OUTSIDE, INSIDE, WELCOME = -10.0, -2.5, -4.0, 3.0, 1.0
+#: Log-odds of its text: by length (times ln of characters over 60, within bounds), for each sentence, its end, links, capitals, digits, a copyright line.
+LENGTH, SHORT, LONG, SENTENCE, SENTENCES, ENDED, OPEN, LINKED, CAPITALS, DIGITS, RIGHTS = 0.8, -2.2, 2.2, 0.3, 1.2, 0.6, -0.4, -5.0, -1.0, -1.0, -4.0
+#: Log-odds of its kind of element.
+KIND = {"h1": 1.2, "h2": 1.2, "h3": 0.8, "h4": 0.8, "h5": 0.6, "h6": 0.6, "p": 0.8, "blockquote": 0.8, "pre": 0.8, "li": -0.2, "td": -0.2, "th": -0.2}
+#: Capacities: of blocks that follow one another, divided by their distance in the tree, and of neighbours among one parent's blocks.
+ADJACENT, SIBLING, FAR = 2.0, 1.5, 12
 
 
 @dataclass
 class Block:
-    """A run of text between block boundaries."""
+    """A run of text between block boundaries; score: its log-odds of being content."""
 
     text: str
     linked: int
+    element: int
     parent: int
-    depth: int
     tag: str
     score: float
     in_main: bool
@@ -57,16 +73,16 @@ class Block:
 class _Open:
     tag: str
     number: int
-    penalty: float
-    bonus: float
+    place: float
+    welcome: float
     in_main: bool
 
 
 def _marks(tag: str, attrs: str) -> tuple[float, float]:
-    """(penalty, bonus) of an element's own tag, class, id and role."""
-    penalty, bonus = (HARD, 0.0) if tag in CHROME else (0.0, 0.0)
+    """(log-odds against, log-odds for) by an element's own tag, class, id, role and style."""
+    place, welcome = (NAMED if tag in CHROME else 0.0), 0.0
     if not attrs or len(attrs) < 3:
-        return penalty, bonus
+        return place, welcome
     for name, a, b, c in ATTR.findall(attrs):
         value, name = a or b or c, name.lower()
         if name in ("class", "id"):
@@ -74,27 +90,36 @@ def _marks(tag: str, attrs: str) -> tuple[float, float]:
                 continue
             for word in WORD.findall(value):
                 word = word.lower()
-                if tag in ("main", "article") and not word.startswith(("comment", "reply")):
-                    bonus = max(bonus, 1.0 if word in CONTENT_WORD else 0.0)
-                elif word in CHROME_WORD or word.startswith(CHROME_START):
-                    penalty = HARD
-                elif word in CONTENT_WORD:
-                    bonus = max(bonus, 1.0)
+                named = MARKED.fullmatch(word) is not None
+                if tag in ("main", "article"):  # of these, only a reader's comment is no content
+                    if named and word.startswith(("comment", "repl")):
+                        place = NAMED
+                elif named:
+                    place = NAMED
+                elif word in HINTS:
+                    place = min(place, HINTED)
+                if word in CONTENT_WORD:
+                    welcome = WELCOME
         elif name == "role":
             if value.lower() in CHROME_ROLE:
-                penalty = HARD
+                place = NAMED
             elif value.lower() in ("main", "article"):
-                bonus = max(bonus, INSIDE)
+                welcome = max(welcome, INSIDE)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            penalty = HARD
-    return penalty, bonus
+            place = NAMED
+    return place, welcome
+
 
+#: Elements that end one another where an end tag is left out.
+MATES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, with what their place in the tree says of them."""
+
+def blocks_of(page: str) -> tuple[list[Block], list[int]]:
+    """(the text blocks of a page in order with their log-odds, the parent of each element by number)."""
     out: list[Block] = []
     stack = [_Open("", 0, 0.0, 0.0, False)]
-    number, at, link_depth, linked = 0, 0, 0, 0
+    parents = [0]
+    at, link_level, linked = 0, 0, 0  # link_level: open elements when the open link began, 0 without one
     parts: list[str] = []
     has_main = False
 
@@ -102,11 +127,11 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         if raw:
             parts.append(raw)
-            if link_depth:
+            if link_level:
                 linked += len(raw.strip())
 
     def close() -> None:
-        nonlocal linked, link_depth
+        nonlocal linked
         if parts:
             raw = "".join(parts)
             parts.clear()
@@ -115,10 +140,8 @@ def blocks_of(page: str) -> list[Block]:
             raw = " ".join(raw.split())
             if raw:
                 top = stack[-1]
-                holder = stack[-2] if len(stack) > 1 and (top.tag == "p" or top.tag in HEADINGS or top.tag in ("li", "dt", "dd", "td", "th")) else top
-                out.append(Block(raw, min(linked, len(raw)), holder.number, len(stack), top.tag, top.bonus - top.penalty, top.in_main))
+                out.append(Block(raw, min(linked, len(raw)), top.number, parents[top.number], top.tag, top.place + top.welcome, top.in_main))
         linked = 0
-        link_depth = 0
 
     while True:
         m = TAG.search(page, at)
@@ -144,7 +167,7 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if name == "a":
-            link_depth = max(0, link_depth - 1) if end else 1
+            link_level = 0 if end else len(stack)
             continue
         if name not in BLOCK:
             continue
@@ -158,46 +181,56 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[k].tag in ("table", "article", "main", "body") and name not in ("html", "body", "article", "main", "table"):
                     break
+            if link_level > len(stack):
+                link_level = 0  # the link's own block has ended
             continue
         if stack[-1].tag == "p" or (stack[-1].tag in HEADINGS and name in HEADINGS):
             stack.pop()
-        if name in ("li", "dt", "dd", "tr", "td", "th"):
-            mates = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}[name]
-            while stack[-1].tag in mates:
+        if name in MATES:
+            while stack[-1].tag in MATES[name]:
                 stack.pop()
-        number += 1
         above = stack[-1]
-        penalty, bonus = _marks(name, attrs)
-        main = name in ("article", "main") or above.in_main or bonus >= INSIDE
+        parents.append(above.number)
+        place, welcome = _marks(name, attrs)
+        main = name in ("article", "main") or above.in_main or welcome >= INSIDE
         has_main |= main
         if name == "header" and not above.in_main:
-            penalty = HARD
-        stack.append(_Open(name, number, max(above.penalty, penalty), max(above.bonus, bonus), main))
+            place = NAMED
+        stack.append(_Open(name, len(parents) - 1, min(above.place, place), max(above.welcome, min(welcome, WELCOME)), main))
     close()
     for b in out:
         b.score += _content(b)
         if has_main:
-            b.score += INSIDE if b.in_main else -OUTSIDE
-    return out
+            b.score += INSIDE if b.in_main else OUTSIDE
+    return out, parents
 
 
 def _content(b: Block) -> float:
-    """The classifier's log-odds from a block's own text."""
+    """Log-odds by a block's own text and element."""
     n = len(b.text)
-    score = 0.45 * math.log1p(n) - 1.9
-    score -= 5.0 * (b.linked / n) if b.linked else 0.0
-    score += 0.5 if b.text[-1] in ".!?…\"'»”:;" else -0.2
-    if b.tag in HEADINGS:
-        score += 1.2 if b.tag in ("h1", "h2") else 0.8
-    elif b.tag in ("p", "blockquote", "pre"):
-        score += 0.8
-    elif b.tag == "li":
-        score -= 0.2
-    if b.text[0] in "©" or b.text.startswith(("Copyright", "All rights reserved")):
-        score -= 4.0
+    score = min(max(LENGTH * math.log((n + 1) / 60), SHORT), LONG) + KIND.get(b.tag, 0.0)
+    score += ENDED if b.text[-1] in ".!?…\"'»”:;" else OPEN
+    score += min(SENTENCE * len(STOP.findall(b.text)), SENTENCES)
+    score += LINKED * b.linked / n
+    letters = sum(map(str.isalpha, b.text)) or 1
+    score += CAPITALS * (sum(map(str.isupper, b.text)) > 0.6 * letters and n > 3) + DIGITS * (sum(map(str.isdigit, b.text)) > 0.5 * n)
+    if b.text[0] == "©" or b.text.startswith(("Copyright", "All rights reserved")):
+        score += RIGHTS
     return score
 
 
+def distance(a: int, b: int, parents: list[int]) -> int:
+    """Steps between two elements of the tree, at least 1; FAR where they are as far or farther. Numbers grow from parent to child."""
+    steps = 0
+    while a != b and steps < FAR:
+        if a > b:
+            a = parents[a]
+        else:
+            b = parents[b]
+        steps += 1
+    return max(steps, 1)
+
+
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for the nodes on the source's side of a minimum cut.
 
@@ -298,21 +331,27 @@ def _dinic(nodes: list[int], terminal: list[float], near: list[dict[int, float]]
                 x = to[path[-1]] if path else s
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, white space made single spaces, joined by an empty line."""
-    if not page:
-        return ""
-    blocks = blocks_of(page)
+def ties(blocks: list[Block], parents: list[int]) -> list[tuple[int, int, float]]:
+    """The smoothness edges of a page's blocks."""
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            apart = abs(b.depth - blocks[i - 1].depth)
-            edges.append((i - 1, i, ADJACENT / (1 + apart)))
+            apart = distance(blocks[i - 1].element, b.element, parents)
+            if apart < FAR:
+                edges.append((i - 1, i, ADJACENT / apart))
         if b.parent in last:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
-    keep = minimum_cut([b.score for b in blocks], edges)
+    return edges
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks, white space made single spaces, joined by an empty line."""
+    if not page:
+        return ""
+    blocks, parents = blocks_of(page)
+    keep = minimum_cut([b.score for b in blocks], ties(blocks, parents))
     return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
