@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, freeing, text_steps
+from .common import ALNUM, BASE, MIX2, Words, freeing, mix, text_steps
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of item texts that are broadcast at once; more items go in further blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item texts that are indexed at once; more items go in further blocks. A window costs
+#: about 40 bytes of the broadcast index, at most one window for each word: some 80 MB for words of four letters.
+BLOCK_BYTES = 8 << 20
 
 
 class Index:
@@ -29,22 +30,39 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
         self.window = window
         texts = pa.array([t for _, t in items], pa.large_string())
-        found: dict[bytes, set[int]] = {}
-        for i, j, data, offsets in text_steps(texts):
+        stream, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, data, offsets in text_steps(texts):
             words = Words(data, offsets, ALNUM)
-            for k in range(j - i):
-                own = words.hashes[words.first[k] : words.first[k + 1]]
-                for at in range(max(0, len(own) - window) + 1 if len(own) else 0):
-                    found.setdefault(own[at : at + window].tobytes(), set()).add(items[i + k][0])
-        keys = list(found)
-        self.size = np.array([len(k) // 8 for k in keys], np.int64)
-        self.words = np.zeros((len(keys), window), np.uint64)
-        for n, k in enumerate(keys):
-            self.words[n, : self.size[n]] = np.frombuffer(k, np.uint64)
-        self.item_first = np.concatenate([[0], np.cumsum([len(found[k]) for k in keys])]).astype(np.int64)
-        self.items = np.array([i for k in keys for i in sorted(found[k])], np.int64)
-        inside = np.arange(window) < self.size[:, None]
-        self.vocabulary = np.unique(self.words[inside])
+            stream.append(words.hashes)
+            many.append(words.counts())
+        #: All words of the items, one item after another; a window is a run of them.
+        self.stream, counts = np.concatenate(stream), np.concatenate(many)
+        wide = np.where(counts > 0, np.maximum(counts - window, 0) + 1, 0)
+        owner = np.repeat(np.arange(len(counts)), wide)
+        start = np.repeat(np.cumsum(counts) - counts, wide) + np.arange(len(owner)) - np.repeat(np.cumsum(wide) - wide, wide)
+        size = np.minimum(counts, window)[owner]
+        low, high = np.zeros(len(start), np.uint64), size.astype(np.uint64)
+        for i in range(window):
+            h = self.stream[np.minimum(start + i, max(len(self.stream) - 1, 0))]
+            inside = size > i
+            low = np.where(inside, mix(low * np.uint64(BASE) + h), low)
+            high = np.where(inside, mix(high * np.uint64(MIX2) + h), high)
+        # windows of equal words are one, with all the items that they occur in
+        item = np.array([i for i, _ in items], np.int64)[owner]
+        order = np.lexsort((item, low, high))
+        low, high, item, start, size = low[order], high[order], item[order], start[order], size[order]
+        fresh = np.ones(len(low), bool)
+        fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        again = ~fresh
+        again[1:] &= item[1:] == item[:-1]
+        self.start, self.size = start[fresh].astype(np.int32), size[fresh].astype(np.int32)
+        self.items = item[~again]
+        self.item_first = np.append(np.flatnonzero(fresh[~again]), len(self.items))
+        self.vocabulary = np.unique(self.stream)
+
+    def word(self, windows: np.ndarray, i: int) -> np.ndarray:
+        """The word at place i of each window; any word where a window is shorter."""
+        return self.stream[np.minimum(self.start[windows] + i, len(self.stream) - 1)]
 
     def order(self, counts: np.ndarray) -> None:
         """counts: how often each word of the vocabulary occurs in the documents."""
@@ -54,10 +72,15 @@ class Index:
         if not n:
             self.prefix, self.prefix_first, self.by_prefix, self.place = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         else:
-            inside = np.arange(self.window) < self.size[:, None]
-            ranks = np.where(inside, rank[np.minimum(np.searchsorted(self.vocabulary, self.words), len(rank) - 1)], len(rank))
-            self.place = ranks.argmin(axis=1)
-            rarest = self.words[np.arange(n), self.place]
+            everyone, best = np.arange(n), np.full(n, len(rank))
+            self.place = np.zeros(n, np.int32)
+            for i in range(self.window):
+                own = np.where(self.size > i, rank[np.searchsorted(self.vocabulary, self.word(everyone, i))], len(rank))
+                self.place[own < best] = i
+                best = np.minimum(best, own)
+            rarest = self.word(everyone, 0)
+            for i in range(1, self.window):
+                rarest = np.where(self.place == i, self.word(everyone, i), rarest)
             self.by_prefix = np.argsort(rarest, kind="stable")
             self.prefix, first = np.unique(rarest[self.by_prefix], return_index=True)
             self.prefix_first = np.append(first, n)
@@ -85,7 +108,7 @@ class Index:
             if not len(start):
                 break
             short = self.size[window] <= i
-            keep = short | (h[np.minimum(start + i, len(h) - 1)] == self.words[window, i])
+            keep = short | (h[np.minimum(start + i, len(h) - 1)] == self.word(window, i))
             doc, start, window = doc[keep], start[keep], window[keep]
         return doc, start, window
 
