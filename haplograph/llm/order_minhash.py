@@ -61,16 +61,23 @@ def likeness(a: str, b: str, bin_bits: int = BIN_BITS) -> Column:
 def dealt(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with columns bucket and ghost: buckets of neighbouring ids, and a copy (ghost) of each bucket's first row.
 
-    The copy stands in the bucket before (by ascending id; that of the first of all in the
-    last), so that every row finds its next by descending id in its own bucket. A null id has
-    the lowest bucket. The copies are found by a list of one id for each bucket, BUCKETS at most.
+    Buckets are cut at quantiles of the ids, so that they hold about as many rows each however
+    the ids are spread; rows of one id share a bucket. The copy stands in the bucket before (by
+    ascending id; that of the first of all in the last), so that every row finds its next by
+    descending id in its own bucket. A null id has the lowest bucket. The cuts, and the list of
+    one id for each bucket that finds the copies, have BUCKETS entries at most.
     """
-    ends = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    low, high = (ends[0], ends[1]) if ends[0] is not None else (0, 0)
-    wanted = min(BUCKETS // 2, max(1, -(-ends[2] // BUCKET_ROWS)))
-    width = min(-(-(high - low + 1) // wanted), (1 << 63) - 1)
-    least = (abs(low) // width) * (1 if low > 0 else -1)
-    bucket = F.coalesce(F.expr(f"{id_col} div {width}L"), F.lit(least - 1)).cast("long")
+    n = docs.agg(F.count(id_col)).first()[0]
+    wanted = min(BUCKETS // 2, max(1, -(-n // BUCKET_ROWS)))
+    cuts: list[int] = []
+    if wanted > 1:
+        shares = ",".join(repr(k / wanted) for k in range(1, wanted))
+        found = docs.agg(F.expr(f"percentile_approx({id_col}, CAST(split('{shares}', ',') AS ARRAY<DOUBLE>), {max(10_000, 8 * wanted)})")).first()[0]
+        cuts = sorted(set(found))
+    steps = ", ".join(str(1 << b) for b in range(max(len(cuts).bit_length() - 1, 0), -1, -1))
+    listed = f"CAST(split('{','.join(map(str, cuts))}', ',') AS ARRAY<BIGINT>)"
+    place = f"aggregate(array({steps}), 0, (d, s) -> IF(get({listed}, d + s - 1) <= {id_col}, d + s, d))" if cuts else "0"
+    bucket = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.expr(place)).cast("long")
     tops = docs.select(id_col, bucket.alias("bucket")).groupBy("bucket").agg(F.max(id_col).alias("top_id"))
     line = Window.orderBy(F.desc("bucket"))
     everyone = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
