@@ -14,14 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.fixpoint import connected_components as components
 from .common import SPACED, Words, cut, freeing, mix, shingles, text_steps
 
 #: Positions of a signature, and of one band: a pair at similarity 0.8 shares none of 24 bands once in 300,000 times.
 POSITIONS, BAND = 96, 4
-#: Sets that one task compares with one another; a larger cluster is compared in pairs of blocks of half of it.
-CLUSTER = 4096
+#: Sets, and shingles of all of them, that one task compares with one another; a larger cluster is compared in pairs of blocks of half of that.
+CLUSTER, CLUSTER_SHINGLES = 4096, 1 << 22
 
 
 def signatures(elements: np.ndarray, first: np.ndarray, m: int = POSITIONS) -> np.ndarray:
@@ -189,12 +190,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     rows = cut(sketch(docs, words, id_col, text_col))
     own = rows.where("doc_id is not null and n_shingles > 0")
-    classes = cut(own.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    classes = cut(own.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")))
     member = classes.select("rep", F.posexplode("bands")).select("rep", F.xxhash64("pos", "col").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     star = member.join(shared, "bucket").where("rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
     place = cut(components(star))
-    sizes = place.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(cluster // 2)).cast("int")).select("component", F.when(F.col("n") <= cluster, F.lit(1)).otherwise(F.col("blocks")).alias("blocks"))
+    sizes = place.join(classes.select(F.col("rep").alias("node"), "size"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    share = F.greatest(F.col("n") / F.lit(cluster), F.col("shingles") / F.lit(CLUSTER_SHINGLES))
+    sizes = sizes.select("component", F.when(share <= 1, F.lit(1)).otherwise(F.least(F.ceil(2 * share), F.col("n"))).cast("int").alias("blocks"))
     many = sizes.where("blocks > 1").agg(F.count("*")).first()[0] > 0
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(place, "node")
     # a repeated doc_id may name several sets: the edge to its own row joins them in any case
@@ -215,6 +218,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def drop_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those that near_duplicates() does not keep."""
+    """The rows of docs, all columns, without those that near_duplicates() does not keep.
+
+    Of rows that repeat an id, the one with the least text hash stays. Rows without an id stay.
+    """
     gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = cut(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(id_col))
+    if again.isEmpty():
+        return left
+    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    repeated = left.join(again, id_col, "left_semi").withColumn("_rank", F.row_number().over(one)).where("_rank = 1")
+    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
