@@ -1,13 +1,18 @@
 """LM scoring by online logistic context mixing.
 
-A token is a short string of symbols, and a symbol a path of bits in a Huffman code: one symbol
-names a very frequent word, or else a word's first bytes; a second one its last bytes; the
-word's share in the counts of that group names it. A word outside the vocabulary is spelled in
-bytes. Each bit has four predictors, tables of bit counts under hashed contexts. Their logits
-are combined by weights that a gate picks, by kind of symbol and by how much the longer contexts
-have seen. The weights start from a fit on held-back training rows; every document then refines
-its own copy online, block after block, so that a score uses nothing but the training rows and
-the document's own past.
+A token is a short string of symbols, and a symbol a path of bits in a code: one symbol names a
+very frequent word, or else the group of a word's first bytes; a second one the group of its
+last bytes; a third one the word within both groups, where rarer words share one symbol. A rare
+word is then either one of the training rows' rare words, with its share of their counts, or a
+new one, spelled in bytes. Each bit has four predictors, tables of bit counts under hashed
+contexts. Their logits are combined by weights that a gate picks, by kind of symbol and by how
+much the longer contexts have seen. The weights start from a fit on held-back training rows;
+every document then refines its own copy online, block after block, so that a score uses nothing
+but the training rows and the document's own past.
+
+What is learned grows with the training rows: the counts of all their words, in a table that is
+joined and never collected, and the predictors' tables, whose slots grow as the square root of
+the tokens. The tasks hold the counts of the most frequent words; all others are rare words.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +31,45 @@ from pyspark.sql import functions as F
 from .common import MIX1, MIX2, SPACED, Words, crc_mod, cut, freeing, mix, text_steps
 
 U = np.uint64
-#: Most words of the vocabulary (the most counted), and of those with a symbol of their own.
-VOCABULARY, TOP = 1 << 21, 128
-#: Where all words fit, this share of those counted once stays out, to show how new words look; they weigh as many times.
-THIN = 8
-#: Groups of first and of last bytes, some of which take the rarer ones by a hash.
+#: Most words whose counts the tasks hold (a word counted once is rare in any case), and words with a symbol of their own.
+VOCABULARY, TOP = 1 << 20, 128
+#: Groups of first and of last bytes, some of which take the rarer ones by a hash, and pairs of them.
 PREFIXES, SUFFIXES, OTHER = 112, 48, 16
-#: Slots of each predictor's table (bits), slots that travel in one row, predictors.
-TABLE_BITS, CHUNK, K = 20, 1 << 14, 4
+ENDINGS = SUFFIXES + OTHER
+GROUPS = (PREFIXES + OTHER) * ENDINGS
+#: Slots of a predictor's table that travel in one row, predictors.
+CHUNK, K = 1 << 14, 4
 #: Tokens after which a document's weights are refined, and the rate of that.
 BLOCK, RATE = 128, 0.05
 #: Newton steps of the first fit, and its pull towards equal weights.
 FIT_STEPS, FIT_RIDGE = 8, 20.0
 #: Held-back training rows (remainder 9) from which the fit to all of them starts, and the move at which it ends.
-FIT_ROWS, FIT_MOVE = 256, 0.02
+FIT_ROWS, FIT_MOVE = 256, 0.05
 STEP_BYTES = 1 << 18
 #: Words that a task counts before it passes the counts on.
 COUNT_FLUSH = 1 << 22
-GATES = 48
+#: Kinds of symbols, and gates of each.
+MAIN, ENDING, WORD, BYTE = range(4)
+KIND_GATES = 16
+GATES = 4 * KIND_GATES
+#: A slot's state: a logit in steps of 1 / LOGIT_STEPS, and in the low two bits how much it has seen.
+LOGIT_STEPS = 3.2
+LOGITS = ((np.arange(256) >> 2) - 32).astype(np.float32) / np.float32(LOGIT_STEPS)
+#: The logit for the bit that came: by state, and 256 more for a one.
+TOWARDS = np.concatenate([-LOGITS, LOGITS])
+#: Tokens' weight of the common share of new words in the share of a group.
+NEW_WEIGHT = 4.0
+#: Odd multipliers of the predictors' tables.
+ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 _START = np.array([0x243F6A8885A308D3], np.uint64)
 _END = 0x13198A2E03707344
 
 
+def table_bits(tokens: int) -> int:
+    """Bits of a predictor's slots: they grow as the square root of the tokens, as distinct words do at least."""
+    return max(16, round(math.log2(max(tokens, 1)) / 2 + 7.5))
+
+
 def _huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(nodes, bits, lengths) of each symbol's path; every symbol has one."""
     heap = [(int(c) + 1, i, i) for i, c in enumerate(counts)]
@@ -74,11 +96,15 @@ def _huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nodes, bits, np.array([len(p) for p in paths])
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The top 32 bits of mixed 64."""
+    return (hashes >> U(32)).astype(np.uint32)
+
+
 @dataclass
 class Code:
-    """A symbol alphabet: its kind, and the bit path of each symbol."""
+    """A Huffman code: the hashed node and the bit at each place of each symbol's path."""
 
-    kind: int
     nodes: np.ndarray
     bits: np.ndarray
     lengths: np.ndarray
@@ -86,42 +112,102 @@ class Code:
     @classmethod
     def of(cls, kind: int, counts: np.ndarray) -> Code:
         nodes, bits, lengths = _huffman(counts)
-        return cls(kind, mix((nodes + U(1)) * U(MIX1) + U(kind)), bits, lengths)
+        return cls(short(mix((nodes + U(1)) * U(MIX1) + U(kind + 1))), bits, lengths)
+
+    def paths(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol of each bit, the bit, its node)."""
+        many = self.lengths[symbol]
+        owner = np.repeat(np.arange(len(symbol)), many)
+        # the place of a symbol's path in the table, less the events before it
+        shift = symbol * self.nodes.shape[1] - (np.cumsum(many) - many)
+        flat = np.arange(len(owner)) + shift[owner]
+        return owner, self.bits.reshape(-1)[flat], self.nodes.reshape(-1)[flat]
+
+
+def _shannon(weights: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code, length, first, states) of each member in its group's Shannon code: the first bits of the share of heavier members.
+
+    states[first : first + length]: the order-0 prediction of each bit of a member's path, from
+    the weights of the members that share the path so far.
+    """
+    order = np.lexsort((-weights, groups))
+    w, g = weights[order], groups[order]
+    total = np.bincount(g, w, GROUPS)
+    # weights of a group below 2^30 in all, so that codes are exact in 64 bits
+    scale = np.maximum(np.ceil(np.log2(np.maximum(total, 1))) - 29, 0).astype(np.int64)[g]
+    w = np.maximum(w >> scale, 1)
+    ends = np.cumsum(w)
+    begin = np.flatnonzero(np.diff(g, prepend=-1))
+    many = np.diff(begin, append=len(g))
+    before = ends - w - np.repeat(ends[begin] - w[begin], many)
+    total = np.repeat(np.add.reduceat(w, begin) if len(g) else w, many)
+    length = np.ceil(np.log2(total / w)).astype(np.int64)
+    length += (w << length) < total
+    length -= (length > 0) & ((w << np.maximum(length - 1, 0)) >= total)
+    code = (before << length) // total
+    first = np.cumsum(length) - length
+    states = np.zeros(int(length.sum()), np.uint8)
+    for depth in range(int(length.max(initial=0))):
+        # members of one path so far follow one another
+        at = np.flatnonzero(length > depth)
+        path = (code[at] >> (length[at] - depth - 1)) + (g[at] << 34)
+        border = np.flatnonzero(np.diff(path >> 1, prepend=-1))
+        mass = w[at].astype(np.float64)
+        ones = np.add.reduceat(np.where(path & 1, mass, 0.0), border)
+        zeros = np.add.reduceat(mass, border) - ones
+        states[first[at] + depth] = np.repeat(_state(np.log((ones + 0.1) / (zeros + 0.1)), 3), np.diff(border, append=len(at)))
+    out = np.empty((3, len(order)), np.int64)
+    out[:, order] = code, length, first
+    return *out, states
 
 
 class Vocabulary:
-    """Counted words: ranks by hash, symbols, and shares within a group."""
+    """Counted words: ranks by hash, groups by first and last bytes, and all codes."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, affixes: np.ndarray, rare: int, end: int, byte_counts: np.ndarray, thin: int = 1):
-        self.thin = thin
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, affixes: np.ndarray):
         order = np.lexsort((hashes, -counts))
         self.hashes, self.counts = hashes[order], counts[order]
         affixes = affixes[order]
-        del order
         n = len(self.hashes)
-        top = min(TOP, n)
 
         def groups(keys: np.ndarray, most: int) -> np.ndarray:
-            """The most counted 16-bit keys get a group each, the others share some."""
+            """By 16-bit key: the most counted keys get a group each, the others share some."""
             weight = np.bincount(keys, self.counts, 1 << 16)
             group = (most + np.arange(1 << 16) % OTHER).astype(np.int16)
             own = np.argsort(-weight, kind="stable")[:most]
             group[own[weight[own] > 0]] = np.flatnonzero(weight[own] > 0)
-            return group[keys]
-
-        first, last = groups(affixes >> np.uint32(16), PREFIXES), groups(affixes & np.uint32(0xFFFF), SUFFIXES)
-        self.main = np.where(np.arange(n) < top, np.arange(n), TOP + first).astype(np.int16)
-        self.escape, self.end = TOP + PREFIXES + OTHER, TOP + PREFIXES + OTHER + 1
-        self.suffix = np.where(np.arange(n) < top, -1, last).astype(np.int8)
-        group = self.main.astype(np.int64) * (SUFFIXES + OTHER) + self.suffix
-        sums = np.bincount(np.maximum(group, 0), self.counts, (self.end + 1) * (SUFFIXES + OTHER))
-        self.share = np.where(self.suffix < 0, 0.0, np.log2(np.maximum(self.counts, 1)) - np.log2(np.maximum(sums[np.maximum(group, 0)], 1))).astype(np.float32)
-        main = np.bincount(self.main, self.counts, self.end + 1)
-        main[self.escape], main[self.end] = rare * thin, end
-        held = self.suffix >= 0
-        self.codes = [Code.of(1, main), Code.of(2, np.bincount(self.suffix[held], self.counts[held], SUFFIXES + OTHER)), Code.of(3, byte_counts)]
+            return group
+
+        self._first, self._last = groups(affixes >> np.uint32(16), PREFIXES), groups(affixes & np.uint32(0xFFFF), SUFFIXES)
+        self.end = TOP + PREFIXES + OTHER
+        self.main, self.ending = self.places(affixes)
+        top = np.arange(n) < TOP
+        self.main[top], self.ending[top] = np.flatnonzero(top), -1
         self._index(n)
 
+    def places(self, affixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(main symbol, ending) of words without a symbol of their own."""
+        return (TOP + self._first[affixes >> np.uint32(16)]).astype(np.int16), self._last[affixes & np.uint32(0xFFFF)].astype(np.int8)
+
+    def code(self, rare: np.ndarray, end: int, byte_counts: np.ndarray) -> None:
+        """Makes the codes; rare: for each group its rare words' tokens, and those of words counted once, and of words counted up to once more than rare ones, which would be rare had they been left out once."""
+        tokens, once, held = rare
+        own = self.ending >= 0
+        group = group_of(self.main[own], self.ending[own])
+        code, length, path, self.paths = _shannon(np.concatenate([self.counts[own], np.maximum(tokens, 1)]), np.concatenate([group, np.arange(GROUPS)]))
+        self.word, self.word_length, self.word_path = np.zeros(len(own), np.uint32), np.zeros(len(own), np.uint8), np.zeros(len(own), np.uint32)
+        self.word[own], self.word_length[own], self.word_path[own] = code[: len(group)], length[: len(group)], path[: len(group)]
+        self.rare, self.rare_length, self.rare_path = code[len(group) :].astype(np.uint32), length[len(group) :].astype(np.uint8), path[len(group) :].astype(np.uint32)
+        main = np.bincount(self.main, self.counts, self.end + 1)
+        main[TOP:-1] += tokens.reshape(-1, ENDINGS).sum(axis=1)
+        main[self.end] = end
+        ending = np.bincount(self.ending[own], self.counts[own], ENDINGS) + tokens.reshape(-1, ENDINGS).sum(axis=0)
+        self.codes = {MAIN: Code.of(MAIN, main), ENDING: Code.of(ENDING, ending), BYTE: Code.of(BYTE, byte_counts)}
+        new = (once.sum() + 0.5) / (once.sum() + held.sum() + 1.0)
+        share = (once + NEW_WEIGHT * new) / (once + held + NEW_WEIGHT)
+        #: log10 of a rare word's being new, and of its being known, by the rare tokens of its group.
+        self.new, self.known = np.log10(share), np.log10(1 - share) - np.log10(np.maximum(tokens, 1))
+
     def _index(self, n: int) -> None:
         """An open-addressing table of ranks by the hash's top bits, filled in runs of words."""
         bits = max(4, int(n).bit_length() + 1)
@@ -156,31 +242,90 @@ class Vocabulary:
         return out
 
 
+def group_of(main: np.ndarray, ending: np.ndarray) -> np.ndarray:
+    return (main.astype(np.int64) - TOP) * ENDINGS + ending
+
+
+@dataclass
+class Symbols:
+    """Symbols of one kind: the token of each, what codes it, and its four contexts (32 mixed bits, or None for none)."""
+
+    kind: int
+    token: np.ndarray
+    contexts: list[np.ndarray | None]
+    symbol: np.ndarray
+    code: Code | None = None
+    # of the kind WORD, whose symbols are codes themselves: code length, group, and where the paths' order-0 states begin
+    length: np.ndarray | None = None
+    group: np.ndarray | None = None
+    path: np.ndarray | None = None
+
+    def ordered(self, order: np.ndarray) -> Symbols:
+        pick = lambda x: None if x is None else x[order]
+        return replace(self, token=self.token[order], contexts=[pick(c) for c in self.contexts], symbol=self.symbol[order], length=pick(self.length), group=pick(self.group), path=pick(self.path))
+
+    def lengths(self) -> np.ndarray:
+        return self.length.astype(np.int64) if self.code is None else self.code.lengths[self.symbol]
+
+    def events(self, bits: int, counting: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(symbol of each bit, the bit, its slot in each table of 2^bits slots; first, for the kind WORD, in the paths).
+
+        counting: twice the slot, and the bit, instead of the slot; nothing in the paths.
+        """
+        if self.code is not None:
+            owner, bit, node = self.code.paths(self.symbol)
+        else:
+            many = self.lengths()
+            owner = np.repeat(np.arange(len(many)), many)
+            left = np.repeat(np.cumsum(many), many) - np.arange(len(owner))  # bits from this one to the end
+            code = (self.symbol.astype(np.int64) | (1 << many))[owner] >> (left - 1)
+            bit, node = (code & 1).astype(bool), short(((code >> 1) + (self.group << 34)[owner]).view(np.uint64) * U(MIX1))
+        slots = []
+        for k, c in enumerate(self.contexts):
+            if k == 0 and self.path is not None:
+                slots.append(None if counting else (self.path.astype(np.int64) + many)[owner] - left)
+                continue
+            slot = node if c is None else c[owner] + node
+            slot = slot * ODD[k]
+            slot >>= np.uint32(32 - bits)
+            if counting:
+                slot <<= np.uint32(1)
+                slot |= bit
+            slots.append(slot.astype(np.int64))
+        return owner, bit, slots
+
+
 @dataclass
 class Tokens:
     """The tokens of a run of documents, each document's words and its end."""
 
     words: Words
-    rank: np.ndarray  # of each word
+    rank: np.ndarray  # of each word, -1 for a rare one
     first: np.ndarray  # token of each document, and one past the last
-    symbols: list[tuple[Code, np.ndarray, np.ndarray, list[np.ndarray]]]  # code, token, symbol, contexts
+    symbols: list[Symbols]
+    rare: np.ndarray  # the words that are rare
+    rare_at: np.ndarray  # their tokens
+    rare_group: np.ndarray
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, learning: bool = False) -> Tokens:
-    """Tokens, symbols and the four hashed contexts of each symbol; learning also spells all words counted once."""
+def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> Tokens:
+    """Tokens, symbols and the four hashed contexts of each symbol; rare words are also spelled."""
     words = Words(data, offsets, SPACED)
-    n_docs = len(offsets) - 1
     rank = vocabulary.ranks(words.hashes)
-    owner = words.owners()
-    at = np.arange(len(rank)) + owner  # token of each word
-    first = words.first + np.arange(n_docs + 1)
+    at = np.arange(len(rank)) + words.owners()  # token of each word
+    first = words.first + np.arange(len(offsets))
     n = int(first[-1])
-    main, suffix, hashes = np.full(n, vocabulary.end, np.int64), np.full(n, -1, np.int64), np.full(n, U(_END))
-    known = rank >= 0
-    main[at] = np.where(known, vocabulary.main[rank] if len(vocabulary.main) else 0, vocabulary.escape)
-    if len(vocabulary.main):
-        suffix[at] = np.where(known, vocabulary.suffix[rank], -1)
+    rare = np.flatnonzero(rank < 0)
+    sizes = words.lengths()
+    main, ending, hashes = np.full(n, vocabulary.end, np.int64), np.full(n, -1, np.int64), np.full(n, U(_END))
+    code, length, path = np.zeros(n, np.uint32), np.zeros(n, np.uint8), np.zeros(n, np.uint32)
     hashes[at] = words.hashes
+    if len(vocabulary.main):
+        main[at], ending[at], code[at], length[at], path[at] = (x[rank] for x in (vocabulary.main, vocabulary.ending, vocabulary.word, vocabulary.word_length, vocabulary.word_path))
+    rare_at = at[rare]
+    main[rare_at], ending[rare_at] = vocabulary.places(_affixes(words, sizes, rare))
+    rare_group = group_of(main[rare_at], ending[rare_at])
+    code[rare_at], length[rare_at], path[rare_at] = vocabulary.rare[rare_group], vocabulary.rare_length[rare_group], vocabulary.rare_path[rare_group]
 
     def past(x: np.ndarray, back: int, fill: int) -> np.ndarray:
         out = np.full(n, fill, x.dtype)
@@ -191,57 +336,46 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, lea
         return out
 
     h1, h2 = past(hashes, 1, int(_START[0])), past(hashes, 2, int(_START[0]))
-    m1, m2, s1 = past(main, 1, vocabulary.end), past(main, 2, vocabulary.end), past(suffix, 1, -1)
+    m1, m2, s1 = past(main, 1, vocabulary.end), past(main, 2, vocabulary.end), past(ending, 1, -1)
     kind1 = (m1 * 64 + s1 + 1).astype(np.uint64)
-    contexts = [np.zeros(n, np.uint64), h1, mix(h1 + h2 * U(MIX2)), mix(kind1 * U(512) + m2.astype(np.uint64))]
-    symbols = [(vocabulary.codes[0], np.arange(n), main, contexts)]
-    some = np.flatnonzero(suffix >= 0)
+    one, both = short(h1), short(mix(h1 + h2 * U(MIX2)))
+    classes = short(mix(kind1 * U(512) + m2.astype(np.uint64)))
+    symbols = [Symbols(MAIN, np.arange(n), [None, one, both, classes], main, vocabulary.codes[MAIN])]
+    some = np.flatnonzero(ending >= 0)
     own = main[some].astype(np.uint64)
-    symbols.append((vocabulary.codes[1], some, suffix[some], [own * U(MIX1), mix(own + h1[some]), mix(own + kind1[some] * U(MIX2)), mix(own * U(1024) + m1[some].astype(np.uint64) + U(3))]))
-    spelled = ~known
-    if learning and vocabulary.thin > 1 and len(vocabulary.counts):
-        spelled |= vocabulary.counts[rank] == 1
-    rare = np.flatnonzero(spelled)
-    lengths = words.lengths()[rare] if len(rare) else np.zeros(0, np.int64)
-    many = lengths + 1
-    place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    near = [own * U(MIX1), mix(own + h1[some]), mix(own + kind1[some] * U(MIX2)), mix(own * U(1024) + m1[some].astype(np.uint64) + U(3))]
+    symbols.append(Symbols(ENDING, some, [short(c) for c in near], ending[some], vocabulary.codes[ENDING]))
+    some = some[length[some] > 0]
+    symbols.append(Symbols(WORD, some, [None, one[some], short(mix(kind1[some] + U(5))), classes[some]], code[some], length=length[some], group=group_of(main[some], ending[some]), path=path[some]))
+    sizes = sizes[rare]
+    many = sizes + 1
     which = np.repeat(np.arange(len(rare)), many)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
     low = np.append(words.low, 0).astype(np.int64)
-    start = words.starts[rare][which] if len(rare) else np.zeros(0, np.int64)
-    byte = np.where(place < lengths[which], low[np.minimum(start + place, len(low) - 1)], 256) if len(which) else np.zeros(0, np.int64)
-    before = [np.where(place >= back, low[np.maximum(start + place - back, 0)], 257).astype(np.uint64) if len(which) else np.zeros(0, np.uint64) for back in (1, 2, 3, 4)]
-    token = at[rare][which] if len(rare) else np.zeros(0, np.int64)
-    one = before[0] + U(1)
-    two = one * U(512) + before[1]
+    start = words.starts[rare][which]
+    byte = np.where(place < sizes[which], low[np.minimum(start + place, len(low) - 1)], 256)
+    before = [np.where(place >= back, low[np.maximum(start + place - back, 0)], 257).astype(np.uint64) for back in (1, 2, 3, 4)]
+    token = rare_at[which]
+    # the groups, coded before, tell a word's first two bytes and its last two
+    told = np.where(place < 2, main[token], vocabulary.end + 1 + ending[token]).astype(np.uint64)
+    two = ((before[0] + U(1)) * U(512) + before[1]) * U(1024) + np.where(place < 2, told, U(0))
     three = two * U(512) + before[2]
-    symbols.append((vocabulary.codes[2], token, byte, [mix(two), mix(three + U(1)), mix(three * U(512) + before[3] + U(2)), mix(two * U(512) + m1[token].astype(np.uint64) + U(4))]))
-    return Tokens(words, rank, first, symbols)
-
-
-def bit_events(code: Code, symbol: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(symbol of each bit, the bit, its slot in each table)."""
-    many = code.lengths[symbol]
-    owner = np.repeat(np.arange(len(symbol)), many)
-    # the place of a symbol's path in the code's table, less the events before it
-    shift = symbol * code.nodes.shape[1] - (np.cumsum(many) - many)
-    flat = np.arange(len(owner)) + shift[owner]
-    node, bit = code.nodes.reshape(-1)[flat], code.bits.reshape(-1)[flat]
-    slots = [(((c[owner] + node) * U(MIX2 + 2 * k)) >> U(64 - TABLE_BITS)).astype(np.int64) for k, c in enumerate(contexts)]
-    return owner, bit, slots
+    near = [mix(two), mix(three + U(1)), mix(three * U(512) + before[3] + U(2)), mix((two * U(512) + told) * U(4) + U(3))]
+    symbols.append(Symbols(BYTE, token, [short(c) for c in near], byte, vocabulary.codes[BYTE]))
+    return Tokens(words, rank, first, symbols, rare, rare_at, rare_group)
 
 
 # ---- counting words --------------------------------------------------------------------------
 
 
-def _affixes(words: Words) -> np.ndarray:
-    """The first two and the last two bytes of each word, in 32 bits."""
-    lengths = words.lengths()
-    low = np.append(words.low, 0).astype(np.int64)
-    start = words.starts
-    first = low[start] * 256 + np.where(lengths > 1, low[np.minimum(start + 1, len(low) - 1)], 0)
+def _affixes(words: Words, lengths: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    """The first two and the last two bytes of the words at, in 32 bits."""
+    low = np.append(words.low, 0).astype(np.uint32)
+    start, lengths = words.starts[at], lengths[at]
+    first = low[start] * np.uint32(256) + np.where(lengths > 1, low[np.minimum(start + 1, len(low) - 1)], np.uint32(0))
     end = start + lengths - 1
-    last = low[end] + 256 * np.where(lengths > 1, low[np.maximum(end - 1, 0)], 0)
-    return (first << 16) | last
+    last = low[end] + np.uint32(256) * np.where(lengths > 1, low[np.maximum(end - 1, 0)], np.uint32(0))
+    return (first << np.uint32(16)) | last
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +398,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if not len(words.hashes):
                 continue
             value, at, many = np.unique(words.hashes, return_index=True, return_counts=True)
-            held.append((value, many, _affixes(words)[at]))
+            held.append((value, many, _affixes(words, words.lengths(), at).astype(np.int64)))
             fresh = np.zeros(len(words.hashes), bool)
             fresh[at] = True
             spelled[:256] += np.bincount(words.low[words.word][np.repeat(fresh, words.lengths())], minlength=256)
@@ -289,49 +423,88 @@ def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (word, n, affix.astype(np.uint32))], names=["word", "n", "affix"])
 
 
+def _rare_batches(shared, least: int):
+    """(group, of what, tokens) of words counted up to `least` times: 0 rare, 1 counted once, 2 rare if left out once, but known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: Vocabulary = shared.value
+        sums = np.zeros((3, GROUPS), np.int64)
+        for batch in batches:
+            n, affix = (np.asarray(batch.column(c)) for c in ("n", "affix"))
+            group = group_of(*vocabulary.places(affix.astype(np.uint32)))
+            for k, part in enumerate((n < least, n == 1, n > 1)):
+                sums[k] += np.bincount(group, np.where(part, n, 0), GROUPS).astype(np.int64)
+        what, group = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(what), pa.array(sums[what, group])], names=["group", "what", "tokens"])
+
+    return run
+
+
 # ---- learning --------------------------------------------------------------------------------
 
 
-def _learn_batches(shared):
+def _learn_batches(shared, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
-        tables = np.zeros((K, 2 << TABLE_BITS), np.uint32)
+        tables = np.zeros((K, 2 << bits), np.uint32)
         for batch in batches:
             for _, _, data, offsets in text_steps(batch.column(0), STEP_BYTES):
-                for code, _, symbol, contexts in tokens_of(data, offsets, vocabulary, learning=True).symbols:
-                    owner, bit, slots = bit_events(code, symbol, contexts)
-                    times = np.uint32(1)
-                    if vocabulary.thin > 1 and code.kind == 1:
-                        times = np.where(symbol == vocabulary.escape, np.uint32(vocabulary.thin), times)[owner]
-                    for k in range(K):
-                        np.add.at(tables[k], 2 * slots[k] + bit, times)
+                for own in tokens_of(data, offsets, vocabulary).symbols:
+                    for table, at in zip(tables, own.events(bits, counting=True)[2]):
+                        if at is not None:
+                            np.add.at(table, at, np.uint32(1))
+        per_table = (2 << bits) // CHUNK
         for k in range(K):
-            for chunk in range((2 << TABLE_BITS) // CHUNK):
+            for chunk in range(per_table):
                 part = tables[k, chunk * CHUNK : (chunk + 1) * CHUNK]
                 if part.any():
-                    # planes of equal bytes, which the shuffle's compression folds
-                    yield pa.RecordBatch.from_arrays([pa.array([k * 1000 + chunk], pa.int32()), pa.array([part.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())], names=["chunk", "counts"])
+                    yield _chunk_row(k * per_table + chunk, part)
 
     return run
 
 
+def _chunk_row(chunk: int, counts: np.ndarray) -> pa.RecordBatch:
+    """Counts as planes of equal bytes, which compression folds."""
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([counts.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())], names=["chunk", "counts"])
+
+
+def _chunk_counts(part: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(part.as_buffer(), np.uint8).reshape(4, CHUNK).T).view(np.uint32).reshape(-1)
+
+
 def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-            counts = np.ascontiguousarray(np.frombuffer(part.as_buffer(), np.uint8).reshape(4, CHUNK).T).view(np.uint32).reshape(-1).astype(np.uint64)
+            counts = _chunk_counts(part).astype(np.uint64)
             sums[chunk] = sums[chunk] + counts if chunk in sums else counts
     for chunk, counts in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "counts"])
+        yield _chunk_row(chunk, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+
+
+def _state(logit: np.ndarray, seen: np.ndarray | int) -> np.ndarray:
+    return (np.clip(np.rint(logit * LOGIT_STEPS), -31, 31).astype(np.int64) + 32 << 2 | seen).astype(np.uint8)
+
+
+def states_of(counts: np.ndarray) -> np.ndarray:
+    """The states of slots with counts of zeros and ones in turn."""
+    zeros, ones = counts[0::2].astype(np.float64), counts[1::2].astype(np.float64)
+    return _state(np.log((ones + 0.4) / (zeros + 0.4)), np.searchsorted([0.5, 2.5, 15.5], zeros + ones))
+
+
+def _state_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        states = [states_of(_chunk_counts(part)).tobytes() for part in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(states, pa.binary())], names=["chunk", "states"])
 
 
 @dataclass
 class Model:
-    """All that scoring needs: vocabulary, predictors, first weights and totals."""
+    """All that scoring needs: vocabulary, predictors' states, first weights and totals."""
 
     vocabulary: Vocabulary
-    logits: np.ndarray
-    seen: np.ndarray
+    bits: int
+    states: np.ndarray
     weights: np.ndarray
     train_tokens: int
     distinct: int
@@ -343,39 +516,41 @@ class Model:
         return math.log10(self.train_tokens + 0.1 * (self.distinct + 1))
 
 
-def _inputs(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, gate, bit, logits of the predictors) of all bits of all tokens."""
+def _states(model: Model, own: Symbols, slots: list[np.ndarray]) -> list[np.ndarray]:
+    """The state that each predictor has for each bit."""
+    tables = [model.vocabulary.paths if own.kind == WORD else model.states[0], *model.states[1:]]
+    return [table.take(at) for table, at in zip(tables, slots)]
+
+
+def _inputs(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gate, bit, states of the predictors) of all bits of all tokens."""
     out = []
-    for code, token, symbol, contexts in tokens.symbols:
-        owner, bit, slots = bit_events(code, symbol, contexts)
-        gate = (code.kind - 1) * 16 + model.seen[1][slots[1]].astype(np.int64) * 4 + model.seen[2][slots[2]]
-        out.append((token[owner], gate, bit, np.stack([model.logits[k][slots[k]] for k in range(K)], axis=1)))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    for own in tokens.symbols:
+        _, bit, slots = own.events(model.bits)
+        states = np.stack(_states(model, own, slots))
+        gate = own.kind * KIND_GATES + (states[1] & 3) * 4 + (states[2] & 3)
+        out.append((gate.astype(np.int16), bit, states))
+    return tuple(np.concatenate(x, axis=-1) for x in zip(*out))
 
 
 def _fit_weights(model: Model, texts: list[str | None]) -> None:
     """Where the fit starts: each gate's logistic regression on some held-back rows, by Newton steps."""
-    found = []
-    for _, _, data, offsets in text_steps(pa.array(texts, pa.large_string()), STEP_BYTES):
-        _, gate, bit, x = _inputs(model, tokens_of(data, offsets, model.vocabulary))
-        found.append((gate.astype(np.int16), bit, x))
-    gate, bit, x = (np.concatenate([f[i] for f in found]) for i in range(3))
-    del found
+    found = [_inputs(model, tokens_of(data, offsets, model.vocabulary)) for _, _, data, offsets in text_steps(pa.array(texts, pa.large_string()), STEP_BYTES)]
     for _ in range(FIT_STEPS):
-        _newton(model.weights, _slopes(gate, bit, x, model.weights))
+        _newton(model.weights, sum(_slopes(*f, model.weights) for f in found))
 
 
-def _slopes(gate: np.ndarray, bit: np.ndarray, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def _slopes(gate: np.ndarray, bit: np.ndarray, states: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """(gate x K x K+1): curvature of each gate's log loss, and beside it the slope."""
     out = np.zeros((GATES, K, K + 1))
-    order = np.argsort(gate.astype(np.int16), kind="stable")
+    order = np.argsort(gate, kind="stable")
     edge = np.searchsorted(gate[order], np.arange(GATES + 1))
     for g in np.flatnonzero(np.diff(edge)):
         rows = order[edge[g] : edge[g + 1]]
-        own = x[rows].astype(np.float64)
-        p = 1 / (1 + np.exp(-np.clip(own @ weights[g], -14, 14)))
-        out[g, :, :K] = (own * (p * (1 - p))[:, None]).T @ own
-        out[g, :, K] = own.T @ (bit[rows] - p)
+        own = LOGITS[states[:, rows]].astype(np.float64)
+        p = 1 / (1 + np.exp(-np.clip(weights[g] @ own, -14, 14)))
+        out[g, :, :K] = (own * (p * (1 - p))) @ own.T
+        out[g, :, K] = own @ (bit[rows] - p)
     return out
 
 
@@ -395,8 +570,7 @@ def _slope_batches(shared, weights: np.ndarray):
         sums = np.zeros((GATES, K, K + 1))
         for batch in batches:
             for _, _, data, offsets in text_steps(batch.column(0), STEP_BYTES):
-                _, gate, bit, x = _inputs(model, tokens_of(data, offsets, model.vocabulary))
-                sums += _slopes(gate, bit, x, weights)
+                sums += _slopes(*_inputs(model, tokens_of(data, offsets, model.vocabulary)), weights)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.reshape(-1)[at])], names=["at", "part"])
 
@@ -415,57 +589,62 @@ def _fit_all(model: Model, rows: DataFrame) -> None:
     shared.unpersist()
 
 
-def score_run(model: Model, tokens: Tokens) -> np.ndarray:
-    """log2 probability of each document, its weights refined block after block.
+def score_run(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(log2 probability of each document without its rare words' own names, log2 probability of each rare word's spelling).
 
-    Kinds of symbol have gates of their own, so each kind is mixed in a pass of its own.
+    A document's weights are refined block after block. Kinds of symbol have gates of their own,
+    so each kind is mixed in a pass of its own.
     """
     n_docs = len(tokens.first) - 1
     many = np.diff(tokens.first)
     owner = np.repeat(np.arange(n_docs), many)
     place = (np.arange(len(owner)) - np.repeat(tokens.first[:-1], many)) // BLOCK
     place = place.astype(np.uint16 if len(place) == 0 or place.max() < 1 << 16 else np.uint32)
-    out = np.zeros(n_docs)
-    for code, token, symbol, contexts in tokens.symbols:
-        if not len(symbol):
+    out, spelled = np.zeros(n_docs), np.zeros(len(tokens.rare))
+    rare_number = np.zeros(len(owner), np.int64)
+    rare_number[tokens.rare_at] = np.arange(len(tokens.rare))
+    for own in tokens.symbols:
+        if not len(own.token):
             continue
-        order = np.argsort(place[token], kind="stable")
-        block, doc, symbol = place[token][order], owner[token][order], symbol[order]
-        event, bit, slots = bit_events(code, symbol, [c[order] for c in contexts])
+        block = place[own.token]
+        if block[-1] or block.any():
+            own = own.ordered(np.argsort(block, kind="stable"))
+            block = place[own.token]
+        event, bit, slots = own.events(model.bits)
         # events of each block of all documents
-        ends = np.concatenate([[0], np.cumsum(code.lengths[symbol])])
+        ends = np.concatenate([[0], np.cumsum(own.lengths())])
         edge = ends[np.searchsorted(block, np.arange(int(block[-1]) + 2))]
-        doc = doc[event]
-        gate = model.seen[1][slots[1]] * np.uint8(4) + model.seen[2][slots[2]]
-        cell = doc * 16 + gate
-        sign = np.where(bit, np.float32(1), np.float32(-1))
-        x = [model.logits[k][slots[k]] * sign for k in range(K)]
-        first = model.weights[(code.kind - 1) * 16 : code.kind * 16].astype(np.float32)
-        out += _mixed_online(x, cell, doc, np.tile(first.T, (1, n_docs)), edge, n_docs)
-    out /= math.log(2)
-    known = tokens.rank >= 0
-    if known.any():
-        out += np.bincount(tokens.words.owners()[known], model.vocabulary.share[tokens.rank[known]], n_docs)
-    return out
-
-
-def _mixed_online(x: list[np.ndarray], cell: np.ndarray, doc: np.ndarray, weights: np.ndarray, edge: np.ndarray, n_docs: int) -> np.ndarray:
-    """Natural log probability of each document's bits; x: logits turned so that positive speaks for the bit that came."""
+        states = _states(model, own, slots)
+        gate = (states[1] & np.uint8(3)) * np.uint8(4) + (states[2] & np.uint8(3))
+        doc = owner[own.token]
+        cell = (doc * KIND_GATES)[event] + gate
+        one = bit.astype(np.int64) << 8
+        x = [TOWARDS.take(one + state) for state in states]
+        first = model.weights[own.kind * KIND_GATES : (own.kind + 1) * KIND_GATES].astype(np.float32)
+        into = (rare_number[own.token] if own.kind == BYTE else doc)[event]
+        _mixed_online(x, cell, into, np.tile(first.T, (1, n_docs)), edge, spelled if own.kind == BYTE else out)
+    return out / math.log(2), spelled / math.log(2)
+
+
+def _mixed_online(x: list[np.ndarray], cell: np.ndarray, into: np.ndarray, weights: np.ndarray, edge: np.ndarray, out: np.ndarray) -> None:
+    """Adds the natural log probability of each bit to out[into]; x: logits turned so that positive speaks for the bit that came."""
     cells = weights.shape[1]
-    out = np.zeros(n_docs)
     last = int(edge[-1])
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if a == b:
             continue
         at = cell[a:b]
-        z = x[0][a:b] * weights[0][at]
+        z = x[0][a:b] * weights[0].take(at)
         for k in range(1, K):
-            z += x[k][a:b] * weights[k][at]
+            z += x[k][a:b] * weights[k].take(at)
         np.clip(z, -14, 14, out=z)
-        other = 1 / (1 + np.exp(z))  # probability of the bit that did not come
-        out += np.bincount(doc[a:b], np.log(1 - other), n_docs)
+        odds = np.exp(-z)  # of the bit that did not come
+        low = int(into[a])  # documents, and rare words, come in order
+        part = np.bincount(into[a:b] - low, np.log(1 + odds))
+        out[low : low + len(part)] -= part
         if b == last:
             break
+        other = odds / (1 + odds)
         other *= np.float32(RATE)
         if b - a > cells:
             scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=cells), 1))
@@ -475,78 +654,79 @@ def _mixed_online(x: list[np.ndarray], cell: np.ndarray, doc: np.ndarray, weight
             value, back, times = np.unique(at, return_inverse=True, return_counts=True)
             for k in range(K):
                 weights[k][value] += np.bincount(back, other * x[k][a:b]) / np.sqrt(times)
-    return out
 
 
 # ---- the operator ----------------------------------------------------------------------------
 
 
+def _least_count(counts: DataFrame) -> int:
+    """The least count, 2 or more, from which on there are at most VOCABULARY words. Few distinct counts come to the driver."""
+    spread = counts.where("n > 1").groupBy(F.least("n", F.lit(VOCABULARY)).alias("n")).count().orderBy(F.desc("n")).toLocalIterator()
+    held, least = 0, VOCABULARY + 1
+    for n, words in spread:
+        if held + words > VOCABULARY:
+            break
+        held, least = held + words, n
+    return least
+
+
 def learn(docs: DataFrame, remainder: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """(model, counts of all training words) from the rows whose remainder is not 0.
 
     Counts cover all training rows. Predictors learn from those with remainders 1 to 8; then the
-    first weights are fitted to all rows with remainder 9, which the predictors learn at last. To the driver come the vocabulary
-    (at most VOCABULARY rows) and the tables, whose size is fixed.
+    first weights are fitted to all rows with remainder 9, which the predictors learn at last. To
+    the driver come the most frequent words (at most VOCABULARY rows) and the predictors' states.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), remainder.alias("fold"))
     training = own.where("fold <> 0")
     counted = cut(training.select("text").mapInArrow(freeing(_count_batches), "word long, n long, affix long").groupBy("word", (F.col("affix") < 0).alias("byte")).agg(F.sum("n").alias("n"), F.max("affix").alias("affix")))
     counts = counted.where("not byte").drop("byte")
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
-    if totals[1] - totals[2] // THIN <= VOCABULARY:
-        thin, inside = THIN, (F.col("n") > 1) | (F.pmod(F.xxhash64("word"), F.lit(THIN)) > 0)
-    else:
-        spread = sorted(((r[0], r[1]) for r in counts.where(f"n >= 2 and n < {VOCABULARY}").groupBy("n").count().collect()), reverse=True)
-        often, least = counts.where(f"n >= {VOCABULARY}").count(), VOCABULARY
-        for n, words in spread:
-            if often + words > VOCABULARY:
-                break
-            often, least = often + words, n
-        thin, inside = 1, F.col("n") >= least
-    end = training.count()
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least, end = _least_count(counts), training.count()
     # packed columns, batch by batch: rows would take the driver many times their size
-    kept = [tuple(r) for r in counts.where(inside).mapInArrow(_packed_batches, "word binary, n binary, affix binary").toLocalIterator()]
-    hashes, many, affixes = (np.frombuffer(b"".join(r[i] for r in kept), kind) for i, kind in enumerate((np.uint64, np.int64, np.uint32)))
+    kept = [tuple(r) for r in counts.where(F.col("n") >= least).mapInArrow(_packed_batches, "word binary, n binary, affix binary").toLocalIterator()]
+    vocabulary = Vocabulary(*(np.frombuffer(b"".join(r[i] for r in kept), kind) for i, kind in enumerate((np.uint64, np.int64, np.uint32))))
     del kept
+    rare = np.zeros((3, GROUPS), np.int64)
+    few = counts.where(F.col("n") <= least).select("n", "affix").mapInArrow(_rare_batches(spark.sparkContext.broadcast(vocabulary), least), "group long, what long, tokens long")
+    for group, what, n in few.groupBy("group", "what").agg(F.sum("tokens")).collect():
+        rare[what, group] = n
     spelled = np.zeros(257, np.int64)
     for byte, n in counted.where("byte").select("word", "n").collect():
         spelled[byte] = n
-    vocabulary = Vocabulary(hashes, many, affixes, int(totals[0]) - int(many.sum()), end, spelled, thin)
-    del hashes, many, affixes
+    vocabulary.code(rare, end, spelled)
     shared = spark.sparkContext.broadcast(vocabulary)
-    tables = np.zeros((K, 2 << TABLE_BITS), np.float32)
+    tokens = int(totals[0]) + end
+    bits = table_bits(tokens)
+    # a task's tables travel whole, so tasks are no more than the tokens pay for
+    tasks = max(2 * spark.sparkContext.defaultParallelism, tokens >> (bits + 2))
 
-    def add(rows: DataFrame) -> None:
-        # chunks of tables: their number is fixed, whatever the corpus
-        learned = rows.select("text").mapInArrow(freeing(_learn_batches(shared)), "chunk int, counts binary").repartition("chunk").mapInArrow(_sum_batches, "chunk int, counts binary")
-        for chunk, part in learned.toLocalIterator():
-            k, at = divmod(chunk, 1000)
-            tables[k, at * CHUNK : (at + 1) * CHUNK] += np.frombuffer(part, np.uint32)
+    def counted_bits(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        found = rows.select("text").coalesce(tasks).mapInArrow(freeing(_learn_batches(shared, bits)), "chunk long, counts binary")
+        found = found if before is None else found.unionByName(before)
+        return found.repartition("chunk").mapInArrow(_sum_batches, "chunk long, counts binary")
 
-    logits = np.empty((K, 1 << TABLE_BITS), np.float32)
-    seen = np.empty((K, 1 << TABLE_BITS), np.uint8)
+    states = np.full((K, 1 << bits), states_of(np.zeros(2, np.uint32))[0], np.uint8)
 
-    def predict() -> None:
-        for k in range(K):
-            zeros, ones = tables[k, 0::2], tables[k, 1::2]
-            logits[k] = np.log((ones + 0.4) / (zeros + 0.4))
-            seen[k] = np.searchsorted(np.array([0.5, 2.5, 15.5], np.float32), zeros + ones)
+    def take(summed: DataFrame) -> None:
+        flat = states.reshape(-1)
+        for chunk, part in summed.mapInArrow(_state_batches, "chunk long, states binary").toLocalIterator():
+            flat[chunk * (CHUNK // 2) : (chunk + 1) * (CHUNK // 2)] = np.frombuffer(part, np.uint8)
 
     held_back = training.where("fold = 9")
-    add(training.where("fold <> 9"))
-    predict()
-    model = Model(vocabulary, logits, seen, np.full((GATES, K), 0.35), int(totals[0]) + end, int(totals[1]) + (end > 0), end)
+    most = cut(counted_bits(training.where("fold <> 9")))
+    take(most)
+    model = Model(vocabulary, bits, states, np.full((GATES, K), 0.35), tokens, int(totals[1]) + (end > 0), end)
     sample = held_back.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("text").collect()
     if sample:
         _fit_weights(model, [r[0] for r in sample])
         _fit_all(model, held_back.select("text"))
-        add(held_back)
-        predict()
+        take(counted_bits(held_back, most))
     return model, counts
 
 
-SCHEMA = "row long, doc_id long, fold long, n_tokens long, n_known long, base double, score double, rare array<long>"
+SCHEMA = "row long, doc_id long, fold long, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<struct<word: long, known: double, new: double>>"
 
 
 def _score_batches(shared):
@@ -557,42 +737,41 @@ def _score_batches(shared):
         for batch in batches:
             for i, j, data, offsets in text_steps(batch.column(2), STEP_BYTES):
                 tokens = tokens_of(data, offsets, model.vocabulary)
-                score = score_run(model, tokens) * math.log10(2)
+                score, spelled = (x * math.log10(2) for x in score_run(model, tokens))
                 n = j - i
                 known, owner = tokens.rank >= 0, tokens.words.owners()
                 n_tokens = tokens.words.counts() + 1
                 n_known = np.bincount(owner[known], minlength=n) + (model.end_count > 0)
                 base = log_end + (np.bincount(owner[known], np.log10(model.vocabulary.counts[tokens.rank[known]] + 0.1), n) if known.any() else np.zeros(n))
-                rare = tokens.words.hashes[~known].view(np.int64)
+                group = tokens.rare_group
+                rare = pa.StructArray.from_arrays([pa.array(tokens.words.hashes[tokens.rare].view(np.int64)), pa.array(model.vocabulary.known[group]), pa.array(model.vocabulary.new[group] + spelled)], names=["word", "known", "new"])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=n))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare))],
-                    names=[x.split()[0] for x in SCHEMA.split(", ")],
-                )
+                columns = [np.arange(row, row + n), batch.column(0).slice(i, n), batch.column(1).slice(i, n), np.diff(offsets), n_tokens.astype(np.int64), n_known.astype(np.int64), base, score]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(ends), rare)], names=["row", "doc_id", "fold", "n_bytes", "n_tokens", "n_known", "base", "score", "rare"])
                 row += n
 
     return run
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row.
 
     Learns from the rows whose crc32(doc_id as text) modulo 10 is not 0 (a null id is held out).
     A token is a word between white space, lower-cased in A-Z, or a text's end; a null or empty
     text is an end alone. base_score is the smoothed unigram's; score the model's log10
-    probability of all symbols of the text.
-    Repeated rows are scored alike; other columns are ignored. Words outside the vocabulary find
-    their counts in a join.
+    probability of the text's tokens, bits_per_byte what that makes for each byte of the text
+    (null without bytes). Repeated rows are scored alike; other columns are ignored. Words that
+    the tasks do not hold find their counts in a join, which also tells known from new ones.
     """
     spark = docs.sparkSession
     remainder = crc_mod(F.col(id_col), 10)
     model, counts = learn(docs, remainder, id_col, text_col)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), remainder.cast("long").alias("fold"), F.col(text_col).alias("text"))
-    sized = own.mapInArrow(freeing(_score_batches(spark.sparkContext.broadcast(model))), SCHEMA)
-    rows = cut(sized)
-    rare = rows.select("row", F.explode("rare").alias("word"))
-    found = rare.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.count("n").alias("more_known"))
-    out = rows.drop("rare").join(found, "row", "left")
+    rows = cut(own.mapInArrow(freeing(_score_batches(spark.sparkContext.broadcast(model))), SCHEMA))
+    rare = rows.select("row", F.inline("rare")).join(counts.select("word", "n"), "word", "left")
+    named = F.when(F.col("n").isNull(), F.col("new")).otherwise(F.col("known") + F.log10("n"))
+    found = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.count("n").alias("more_known"), F.sum(named).alias("named"))
+    out = rows.drop("rare").join(found, "row", "left").withColumn("score", F.col("score") + F.coalesce("named", F.lit(0.0)))
     return out.select(
         "doc_id",
         (F.col("fold") == 0).alias("held_out"),
@@ -601,5 +780,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(model.unit)).alias("base_score"),
         "score",
+        "n_bytes",
+        F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
-

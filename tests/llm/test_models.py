@@ -252,22 +252,129 @@ def test_lm_scores(spark, lm_rows, empty):
     assert context_mixing.score(empty).count() == 0
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h &= MASK
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & MASK
+    return h ^ (h >> 31)
+
+
+def plain_events(model, text):
+    """For each token, its symbols as (kind, [(bit, states of the four predictors)]), and for rare words the hash; one by one."""
+    v, lm = model.vocabulary, context_mixing
+    top = lambda h: plain_mix(h) >> 32
+    tokens, past = [], []  # past: (hash, main, ending) of earlier tokens
+    for w in [*re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER)), None]:
+        raw = b"" if w is None else w.encode()
+        h = lm._END if w is None else int(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SPACED).hashes[0])
+        rank = -1 if w is None else int(v.ranks(np.array([h], np.uint64))[0])
+        if w is None:
+            main, ending, code, length, path = v.end, -1, 0, 0, 0
+        elif rank >= 0:
+            main, ending, code, length, path = (int(x[rank]) for x in (v.main, v.ending, v.word, v.word_length, v.word_path))
+        else:
+            first, last = raw[:2].ljust(2, b"\0"), raw[-2:].rjust(2, b"\0")
+            main, ending = lm.TOP + int(v._first[int.from_bytes(first, "big")]), int(v._last[int.from_bytes(last, "big")])
+            group = (main - lm.TOP) * lm.ENDINGS + ending
+            code, length, path = int(v.rare[group]), int(v.rare_length[group]), int(v.rare_path[group])
+        before = [*reversed(past), (int(lm._START[0]), v.end, -1), (int(lm._START[0]), v.end, -1)]
+        (h1, m1, s1), (h2, m2, _) = before[:2]
+        kind1 = m1 * 64 + s1 + 1
+        both, classes = top(h1 + h2 * 0x94D049BB133111EB), top(kind1 * 512 + m2)
+        symbols = []
+
+        def add(kind, contexts, bits, nodes, paths=None):
+            bits, states = list(bits), []
+            for i, node in enumerate(nodes):
+                own = [((c + node) * int(lm.ODD[k]) & 0xFFFFFFFF) >> (32 - model.bits) for k, c in enumerate(contexts)]
+                states.append([int(v.paths[paths + i] if paths is not None and k == 0 else model.states[k][own[k]]) for k in range(4)])
+            symbols.append((kind, list(zip(bits, states))))
+
+        def huffman(kind, symbol, contexts):
+            c = v.codes[kind]
+            n = int(c.lengths[symbol])
+            add(kind, contexts, map(bool, c.bits[symbol, :n]), map(int, c.nodes[symbol, :n]))
+
+        huffman(lm.MAIN, main, [0, h1 >> 32, both, classes])
+        if ending >= 0:
+            huffman(lm.ENDING, ending, [(main * 0xBF58476D1CE4E5B9 & MASK) >> 32, top(main + h1), top(main + kind1 * 0x94D049BB133111EB), top(main * 1024 + m1 + 3)])
+            group = (main - lm.TOP) * lm.ENDINGS + ending
+            bits = [bool(code >> (length - 1 - d) & 1) for d in range(length)]
+            nodes = [((1 << d | code >> (length - d)) + (group << 34)) * 0xBF58476D1CE4E5B9 % (1 << 64) >> 32 for d in range(length)]
+            add(lm.WORD, [0, h1 >> 32, top(kind1 + 5), classes], bits, nodes, path)
+        if w is not None and rank < 0:
+            for i, byte in enumerate([*raw, 256]):
+                b = [raw[i - k] if i >= k else 257 for k in (1, 2, 3, 4)]
+                told = main if i < 2 else v.end + 1 + ending
+                two = ((b[0] + 1) * 512 + b[1]) * 1024 + (told if i < 2 else 0)
+                three = two * 512 + b[2]
+                huffman(lm.BYTE, byte, [top(two), top(three + 1), top(three * 512 + b[3] + 2), top((two * 512 + told) * 4 + 3)])
+        past.append((h, main, ending))
+        tokens.append((symbols, h if w is not None and rank < 0 else None, (main - lm.TOP) * lm.ENDINGS + ending))
+    return tokens
+
+
+def plain_score(model, counts, text):
+    """log10 probability, bit by bit, with weights of the document's own that change after each block of tokens."""
+    lm, total = context_mixing, 0.0
+    weights = [list(map(float, w)) for w in model.weights]
+    tokens = plain_events(model, text)
+    for start in range(0, len(tokens), lm.BLOCK):
+        moves = defaultdict(list)
+        for symbols, h, group in tokens[start : start + lm.BLOCK]:
+            spelled = 0.0
+            for kind, bits in symbols:
+                for bit, states in bits:
+                    gate = kind * lm.KIND_GATES + (states[1] & 3) * 4 + (states[2] & 3)
+                    x = [((s >> 2) - 32) / lm.LOGIT_STEPS * (1 if bit else -1) for s in states]
+                    z = min(max(sum(a * b for a, b in zip(x, weights[gate])), -14), 14)
+                    p = 1 / (1 + math.exp(-z))
+                    moves[gate].append([(1 - p) * lm.RATE * a for a in x])
+                    if kind == lm.BYTE:
+                        spelled += math.log10(p)
+                    else:
+                        total += math.log10(p)
+            if h is not None:
+                n = counts.get(h)
+                total += model.vocabulary.known[group] + math.log10(n) if n else model.vocabulary.new[group] + spelled
+        for gate, rows in moves.items():
+            for k in range(4):
+                weights[gate][k] += sum(r[k] for r in rows) / math.sqrt(len(rows))
+    return total
+
+
+def test_lm_score_equals_plain_version(spark, lm_rows):
+    d = spark.createDataFrame(lm_rows, "doc_id long, text string").coalesce(2)
+    remainder = F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 10, 0)")
+    model, counts = context_mixing.learn(d, remainder)
+    by_hash = {r.word & MASK: r.n for r in counts.collect()}
+    assert min(by_hash.values()) == 1
+    want = {i: plain_score(model, by_hash, t) for i, t in lm_rows if i not in (None, 3)}
+    for r in context_mixing.score(d).collect():
+        if r.doc_id in want:
+            assert r.score == pytest.approx(want[r.doc_id], rel=1e-4, abs=1e-3)
+            assert r.n_bytes == len((dict(lm_rows)[r.doc_id] or "").encode())
+            assert r.bits_per_byte == (pytest.approx(-r.score / math.log10(2) / r.n_bytes) if r.n_bytes else None)
+
+
 def test_lm_learns_from_every_training_row(spark):
     """Predictors count the symbols of all training rows, remainder 9 included."""
     texts = {i: f"the of q{i}x" for i in range(400)}
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
     model, _ = context_mixing.learn(d, F.expr("crc32(cast(cast(doc_id as string) as binary)) % 10"))
     training = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
-    code = model.vocabulary.codes[0]
     data = np.frombuffer("".join(training).encode(), np.uint8)
     offsets = np.cumsum([0, *map(len, training)])
-    tokens = context_mixing.tokens_of(data, offsets, model.vocabulary, learning=True)
-    want = np.zeros((2, 1 << context_mixing.TABLE_BITS))
-    for own, _, symbol, contexts in tokens.symbols:
-        owner, bit, slots = context_mixing.bit_events(own, symbol, contexts)
-        times = np.where((own.kind == 1) & (symbol == model.vocabulary.escape), model.vocabulary.thin, 1)[owner]
-        np.add.at(want, (bit.astype(int), slots[0]), times)
-    assert code.kind == 1 and np.allclose(model.logits[0], np.log((want[1] + 0.4) / (want[0] + 0.4)), atol=1e-4)
+    want = np.zeros((4, 2 << model.bits), np.int64)
+    for own in context_mixing.tokens_of(data, offsets, model.vocabulary).symbols:
+        _, bit, slots = own.events(model.bits)
+        for k in range(own.kind == context_mixing.WORD, 4):
+            np.add.at(want[k], 2 * slots[k] + bit, 1)
+    for k in range(4):
+        assert (model.states[k] == context_mixing.states_of(want[k])).all()
 
 
 def test_lm_codes_are_prefix_free():
@@ -275,6 +382,25 @@ def test_lm_codes_are_prefix_free():
     paths = ["".join("01"[int(b)] for b in code.bits[i, : code.lengths[i]]) for i in range(6)]
     assert all(not a.startswith(b) for a in paths for b in paths if a is not b)
     assert sum(2.0 ** -len(p) for p in paths) == pytest.approx(1.0)
+    rng = np.random.default_rng(3)
+    weights, groups = np.concatenate([np.minimum(rng.zipf(1.4, 400), 10_000), [1 << 40, 1 << 39, 5]]), np.concatenate([rng.integers(0, 9, 400), [70, 70, 71]])
+    word, length, first, states = context_mixing._shannon(weights, groups)
+    for g in set(groups.tolist()):
+        own = np.flatnonzero(groups == g)
+        paths = [format(int(word[i]), "b").zfill(int(length[i])) if length[i] else "" for i in own]
+        assert all(not a.startswith(b) for a in paths for b in paths if a is not b)
+        total = weights[own].sum()
+        assert all(2.0 ** -length[i] <= weights[i] / total * 1.001 for i in own if weights[i] > 1)
+        # the states tell a member's share, up to their steps
+        for i, path in zip(own, paths):
+            logits = [((int(s) >> 2) - 32) / context_mixing.LOGIT_STEPS for s in states[first[i] : first[i] + length[i]]]
+            told = sum(math.log(1 / (1 + math.exp(-x if b == "1" else x))) for x, b in zip(logits, path))
+            assert told == pytest.approx(math.log(weights[i] / total), abs=0.3 + 0.15 * length[i])
+
+
+def test_lm_tables_grow_with_the_tokens():
+    sizes = [context_mixing.table_bits(n) for n in (0, 10**3, 10**6, 10**9, 10**12)]
+    assert sizes[0] == 16 and sizes == sorted(sizes) and sizes[4] - sizes[3] == 5
 
 
 def test_pipeline(spark, toxic, tmp_path):
