@@ -2,8 +2,8 @@
 
 A token is a short string of symbols, and a symbol a path of bits in a code: one symbol names a
 very frequent word, or else the group of a word's first bytes; a second one the group of its
-last bytes; a third one the word within both groups, where rarer words share one symbol. A rare
-word is then either one of the training rows' rare words, with its share of their counts, or a
+last bytes, or that it is a rare word; a third one a word that is not rare within both groups. A
+rare word is either one of the training rows' rare words, with its share of their counts, or a
 new one, spelled in bytes. Each bit has four predictors, tables of bit counts under hashed
 contexts. Their logits are combined by weights that a gate picks, by kind of symbol and by how
 much the longer contexts have seen. The weights start from a fit on held-back training rows;
@@ -57,8 +57,8 @@ LOGIT_STEPS = 3.2
 LOGITS = ((np.arange(256) >> 2) - 32).astype(np.float32) / np.float32(LOGIT_STEPS)
 #: The logit for the bit that came: by state, and 256 more for a one.
 TOWARDS = np.concatenate([-LOGITS, LOGITS])
-#: Tokens' weight of the common share of new words in the share of a group.
-NEW_WEIGHT = 4.0
+#: Rare words that the training rows' share of new ones counts for, beside a document's own.
+NEW_WEIGHT = 1.0
 #: Odd multipliers of the predictors' tables.
 ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 _START = np.array([0x243F6A8885A308D3], np.uint64)
@@ -67,7 +67,7 @@ _END = 0x13198A2E03707344
 
 def table_bits(tokens: int) -> int:
     """Bits of a predictor's slots: they grow as the square root of the tokens, as distinct words do at least."""
-    return max(16, round(math.log2(max(tokens, 1)) / 2 + 7.5))
+    return max(16, round(math.log2(max(tokens, 1)) / 2 + 8.5))
 
 
 def _huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,28 +185,32 @@ class Vocabulary:
         self.main[top], self.ending[top] = np.flatnonzero(top), -1
         self._index(n)
 
+    def firsts(self, affixes: np.ndarray) -> np.ndarray:
+        """Main symbols of words without one of their own."""
+        return (TOP + self._first[affixes >> np.uint32(16)]).astype(np.int16)
+
     def places(self, affixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(main symbol, ending) of words without a symbol of their own."""
-        return (TOP + self._first[affixes >> np.uint32(16)]).astype(np.int16), self._last[affixes & np.uint32(0xFFFF)].astype(np.int8)
+        return self.firsts(affixes), self._last[affixes & np.uint32(0xFFFF)].astype(np.int8)
+
+    def code(self, tokens: np.ndarray, once: int, held: int, end: int, byte_counts: np.ndarray) -> None:
+        """Makes the codes from the tokens of the rare words of each group of first bytes.
 
-    def code(self, rare: np.ndarray, end: int, byte_counts: np.ndarray) -> None:
-        """Makes the codes; rare: for each group its rare words' tokens, and those of words counted once, and of words counted up to once more than rare ones, which would be rare had they been left out once."""
-        tokens, once, held = rare
+        once: tokens of words counted once, which would be new had they been left out; held:
+        tokens of words that would then be rare, but known.
+        """
         own = self.ending >= 0
         group = group_of(self.main[own], self.ending[own])
-        code, length, path, self.paths = _shannon(np.concatenate([self.counts[own], np.maximum(tokens, 1)]), np.concatenate([group, np.arange(GROUPS)]))
         self.word, self.word_length, self.word_path = np.zeros(len(own), np.uint32), np.zeros(len(own), np.uint8), np.zeros(len(own), np.uint32)
-        self.word[own], self.word_length[own], self.word_path[own] = code[: len(group)], length[: len(group)], path[: len(group)]
-        self.rare, self.rare_length, self.rare_path = code[len(group) :].astype(np.uint32), length[len(group) :].astype(np.uint8), path[len(group) :].astype(np.uint32)
+        self.word[own], self.word_length[own], self.word_path[own], self.paths = _shannon(self.counts[own], group)
         main = np.bincount(self.main, self.counts, self.end + 1)
-        main[TOP:-1] += tokens.reshape(-1, ENDINGS).sum(axis=1)
+        main[TOP:-1] += tokens
         main[self.end] = end
-        ending = np.bincount(self.ending[own], self.counts[own], ENDINGS) + tokens.reshape(-1, ENDINGS).sum(axis=0)
+        ending = np.append(np.bincount(self.ending[own], self.counts[own], ENDINGS), tokens.sum())
         self.codes = {MAIN: Code.of(MAIN, main), ENDING: Code.of(ENDING, ending), BYTE: Code.of(BYTE, byte_counts)}
-        new = (once.sum() + 0.5) / (once.sum() + held.sum() + 1.0)
-        share = (once + NEW_WEIGHT * new) / (once + held + NEW_WEIGHT)
-        #: log10 of a rare word's being new, and of its being known, by the rare tokens of its group.
-        self.new, self.known = np.log10(share), np.log10(1 - share) - np.log10(np.maximum(tokens, 1))
+        #: The share of rare words that are new, and for each group of first bytes log10 of what one of its rare tokens is of them.
+        self.new = float((once + 0.5) / (once + held + 1.0))
+        self.known = -np.log10(np.maximum(tokens, 1))
 
     def _index(self, n: int) -> None:
         """An open-addressing table of ranks by the hash's top bits, filled in runs of words."""
@@ -305,7 +309,7 @@ class Tokens:
     symbols: list[Symbols]
     rare: np.ndarray  # the words that are rare
     rare_at: np.ndarray  # their tokens
-    rare_group: np.ndarray
+    rare_first: np.ndarray  # their groups of first bytes
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> Tokens:
@@ -323,9 +327,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) ->
     if len(vocabulary.main):
         main[at], ending[at], code[at], length[at], path[at] = (x[rank] for x in (vocabulary.main, vocabulary.ending, vocabulary.word, vocabulary.word_length, vocabulary.word_path))
     rare_at = at[rare]
-    main[rare_at], ending[rare_at] = vocabulary.places(_affixes(words, sizes, rare))
-    rare_group = group_of(main[rare_at], ending[rare_at])
-    code[rare_at], length[rare_at], path[rare_at] = vocabulary.rare[rare_group], vocabulary.rare_length[rare_group], vocabulary.rare_path[rare_group]
+    main[rare_at], ending[rare_at], length[rare_at] = vocabulary.firsts(_affixes(words, sizes, rare)), ENDINGS, 0
 
     def past(x: np.ndarray, back: int, fill: int) -> np.ndarray:
         out = np.full(n, fill, x.dtype)
@@ -336,7 +338,10 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) ->
         return out
 
     h1, h2 = past(hashes, 1, int(_START[0])), past(hashes, 2, int(_START[0]))
-    m1, m2, s1 = past(main, 1, vocabulary.end), past(main, 2, vocabulary.end), past(ending, 1, -1)
+    # as contexts rare words are a class of their own: where one stands, others follow
+    seen_main, seen_ending = main.copy(), ending.copy()
+    seen_main[rare_at], seen_ending[rare_at] = vocabulary.end + 1, -1
+    m1, m2, s1 = past(seen_main, 1, vocabulary.end), past(seen_main, 2, vocabulary.end), past(seen_ending, 1, -1)
     kind1 = (m1 * 64 + s1 + 1).astype(np.uint64)
     one, both = short(h1), short(mix(h1 + h2 * U(MIX2)))
     classes = short(mix(kind1 * U(512) + m2.astype(np.uint64)))
@@ -356,13 +361,13 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) ->
     byte = np.where(place < sizes[which], low[np.minimum(start + place, len(low) - 1)], 256)
     before = [np.where(place >= back, low[np.maximum(start + place - back, 0)], 257).astype(np.uint64) for back in (1, 2, 3, 4)]
     token = rare_at[which]
-    # the groups, coded before, tell a word's first two bytes and its last two
-    told = np.where(place < 2, main[token], vocabulary.end + 1 + ending[token]).astype(np.uint64)
-    two = ((before[0] + U(1)) * U(512) + before[1]) * U(1024) + np.where(place < 2, told, U(0))
+    # the group, coded before, tells a word's first two bytes
+    told = np.where(place < 2, main[token], 0).astype(np.uint64)
+    two = ((before[0] + U(1)) * U(512) + before[1]) * U(1024) + told
     three = two * U(512) + before[2]
-    near = [mix(two), mix(three + U(1)), mix(three * U(512) + before[3] + U(2)), mix((two * U(512) + told) * U(4) + U(3))]
+    near = [mix(two), mix(three + U(1)), mix(three * U(512) + before[3] + U(2)), mix((two * U(512) + m1[token].astype(np.uint64)) * U(4) + U(3))]
     symbols.append(Symbols(BYTE, token, [short(c) for c in near], byte, vocabulary.codes[BYTE]))
-    return Tokens(words, rank, first, symbols, rare, rare_at, rare_group)
+    return Tokens(words, rank, first, symbols, rare, rare_at, main[rare_at] - TOP)
 
 
 # ---- counting words --------------------------------------------------------------------------
@@ -423,19 +428,17 @@ def _packed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (word, n, affix.astype(np.uint32))], names=["word", "n", "affix"])
 
 
-def _rare_batches(shared, least: int):
-    """(group, of what, tokens) of words counted up to `least` times: 0 rare, 1 counted once, 2 rare if left out once, but known."""
+def _rare_batches(shared):
+    """(group of first bytes, tokens) of rare words (n, affix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
-        sums = np.zeros((3, GROUPS), np.int64)
+        sums = np.zeros(PREFIXES + OTHER, np.int64)
         for batch in batches:
             n, affix = (np.asarray(batch.column(c)) for c in ("n", "affix"))
-            group = group_of(*vocabulary.places(affix.astype(np.uint32)))
-            for k, part in enumerate((n < least, n == 1, n > 1)):
-                sums[k] += np.bincount(group, np.where(part, n, 0), GROUPS).astype(np.int64)
-        what, group = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(what), pa.array(sums[what, group])], names=["group", "what", "tokens"])
+            sums += np.bincount(vocabulary.firsts(affix.astype(np.uint32)) - TOP, n, len(sums)).astype(np.int64)
+        group = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(sums[group])], names=["group", "tokens"])
 
     return run
 
@@ -688,14 +691,15 @@ def learn(docs: DataFrame, remainder: Column, id_col: str = "doc_id", text_col:
     kept = [tuple(r) for r in counts.where(F.col("n") >= least).mapInArrow(_packed_batches, "word binary, n binary, affix binary").toLocalIterator()]
     vocabulary = Vocabulary(*(np.frombuffer(b"".join(r[i] for r in kept), kind) for i, kind in enumerate((np.uint64, np.int64, np.uint32))))
     del kept
-    rare = np.zeros((3, GROUPS), np.int64)
-    few = counts.where(F.col("n") <= least).select("n", "affix").mapInArrow(_rare_batches(spark.sparkContext.broadcast(vocabulary), least), "group long, what long, tokens long")
-    for group, what, n in few.groupBy("group", "what").agg(F.sum("tokens")).collect():
-        rare[what, group] = n
+    rare = np.zeros(PREFIXES + OTHER, np.int64)
+    few = counts.where(F.col("n") < least).select("n", "affix").mapInArrow(_rare_batches(spark.sparkContext.broadcast(vocabulary)), "group long, tokens long")
+    for group, n in few.groupBy("group").agg(F.sum("tokens")).collect():
+        rare[group] = n
+    once, held = counts.agg(F.count(F.when(F.col("n") == 1, 1)), F.coalesce(F.sum(F.when(F.col("n").between(2, least), F.col("n"))), F.lit(0))).first()
     spelled = np.zeros(257, np.int64)
     for byte, n in counted.where("byte").select("word", "n").collect():
         spelled[byte] = n
-    vocabulary.code(rare, end, spelled)
+    vocabulary.code(rare, once, held, end, spelled)
     shared = spark.sparkContext.broadcast(vocabulary)
     tokens = int(totals[0]) + end
     bits = table_bits(tokens)
@@ -743,8 +747,7 @@ def _score_batches(shared):
                 n_tokens = tokens.words.counts() + 1
                 n_known = np.bincount(owner[known], minlength=n) + (model.end_count > 0)
                 base = log_end + (np.bincount(owner[known], np.log10(model.vocabulary.counts[tokens.rank[known]] + 0.1), n) if known.any() else np.zeros(n))
-                group = tokens.rare_group
-                rare = pa.StructArray.from_arrays([pa.array(tokens.words.hashes[tokens.rare].view(np.int64)), pa.array(model.vocabulary.known[group]), pa.array(model.vocabulary.new[group] + spelled)], names=["word", "known", "new"])
+                rare = pa.StructArray.from_arrays([pa.array(tokens.words.hashes[tokens.rare].view(np.int64)), pa.array(model.vocabulary.known[tokens.rare_first]), pa.array(spelled)], names=["word", "known", "new"])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=n))]).astype(np.int32)
                 columns = [np.arange(row, row + n), batch.column(0).slice(i, n), batch.column(1).slice(i, n), np.diff(offsets), n_tokens.astype(np.int64), n_known.astype(np.int64), base, score]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(ends), rare)], names=["row", "doc_id", "fold", "n_bytes", "n_tokens", "n_known", "base", "score", "rare"])
@@ -770,8 +773,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = cut(own.mapInArrow(freeing(_score_batches(spark.sparkContext.broadcast(model))), SCHEMA))
     rare = rows.select("row", F.inline("rare")).join(counts.select("word", "n"), "word", "left")
     named = F.when(F.col("n").isNull(), F.col("new")).otherwise(F.col("known") + F.log10("n"))
-    found = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.count("n").alias("more_known"), F.sum(named).alias("named"))
-    out = rows.drop("rare").join(found, "row", "left").withColumn("score", F.col("score") + F.coalesce("named", F.lit(0.0)))
+    found = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.count("n").alias("more_known"), F.count("*").alias("n_rare"), F.sum(named).alias("named"))
+    # each rare word is new or known with the share of such among those before it in the document, and of the training rows
+    rising = lambda n, start: f"IF({n} > 0, aggregate(sequence(0L, {n} - 1), 0D, (s, i) -> s + log10(i + {start!r}D)), 0D)"
+    new = model.vocabulary.new * NEW_WEIGHT
+    told = F.expr(f"{rising('n_rare - more_known', new)} + {rising('more_known', NEW_WEIGHT - new)} - {rising('n_rare', NEW_WEIGHT)}")
+    out = rows.drop("rare").join(found, "row", "left").withColumn("score", F.col("score") + F.coalesce(F.col("named") + told, F.lit(0.0)))
     return out.select(
         "doc_id",
         (F.col("fold") == 0).alias("held_out"),

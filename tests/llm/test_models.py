@@ -276,10 +276,7 @@ def plain_events(model, text):
         elif rank >= 0:
             main, ending, code, length, path = (int(x[rank]) for x in (v.main, v.ending, v.word, v.word_length, v.word_path))
         else:
-            first, last = raw[:2].ljust(2, b"\0"), raw[-2:].rjust(2, b"\0")
-            main, ending = lm.TOP + int(v._first[int.from_bytes(first, "big")]), int(v._last[int.from_bytes(last, "big")])
-            group = (main - lm.TOP) * lm.ENDINGS + ending
-            code, length, path = int(v.rare[group]), int(v.rare_length[group]), int(v.rare_path[group])
+            main, ending, code, length, path = lm.TOP + int(v._first[int.from_bytes(raw[:2].ljust(2, b"\0"), "big")]), lm.ENDINGS, 0, 0, 0
         before = [*reversed(past), (int(lm._START[0]), v.end, -1), (int(lm._START[0]), v.end, -1)]
         (h1, m1, s1), (h2, m2, _) = before[:2]
         kind1 = m1 * 64 + s1 + 1
@@ -308,12 +305,11 @@ def plain_events(model, text):
         if w is not None and rank < 0:
             for i, byte in enumerate([*raw, 256]):
                 b = [raw[i - k] if i >= k else 257 for k in (1, 2, 3, 4)]
-                told = main if i < 2 else v.end + 1 + ending
-                two = ((b[0] + 1) * 512 + b[1]) * 1024 + (told if i < 2 else 0)
+                two = ((b[0] + 1) * 512 + b[1]) * 1024 + (main if i < 2 else 0)
                 three = two * 512 + b[2]
-                huffman(lm.BYTE, byte, [top(two), top(three + 1), top(three * 512 + b[3] + 2), top((two * 512 + told) * 4 + 3)])
-        past.append((h, main, ending))
-        tokens.append((symbols, h if w is not None and rank < 0 else None, (main - lm.TOP) * lm.ENDINGS + ending))
+                huffman(lm.BYTE, byte, [top(two), top(three + 1), top(three * 512 + b[3] + 2), top((two * 512 + m1) * 4 + 3)])
+        past.append((h, main, ending) if w is None or rank >= 0 else (h, v.end + 1, -1))
+        tokens.append((symbols, h if w is not None and rank < 0 else None, main - lm.TOP))
     return tokens
 
 
@@ -322,6 +318,7 @@ def plain_score(model, counts, text):
     lm, total = context_mixing, 0.0
     weights = [list(map(float, w)) for w in model.weights]
     tokens = plain_events(model, text)
+    new, known, prior = 0, 0, lm.NEW_WEIGHT
     for start in range(0, len(tokens), lm.BLOCK):
         moves = defaultdict(list)
         for symbols, h, group in tokens[start : start + lm.BLOCK]:
@@ -339,7 +336,9 @@ def plain_score(model, counts, text):
                         total += math.log10(p)
             if h is not None:
                 n = counts.get(h)
-                total += model.vocabulary.known[group] + math.log10(n) if n else model.vocabulary.new[group] + spelled
+                share = (new + prior * model.vocabulary.new) / (new + known + prior)
+                total += math.log10(1 - share) + math.log10(n) + model.vocabulary.known[group] if n else math.log10(share) + spelled
+                new, known = new + (not n), known + bool(n)
         for gate, rows in moves.items():
             for k in range(4):
                 weights[gate][k] += sum(r[k] for r in rows) / math.sqrt(len(rows))
