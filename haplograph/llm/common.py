@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, scratch, ship  # noqa: F401
+from ..session import cut, discard, scratch, ship  # noqa: F401
 
 #: Fixed odd multipliers of the polynomial hash and of the finishing mix.
 BASE = 0x9E3779B97F4A7C15

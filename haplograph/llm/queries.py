@@ -13,43 +13,53 @@ from .common import table
 
 
 def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes; equal texts share a shard."""
     shards = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact histogram of encoded lengths of all documents, with its suffix sums."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set's size, its component under links of similarity 0.8 over two words, and whether it stays."""
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
 def op4_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, count and digest of ids, read back from the coded files; end id 2."""
     return rangecoder.round_trip(table(spark, sf_dir, "documents"), end_id=2)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words, hit words and benchmark items whose windows it holds."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with end id 1, in sequences of at most 2048 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), end_id=1)
 
 
 def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under the model of the documents outside remainder 0, beside the smoothed unigram's."""
     return context_mixing.score(table(spark, sf_dir, "documents"))
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and that of its edited text, with their likeness and that to the next document."""
     return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op9_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a network that learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=toxicity.held_out_fold(F.col("doc_id")))
     scored = toxicity.score(docs, net)

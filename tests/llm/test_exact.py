@@ -301,3 +301,18 @@ def test_fingerprint_bins(spark):
     same = lambda x, y: len(set(sig[x]) & set(sig[y]))
     assert same(0, 2) > 0.8 * len(sig[0]) and same(0, 1) < 0.2 * len(sig[0])
     assert len(sig[3]) == 1 and len(sig[4]) > 1
+
+
+def test_packing_null_and_repeated_ids(spark, plain):
+    rows = [(None, "a b"), (7, "a b"), (7, "a b"), (7, "c"), (None, None)]
+    pieces = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = sorted(((-1 if i is None else i), len(plain(t)) + 1) for i, t in rows)
+    assert sorted(((-1 if p.doc_id is None else p.doc_id), p.doc_tokens) for p in pieces if p.start == 0) == want
+    assert sum(p.length for p in pieces) == sum(n for _, n in want)
+
+
+def test_token_counts_with_clashing_columns(docs, clashing, plain, rows):
+    want = sorted(len(plain(t)) for _, t, *_ in rows)
+    for source in (docs, clashing):
+        table = token_counts.token_counts(source).collect()
+        assert sorted(x for r in table for x in [r.n_tokens] * r.n_docs) == want
