@@ -44,7 +44,7 @@ BLOCK, RATE = 128, 0.05
 #: Newton steps of the first fit, and its pull towards equal weights.
 FIT_STEPS, FIT_RIDGE = 8, 20.0
 #: Held-back training rows (remainder 9) from which the fit to all of them starts, and the move at which it ends.
-FIT_ROWS, FIT_MOVE = 256, 0.05
+FIT_ROWS, FIT_MOVE = 512, 0.1
 STEP_BYTES = 1 << 18
 #: Words that a task counts before it passes the counts on.
 COUNT_FLUSH = 1 << 22
@@ -383,6 +383,12 @@ def _affixes(words: Words, lengths: np.ndarray, at: np.ndarray | slice) -> np.nd
     return (first << np.uint32(16)) | last
 
 
+def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order that brings equal hashes together, where each run begins in it)."""
+    order = np.argsort(hashes)
+    return order, np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, and with the affix -1 how often each byte, and the end of a word (256), occurs in the distinct words of each run."""
     spelled = np.zeros(257, np.int64)
@@ -390,9 +396,9 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     size = 0
 
     def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = np.concatenate([x[0] for x in held])
-        value, at, back = np.unique(h, return_index=True, return_inverse=True)
-        return value, np.bincount(back, np.concatenate([x[1] for x in held])).astype(np.int64), np.concatenate([x[2] for x in held])[at]
+        h, n, affix = (np.concatenate([x[i] for x in held]) for i in range(3))
+        order, first = _runs(h)
+        return h[order[first]], np.add.reduceat(n[order], first), affix[order[first]]
 
     def row(x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2])], names=["word", "n", "affix"])
@@ -402,13 +408,14 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             words = Words(data, offsets, SPACED)
             if not len(words.hashes):
                 continue
-            value, at, many = np.unique(words.hashes, return_index=True, return_counts=True)
-            held.append((value, many, _affixes(words, words.lengths(), at).astype(np.int64)))
+            order, first = _runs(words.hashes)
+            at, many = order[first], np.diff(first, append=len(order))
+            held.append((words.hashes[at], many, _affixes(words, words.lengths(), at).astype(np.int64)))
             fresh = np.zeros(len(words.hashes), bool)
             fresh[at] = True
             spelled[:256] += np.bincount(words.low[words.word][np.repeat(fresh, words.lengths())], minlength=256)
             spelled[256] += len(at)
-            size += len(value)
+            size += len(at)
             if size > COUNT_FLUSH:
                 held[:] = [merged()]
                 size = len(held[0][0])
@@ -624,13 +631,13 @@ def score_run(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         one = bit.astype(np.int64) << 8
         x = [TOWARDS.take(one + state) for state in states]
         first = model.weights[own.kind * KIND_GATES : (own.kind + 1) * KIND_GATES].astype(np.float32)
-        into = (rare_number[own.token] if own.kind == BYTE else doc)[event]
+        into = rare_number[own.token][event] if own.kind == BYTE else None  # else the cell tells the document
         _mixed_online(x, cell, into, np.tile(first.T, (1, n_docs)), edge, spelled if own.kind == BYTE else out)
     return out / math.log(2), spelled / math.log(2)
 
 
-def _mixed_online(x: list[np.ndarray], cell: np.ndarray, into: np.ndarray, weights: np.ndarray, edge: np.ndarray, out: np.ndarray) -> None:
-    """Adds the natural log probability of each bit to out[into]; x: logits turned so that positive speaks for the bit that came."""
+def _mixed_online(x: list[np.ndarray], cell: np.ndarray, into: np.ndarray | None, weights: np.ndarray, edge: np.ndarray, out: np.ndarray) -> None:
+    """Adds the natural log probability of each bit to out[into], or out of its cell's document; x: logits turned so that positive speaks for the bit that came."""
     cells = weights.shape[1]
     last = int(edge[-1])
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -642,8 +649,9 @@ def _mixed_online(x: list[np.ndarray], cell: np.ndarray, into: np.ndarray, weigh
             z += x[k][a:b] * weights[k].take(at)
         np.clip(z, -14, 14, out=z)
         odds = np.exp(-z)  # of the bit that did not come
-        low = int(into[a])  # documents, and rare words, come in order
-        part = np.bincount(into[a:b] - low, np.log(1 + odds))
+        own = at // KIND_GATES if into is None else into[a:b]
+        low = int(own[0])  # documents, and rare words, come in order
+        part = np.bincount(own - low, np.log(1 + odds))
         out[low : low + len(part)] -= part
         if b == last:
             break
