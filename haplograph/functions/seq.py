@@ -11,6 +11,11 @@ def revcomp(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGT", "TGCA"))
 
 
+def reversed_quality(qual: Column) -> Column:
+    """The qualities of the reverse complement."""
+    return F.reverse(qual)
+
+
 def phred(qual: Column, at: Column) -> Column:
     """Quality score at a 0-based place of a Phred+33 string."""
     return F.ascii(F.substr(qual, at + 1, F.lit(1))) - 33

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import dense_rank_of
+
 #: Order in which equal posteriors are decided.
 TIE_ORDER = "ATCG"
 
@@ -86,7 +88,7 @@ def lineage_reversed(subreads: DataFrame, lengths: DataFrame) -> DataFrame:
 def assign_new_ids(rows: DataFrame) -> DataFrame:
     """Adds new_id: dense from 0 by kind (s singles, t trivials, p pairs), then old id."""
     kind = F.expr("CASE kind WHEN 's' THEN 0 WHEN 't' THEN 1 ELSE 2 END")
-    return rows.withColumn("new_id", (F.row_number().over(Window.orderBy(kind, "read_id")) - 1).cast("long"))
+    return dense_rank_of(rows.withColumn("_kind", kind).orderBy("_kind", "read_id"), "new_id").drop("_kind")
 
 
 def mate_merge(pairs: DataFrame, least: int = 15, most: int = 59, threshold: float = 0.99) -> DataFrame:

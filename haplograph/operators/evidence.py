@@ -70,6 +70,12 @@ def unique_evidence(rows: DataFrame) -> DataFrame:
     return named.join(counted, ["component", "v1", "v2"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
 
 
+def best_supported(support: DataFrame) -> DataFrame:
+    """(component, v1, v2, support): the edge of most support in each component, the least by its ends among equals."""
+    best = F.max(F.struct("support", (-F.col("v1")).alias("a"), (-F.col("v2")).alias("b"))).alias("best")
+    return support.groupBy("component").agg(best).select("component", (-F.col("best.a")).alias("v1"), (-F.col("best.b")).alias("v2"), "best.support")
+
+
 def resolve(support: DataFrame, distance: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(component, v1, v2, verdict): keep, remove (support below the threshold of the distance) or skip (no threshold).
 

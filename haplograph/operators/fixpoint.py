@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, discard
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         large = both.join(_least(both), "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v")))
-        now = cut(small.distinct())
+        old, now = now, cut(small.distinct())
+        discard(old)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             named = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
@@ -61,25 +62,79 @@ def orientation_labels(edges: DataFrame) -> DataFrame:
     return both.select("node", F.expr("least(p, m) div 2").alias("component"), (F.col("p") > F.col("m")).alias("flipped"), (F.col("p") == F.col("m")).alias("conflict"))
 
 
+def spanning_labels(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(node, component, flipped): labels along a forest of the best edges (v1, v2, same_ori, score).
+
+    Where no labelling satisfies all edges, the better edges decide: in each round every tree
+    takes its best edge to another tree, equal scores in order of the ends, and labels follow
+    the trees. About log(n) rounds; edges that disagree with the labels are the ones to drop.
+    """
+    own = cut(edges.select(F.struct("score", (-F.least("v1", "v2")).alias("a"), (-F.greatest("v1", "v2")).alias("b"), "same_ori").alias("e"), "v1", "v2", "same_ori").where("v1 <> v2"))
+    nodes = cut(own.select(F.col("v1").alias("node")).unionAll(own.select("v2")).distinct())
+    labels = nodes.select("node", F.col("node").alias("component"), F.lit(False).alias("flipped"))
+    forest: list[DataFrame] = []
+    for _ in range(rounds):
+        c = labels.select("node", "component")
+        cross = cut(own.join(c.withColumnsRenamed({"node": "v1", "component": "c1"}), "v1").join(c.withColumnsRenamed({"node": "v2", "component": "c2"}), "v2").where("c1 <> c2"))
+        if cross.isEmpty():
+            return labels
+        best = cross.select(F.col("c1").alias("c"), "e").unionAll(cross.select("c2", "e")).groupBy("c").agg(F.max("e").alias("e"))
+        forest.append(cut(best.select((-F.col("e.a")).alias("v1"), (-F.col("e.b")).alias("v2"), F.col("e.same_ori").alias("same_ori")).distinct()))
+        tree = own.sparkSession.read.schema(forest[0].schema).parquet(*(f._cut_path for f in forest)).distinct()
+        found = orientation_labels(tree).select("node", "component", "flipped")
+        alone = nodes.join(found, "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(False).alias("flipped"))
+        labels = cut(found.unionAll(alone))
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+
+
+#: Rounds after which a greedy loop gives the rest, if it has at most REST_ROWS rows, to one pass in order.
+ROUNDS, REST_ROWS = 12, 1 << 20
+
+
+def _matched_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    used: set[int] = set()
+    out = []
+    for a, b in pdf.sort_values(["v1", "rank", "v2"])[["v1", "v2"]].itertuples(index=False):
+        if a not in used and b not in used:
+            used.update((a, b))
+            out.append((a, b))
+    return pd.DataFrame(out, columns=["v1", "v2"], dtype=np.int64)
+
+
 def greedy_matching(edges: DataFrame) -> DataFrame:
     """(v1, v2) of the matching that takes edges in order (v1, rank) whenever both ends are free.
 
     Each round takes the edges that come first at both their ends, which the sequential pass
-    would take too, and drops all edges at the ends of those.
+    would take too, and drops all edges at the ends of those. Chains of edges in increasing
+    order would take a round for each; so after ROUNDS the rest, once it is small, is matched in
+    order, each of its components on its own.
     """
     now = cut(edges.select("v1", "v2", "rank"))
-    taken = now.select("v1", "v2").limit(0)
+    taken, step = [], 0
     while not now.isEmpty():
+        step += 1
+        if step > ROUNDS and now.count() <= REST_ROWS:
+            named = connected_components(now.select(F.col("v1").alias("u"), F.col("v2").alias("v")))
+            rest = now.join(named.withColumnRenamed("node", "v1"), "v1")
+            taken.append(cut(rest.groupBy("component").applyInPandas(_matched_in_order, "v1 long, v2 long")))
+            break
         order = F.struct("v1", "rank", "v2")
         ends = now.select(F.col("v1").alias("x"), order.alias("o")).union(now.select(F.col("v2").alias("x"), order.alias("o")))
         first = ends.groupBy("x").agg(F.min("o").alias("o"))
         a = first.select(F.col("x").alias("v1"), F.col("o").alias("oa"))
         b = first.select(F.col("x").alias("v2"), F.col("o").alias("ob"))
         won = cut(now.join(a, "v1").join(b, "v2").where((F.col("oa") == F.struct("v1", "rank", "v2")) & (F.col("ob") == F.struct("v1", "rank", "v2"))).select("v1", "v2"))
-        taken = taken.union(won)
+        taken.append(won)
         gone = won.select(F.explode(F.array("v1", "v2")).alias("x")).distinct()
-        now = cut(now.join(gone.withColumnRenamed("x", "v1"), "v1", "left_anti").join(gone.withColumnRenamed("x", "v2"), "v2", "left_anti").select("v1", "v2", "rank"))
-    return taken
+        old, now = now, cut(now.join(gone.withColumnRenamed("x", "v1"), "v1", "left_anti").join(gone.withColumnRenamed("x", "v2"), "v2", "left_anti").select("v1", "v2", "rank"))
+        discard(old)
+    return _together(taken, edges.select("v1", "v2"))
+
+
+def _together(parts: list[DataFrame], like: DataFrame) -> DataFrame:
+    """The rows of all parts, read in one scan of their folders."""
+    paths = [p._cut_path for p in parts]
+    return like.sparkSession.read.schema(like.schema).parquet(*paths) if paths else like.limit(0)
 
 
 def _cliques_of_root(pdf: pd.DataFrame) -> Iterator[tuple[int, list[int]]]:
@@ -188,18 +243,41 @@ def first_choice(pairs: DataFrame) -> DataFrame:
     pairs: (node, neighbour), both directions, a null neighbour for a lone node.
     """
     now = cut(pairs.distinct())
-    kept = now.select("node").limit(0)
+    kept, step = [], 0
     while not now.isEmpty():
+        step += 1
+        if step > ROUNDS and now.count() <= REST_ROWS:
+            kept.append(cut(_chosen_in_order(now)))
+            break
         least = now.groupBy("node").agg(F.min("neighbour").alias("m"))
         won = cut(least.where("m IS NULL OR node < m").select("node"))
-        kept = kept.union(won)
+        kept.append(won)
         lost = now.join(won.withColumnRenamed("node", "neighbour"), "neighbour", "left_semi").select("node").distinct()
         gone = won.union(lost)
         left = now.join(gone, "node", "left_anti")
         names = left.select("node").distinct()
         edges = left.join(gone.withColumnRenamed("node", "neighbour"), "neighbour", "left_anti").select("node", "neighbour")
-        now = cut(names.join(edges, "node", "left").select("node", "neighbour").distinct())
-    return kept
+        old, now = now, cut(names.join(edges, "node", "left").select("node", "neighbour").distinct())
+        discard(old)
+    return _together(kept, pairs.select("node"))
+
+
+def _chosen_in_order(pairs: DataFrame) -> DataFrame:
+    """first_choice of a small rest in one pass, in one task."""
+    kind = dict(pairs.dtypes)["node"]
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for a, b in zip(pdf["node"], pdf["neighbour"]):
+            near.setdefault(a, []).append(b)
+        out: set = set()
+        for node in sorted(near):
+            if not any(b in out for b in near[node] if b != node):
+                out.add(node)
+        return pd.DataFrame({"node": sorted(out)})
+
+    whole = pairs.select(F.lit(0).alias("all"), "node", F.coalesce("neighbour", "node").alias("neighbour"))  # a lone node, without nulls
+    return whole.groupBy("all").applyInPandas(choose, f"node {kind}")
 
 
 def ranked(edges: DataFrame) -> DataFrame:

@@ -6,29 +6,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut, discard
 
 def without(edges: DataFrame, removed: DataFrame) -> DataFrame:
     """Edges that are not among removed (v1, v2)."""
     return edges.join(removed.select("v1", "v2"), ["v1", "v2"], "left_anti")
 
 
+def _pairs(edges: DataFrame) -> DataFrame:
+    return cut(edges.select("v1", "v2").distinct())
+
+
+def _transitive_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs u -> v for which some w has u -> w and w -> v.
+
+    A pair looks at u's out-neighbours or at v's in-neighbours, whichever are fewer, so that a
+    hub's edges do not meet one another.
+    """
+    out = pairs.groupBy("v1").agg(F.count("*").alias("n_out"))
+    into = pairs.groupBy("v2").agg(F.count("*").alias("n_in"))
+    e = pairs.join(out, "v1").join(into, "v2")
+    near = pairs.select("v1", F.col("v2").alias("w"))
+    ahead = e.where("n_out <= n_in").select("v1", "v2").join(near, "v1").where("w <> v2").join(pairs.select(F.col("v1").alias("w"), "v2"), ["w", "v2"], "left_semi")
+    near = pairs.select("v2", F.col("v1").alias("w"))
+    behind = e.where("n_out > n_in").select("v1", "v2").join(near, "v2").where("w <> v1").join(pairs.select("v1", F.col("v2").alias("w")), ["v1", "w"], "left_semi")
+    return cut(ahead.select("v1", "v2").unionAll(behind.select("v1", "v2")).distinct())
+
+
+def _transitive_of_order(edges: DataFrame, order: int) -> DataFrame:
+    pairs = _pairs(edges)
+    for _ in range(order):
+        before, pairs = pairs, _transitive_pairs(pairs)
+        discard(before)
+    return pairs
+
+
 def transitive_edges(edges: DataFrame) -> DataFrame:
     """Edges u -> v for which some w has u -> w and w -> v."""
-    pairs = edges.select("v1", "v2").distinct()
-    hop = pairs.select(F.col("v1"), F.col("v2").alias("w")).join(pairs.select(F.col("v1").alias("w"), "v2"), "w").select("v1", "v2")
-    return edges.join(hop, ["v1", "v2"], "left_semi")
+    return transitive_of_order(edges, 1)
 
 
 def transitive_of_order(edges: DataFrame, order: int) -> DataFrame:
     """Edges that stay transitive when the transitive subgraph is taken `order` times."""
-    out = edges
-    for _ in range(order):
-        out = transitive_edges(out)
-    return out
+    return edges.join(_transitive_of_order(edges, order), ["v1", "v2"], "left_semi") if order else edges
 
 
 def transitive_reduction(edges: DataFrame, order: int = 1) -> DataFrame:
-    return without(edges, transitive_of_order(edges, order))
+    return without(edges, _transitive_of_order(edges, order))
 
 
 def weak_branch_edges(edges: DataFrame) -> DataFrame:
@@ -110,6 +134,18 @@ def complement(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return pairs.join(edges.select("u", "v"), ["u", "v"], "left_anti")
 
 
+def dense_rank_of(ordered: DataFrame, name: str, first: int = 0) -> DataFrame:
+    """Adds name: the place of each row of a sorted DataFrame, from `first`, without gathering the rows in one task.
+
+    Sorting leaves ranges in order over the partitions, so that a row's place is its place in the
+    partition and the sizes of those before; a row for each partition comes together for that.
+    """
+    own = cut(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = own.groupBy("_part").agg(F.min("_at").alias("_least"), F.count("*").alias("_n")).select("_part", "_least", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return own.join(base, "_part").withColumn(name, (F.col("_base") + F.col("_at") - F.col("_least") + first).cast("long")).select(*ordered.columns, name)
+
+
 def adjacency_rank(edges: DataFrame) -> DataFrame:
     """Adds rank: out-edges of a vertex by (non-overlapping length, v2), from 0."""
     w = Window.partitionBy("v1").orderBy("nonoverlap", "v2")
@@ -158,6 +194,7 @@ def kcore(edges: DataFrame, k: int, cut) -> DataFrame:
         m = after.count()
         if m == n:
             break
+        discard(now)
         now, n = after, m
     return now
 
@@ -172,6 +209,20 @@ def degeneracy(edges: DataFrame, cut) -> int:
         k += 1
 
 
+def degeneracy_order(edges: DataFrame, cut) -> DataFrame:
+    """(v, core, place): the vertices of undirected edges (u, v) by core number, then id, from place 0."""
+    ends = lambda e: e.select(F.col("u").alias("v")).unionAll(e.select("v")).distinct()
+    now, k, found = cut(edges.select("u", "v").distinct()), 1, None
+    while not now.isEmpty():
+        inner = kcore(now, k + 1, cut)
+        peeled = cut(ends(now).join(ends(inner), "v", "left_anti").withColumn("core", F.lit(k)))
+        found = peeled if found is None else found.unionAll(peeled)
+        now, k = inner, k + 1
+    if found is None:
+        found = ends(now).withColumn("core", F.lit(0))
+    return dense_rank_of(found.orderBy("core", "v"), "place")
+
+
 def cyclic_core(edges: DataFrame, cut) -> DataFrame:
     """Directed edges (u, v) left when vertices without in-edges or without out-edges are peeled off.
 

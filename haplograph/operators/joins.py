@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.seq import revcomp
+
 
 def binned_range_join(intervals: DataFrame, points: DataFrame, low: Column, high: Column, point: Column, width: int, on: list[str] | None = None, extra: Column | None = None) -> DataFrame:
     """Pairs of an interval and a point with low <= point <= high, and equal columns `on`.
@@ -44,9 +46,12 @@ def suffix_prefix(reads: DataFrame, min_len: int) -> DataFrame:
     The first min_len bases of read 2 seed an equi-join with all substrings of read 1.
     """
     own = reads.select("read_id", "seq")
-    right = own.where(F.length("seq") >= min_len).select(F.col("read_id").alias("id2"), F.col("seq").alias("seq2"), F.substring("seq", 1, min_len).alias("kmer"))
-    left = kmers(own, min_len).join(own, "read_id").select(F.col("read_id").alias("id1"), "at", "kmer", F.col("seq").alias("seq1"))
-    both = left.join(right, "kmer").where("id1 <> id2").withColumn("len", F.least(F.length("seq1") - F.col("at"), F.length("seq2")))
+    right = own.where(F.length("seq") >= min_len).select(F.col("read_id").alias("id2"), F.substring("seq", 1, min_len).alias("kmer"))
+    # ids alone meet in the seeds; sequences join what they find
+    left = kmers(own, min_len).select(F.col("read_id").alias("id1"), "at", "kmer")
+    found = left.join(right, "kmer").where("id1 <> id2").select("id1", "id2", "at")
+    both = found.join(own.withColumnsRenamed({"read_id": "id1", "seq": "seq1"}), "id1").join(own.withColumnsRenamed({"read_id": "id2", "seq": "seq2"}), "id2")
+    both = both.withColumn("len", F.least(F.length("seq1") - F.col("at"), F.length("seq2")))
     both = both.where(F.expr("substring(seq1, at + 1, len) = substring(seq2, 1, len)")).where("at > 0 OR id1 < id2")
     return both.select("id1", "id2", F.col("at").cast("long").alias("pos"), F.col("len").cast("long").alias("len"))
 
@@ -69,6 +74,36 @@ def suffix_prefix_approx(reads: DataFrame, min_len: int, mismatches: int) -> Dat
     return found.withColumn("mm", mm).where(F.col("mm") <= mismatches).where("pos > 0 OR id1 < id2").select("id1", "id2", F.col("pos").cast("long"), F.col("len").cast("long"), F.col("mm").cast("long"))
 
 
+def both_strands(reads: DataFrame) -> DataFrame:
+    """(read_id, seq): each read under 2 * read_id, and its reverse complement under the next number."""
+    own = reads.select("read_id", "seq")
+    return own.select((F.col("read_id") * 2).alias("read_id"), "seq").unionAll(own.select((F.col("read_id") * 2 + 1).alias("read_id"), revcomp(F.col("seq")).alias("seq")))
+
+
+def stranded_overlaps(reads: DataFrame, min_len: int, mismatches: int = 0, inclusions: bool = True) -> DataFrame:
+    """(id1, id2, ori1, ori2, pos, len, mm): overlaps of reads and of reverse complements, each once.
+
+    The same overlap seen from the other strand has both reads turned and may have them in the
+    other order; of the two views the one with fewer turned reads, then of the least ids, stays.
+    Reads do not overlap themselves. Without inclusions, overlaps in which one read lies wholly
+    within the other are left out.
+    """
+    lengths = reads.select("read_id", F.length("seq").cast("long").alias("n"))
+    o = suffix_prefix_approx(both_strands(reads), min_len, mismatches)
+    o = o.withColumns({"a": F.expr("id1 div 2"), "b": F.expr("id2 div 2")}).where("a <> b")
+    o = o.join(lengths.withColumnsRenamed({"read_id": "a", "n": "n1"}), "a").join(lengths.withColumnsRenamed({"read_id": "b", "n": "n2"}), "b")
+    beyond = F.col("pos") + F.col("n2") - F.col("n1")  # by how much the second read ends after the first
+    if not inclusions:
+        o = o.where((F.col("pos") > 0) & (beyond > 0))
+    turned = lambda v: v.bitwiseXOR(F.lit(1))
+    view = lambda x, y, pos: F.struct((x % 2 + y % 2).alias("turns"), (x % 2).alias("s1"), x.alias("x"), y.alias("y"), pos.cast("long").alias("pos"))
+    x, y = turned(F.col("id1")), turned(F.col("id2"))
+    other = F.when(beyond > 0, view(y, x, beyond)).when(beyond < 0, view(x, y, -beyond)).otherwise(view(F.least(x, y), F.greatest(x, y), F.lit(0)))
+    best = o.select(F.least(view(F.col("id1"), F.col("id2"), F.col("pos")), other).alias("v"), "len", "mm").distinct()
+    ori = lambda c: F.when(F.col(c) % 2 == 0, "+").otherwise("-")
+    return best.select(F.expr("v.x div 2").alias("id1"), F.expr("v.y div 2").alias("id2"), ori("v.x").alias("ori1"), ori("v.y").alias("ori2"), "v.pos", "len", "mm")
+
+
 def interval_overlaps(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], width: int) -> DataFrame:
     """Pairs of overlapping closed intervals; each pair is found in the first bin that both touch."""
     l = left.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(a[0]) / width), F.floor(F.col(a[1]) / width))))

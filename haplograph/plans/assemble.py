@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import seq as S
 from ..operators import analysis, consensus, fixpoint, induce, joins, overlap
 from ..operators import graph as G
 from ..session import cut
@@ -33,6 +34,26 @@ def first_state(reads: DataFrame, overlaps: DataFrame) -> State:
     return State(cut(reads.select("read_id", "seq", "qual")), cut(overlaps.select("id1", "id2", "pos", "len")), cut(own))
 
 
+def oriented(reads: DataFrame, overlaps: DataFrame) -> tuple[State, DataFrame]:
+    """(first state with all reads on one strand, (read_id, flipped)).
+
+    overlaps (id1, id2, ori1, ori2, pos, len), as joins.stranded_overlaps() gives them. Reads are
+    turned as the labels of their component say, overlaps that disagree with the labels go, and
+    those seen from the other strand are turned round.
+    """
+    o = cut(overlaps.select("id1", "id2", "ori1", "ori2", "pos", "len"))
+    labels = fixpoint.spanning_labels(o.select(F.col("id1").alias("v1"), F.col("id2").alias("v2"), (F.col("ori1") == F.col("ori2")).alias("same_ori"), F.col("len").alias("score")))
+    flips = cut(reads.select("read_id").join(labels.select(F.col("node").alias("read_id"), "flipped"), "read_id", "left").select("read_id", F.coalesce("flipped", F.lit(False)).alias("flipped")))
+    turned = reads.join(flips, "read_id").select("read_id", F.when(F.col("flipped"), S.revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.when(F.col("flipped"), S.reversed_quality(F.col("qual"))).otherwise(F.col("qual")).alias("qual"))
+    side = flips.join(reads.select("read_id", F.length("seq").cast("long").alias("n")), "read_id")
+    o = o.join(side.withColumnsRenamed({"read_id": "id1", "flipped": "f1", "n": "n1"}), "id1").join(side.withColumnsRenamed({"read_id": "id2", "flipped": "f2", "n": "n2"}), "id2")
+    back1, back2 = (F.col("ori1") == "-") != F.col("f1"), (F.col("ori2") == "-") != F.col("f2")
+    o = o.where(back1 == back2).withColumns({"back": back1, "beyond": F.col("pos") + F.col("n2") - F.col("n1")})
+    swap = F.col("back") & ((F.col("beyond") > 0) | ((F.col("beyond") == 0) & (F.col("id2") < F.col("id1"))))
+    one = o.select(F.when(swap, F.col("id2")).otherwise(F.col("id1")).alias("id1"), F.when(swap, F.col("id1")).otherwise(F.col("id2")).alias("id2"), F.when(F.col("back"), F.abs("beyond")).otherwise(F.col("pos")).cast("long").alias("pos"), F.col("len").cast("long").alias("len"))
+    return first_state(turned, one), flips
+
+
 def _edges(state: State, cfg: Config) -> tuple[DataFrame, DataFrame]:
     """(edges, nonedges) of the overlaps that pass length and share, scored and classified, the best of each pair."""
     lengths = state.reads.select("read_id", F.length("seq").alias("n"))

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import analysis, assembly, consensus, formats, graphs, overlaps, scalars  # noqa: E402, F401
+from . import analysis, assembly, consensus, files, formats, graphs, overlaps, scalars  # noqa: E402, F401

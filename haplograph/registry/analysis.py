@@ -41,7 +41,11 @@ def freq_tpm(spark, sf):
     return A.tpm_frequencies(p, 1000).select("target_id", F.round("frequency", 9).alias("frequency")).orderBy(F.desc("frequency"))
 
 
-@query()
+_EM = ", ".join(f"""w{i} AS MATERIALIZED (SELECT read, target, rho / length AS w FROM h JOIN r{i} USING (target)), z{i} AS MATERIALIZED (SELECT read, sum(w) AS z FROM w{i} GROUP BY 1),
+    r{i + 1} AS MATERIALIZED (SELECT target, sum(w / z) / (SELECT count(DISTINCT read) FROM h) AS rho FROM w{i} JOIN z{i} USING (read) GROUP BY 1)""" for i in range(20))
+
+
+@query(with_tables("lineage", f"h AS MATERIALIZED (SELECT DISTINCT orig_id AS read, read_id % 50 AS target, 500 + (read_id % 50) * 10 AS length FROM lineage), r0 AS (SELECT DISTINCT target, CAST(1 AS DOUBLE) AS rho FROM h), {_EM}", "SELECT target, round(rho * (SELECT count(DISTINCT read) FROM h), 4) AS est_count FROM r20"))
 def em_abundance(spark, sf):
     hits = lineage(spark, sf).select(F.col("orig_id").alias("read"), (F.col("read_id") % 50).alias("target")).distinct()
     lengths = hits.select("target").distinct().withColumn("length", F.expr("500 + target * 10"))

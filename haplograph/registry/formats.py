@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..fixtures import graph, links, mates, mixed, plain_overlaps, reads, sam, table, variants, with_tables
 from ..operators import analysis
+from ..operators.graph import dense_rank_of
 from ..session import scratch
 from ..sources import text as src
 from . import query
@@ -46,12 +47,12 @@ def id_remap(spark, sf):
 @query(with_tables("reads", "k AS (SELECT read_id, CASE WHEN read_id % 3 = 0 THEN 1 ELSE 0 END AS paired FROM reads)", "SELECT read_id, paired, row_number() OVER (ORDER BY paired, read_id) - 1 AS vertex FROM k"))
 def dense_vertex_ids(spark, sf):
     k = reads(spark, sf).select("read_id", F.expr("IF(read_id % 3 = 0, 1, 0)").alias("paired"))
-    return k.withColumn("vertex", (F.row_number().over(Window.orderBy("paired", "read_id")) - 1).cast("long"))
+    return dense_rank_of(k.orderBy("paired", "read_id"), "vertex")
 
 
 @query(with_tables("reads", "", "SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 + 5000 AS new_id FROM reads"))
 def rename_ids(spark, sf):
-    return reads(spark, sf).select("read_id", (F.row_number().over(Window.orderBy("read_id")) - 1 + 5000).cast("long").alias("new_id"))
+    return dense_rank_of(reads(spark, sf).select("read_id").orderBy("read_id"), "new_id", 5000)
 
 
 @query(with_tables("mixed", "", "SELECT id1, id2, pos1, pos2, ord, ori1, ori2, perc1, perc2, len1, len2, type1, type2 FROM mixed"))

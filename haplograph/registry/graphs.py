@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import arcs, edges, graph, links, mixed, reads, scored, table, with_tables
 from ..operators import evidence, fixpoint
 from ..operators import graph as G
+from ..session import cut
 from . import query
 from .scalars import _POS34, _reversed
 
@@ -87,7 +88,7 @@ def dup_edges(spark, sf):
 
 @query(with_tables("graph", _T1, "SELECT v1, v2, pos, len FROM graph EXCEPT SELECT v1, v2, pos, len FROM t1"))
 def edge_removal(spark, sf):
-    g = graph(spark, sf).persist()
+    g = cut(graph(spark, sf))
     return G.without(g, G.transitive_edges(g)).select("v1", "v2", "pos", "len")
 
 

@@ -45,11 +45,16 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    It lies in spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary folder serves.
+    It lies in spark.checkpoint.dir. Only a local session, as in tests, may leave that unset: then
+    a temporary folder serves, which goes with the process.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='haplograph_')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="haplograph_")
+        atexit.register(shutil.rmtree, folder, True)
+        top = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/cut_{uuid.uuid4().hex}"
 
@@ -58,4 +63,15 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The same rows, written to the shared folder and read back: ends the lineage and survives lost executors."""
     path = scratch(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the folder of a DataFrame that cut() gave and that nothing reads any more; others are left alone."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -3,7 +3,7 @@
 import random
 
 from haplograph.config import Config
-from haplograph.operators import joins
+from haplograph.operators import fixpoint, joins
 from haplograph.plans import assemble as A
 
 
@@ -42,3 +42,23 @@ def test_regions(spark):
     a = spark.createDataFrame([(i, i * 5, i * 5 + 59) for i in range(100)], "read_id long, a long, b long")
     out = A.regions(a, 200, 50, 1).collect()
     assert {r.read_id for r in out} == set(range(100)) and all(r.stop - r.start < 250 for r in out)
+
+
+def test_reads_of_both_strands(spark):
+    g = genome(200, 3)
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [(i, turn(g[p : p + 60]) if i % 3 == 1 else g[p : p + 60], "".join(chr(60 + (i + k) % 10) for k in range(60))) for i, p in enumerate(range(0, 141, 20))]
+    reads = spark.createDataFrame(rows, "read_id long, seq string, qual string")
+    state, flips = A.oriented(reads, joins.stranded_overlaps(reads, 25))
+    turned = {r.read_id for r in flips.collect() if r.flipped}
+    assert turned in ({i for i, *_ in rows if i % 3 == 1}, {i for i, *_ in rows if i % 3 != 1})
+    assert all(r.qual == (rows[r.read_id][2][::-1] if r.read_id in turned else rows[r.read_id][2]) for r in state.reads.collect())
+    state, _ = A.assemble(state, Config(edge_threshold=0.97, min_overlap_len=25, min_clique_size=2, remove_trans=1, remove_tips=False))
+    assert [r.seq for r in state.reads.collect()] in ([g], [turn(g)])
+
+
+def test_labels_follow_the_better_edges(spark):
+    """A triangle that no labelling satisfies: its weakest edge yields."""
+    e = spark.createDataFrame([(1, 2, True, 9.0), (2, 3, False, 8.0), (1, 3, True, 1.0), (5, 4, False, 1.0), (7, 7, False, 1.0)], "v1 long, v2 long, same_ori boolean, score double")
+    labels = {r.node: (r.component, r.flipped) for r in fixpoint.spanning_labels(e).collect()}
+    assert labels == {1: (1, False), 2: (1, False), 3: (1, True), 4: (4, False), 5: (4, True)}

@@ -12,6 +12,8 @@ from haplograph import config, registry
 from haplograph.functions import cigar, seq
 from haplograph.operators import analysis, evidence, fixpoint, joins, overlap
 from haplograph.operators import graph as G
+from haplograph.session import cut
+from haplograph.sources import tables as T
 from haplograph.sources import text as src
 
 SF = "/root/testdata/sf0.001"
@@ -274,3 +276,140 @@ def test_config_checks():
         config.Config(remove_branches=True)
     with pytest.raises(ValueError):
         config.Config(edge_threshold=2)
+
+
+def plain_matching(rows):
+    used, out = set(), set()
+    for a, _, b in sorted((a, r, b) for a, b, r in rows):
+        if a not in used and b not in used:
+            used |= {a, b}
+            out.add((a, b))
+    return out
+
+
+def test_matching_of_long_chains(spark):
+    """A chain in increasing order would take a round for each edge; the rest is matched in order."""
+    rows = [(i, i + 1, 0) for i in range(300)] + [(1000 + i, 1001 + i, i % 3) for i in range(100)]
+    found = fixpoint.greedy_matching(spark.createDataFrame(rows, "v1 long, v2 long, rank long"))
+    assert {(r.v1, r.v2) for r in found.collect()} == plain_matching(rows)
+
+
+def test_first_choice_of_long_chains(spark):
+    pairs = [(i, i + 1) for i in range(200)]
+    both = [*pairs, *((b, a) for a, b in pairs), (999, None)]
+    found = {r.node for r in fixpoint.first_choice(spark.createDataFrame(both, "node long, neighbour long")).collect()}
+    assert found == {*range(0, 201, 2), 999}
+
+
+def test_degeneracy_equals_peeling(spark):
+    rng = random.Random(11)
+    pairs = sorted({(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(130)) if a < b})
+    near = {x: {b for a, b in pairs if a == x} | {a for a, b in pairs if b == x} for x in range(30)}
+    most = 0
+    while near:
+        x = min(near, key=lambda v: len(near[v]))
+        most = max(most, len(near[x]))
+        for y in near.pop(x):
+            near[y].discard(x)
+    assert G.degeneracy(graph(spark, pairs), cut) == most
+
+
+def test_core_numbers(spark):
+    rng = random.Random(12)
+    pairs = sorted({(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(100)) if a < b})
+    near = {x: {b for a, b in pairs if a == x} | {a for a, b in pairs if b == x} for x in {v for p in pairs for v in p}}
+    core, k = {}, 0
+    while near:
+        x = min(near, key=lambda v: len(near[v]))
+        k = max(k, len(near[x]))
+        core[x] = k
+        for y in near.pop(x):
+            near[y].discard(x)
+    rows = G.degeneracy_order(graph(spark, pairs), cut).collect()
+    assert {r.v: r.core for r in rows} == core
+    assert [r.v for r in sorted(rows, key=lambda r: r.place)] == sorted(core, key=lambda v: (core[v], v))
+
+
+def test_back_edges_leave_no_cycle(spark):
+    rng = random.Random(13)
+    pairs = sorted({(a, b) for a, b in ((rng.randrange(25), rng.randrange(25)) for _ in range(60)) if a != b})
+    core = G.cyclic_core(graph(spark, pairs), cut)
+    gone = {(r.u, r.v) for r in fixpoint.back_edges(core).collect()}
+    assert gone and gone <= set(pairs)
+    left = set(pairs) - gone
+    while left:
+        sources = {a for a, _ in left} - {b for _, b in left}
+        assert sources  # a graph without cycles has a source
+        left = {(a, b) for a, b in left if a not in sources}
+
+
+def test_em_abundance_equals_plain_version(spark):
+    rng = random.Random(14)
+    hits = sorted({(r, t) for r in range(60) for t in rng.sample("abcd", rng.randint(1, 3))})
+    length = {"a": 100, "b": 250, "c": 70, "d": 900}
+    found = {r.target: r.est_count for r in analysis.em_abundance(spark.createDataFrame(hits, "read long, target string"), spark.createDataFrame(list(length.items()), "target string, length long"), 10).collect()}
+    targets = sorted({t for _, t in hits})
+    rho = dict.fromkeys(targets, 1.0)
+    by_read = {}
+    for r, t in hits:
+        by_read.setdefault(r, []).append(t)
+    for _ in range(10):
+        new = dict.fromkeys(targets, 0.0)
+        for own in by_read.values():
+            total = sum(rho[t] / length[t] for t in own)
+            for t in own:
+                new[t] += rho[t] / length[t] / total
+        rho = {t: x / len(by_read) for t, x in new.items()}
+    assert all(found[t] == pytest.approx(rho[t] * len(by_read), rel=1e-6) for t in targets)
+
+
+def test_places_of_sorted_rows(spark):
+    d = spark.range(1000).selectExpr("id * 7919 % 1000 AS x").repartition(7).orderBy("x")
+    assert sorted((r.x, r.place) for r in G.dense_rank_of(d, "place", 5).collect()) == [(i, i + 5) for i in range(1000)]
+
+
+def test_malformed_lines_are_passed_over(spark, tmp_path):
+    (tmp_path / "a").write_text("1 2 N 3 4 5 6 7\n1 2 N 3 4 5 6\n\n1 2 I -3 4 5 6 0 9\n")
+    assert [tuple(r) for r in T.read_sfo(spark, f"file://{tmp_path}/a").collect()] == [(1, 2, "N", 3, 4, 5, 6, 7)]
+    (tmp_path / "m").write_text("% note\n\n3 2\n2 3\n1\n\n9 9\n")
+    assert sorted(tuple(r) for r in T.read_metis(spark, f"file://{tmp_path}/m").collect()) == [(0, 1), (0, 2), (1, 0)]
+    (tmp_path / "l").write_text("2 1\n1\n\n")
+    with pytest.raises(Exception, match="loop"):
+        T.read_metis(spark, f"file://{tmp_path}/l").collect()
+    assert sorted(tuple(r) for r in T.edges_of_stream(spark, ["3", "2", "0,1", "1,0"], chunk=2).collect()) == [(0, 1), (1, 0)]
+    (tmp_path / "i").write_text("7\t>r1\n8\tr2\n")
+    ids = T.read_ids(spark, f"file://{tmp_path}/i")
+    with pytest.raises(Exception, match="correspondence"):
+        T.mapped_ids(spark.createDataFrame([("r3",)], "read_id string"), ids).collect()
+
+
+def test_stranded_overlaps_equal_brute_force(spark):
+    rng = random.Random(15)
+    genome = "".join(rng.choice("ACGT") for _ in range(160))
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = []
+    for i in range(30):
+        at, n = rng.randrange(110), rng.choice([30, 40, 50])
+        s = list(genome[at : at + n])
+        if i % 5 == 0:
+            s[n // 2] = rng.choice("ACGT")
+        reads.append((i, turn("".join(s)) if rng.random() < 0.5 else "".join(s)))
+    reads += [(30, reads[3][1]), (31, turn(reads[4][1]))]
+    views = [(2 * i + k, s if k == 0 else turn(s)) for i, s in reads for k in (0, 1)]
+    for inclusions in (True, False):
+        want = set()
+        for x, a in views:
+            for y, b in views:
+                for pos in range(len(a) - 20 + 1) if x // 2 != y // 2 else ():
+                    n = min(len(a) - pos, len(b))
+                    mm = sum(p != q for p, q in zip(a[pos:], b))
+                    after = pos + len(b) - len(a)
+                    if n < 20 or mm > 1 or (not inclusions and (pos == 0 or after <= 0)):
+                        continue
+                    own = (x, y, pos) if pos or x < y else (y, x, 0)
+                    u, v = x ^ 1, y ^ 1
+                    other = (v, u, after) if after > 0 else (u, v, -after) if after < 0 else (min(u, v), max(u, v), 0)
+                    best = min((own, other), key=lambda t: (t[0] % 2 + t[1] % 2, t[0] % 2, *t))
+                    want.add((best[0] // 2, best[1] // 2, "+-"[best[0] % 2], "+-"[best[1] % 2], best[2], n, mm))
+        found = [tuple(r) for r in joins.stranded_overlaps(spark.createDataFrame(reads, "read_id long, seq string"), 20, 1, inclusions).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
