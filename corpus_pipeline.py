@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplograph.llm import decontaminate, packing, superminhash, toxicity
-from haplograph.llm.common import cut, table
+from haplograph.llm.common import cut, discard, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, each written as Parquet in the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
