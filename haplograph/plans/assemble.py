@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,10 @@ from ..operators import graph as G
 from ..session import cut
 
 
+#: Options that an iteration does not have.
+NOT_BUILT = ("optimize", "separate_tips", "diploid", "relax_pe_edges", "branch_reduction", "careful_diploid")
+
+
 @dataclass(frozen=True)
 class State:
     """What one iteration hands to the next.
@@ -28,8 +32,14 @@ class State:
     merged: int = 0
 
 
-def first_state(reads: DataFrame, overlaps: DataFrame) -> State:
-    """Every read is its own only original."""
+def first_state(reads: DataFrame, overlaps: DataFrame, cfg: Config | None = None) -> State:
+    """Every read is its own only original. A configuration's limits keep the reads, and overlaps, of the least ids."""
+    if cfg is not None and cfg.max_reads < Config.max_reads:
+        reads = cut(reads.orderBy("read_id").limit(cfg.max_reads))
+        kept = reads.select("read_id")
+        overlaps = overlaps.join(kept.withColumnRenamed("read_id", "id1"), "id1", "left_semi").join(kept.withColumnRenamed("read_id", "id2"), "id2", "left_semi")
+    if cfg is not None and cfg.max_overlaps < Config.max_overlaps:
+        overlaps = overlaps.orderBy("id1", "id2", "pos").limit(cfg.max_overlaps)
     own = reads.select("read_id", F.col("read_id").alias("orig_id"), F.lit(0).cast("long").alias("idx"), F.length("seq").cast("long").alias("len"))
     return State(cut(reads.select("read_id", "seq", "qual")), cut(overlaps.select("id1", "id2", "pos", "len")), cut(own))
 
@@ -59,9 +69,11 @@ def _edges(state: State, cfg: Config) -> tuple[DataFrame, DataFrame]:
     lengths = state.reads.select("read_id", F.length("seq").alias("n"))
     o = state.overlaps.join(lengths.withColumnsRenamed({"read_id": "id1", "n": "n1"}), "id1").join(lengths.withColumnsRenamed({"read_id": "id2", "n": "n2"}), "id2")
     perc = F.expr("CAST(100 * len div least(n1, n2) AS INT)")
+    if cfg.no_inclusion_overlaps:
+        o = o.where("pos > 0 AND pos + n2 > n1")
     o = o.withColumns({"perc1": perc, "perc2": F.lit(0), "len1": F.col("len"), "len2": F.lit(0), "type1": F.lit("s"), "type2": F.lit("s")})
     routed = overlap.route(o, cfg.min_overlap_len, cfg.min_overlap_perc).where("route = 'score'")
-    scored = overlap.classify(overlap.score_overlaps(routed.select("id1", "id2", "pos", "len", "perc1"), state.reads), cfg.edge_threshold, cfg.ov_threshold, cfg.merge_contigs)
+    scored = overlap.classify(overlap.score_overlaps(routed.select("id1", "id2", "pos", "len", "perc1"), state.reads, cfg.min_read_len), cfg.edge_threshold, cfg.ov_threshold, cfg.merge_contigs)
     one = scored.where("class <> 'drop'").select(F.col("id1").alias("v1"), F.col("id2").alias("v2"), F.col("pos").alias("pos1"), F.lit(0).alias("pos2"), F.lit(True).alias("ori1"), F.lit(True).alias("ori2"), "len", "score", "mismatch", F.col("perc1").alias("perc"), "class")
     best = cut(overlap.dedup_edges(one).withColumnRenamed("pos1", "pos").drop("pos2", "ori1", "ori2"))
     return best.where("class = 'edge'").drop("class"), best.where("class = 'nonedge'").drop("class")
@@ -111,7 +123,14 @@ def _pairs(edges: DataFrame) -> DataFrame:
 
 
 def iterate(state: State, cfg: Config) -> State:
-    """One iteration: overlaps to edges, the reduced graph, groups, consensus, lineage and induced overlaps."""
+    """One iteration: overlaps to edges, the reduced graph, groups, consensus, lineage and induced overlaps.
+
+    Works on single reads of one strand (see oriented()). Options for pairs, and for branches
+    decided by read evidence, are refused: the operators in evidence.py are not part of it.
+    """
+    refused = [f.name for f in fields(Config) if f.name in NOT_BUILT and getattr(cfg, f.name) != f.default]
+    if refused:
+        raise NotImplementedError(f"an iteration has no such option: {', '.join(refused)}")
     edges, nonedges = _edges(state, cfg)
     n_edges = edges.count()
     if not n_edges:

@@ -1,6 +1,9 @@
 """Known genomes come back from their reads."""
 
 import random
+from dataclasses import replace
+
+import pytest
 
 from haplograph.config import Config
 from haplograph.operators import fixpoint, joins
@@ -62,3 +65,19 @@ def test_labels_follow_the_better_edges(spark):
     e = spark.createDataFrame([(1, 2, True, 9.0), (2, 3, False, 8.0), (1, 3, True, 1.0), (5, 4, False, 1.0), (7, 7, False, 1.0)], "v1 long, v2 long, same_ori boolean, score double")
     labels = {r.node: (r.component, r.flipped) for r in fixpoint.spanning_labels(e).collect()}
     assert labels == {1: (1, False), 2: (1, False), 3: (1, True), 4: (4, False), 5: (4, True)}
+
+
+def test_options(spark):
+    g = genome(120, 5)
+    reads = spark.createDataFrame([(i, g[p : p + 60], "I" * 60) for i, p in enumerate((0, 20, 40, 60))] + [(4, g[10:50], "I" * 40)], "read_id long, seq string, qual string")
+    overlaps = joins.suffix_prefix(reads, 25)
+    least = Config(edge_threshold=0.97, min_overlap_len=25, min_clique_size=2, remove_trans=1, remove_tips=False)
+    for option in (replace(least, branch_reduction=True), replace(least, diploid=True), replace(least, separate_tips=False)):
+        with pytest.raises(NotImplementedError):
+            A.iterate(A.first_state(reads, overlaps), option)
+    few = A.first_state(reads, overlaps, replace(least, max_reads=2, max_overlaps=1))
+    assert {r.read_id for r in few.reads.collect()} == {0, 1} and [tuple(r) for r in few.overlaps.collect()] == [(0, 1, 20, 40)]
+    edges = lambda cfg: {tuple(sorted((r.v1, r.v2))) for r in A._edges(A.first_state(reads, overlaps), cfg)[0].collect()}
+    assert (0, 4) in edges(least)
+    assert (0, 4) not in edges(replace(least, no_inclusion_overlaps=True))
+    assert not any(4 in e for e in edges(replace(least, min_read_len=50)))
