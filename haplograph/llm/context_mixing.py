@@ -44,7 +44,7 @@ BLOCK, RATE = 128, 0.05
 #: Newton steps of the first fit, and its pull towards equal weights.
 FIT_STEPS, FIT_RIDGE = 8, 20.0
 #: Held-back training rows (remainder 9) from which the fit to all of them starts, and the move at which it ends.
-FIT_ROWS, FIT_MOVE = 512, 0.1
+FIT_ROWS, FIT_MOVE = 512, 0.02
 STEP_BYTES = 1 << 18
 #: Words that a task counts before it passes the counts on.
 COUNT_FLUSH = 1 << 22
