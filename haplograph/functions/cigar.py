@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,11 +50,19 @@ def _walk(cigar: Column, most: Column) -> Column:
     return F.aggregate(tokens(cigar), start, step)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def overlap_position(pos_front: Column, pos_back: Column, cigar_front: Column, cigar_back: Column) -> Column:
     """Where the back read starts within the front read, corrected for indels; -1 without an overlap."""
     apart = (pos_back - pos_front).cast("long")
-    front = _walk(cigar_front, apart + reference_length(cigar_back))
-    back_ref = front["ref"] - apart
-    back = _walk(cigar_back, back_ref)
-    at = apart - ((front["ref"] - front["seq"]) - (back_ref - back["seq"]))
-    return F.when((front["ref"] <= apart) | (at < 0), F.lit(-1).cast("long")).otherwise(at)
+
+    def place(front: Column, back: Column) -> Column:
+        back_ref = front["ref"] - apart
+        at = apart - ((front["ref"] - front["seq"]) - (back_ref - back["seq"]))
+        return F.when((front["ref"] <= apart) | (at < 0), F.lit(-1).cast("long")).otherwise(at)
+
+    walked = lambda front: _let(front["ref"] - apart, lambda most: _let(_walk(cigar_back, most), lambda back: place(front, back)))
+    return _let(apart + reference_length(cigar_back), lambda most: _let(_walk(cigar_front, most), walked))
