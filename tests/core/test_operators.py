@@ -413,3 +413,16 @@ def test_stranded_overlaps_equal_brute_force(spark):
                     want.add((best[0] // 2, best[1] // 2, "+-"[best[0] % 2], "+-"[best[1] % 2], best[2], n, mm))
         found = [tuple(r) for r in joins.stranded_overlaps(spark.createDataFrame(reads, "read_id long, seq string"), 20, 1, inclusions).collect()]
         assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
+
+
+def test_complement_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "COMPLEMENT_BLOCK", 3)
+    rng = random.Random(9)
+    ids = rng.sample(range(-50, 10**6), 11)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in (rng.sample(ids, 2) for _ in range(20))})
+    vertices = spark.createDataFrame([(v,) for v in [*ids, ids[0], None]], "v long")
+    found = G.complement(graph(spark, [*pairs, pairs[0], (7, 8)]), vertices)
+    assert sorted(map(tuple, found.collect())) == sorted((a, b) for a in ids for b in ids if a < b and (a, b) not in pairs)
+    assert G.complement(graph(spark, []), vertices.limit(0)).isEmpty()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (u" not in plan and "LeftAnti" not in plan
