@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.buffers import string_buffers
 from .graph import dense_rank_of
+from .overlap import log_chances
 
 #: Order in which equal posteriors are decided.
 TIE_ORDER = "ATCG"
@@ -91,12 +97,42 @@ def assign_new_ids(rows: DataFrame) -> DataFrame:
     return dense_rank_of(rows.withColumn("_kind", kind).orderBy("_kind", "read_id"), "new_id").drop("_kind")
 
 
-def mate_merge(pairs: DataFrame, least: int = 15, most: int = 59, threshold: float = 0.99) -> DataFrame:
-    """(pair_id, overlap, seq): mates merged at their smallest overlap of at least `least` bases whose score passes."""
-    offsets = F.explode(F.sequence(F.lit(least), F.lit(most)))
-    p = pairs.withColumn("overlap", offsets).withColumn("start", F.length("seq1") - F.col("overlap"))
-    column = "named_struct('e', substring(seq1, start + k + 1, 1) = substring(seq2, k + 1, 1), 'p', pow(10D, -(ascii(substring(qual1, start + k + 1, 1)) - 33) / 10D), 'q', pow(10D, -(ascii(substring(qual2, k + 1, 1)) - 33) / 10D))"
-    mean = f"aggregate(transform(sequence(0, overlap - 1), k -> {column}), 0D, (s, c) -> s + ln(IF(c.e, (1 - c.p) * (1 - c.q) + c.p * c.q / 3, c.p * (1 - c.q) / 3 + c.q * (1 - c.p) / 3 + 2 * c.p * c.q / 9))) / overlap"
-    good = p.withColumn("score", F.exp(F.expr(mean))).where(F.col("score") > threshold)
-    first = good.groupBy("pair_id").agg(F.min("overlap").alias("overlap"))
-    return pairs.join(first, "pair_id").select("pair_id", "overlap", F.expr("concat(seq1, substring(seq2, overlap + 1))").alias("seq"))
+def _merge_batches(least: int, most: int | None, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, _ = log_chances(0.0)
+        for batch in batches:
+            (a, at_a), (qa, at_qa), (b, at_b), (qb, at_qb) = (string_buffers(batch.column(c)) for c in ("seq1", "qual1", "seq2", "qual2"))
+            n1, n2 = np.diff(at_a), np.diff(at_b)
+            longest = np.where((np.diff(at_qa) == n1) & (np.diff(at_qb) == n2), np.minimum(n1 - 1, n2), 0)
+            if most is not None:
+                longest = np.minimum(longest, most)
+            merged = np.zeros(len(longest), np.int64)
+            for overlap in range(max(least, 1), int(longest.max(initial=0)) + 1):
+                left = np.flatnonzero((merged == 0) & (longest >= overlap))
+                if not len(left):
+                    continue
+                k = np.arange(overlap)[:, None]
+                x, y = a[at_a[left + 1] - overlap + k], b[at_b[left] + k]
+                p, q = qa[at_qa[left + 1] - overlap + k].astype(np.int64) - 33, qb[at_qb[left] + k].astype(np.int64) - 33
+                counts = (x != 78) & (y != 78)
+                total = counts.sum(axis=0)
+                log = np.where(counts, logs[(x == y).astype(np.int64), p, q], 0.0).sum(axis=0)
+                good = (total > 0) & (np.exp(log / np.maximum(total, 1)) > threshold)
+                merged[left[good]] = overlap
+            out = pa.RecordBatch.from_arrays([batch.column("pair_id"), pa.array(merged, pa.int32()), batch.column("seq1"), batch.column("seq2")], names=["pair_id", "overlap", "seq1", "seq2"])
+            yield out.filter(pa.array(merged > 0))
+
+    return run
+
+
+def mate_merge(pairs: DataFrame, least: int = 15, most: int | None = None, threshold: float = 0.99) -> DataFrame:
+    """(pair_id, overlap, seq): mates merged at their smallest overlap of at least `least` bases whose score passes.
+
+    pairs (pair_id, seq1, qual1, seq2, qual2). Overlaps reach up to `most` bases, or to all of the second
+    mate and all but one base of the first. The score is that of score_overlaps: columns with an N do not
+    count. A batch's pairs are scored together, one overlap after another, until each has merged.
+    """
+    kind = dict(pairs.dtypes)["pair_id"]
+    p = pairs.select("pair_id", "seq1", "qual1", "seq2", "qual2")
+    found = p.mapInArrow(_merge_batches(least, most, threshold), f"pair_id {kind}, overlap int, seq1 string, seq2 string")
+    return found.select("pair_id", "overlap", F.expr("concat(seq1, substring(seq2, overlap + 1))").alias("seq"))

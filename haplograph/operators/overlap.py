@@ -23,7 +23,7 @@ def route(overlaps: DataFrame, min_len: int, min_perc: int, relax: bool = False)
     return overlaps.withColumn("route", F.when(F.col("id1") == F.col("id2"), "drop").when(~long, "nonedge").when(perc < min_perc, "drop").otherwise("score"))
 
 
-def _log_chances(least: float) -> tuple[np.ndarray, np.ndarray]:
+def log_chances(least: float) -> tuple[np.ndarray, np.ndarray]:
     """(log probability, rejected) of columns, by (bases equal, Phred score of the one, of the other)."""
     error = 10.0 ** (-np.arange(94) / 10.0)
     p, q = error[:, None], error[None, :]
@@ -34,7 +34,7 @@ def _log_chances(least: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _score_batches(n_own: int, names: list[str], min_read_len: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, rejected = _log_chances(least)
+        logs, rejected = log_chances(least)
         for batch in batches:
             (a, at_a), (qa, at_qa), (b, at_b), (qb, at_qb) = (string_buffers(batch.column(n_own + i)) for i in range(4))
             pos = batch.column(names.index("pos")).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from haplograph import config, registry
 from haplograph.functions import cigar, seq
-from haplograph.operators import analysis, evidence, fixpoint, joins, overlap
+from haplograph.operators import analysis, consensus, evidence, fixpoint, joins, overlap
 from haplograph.operators import graph as G
 from haplograph.session import cut
 from haplograph.sources import tables as T
@@ -426,3 +426,15 @@ def test_complement_across_blocks(spark, monkeypatch):
     assert G.complement(graph(spark, []), vertices.limit(0)).isEmpty()
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner, (u" not in plan and "LeftAnti" not in plan
+
+
+def test_mates_merge_at_long_overlaps_and_ignore_n(spark):
+    rng = random.Random(4)
+    dna = "".join(rng.choice("ACGT") for _ in range(150))
+    long1, long2 = dna[:100], dna[20:]  # 80 bases, more than a read of the tables has
+    n1, n2 = dna[:40], "N" + dna[21:60]  # 20 bases, of which the first is unknown
+    rows = [(1, long1, long2), (2, n1, n2), (3, dna[:40], dna[25:45]), (4, dna[:40], dna[26:60]), (5, dna[:40], None), (6, "ACGT", dna[:30]), (7, "A" * 40, "A" * 40)]
+    p = spark.createDataFrame([(i, a, "I" * len(a), b, b and "I" * len(b)) for i, a, b in rows] + [(8, long1, "I", long2, "I" * len(long2))], "pair_id long, seq1 string, qual1 string, seq2 string, qual2 string")
+    found = {r.pair_id: (r.overlap, r.seq) for r in consensus.mate_merge(p).collect()}
+    assert found == {1: (80, dna), 2: (20, dna[:60]), 3: (15, dna[:45]), 7: (15, "A" * 65)}
+    assert 1 not in {r.pair_id for r in consensus.mate_merge(p, most=79).collect()}
