@@ -79,13 +79,24 @@ def phase_set_blocks(variants: DataFrame) -> DataFrame:
 def phase_contigs(reference: DataFrame, variants: DataFrame) -> DataFrame:
     """(block, hap, seq): each block's stretch of the reference with a haplotype's alleles.
 
-    reference (block, first_pos, seq); variants (block, pos, alleles: array of one base for each haplotype).
+    reference (block, first_pos, seq), each block once; variants (block, pos, alleles: array of one base
+    for each haplotype). Null or missing alleles leave the reference's base, and places outside the
+    stretch change nothing. A block's variants meet in one row; a sequence is put together from its
+    alleles and the pieces of reference between them, never from a row for each base.
     """
-    places = reference.select("block", F.posexplode(F.split("seq", "")).alias("k", "base"), "first_pos").withColumn("pos", F.col("first_pos") + F.col("k"))
-    v = variants.select("block", "pos", F.posexplode("alleles").alias("hap", "allele"))
-    haps = variants.select("block", F.explode(F.sequence(F.lit(0), F.size("alleles") - 1)).alias("hap")).distinct()
-    cells = places.join(haps, "block").join(v, ["block", "pos", "hap"], "left").withColumn("b", F.coalesce("allele", "base"))
-    return cells.groupBy("block", "hap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda x: x["b"]), "").alias("seq"))
+    v = variants.where(F.size("alleles") > 0).groupBy("block").agg(F.max(F.size("alleles")).alias("haps"), F.collect_list(F.struct("pos", "alleles")).alias("found"))
+    r = reference.where("seq IS NOT NULL").select("block", "first_pos", F.split("seq", "").alias("bases"), F.length("seq").alias("n"))
+    # sequences that a query derives are larger than Spark reckons from its files, so neither side is ever broadcast
+    r = r.join(v.hint("merge"), "block")
+    r = r.withColumn("hap", F.explode(F.sequence(F.lit(0), F.col("haps") - 1)))
+    inside = F.filter("found", lambda x: (x["pos"] >= F.col("first_pos")) & (x["pos"] < F.col("first_pos") + F.col("n")))
+    at = lambda x: (x["pos"] - F.col("first_pos")).cast("int")
+    put = F.transform(inside, lambda x: F.struct(at(x).alias("k"), F.coalesce(F.get(x["alleles"], F.col("hap")), F.get("bases", at(x))).alias("b")))
+    r = r.withColumn("put", F.array_sort(put))
+    piece = lambda start, stop: F.array_join(F.slice("bases", start + 1, F.greatest(stop - start, F.lit(0))), "")
+    following = lambda i: F.coalesce(F.get("put", i)["k"], F.col("n"))
+    rest = F.transform("put", lambda x, i: F.concat(x["b"], piece(x["k"] + 1, following(i + 1))))
+    return r.select("block", "hap", F.concat(piece(F.lit(0), following(F.lit(0))), F.array_join(rest, "")).alias("seq"))
 
 
 def best_alignments(alignments: DataFrame) -> DataFrame:

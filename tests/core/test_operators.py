@@ -438,3 +438,24 @@ def test_mates_merge_at_long_overlaps_and_ignore_n(spark):
     found = {r.pair_id: (r.overlap, r.seq) for r in consensus.mate_merge(p).collect()}
     assert found == {1: (80, dna), 2: (20, dna[:60]), 3: (15, dna[:45]), 7: (15, "A" * 65)}
     assert 1 not in {r.pair_id for r in consensus.mate_merge(p, most=79).collect()}
+
+
+def test_phased_blocks(spark):
+    rng = random.Random(6)
+    dna = "".join(rng.choice("ACGT") for _ in range(5000))
+    places = sorted(rng.sample(range(5000), 900))
+    refs = [(1, 100, dna), (2, 0, "ACGT"), (3, 0, "ACGT"), (4, 0, None)]
+    found = [(1, 100 + p, ["a", "c", "g"][: 1 + p % 3]) for p in places]
+    odd = [(1, 99, ["x"]), (1, 5100, ["x"]), (2, 0, ["t", None]), (2, 3, ["a", "c"]), (2, 1, []), (2, None, ["x", "x"]), (3, 2, []), (4, 0, ["a"]), (5, 0, ["a"])]
+    rng.shuffle(found)
+    v = spark.createDataFrame(found + odd, "block long, pos long, alleles array<string>")
+    out = analysis.phase_contigs(spark.createDataFrame(refs, "block long, first_pos long, seq string"), v)
+    want = {(2, 0): "tCGa", (2, 1): "ACGc"}
+    for hap in range(3):
+        bases = list(dna)
+        for p in places:
+            if hap < 1 + p % 3:
+                bases[p] = "acg"[hap]
+        want[1, hap] = "".join(bases)
+    assert {(r.block, r.hap): r.seq for r in out.collect()} == want and out.count() == len(want)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
