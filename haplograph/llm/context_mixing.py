@@ -50,19 +50,18 @@ STEP_BYTES = 1 << 18
 COUNT_FLUSH = 1 << 22
 #: Kinds of symbols, and gates of each.
 MAIN, ENDING, WORD, BYTE = range(4)
-KIND_GATES = 16
+GATE_BITS = 4
+KIND_GATES = 1 << GATE_BITS
 GATES = 4 * KIND_GATES
 #: A slot's state: a logit in steps of 1 / LOGIT_STEPS, and in the low two bits how much it has seen.
 LOGIT_STEPS = 3.2
-LOGITS = ((np.arange(256) >> 2) - 32).astype(np.float32) / np.float32(LOGIT_STEPS)
-#: The logit for the bit that came: by state, and 256 more for a one.
-TOWARDS = np.concatenate([-LOGITS, LOGITS])
 #: Rare words that the training rows' share of new ones counts for, beside a document's own.
 NEW_WEIGHT = 1.0
 #: Odd multipliers of the predictors' tables.
 ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 _START = np.array([0x243F6A8885A308D3], np.uint64)
 _END = 0x13198A2E03707344
+_NONE = np.zeros(1, np.int64)
 
 
 def table_bits(tokens: int) -> int:
@@ -116,12 +115,13 @@ class Code:
 
     def paths(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbol of each bit, the bit, its node)."""
-        many = self.lengths[symbol]
+        many = self.lengths.take(symbol)
         owner = np.repeat(np.arange(len(symbol)), many)
         # the place of a symbol's path in the table, less the events before it
         shift = symbol * self.nodes.shape[1] - (np.cumsum(many) - many)
-        flat = np.arange(len(owner)) + shift[owner]
-        return owner, self.bits.reshape(-1)[flat], self.nodes.reshape(-1)[flat]
+        flat = shift.take(owner)
+        flat += np.arange(len(owner))
+        return owner, self.bits.reshape(-1).take(flat), self.nodes.reshape(-1).take(flat)
 
 
 def _shannon(weights: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -281,16 +281,34 @@ class Symbols:
         else:
             many = self.lengths()
             owner = np.repeat(np.arange(len(many)), many)
-            left = np.repeat(np.cumsum(many), many) - np.arange(len(owner))  # bits from this one to the end
-            code = (self.symbol.astype(np.int64) | (1 << many))[owner] >> (left - 1)
-            bit, node = (code & 1).astype(bool), short(((code >> 1) + (self.group << 34)[owner]).view(np.uint64) * U(MIX1))
+            after = np.cumsum(many).take(owner)
+            after -= np.arange(1, len(owner) + 1)  # bits after this one
+            code = (self.symbol.astype(np.int64) | (1 << many)).take(owner)
+            code >>= after
+            bit = code.astype(np.uint8)
+            bit &= np.uint8(1)
+            bit = bit.view(bool)
+            code >>= 1
+            code += (self.group << 34).take(owner)
+            node = code.view(np.uint64)
+            node *= U(MIX1)
+            node = short(node)
         slots = []
         for k, c in enumerate(self.contexts):
             if k == 0 and self.path is not None:
-                slots.append(None if counting else (self.path.astype(np.int64) + many)[owner] - left)
+                if counting:
+                    slots.append(None)
+                    continue
+                slot = (self.path.astype(np.int64) + many - 1).take(owner)
+                slot -= after
+                slots.append(slot)
                 continue
-            slot = node if c is None else c[owner] + node
-            slot = slot * ODD[k]
+            if c is None:
+                slot = node * ODD[k]
+            else:
+                slot = c.take(owner)
+                slot += node
+                slot *= ODD[k]
             slot >>= np.uint32(32 - bits)
             if counting:
                 slot <<= np.uint32(1)
@@ -492,6 +510,17 @@ def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _chunk_row(chunk, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
 
 
+def _logits(states: np.ndarray, sign: np.ndarray | None = None) -> np.ndarray:
+    """The logits of states, times a sign; in bytes as far as that goes, which is quicker than a look into a table."""
+    level = (states >> np.uint8(2)).view(np.int8)
+    level -= np.int8(32)
+    if sign is not None:
+        level *= sign
+    out = level.astype(np.float32)
+    out /= np.float32(LOGIT_STEPS)
+    return out
+
+
 def _state(logit: np.ndarray, seen: np.ndarray | int) -> np.ndarray:
     return (np.clip(np.rint(logit * LOGIT_STEPS), -31, 31).astype(np.int64) + 32 << 2 | seen).astype(np.uint8)
 
@@ -554,11 +583,18 @@ def _slopes(gate: np.ndarray, bit: np.ndarray, states: np.ndarray, weights: np.n
     """(gate x K x K+1): curvature of each gate's log loss, and beside it the slope."""
     out = np.zeros((GATES, K, K + 1))
     order = np.argsort(gate, kind="stable")
-    edge = np.searchsorted(gate[order], np.arange(GATES + 1))
-    for g in np.flatnonzero(np.diff(edge)):
-        rows = order[edge[g] : edge[g + 1]]
-        own = LOGITS[states[:, rows]].astype(np.float64)
-        p = 1 / (1 + np.exp(-np.clip(weights[g] @ own, -14, 14)))
+    many = np.bincount(gate, minlength=GATES)
+    edge = np.concatenate([[0], np.cumsum(many)])
+    bit = bit.take(order)
+    states = [state.take(order) for state in states]
+    for g in np.flatnonzero(many):
+        rows = slice(edge[g], edge[g + 1])
+        own = np.stack([_logits(state[rows]) for state in states]).astype(np.float64)
+        p = weights[g] @ own
+        np.clip(p, -14, 14, out=p)
+        np.exp(np.negative(p, out=p), out=p)
+        p += 1
+        np.reciprocal(p, out=p)
         out[g, :, :K] = (own * (p * (1 - p))) @ own.T
         out[g, :, K] = own @ (bit[rows] - p)
     return out
@@ -627,11 +663,13 @@ def score_run(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         states = _states(model, own, slots)
         gate = (states[1] & np.uint8(3)) * np.uint8(4) + (states[2] & np.uint8(3))
         doc = owner[own.token]
-        cell = (doc * KIND_GATES)[event] + gate
-        one = bit.astype(np.int64) << 8
-        x = [TOWARDS.take(one + state) for state in states]
+        cell = (doc * KIND_GATES).take(event)
+        cell += gate
+        # for the bit that came: the logit, turned where that is a zero
+        sign = bit.view(np.int8) * np.int8(2) - np.int8(1)
+        x = [_logits(state, sign) for state in states]
         first = model.weights[own.kind * KIND_GATES : (own.kind + 1) * KIND_GATES].astype(np.float32)
-        into = rare_number[own.token][event] if own.kind == BYTE else None  # else the cell tells the document
+        into = rare_number[own.token].take(event) if own.kind == BYTE else None  # else the cell tells the document
         _mixed_online(x, cell, into, np.tile(first.T, (1, n_docs)), edge, spelled if own.kind == BYTE else out)
     return out / math.log(2), spelled / math.log(2)
 
@@ -644,23 +682,37 @@ def _mixed_online(x: list[np.ndarray], cell: np.ndarray, into: np.ndarray | None
         if a == b:
             continue
         at = cell[a:b]
-        z = x[0][a:b] * weights[0].take(at)
+        z = weights[0].take(at)
+        z *= x[0][a:b]
         for k in range(1, K):
-            z += x[k][a:b] * weights[k].take(at)
+            more = weights[k].take(at)
+            more *= x[k][a:b]
+            z += more
         np.clip(z, -14, 14, out=z)
-        odds = np.exp(-z)  # of the bit that did not come
-        own = at // KIND_GATES if into is None else into[a:b]
-        low = int(own[0])  # documents, and rare words, come in order
-        part = np.bincount(own - low, np.log(1 + odds))
-        out[low : low + len(part)] -= part
+        np.negative(z, out=z)
+        odds = np.exp(z, out=z)  # of the bit that did not come
+        whole = odds + 1
+        # documents, and rare words, come in order
+        own = at >> GATE_BITS if into is None else into[a:b]
+        first = np.flatnonzero(own[1:] != own[:-1])
+        first += 1
+        first = np.concatenate([_NONE, first])
+        out[own[first]] -= np.add.reduceat(np.log(whole), first, dtype=np.float64)
         if b == last:
             break
-        other = odds / (1 + odds)
+        other = np.divide(odds, whole, out=odds)
         other *= np.float32(RATE)
+        base = int(at[0]) & -KIND_GATES
+        span = (int(at[-1]) | KIND_GATES - 1) + 1 - base
         if b - a > cells:
             scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=cells), 1))
             for k in range(K):
                 weights[k] += np.bincount(at, other * x[k][a:b], cells) * scale
+        elif span <= 4 * (b - a):  # few documents, but near one another
+            at = at - base
+            root = np.sqrt(np.maximum(np.bincount(at, minlength=span), 1))
+            for k in range(K):
+                weights[k, base : base + span] += np.bincount(at, other * x[k][a:b], span) / root
         else:
             value, back, times = np.unique(at, return_inverse=True, return_counts=True)
             for k in range(K):

@@ -435,3 +435,31 @@ def test_pipeline(spark, toxic, tmp_path):
     for r in packed:
         total[r.doc_id] += r.length
     assert all(total[r.doc_id] == r.doc_tokens for r in packed)
+
+
+def test_small_blocks_are_mixed_without_sorting(monkeypatch):
+    """Blocks of few neighbouring documents refine their weights by cells in place, as a plain loop does."""
+    lm = context_mixing
+    rng = np.random.default_rng(8)
+    docs, sizes = 40, [700, 60, 30]
+    kept = [range(docs), range(5, 9), range(7, 8)]
+    cell = np.concatenate([np.sort(rng.choice(list(d), n)) * lm.KIND_GATES + rng.integers(0, lm.KIND_GATES, n) for d, n in zip(kept, sizes)])
+    x = [rng.normal(size=len(cell)).astype(np.float32) for _ in range(lm.K)]
+    weights = rng.normal(size=(lm.K, docs * lm.KIND_GATES)).astype(np.float32)
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    want, w = np.zeros(docs), weights.astype(np.float64)
+    for a, b in zip(edge[:-1], edge[1:]):
+        moves, times = np.zeros_like(w), np.zeros(w.shape[1])
+        for i in range(a, b):
+            odds = math.exp(-min(max(sum(float(x[k][i]) * w[k, cell[i]] for k in range(lm.K)), -14), 14))
+            want[cell[i] // lm.KIND_GATES] -= math.log(1 + odds)
+            times[cell[i]] += 1
+            for k in range(lm.K):
+                moves[k, cell[i]] += lm.RATE * odds / (1 + odds) * float(x[k][i])
+        w += moves / np.sqrt(np.maximum(times, 1))
+    monkeypatch.setattr(lm.np, "unique", None)
+    out = np.zeros(docs)
+    lm._mixed_online(x, cell, None, weights, edge, out)
+    assert np.allclose(out, want, rtol=1e-4, atol=1e-4)
+    states = np.arange(256, dtype=np.uint8)
+    assert np.array_equal(lm._logits(states), ((np.arange(256) >> 2) - 32).astype(np.float32) / np.float32(lm.LOGIT_STEPS))
