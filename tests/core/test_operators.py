@@ -428,6 +428,21 @@ def test_complement_across_blocks(spark, monkeypatch):
     assert "Join Inner, (u" not in plan and "LeftAnti" not in plan
 
 
+def test_complement_shuffles_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "COMPLEMENT_ROWS", 50)
+    rng = random.Random(10)
+    ids = rng.sample(range(-(10**6), 10**6), 130)
+    first = min(ids)
+    pairs = [(first, v) for v in ids if v != first and v % 3] + [tuple(sorted(rng.sample(ids, 2))) for _ in range(300)]
+    vertices = spark.createDataFrame([(v,) for v in ids], "v long")
+    for most in (1 << 15, 20):
+        monkeypatch.setattr(G, "COMPLEMENT_BLOCK", most)
+        rows = sorted(map(tuple, G.complement(graph(spark, [*pairs, pairs[-1], (5, 4)]), vertices).collect()))
+        assert rows == sorted((a, b) for a in ids for b in ids if a < b and (a, b) not in set(pairs))
+        # two rows for each two blocks, not one for each vertex and block
+        assert G._meetings(graph(spark, []), vertices).count() <= G.COMPLEMENT_CUTS * (G.COMPLEMENT_CUTS + 1)
+
+
 def test_mates_merge_at_long_overlaps_and_ignore_n(spark):
     rng = random.Random(4)
     dna = "".join(rng.choice("ACGT") for _ in range(150))
