@@ -43,13 +43,15 @@ LEAST_WEIGHT = 32
 ROW_MOST, ORDER0_MOST, GATE_MOST = 1 << 14, 1 << 20, 1 << 15
 #: Steps between two looks at the counts; at the start, each that is a power of two.
 REFRESH = 32
+#: Rows of the order-1 counts that are cumulated at once.
+CHUNK = 32
 #: Steps between two lessons of the gates.
 GATE_STEPS = 4
 U = np.uint64
 _TOP, _BOTTOM, _LOW32 = U(1 << 48), U(1 << 32), U((1 << 32) - 1)
 #: Classes of an order-2 slot's confidence (0 to 15), and of an order-1 row's total by its bit length.
-_SURE = np.array([0, 1, 2, 3, 4, 4, 4, 4, 5, 5, 5, 5, 5, 5, 5, 6], np.int64)
 _ROW_CLASSES = 10
+_SURE = np.array([0, 1, 2, 3, 4, 4, 4, 4, 5, 5, 5, 5, 5, 5, 5, 6], np.int64) * _ROW_CLASSES
 #: A slot's confidence after a wrong guess, and after a right one.
 _AFTER = np.array([max(c >> 1, 1) for c in range(16)] + [min(c + 1, 15) for c in range(16)], np.int8)
 
@@ -59,18 +61,25 @@ def _looks(step: int) -> bool:
 
 
 class Model:
-    """Adaptive order-0 to order-2 predictions of symbols below `size`, a power of two, for all lanes of a block."""
+    """Adaptive order-0 to order-2 predictions of symbols below `size`, a power of two, for all lanes of a block.
+
+    Pairs lie symbol by symbol, each with all symbols before it: sums over symbols then run over
+    whole rows, and the first steps of a search look at few of them.
+    """
 
     def __init__(self, size: int, lanes: int):
-        self.size = size
+        self.size, self.bits = size, size.bit_length() - 1
         self.count0 = np.ones(size, np.int64)
-        self.count1 = np.zeros((size, size), np.int32)
-        self.cum0 = np.zeros(size + 1, np.int32)
-        self.cum1 = np.zeros((size, size + 1), np.int32)
-        self.next2, self.sure2 = np.zeros(1 << TABLE_BITS, np.int16), np.zeros(1 << TABLE_BITS, np.int8)
+        self.count1, self.total1 = np.zeros((size, size), np.int32), np.zeros(size, np.int64)
+        self.cum0, self.part0 = np.zeros(size + 1, np.int32), np.zeros(size, np.int32)
+        self.cum1 = np.zeros((size + 1, size), np.int32)
+        self.flat = self.cum1.reshape(-1)
+        # what followed the last two symbols, and in the low 4 bits how sure that is
+        self.notes = np.zeros(1 << TABLE_BITS, np.int16)
         self.gate = np.tile(np.array([8.0, 8.0, 4.0]), (7 * _ROW_CLASSES, 1))
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self._summed, self._scaled = np.zeros((size, size), np.int32), np.zeros((size, size), np.float32)
+        chunk = min(CHUNK, size)
+        self._summed, self._scaled = np.zeros((chunk, size), np.int32), np.zeros((chunk, size), np.float32)
         self.step = 0
         self.seen: list[np.ndarray] = []
 
@@ -80,21 +89,28 @@ class Model:
         if self.seen:
             seen = np.concatenate(self.seen)
             np.add.at(self.count1.reshape(-1), seen, np.full(len(seen), 2, np.int32))
-            self.count0 += np.bincount(seen & (size - 1), minlength=size)
+            self.count0 += np.bincount(seen >> self.bits, minlength=size)
+            self.total1 += 2 * np.bincount(seen & (size - 1), minlength=size)
             self.seen.clear()
         if int(self.count0.sum()) > ORDER0_MOST:
             self.count0 = (self.count0 + 1) >> 1
         cum = np.cumsum(self.count0)
         self.cum0[1:] = cum * (PART - size) // cum[-1] + np.arange(1, size + 1)
-        cum = np.cumsum(self.count1, axis=1, dtype=np.int32, out=self._summed)
-        many = np.flatnonzero(cum[:, -1] > ROW_MOST)
+        self.part0 = np.diff(self.cum0)
+        many = np.flatnonzero(self.total1 > ROW_MOST)
         if len(many):
-            self.count1[many] >>= 1
-            cum[many] = np.cumsum(self.count1[many], axis=1)
-        rows = cum[:, -1].astype(np.int64)
-        self.cum1[:, 1:] = np.multiply(cum, (PART / np.maximum(rows, 1)).astype(np.float32)[:, None], dtype=np.float32, casting="unsafe", out=self._scaled)
-        self.cum1[:, size] = PART
-        self.row_class = np.minimum(np.ceil(np.log2(rows + 1)), _ROW_CLASSES - 1).astype(np.int64)
+            self.count1[:, many] >>= 1
+            self.total1[many] = self.count1[:, many].sum(axis=0)
+        scale = (PART / np.maximum(self.total1, 1)).astype(np.float32)
+        sums, before = self._summed, np.zeros(size, np.int32)
+        for first in range(0, size, len(sums)):
+            for below, count in zip(sums, self.count1[first : first + len(sums)]):
+                before = np.add(before, count, out=below)
+            np.copyto(self._scaled, sums, casting="unsafe")
+            self._scaled *= scale
+            np.copyto(self.cum1[first + 1 : first + 1 + len(sums)], self._scaled, casting="unsafe")
+        self.cum1[size] = PART
+        self.row_class = np.minimum(np.ceil(np.log2(self.total1 + 1)), _ROW_CLASSES - 1).astype(np.int64)
         big = self.gate.sum(axis=1) > GATE_MOST
         self.gate[big] *= 0.5
         share = self.gate / self.gate.sum(axis=1, keepdims=True)
@@ -107,54 +123,66 @@ class Model:
         if _looks(self.step):
             self._refresh()
         self.slot = ((self.last * 0x9E3779B1 + self.before * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
-        self.guess, self.sure = self.next2[self.slot].astype(np.int64), self.sure2[self.slot]
-        self.key = _SURE[self.sure] * _ROW_CLASSES + self.row_class[self.last]
-        self.w1, self.w2 = self.weight1[self.key], self.weight2[self.key]
+        note = self.notes.take(self.slot, mode="clip").astype(np.int64)
+        self.guess, self.sure = note >> 4, note & 15
+        self.key = _SURE.take(self.sure, mode="clip")
+        self.key += self.row_class.take(self.last, mode="clip")
+        self.w1, self.w2 = self.weight1.take(self.key, mode="clip"), self.weight2.take(self.key, mode="clip")
         self.w0 = WEIGHT - self.w1 - self.w2
         self.extra = self.w2 << PART_BITS
-        self.base = self.last * (self.size + 1)
-
-    def _below(self, symbol: np.ndarray) -> np.ndarray:
-        """Where a symbol's interval starts by the orders 0 and 1 alone."""
-        return self.w0 * self.cum0[symbol] + self.w1 * self.cum1.reshape(-1)[self.base + symbol]
 
     def interval(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, width) of each lane's symbol; notes what each prediction gave it."""
-        row, flat = self.base + symbol, self.cum1.reshape(-1)
-        c0, c1 = self.cum0[symbol], flat[row]
-        self.got0 = self.w0 * (self.cum0[symbol + 1] - c0)
-        self.got1 = self.w1 * (flat[row + 1] - c1)
+        self.at = (symbol << self.bits) + self.last
+        c1 = self.flat.take(self.at, mode="clip")
+        self.got0 = self.w0 * self.part0.take(symbol, mode="clip")
+        self.got1 = self.w1 * (self.flat.take(self.at + self.size, mode="clip") - c1)
         self.right = (symbol == self.guess) & (self.sure > 0)
-        start = self.w0 * c0 + self.w1 * c1 + self.extra * (symbol > self.guess)
-        self.width = self.got0 + self.got1 + self.extra * self.right
+        start = self.w0 * self.cum0.take(symbol, mode="clip")
+        start += self.w1 * c1
+        start += self.extra * (symbol > self.guess)
+        self.width = self.got0 + self.got1
+        self.width += self.extra * self.right
         return start.astype(np.uint64), self.width.astype(np.uint64)
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """The symbol whose interval holds each lane's target."""
-        low, high = self._below(self.guess), self._below(self.guess + 1) + self.extra
-        guessed = (target >= low) & (target < high)
-        target = np.where(target >= high, target - self.extra, target)
-        target, flat = target.astype(np.int32), self.cum1.reshape(-1)
-        symbol, half = np.zeros(len(target), np.int64), self.size >> 1
-        while half:
-            at = symbol + half
-            below = self.cum0.take(at, mode="clip") * self.w0
-            at += self.base
-            below += flat.take(at, mode="clip") * self.w1
-            symbol += (below <= target) * half
-            half >>= 1
-        return np.where(guessed, self.guess, symbol)
+        target = target.astype(np.int32)
+        at = (self.guess << self.bits) + self.last
+        low = self.w0 * self.cum0.take(self.guess, mode="clip") + self.w1 * self.flat.take(at, mode="clip")
+        at += self.size
+        high = self.w0 * self.cum0.take(self.guess + 1, mode="clip") + self.w1 * self.flat.take(at, mode="clip") + self.extra
+        beyond = target >= high
+        found = self.guess.copy()
+        lanes = np.flatnonzero(beyond | (target < low))
+        target = (target - self.extra * beyond).take(lanes)
+        place, w0, w1 = self.last.take(lanes), self.w0.take(lanes), self.w1.take(lanes)
+        step = self.cum1.size - self.size >> 1
+        while step >= self.size:
+            at = place + step
+            below = self.flat.take(at, mode="clip")
+            below *= w1
+            at >>= self.bits
+            below0 = self.cum0.take(at, mode="clip")
+            below0 *= w0
+            below += below0
+            place += (below <= target) * step
+            step >>= 1
+        found[lanes] = place >> self.bits
+        return found
 
     def update(self, symbol: np.ndarray) -> None:
-        self.seen.append(self.last * self.size + symbol)
+        self.seen.append(self.at)
         if self.step % GATE_STEPS == 0:
             share = 1.0 / self.width
             part0, part1 = self.got0 * share, self.got1 * share
             for k, part in enumerate((part0, part1, 1.0 - part0 - part1)):
                 self.gate[:, k] += np.bincount(self.key, part, len(self.gate))
         # a sure guess stays, half as sure, when another symbol came
-        self.next2[self.slot] = np.where(self.sure > 1, self.guess, symbol)
-        self.sure2[self.slot] = _AFTER[self.sure + 16 * self.right]
+        note = np.where(self.sure > 1, self.guess, symbol)
+        note <<= 4
+        note += _AFTER.take(self.sure + 16 * self.right, mode="clip")
+        self.notes[self.slot] = note
         self.before, self.last = self.last, symbol
         self.step += 1
 
@@ -191,6 +219,9 @@ def _symbols(n: int, distinct: int) -> int:
     return size
 
 
+_ALL = slice(None)
+
+
 class _Lanes:
     """The interval of each lane, narrowed in step."""
 
@@ -201,10 +232,13 @@ class _Lanes:
         """Takes an interval in the lanes at; yields (lanes, what leaves on their left) until all are wide again."""
         unit = self.width[at] >> U(TOTAL_BITS)
         low, width = self.low[at] + unit * start, unit * size
-        self.low[at], self.width[at] = low, width
+        if at is _ALL:
+            self.low, self.width = low, width
+        else:
+            self.low[at], self.width[at] = low, width
         settled = (low ^ (low + width)) < _TOP
         due = np.flatnonzero(settled | (width < _BOTTOM))
-        lanes = due if isinstance(at, slice) else at[due]
+        lanes = due if at is _ALL else at[due]
         own, span, settled = low[due], width[due], settled[due]
         while len(lanes):
             span = np.where(settled, span, (~own + U(1)) & _LOW32)
@@ -213,10 +247,11 @@ class _Lanes:
             self.low[lanes], self.width[lanes] = own, span
             settled = (own ^ (own + span)) < _TOP
             more = settled | (span < _BOTTOM)
+            if not more.any():
+                return
             lanes, own, span, settled = lanes[more], own[more], span[more], settled[more]
 
 
-_ALL = slice(None)
 
 
 def encode_ids(ids: np.ndarray, ranked: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -224,9 +259,9 @@ def encode_ids(ids: np.ndarray, ranked: np.ndarray) -> tuple[int, np.ndarray, np
     n = len(ids)
     lanes = int(min(LANES, max(1, n // STEPS)))
     steps = -(-n // lanes)
-    rank = np.zeros(int(ranked.max()) + 1, np.int64)
+    rank = np.zeros(int(ranked.max()) + 1, np.int32)
     rank[ranked] = np.arange(len(ranked))
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = rank[ids]
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     size = _symbols(n, len(ranked))
@@ -235,14 +270,14 @@ def encode_ids(ids: np.ndarray, ranked: np.ndarray) -> tuple[int, np.ndarray, np
     for step in range(steps):
         model.predict()
         rare.refresh(step)
-        symbol = np.minimum(grid[step], size - 1)
+        symbol = np.minimum(grid[step], size - 1, dtype=np.int64)
         for lane, word in state.narrow(_ALL, *model.interval(symbol)):
             out_lane.append(lane.astype(np.uint16))
             out_word.append(word)
         model.update(symbol)
         escaped = np.flatnonzero(symbol == size - 1)
         if len(escaped):
-            own = grid[step][escaped] - (size - 1)
+            own = grid[step][escaped].astype(np.int64) - (size - 1)
             for lane, word in state.narrow(escaped, *rare.interval(own)):
                 out_lane.append(lane.astype(np.uint16))
                 out_word.append(word)
@@ -275,7 +310,7 @@ def decode_ids(n: int, ranked: np.ndarray, lanes: int, lengths: np.ndarray, word
         source.update(symbol)
         return symbol
 
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     for step in range(steps):
         model.predict()
         rare.refresh(step)
@@ -293,8 +328,9 @@ HEAD = "<QQIIIQ"
 
 def write_block(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One self-contained block of the file format."""
-    distinct, many = np.unique(ids, return_counts=True)
-    ranked = distinct[np.argsort(-many, kind="stable")]
+    many = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    distinct = np.flatnonzero(many)
+    ranked = distinct[np.argsort(-many[distinct], kind="stable")]
     lanes, per_lane, words = encode_ids(ids, ranked) if len(ids) else (0, np.zeros(0, np.int64), np.zeros(0, np.uint16))
     there = np.array([d is not None for d in doc_ids], bool)
     names = np.array([d or 0 for d in doc_ids], np.int64)

@@ -144,6 +144,24 @@ def test_range_coder_blocks():
         rangecoder.read_block(bytes(broken))
 
 
+def test_range_coder_search():
+    """Sums in chunks are those of whole columns, and a search finds every symbol between its bounds."""
+    rng = np.random.default_rng(4)
+    for size in (2, 8, 128):
+        model = rangecoder.Model(size, 300)
+        for _ in range(70):
+            model.predict()
+            symbol = rng.zipf(1.5, 300) % size
+            start, width = (x.astype(np.int64) for x in model.interval(symbol))
+            for target in (start, start + width // 2, start + width - 1):
+                assert (model.find(target) == symbol).all()
+            model.update(symbol)
+            if model.step in (33, 65):
+                assert (model.total1 == model.count1.sum(axis=0)).all() and model.total1.any()
+                share = np.cumsum(model.count1, axis=0).astype(np.float32) * (rangecoder.PART / np.maximum(model.total1, 1)).astype(np.float32)
+                assert (model.cum1[1:size] == share[:-1].astype(np.int32)).all() and (model.cum1[size] == rangecoder.PART).all()
+
+
 def test_range_coder_mixes_orders():
     """Ids that depend on the one before, and on the two before, cost far less than their own frequencies tell."""
     rng = np.random.default_rng(2)
