@@ -115,6 +115,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def hashes_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start, in ascending order, to the next one."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    terms = np.zeros(len(data) + 1, np.uint64)  # a start may lie at the end
+    np.add(data, np.uint64(1), out=terms[:-1], dtype=np.uint64)
+    terms[:-1] *= _powers(BASE, len(data))
+    return mix(np.add.reduceat(terms, starts) * _powers(_INVERSE, len(data) + 1)[starts])
+
+
 class Words:
     """The words of a run of documents: 64-bit hashes, byte spans and the first word of each document."""
 

@@ -70,7 +70,8 @@ class Model:
     def __init__(self, size: int, lanes: int):
         self.size, self.bits = size, size.bit_length() - 1
         self.count0 = np.ones(size, np.int64)
-        self.count1, self.total1 = np.zeros((size, size), np.int32), np.zeros(size, np.int64)
+        # whole numbers below 2^24, which 32-bit floats hold exactly
+        self.count1, self.total1 = np.zeros((size, size), np.float32), np.zeros(size, np.int64)
         self.cum0, self.part0 = np.zeros(size + 1, np.int32), np.zeros(size, np.int32)
         self.cum1 = np.zeros((size + 1, size), np.int32)
         self.flat = self.cum1.reshape(-1)
@@ -79,7 +80,7 @@ class Model:
         self.gate = np.tile(np.array([8.0, 8.0, 4.0]), (7 * _ROW_CLASSES, 1))
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         chunk = min(CHUNK, size)
-        self._summed, self._scaled = np.zeros((chunk, size), np.int32), np.zeros((chunk, size), np.float32)
+        self._summed, self._scaled = np.zeros((chunk, size), np.float32), np.zeros((chunk, size), np.float32)
         self.step = 0
         self.seen: list[np.ndarray] = []
 
@@ -88,7 +89,7 @@ class Model:
         size = self.size
         if self.seen:
             seen = np.concatenate(self.seen)
-            np.add.at(self.count1.reshape(-1), seen, np.full(len(seen), 2, np.int32))
+            np.add.at(self.count1.reshape(-1), seen, np.full(len(seen), 2, np.float32))
             self.count0 += np.bincount(seen >> self.bits, minlength=size)
             self.total1 += 2 * np.bincount(seen & (size - 1), minlength=size)
             self.seen.clear()
@@ -99,15 +100,14 @@ class Model:
         self.part0 = np.diff(self.cum0)
         many = np.flatnonzero(self.total1 > ROW_MOST)
         if len(many):
-            self.count1[:, many] >>= 1
+            self.count1[:, many] = np.floor(self.count1[:, many] * np.float32(0.5))
             self.total1[many] = self.count1[:, many].sum(axis=0)
         scale = (PART / np.maximum(self.total1, 1)).astype(np.float32)
-        sums, before = self._summed, np.zeros(size, np.int32)
+        sums, before = self._summed, np.zeros(size, np.float32)
         for first in range(0, size, len(sums)):
             for below, count in zip(sums, self.count1[first : first + len(sums)]):
                 before = np.add(before, count, out=below)
-            np.copyto(self._scaled, sums, casting="unsafe")
-            self._scaled *= scale
+            np.multiply(sums, scale, out=self._scaled)
             np.copyto(self.cum1[first + 1 : first + 1 + len(sums)], self._scaled, casting="unsafe")
         self.cum1[size] = PART
         self.row_class = np.minimum(np.ceil(np.log2(self.total1 + 1)), _ROW_CLASSES - 1).astype(np.int64)
@@ -222,6 +222,15 @@ def _symbols(n: int, distinct: int) -> int:
 _ALL = slice(None)
 
 
+def _turned(grid: np.ndarray, edge: int = 64) -> np.ndarray:
+    """The transposed grid, copied square by square: columns that lie a power of two apart would push one another out of the caches."""
+    out = np.empty(grid.shape[::-1], grid.dtype)
+    for a in range(0, grid.shape[0], edge):
+        for b in range(0, grid.shape[1], edge):
+            out[b : b + edge, a : a + edge] = grid[a : a + edge, b : b + edge].T
+    return out
+
+
 class _Lanes:
     """The interval of each lane, narrowed in step."""
 
@@ -241,7 +250,8 @@ class _Lanes:
         lanes = due if at is _ALL else at[due]
         own, span, settled = low[due], width[due], settled[due]
         while len(lanes):
-            span = np.where(settled, span, (~own + U(1)) & _LOW32)
+            if not settled.all():
+                span = np.where(settled, span, (~own + U(1)) & _LOW32)
             yield lanes, (own >> U(48)).astype(np.uint16)
             own, span = own << U(16), span << U(16)
             self.low[lanes], self.width[lanes] = own, span
@@ -252,8 +262,6 @@ class _Lanes:
             lanes, own, span, settled = lanes[more], own[more], span[more], settled[more]
 
 
-
-
 def encode_ids(ids: np.ndarray, ranked: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """(lanes, 16-bit words of each lane, all words, lane after lane); ranked: the distinct ids, most frequent first."""
     n = len(ids)
@@ -263,7 +271,7 @@ def encode_ids(ids: np.ndarray, ranked: np.ndarray) -> tuple[int, np.ndarray, np
     rank[ranked] = np.arange(len(ranked))
     grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = rank[ids]
-    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    grid = _turned(grid.reshape(lanes, steps))
     size = _symbols(n, len(ranked))
     model, rare, state = Model(size, lanes), Rare(len(ranked) - size + 1), _Lanes(lanes)
     out_lane, out_word = [], []
@@ -305,8 +313,12 @@ def decode_ids(n: int, ranked: np.ndarray, lanes: int, lengths: np.ndarray, word
         target = (code[where] - state.low[where]) // (state.width[where] >> U(TOTAL_BITS))
         symbol = found(np.minimum(target, U((1 << TOTAL_BITS) - 1)).astype(np.int64))
         for lane, _ in state.narrow(where, *source.interval(symbol)):
-            code[lane] = (code[lane] << U(16)) | stream[at[lane]]
-            at[lane] += 1
+            next_word, read = at.take(lane), code.take(lane)
+            read <<= U(16)
+            read |= stream.take(next_word)
+            code[lane] = read
+            next_word += 1
+            at[lane] = next_word
         source.update(symbol)
         return symbol
 
@@ -320,7 +332,7 @@ def decode_ids(n: int, ranked: np.ndarray, lanes: int, lengths: np.ndarray, word
             symbol = symbol.copy()
             symbol[escaped] += take(escaped, rare.find, rare)
         grid[step] = symbol
-    return ranked[np.ascontiguousarray(grid.T).reshape(-1)[:n]]
+    return ranked[_turned(grid).reshape(-1)[:n]]
 
 
 HEAD = "<QQIIIQ"

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import text_buffers
+from .common import hashes_of, text_buffers
 
 #: Distinct words that a worker notes before the older of two generations of them goes.
 KEPT_WORDS = 800_000
@@ -73,28 +73,88 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _room(x: np.ndarray, used: int, need: int) -> np.ndarray:
+    """x, or a longer copy of what is used of it."""
+    return x if need <= len(x) else np.concatenate([x[:used], np.zeros(need, x.dtype)])
+
+
 class _Noted:
-    """Words and their ids: the word's number by its text, and all ids in one array."""
+    """Words and their ids: an open-addressing table of the words' numbers by a hash of their bytes, all ids and all bytes in arrays.
+
+    A word is found where its bytes are those noted. One whose hash another word has is not
+    found, and is encoded anew.
+    """
 
     def __init__(self, dtype: np.dtype):
-        self.number: dict[str, int] = {}
         self.starts, self.lens = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, dtype)
-        self.words = self.used = 0
+        self.hashes, self.text_starts, self.text_lens = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.text = np.zeros(1 << 15, np.uint8)
+        self.words = self.used = self.text_used = 0
+        self._index(13)
 
     def add(self, lens: np.ndarray, ids: np.ndarray) -> int:
         """Notes the ids of some words; the number of the first."""
         first, n, used = self.words, self.words + len(lens), self.used + len(ids)
-        if n > len(self.lens):
-            self.starts, self.lens = (np.concatenate([x[:first], np.zeros(n, x.dtype)]) for x in (self.starts, self.lens))
-        if used > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(used, self.ids.dtype)])
+        self.starts, self.lens = _room(self.starts, first, n), _room(self.lens, first, n)
+        self.ids = _room(self.ids, self.used, used)
         self.lens[first:n] = lens
         self.starts[first:n] = self.used + np.cumsum(lens) - lens
         self.ids[self.used : used] = ids
         self.words, self.used = n, used
         return first
 
+    def name(self, first: int, hashes: np.ndarray, starts: np.ndarray, lens: np.ndarray, data: np.ndarray) -> None:
+        """Notes the bytes data[start : start + len] of the words from number first on."""
+        n, used = first + len(hashes), self.text_used + int(lens.sum())
+        self.hashes, self.text_starts, self.text_lens = (_room(x, first, n) for x in (self.hashes, self.text_starts, self.text_lens))
+        self.text = _room(self.text, self.text_used, used)
+        self.hashes[first:n], self.text_lens[first:n] = hashes, lens
+        self.text_starts[first:n] = self.text_used + np.cumsum(lens) - lens
+        self.text[self.text_used : used] = data[_spans(starts, lens)]
+        self.text_used = used
+        if 2 * n > len(self._table):
+            self._index((2 * n).bit_length() + 1)
+            self._enter(0, n)
+        else:
+            self._enter(first, n)
+
+    def _index(self, bits: int) -> None:
+        self._table, self._shift = np.full(1 << bits, -1, np.int32), np.uint64(64 - bits)
+
+    def _enter(self, first: int, end: int) -> None:
+        rest = np.arange(first, end, dtype=np.int32)
+        slot = (self.hashes[first:end] >> self._shift).astype(np.int64)
+        while len(rest):
+            free = self._table[slot] < 0
+            self._table[slot[free]] = rest[free]
+            later = self._table[slot] != rest
+            rest, slot = rest[later], (slot[later] + 1) & (len(self._table) - 1)
+
+    def find(self, hashes: np.ndarray, starts: np.ndarray, lens: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The number of each word data[start : start + len], -1 where it is not noted."""
+        out = np.full(len(hashes), -1, np.int64)
+        rest, slot, own = np.arange(len(hashes)), (hashes >> self._shift).astype(np.int64), hashes
+        while len(rest):
+            found = self._table.take(slot)
+            there = found >= 0
+            same = self.hashes.take(found, mode="clip") == own
+            same &= there
+            out[rest[same]] = found[same]
+            there &= ~same
+            rest, own, slot = rest[there], own[there], (slot[there] + 1) & (len(self._table) - 1)
+        at = np.flatnonzero(out >= 0)
+        unlike = self.text_lens[out[at]] != lens[at]
+        out[at[unlike]] = -1
+        at = at[~unlike]
+        unlike = np.flatnonzero(self.text[_spans(self.text_starts[out[at]], lens[at])] != data[_spans(starts[at], lens[at])])
+        out[at[np.searchsorted(np.cumsum(lens[at]), unlike, "right")]] = -1
+        return out
+
+
+def _listed(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
 
 def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The places start .. start + len - 1 of each run, one run after another."""
@@ -219,18 +279,20 @@ class Encoder:
         """(ids of all texts of a string column, the end of each text's ids); null is empty."""
         pieces, text_ends = self._pieces(*text_buffers(column))
         named = pieces.dictionary_encode()
-        distinct = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        distinct = named.dictionary
         if self._noted.words > KEPT_WORDS:
             self._older, self._noted = self._noted, _Noted(self.dtype)
         noted = self._noted
-        number = np.array([noted.number.get(w, -1) for w in distinct], np.int64)
-        missing = np.flatnonzero(number < 0).tolist()
-        short = [i for i in missing if len(distinct[i]) <= KEPT_LENGTH]
-        number[short] = self._note([distinct[i] for i in short])
+        data, bounds = text_buffers(distinct)
+        starts, sizes = bounds[:-1], np.diff(bounds)
+        hashes = hashes_of(data, starts)
+        number = noted.find(hashes, starts, sizes, data)
+        missing = np.flatnonzero(number < 0)
+        short, long = missing[sizes[missing] <= KEPT_LENGTH], missing[sizes[missing] > KEPT_LENGTH]
+        number[short] = self._note(distinct.take(pa.array(short)), hashes[short], starts[short], sizes[short], data)
         mark = noted.words, noted.used
-        if len(short) < len(missing):
-            long = [i for i in missing if len(distinct[i]) > KEPT_LENGTH]
-            number[long] = self._add(self._learn([distinct[i] for i in long]))
+        if len(long):
+            number[long] = self._add(self._learn(_listed(distinct.take(pa.array(long)))))
         rank = number[named.indices.to_numpy()] if len(pieces) else number[:0]
         lens = noted.lens[rank].astype(np.int64)
         ids = noted.ids[_spans(noted.starts[rank], lens)]
@@ -244,17 +306,18 @@ class Encoder:
         lens = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         return self._noted.add(lens, np.frombuffer(b"".join(found), self.dtype)) + np.arange(len(found))
 
-    def _note(self, words: list[str]) -> np.ndarray:
+    def _note(self, words: pa.Array, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> np.ndarray:
         """The numbers of words that were not noted, from the older generation or from the tokenizer."""
         noted, older = self._noted, self._older
-        old = np.array([older.number.get(w, -1) for w in words], np.int64) if older.words else np.full(len(words), -1)
-        out, again = np.empty(len(words), np.int64), old >= 0
-        if again.any():
-            lens = older.lens[old[again]]
-            out[again] = noted.add(lens, older.ids[_spans(older.starts[old[again]], lens.astype(np.int64))]) + np.arange(len(lens))
-        fresh = np.flatnonzero(~again).tolist()
-        out[fresh] = self._add(self._learn([words[i] for i in fresh]))
-        noted.number.update(zip(words, out.tolist()))
+        old = older.find(hashes, starts, sizes, data)
+        again, fresh = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
+        lens = older.lens[old[again]]
+        first = noted.add(lens, older.ids[_spans(older.starts[old[again]], lens.astype(np.int64))])
+        self._add(self._learn(_listed(words.take(pa.array(fresh)))))
+        order = np.concatenate([again, fresh])
+        noted.name(first, hashes[order], starts[order], sizes[order], data)
+        out = np.empty(len(words), np.int64)
+        out[order] = first + np.arange(len(order))
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -81,6 +81,31 @@ def test_encoder_equals_library(rows, plain):
         assert [np.frombuffer(e, coder.dtype).tolist() for e in coder.encode(texts)] == [plain(t) for t in texts]
 
 
+def test_encoder_keeps_words_of_equal_hashes_apart(rows, plain, monkeypatch):
+    """A noted word is known by its bytes; hashes only say where to look, also from one generation of words to the next."""
+    whole = tokens.hashes_of
+    monkeypatch.setattr(tokens, "hashes_of", lambda data, starts: whole(data, starts) & np.uint64(7 << 61))
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 40)
+    coder = tokens.Encoder(tokens.default_path())
+    texts = [*(r[1] for r in rows[:40]), "ab ba Ab, é e", "q" * 100, None, ""]
+    for first in range(0, 2 * len(texts), 3):
+        part = (texts + texts)[first : first + 3]
+        assert [np.frombuffer(e, coder.dtype).tolist() for e in coder.encode(part)] == [plain(t) for t in part]
+
+
+def test_noted_words_are_found_again():
+    words = [f"w{i}" for i in range(20_000)] + ["a", "ab", "b"]
+    data, starts = np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([0, *map(len, words[:-1])])
+    lens, hashes = np.array([len(w) for w in words]), tokens.hashes_of(data, starts)
+    noted = tokens._Noted(np.dtype("<u2"))
+    assert (noted.find(hashes, starts, lens, data) == -1).all()
+    for part in (slice(0, 5), slice(5, 12_000), slice(12_000, 20_000)):
+        noted.name(noted.add(np.ones(len(words[part]), np.int64), np.zeros(len(words[part]), np.uint16)), hashes[part], starts[part], lens[part], data)
+    assert noted.find(hashes, starts, lens, data).tolist() == [*range(20_000), -1, -1, -1]
+    # equal hashes, other bytes
+    assert noted.find(hashes[:3], starts[3:6], lens[3:6], data).tolist() == [-1] * 3
+
+
 def test_packing(docs, rows, plain, empty, clashing):
     want = {i: plain(t) + [1] for i, t, *_ in rows}
     for source in (docs, clashing):
@@ -144,6 +169,13 @@ def test_range_coder_blocks():
         rangecoder.read_block(bytes(broken))
 
 
+def test_range_coder_turns_grids():
+    for shape in ((1, 1), (64, 64), (3, 200), (130, 65)):
+        grid = np.arange(shape[0] * shape[1], dtype=np.int32).reshape(shape)
+        turned = rangecoder._turned(grid)
+        assert (turned == grid.T).all() and turned.flags.c_contiguous
+
+
 def test_range_coder_search():
     """Sums in chunks are those of whole columns, and a search finds every symbol between its bounds."""
     rng = np.random.default_rng(4)
