@@ -46,6 +46,8 @@ FIT_STEPS, FIT_RIDGE = 8, 20.0
 #: Held-back training rows (remainder 9) from which the fit to all of them starts, and the move at which it ends.
 FIT_ROWS, FIT_MOVE = 512, 0.02
 STEP_BYTES = 1 << 18
+#: Bits of a predictor that a task sorts before it counts them, so that it walks through the table in order.
+SORTED_BITS = 3 << 19
 #: Words that a task counts before it passes the counts on.
 COUNT_FLUSH = 1 << 22
 #: Kinds of symbols, and gates of each.
@@ -100,6 +102,14 @@ def short(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U(32)).astype(np.uint32)
 
 
+def _own_memory(state: dict) -> dict:
+    """An unpickled object's state with arrays of their own: those that lie in what was read are slow to look into at random.
+
+    numpy asks for large pages for its own.
+    """
+    return {name: x.copy() if isinstance(x, np.ndarray) else x for name, x in state.items()}
+
+
 @dataclass
 class Code:
     """A Huffman code: the hashed node and the bit at each place of each symbol's path."""
@@ -119,9 +129,9 @@ class Code:
         owner = np.repeat(np.arange(len(symbol)), many)
         # the place of a symbol's path in the table, less the events before it
         shift = symbol * self.nodes.shape[1] - (np.cumsum(many) - many)
-        flat = shift.take(owner)
+        flat = shift.take(owner, mode="clip")
         flat += np.arange(len(owner))
-        return owner, self.bits.reshape(-1).take(flat), self.nodes.reshape(-1).take(flat)
+        return owner, self.bits.reshape(-1).take(flat, mode="clip"), self.nodes.reshape(-1).take(flat, mode="clip")
 
 
 def _shannon(weights: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,6 +195,9 @@ class Vocabulary:
         self.main[top], self.ending[top] = np.flatnonzero(top), -1
         self._index(n)
 
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(_own_memory(state))
+
     def firsts(self, affixes: np.ndarray) -> np.ndarray:
         """Main symbols of words without one of their own."""
         return (TOP + self._first[affixes >> np.uint32(16)]).astype(np.int16)
@@ -274,22 +287,22 @@ class Symbols:
     def events(self, bits: int, counting: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """(symbol of each bit, the bit, its slot in each table of 2^bits slots; first, for the kind WORD, in the paths).
 
-        counting: twice the slot, and the bit, instead of the slot; nothing in the paths.
+        counting: twice the slot, and the bit, in 32 bits instead of the slot; nothing in the paths.
         """
         if self.code is not None:
             owner, bit, node = self.code.paths(self.symbol)
         else:
             many = self.lengths()
             owner = np.repeat(np.arange(len(many)), many)
-            after = np.cumsum(many).take(owner)
+            after = np.cumsum(many).take(owner, mode="clip")
             after -= np.arange(1, len(owner) + 1)  # bits after this one
-            code = (self.symbol.astype(np.int64) | (1 << many)).take(owner)
+            code = (self.symbol.astype(np.int64) | (1 << many)).take(owner, mode="clip")
             code >>= after
             bit = code.astype(np.uint8)
             bit &= np.uint8(1)
             bit = bit.view(bool)
             code >>= 1
-            code += (self.group << 34).take(owner)
+            code += (self.group << 34).take(owner, mode="clip")
             node = code.view(np.uint64)
             node *= U(MIX1)
             node = short(node)
@@ -299,21 +312,21 @@ class Symbols:
                 if counting:
                     slots.append(None)
                     continue
-                slot = (self.path.astype(np.int64) + many - 1).take(owner)
+                slot = (self.path.astype(np.int64) + many - 1).take(owner, mode="clip")
                 slot -= after
                 slots.append(slot)
                 continue
             if c is None:
                 slot = node * ODD[k]
             else:
-                slot = c.take(owner)
+                slot = c.take(owner, mode="clip")
                 slot += node
                 slot *= ODD[k]
             slot >>= np.uint32(32 - bits)
             if counting:
                 slot <<= np.uint32(1)
                 slot |= bit
-            slots.append(slot.astype(np.int64))
+            slots.append(slot if counting else slot.astype(np.int64))
         return owner, bit, slots
 
 
@@ -428,10 +441,13 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 continue
             order, first = _runs(words.hashes)
             at, many = order[first], np.diff(first, append=len(order))
-            held.append((words.hashes[at], many, _affixes(words, words.lengths(), at).astype(np.int64)))
-            fresh = np.zeros(len(words.hashes), bool)
-            fresh[at] = True
-            spelled[:256] += np.bincount(words.low[words.word][np.repeat(fresh, words.lengths())], minlength=256)
+            lengths = words.lengths()
+            held.append((words.hashes[at], many, _affixes(words, lengths, at).astype(np.int64)))
+            many = lengths[at]
+            ends = np.cumsum(many)
+            inside = np.repeat(words.starts[at] - (ends - many), many)
+            inside += np.arange(len(inside))
+            spelled[:256] += np.bincount(words.low[inside], minlength=256)
             spelled[256] += len(at)
             size += len(at)
             if size > COUNT_FLUSH:
@@ -475,12 +491,26 @@ def _learn_batches(shared, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
         tables = np.zeros((K, 2 << bits), np.uint32)
+        waiting: list[list[np.ndarray]] = [[] for _ in range(K)]
+
+        def count(k: int) -> None:
+            at = np.concatenate(waiting[k])
+            waiting[k].clear()
+            if k:  # the first predictor's few contexts lie in the caches in any order
+                at.sort()
+            np.add.at(tables[k], at.astype(np.int64), np.uint32(1))
+
         for batch in batches:
             for _, _, data, offsets in text_steps(batch.column(0), STEP_BYTES):
                 for own in tokens_of(data, offsets, vocabulary).symbols:
-                    for table, at in zip(tables, own.events(bits, counting=True)[2]):
+                    for k, at in enumerate(own.events(bits, counting=True)[2]):
                         if at is not None:
-                            np.add.at(table, at, np.uint32(1))
+                            waiting[k].append(at)
+                            if k == 0 or sum(map(len, waiting[k])) > SORTED_BITS:
+                                count(k)
+        for k in range(1, K):
+            if waiting[k]:
+                count(k)
         per_table = (2 << bits) // CHUNK
         for k in range(K):
             for chunk in range(per_table):
@@ -493,11 +523,20 @@ def _learn_batches(shared, bits: int):
 
 def _chunk_row(chunk: int, counts: np.ndarray) -> pa.RecordBatch:
     """Counts as planes of equal bytes, which compression folds."""
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([counts.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())], names=["chunk", "counts"])
+    planes, top = np.zeros((4, len(counts)), np.uint8), int(counts.max())
+    for i in range(4):
+        if top >> 8 * i:
+            planes[i] = counts >> np.uint32(8 * i)
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([planes.tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
 def _chunk_counts(part: pa.Scalar) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(part.as_buffer(), np.uint8).reshape(4, CHUNK).T).view(np.uint32).reshape(-1)
+    planes = np.frombuffer(part.as_buffer(), np.uint8).reshape(4, CHUNK)
+    counts = planes[0].astype(np.uint32)
+    for i in (1, 2, 3):
+        if planes[i].any():
+            counts |= planes[i].astype(np.uint32) << np.uint32(8 * i)
+    return counts
 
 
 def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,6 +588,9 @@ class Model:
     distinct: int
     end_count: int
 
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(_own_memory(state))
+
     @property
     def unit(self) -> float:
         """log10 of the base score's denominator."""
@@ -558,7 +600,7 @@ class Model:
 def _states(model: Model, own: Symbols, slots: list[np.ndarray]) -> list[np.ndarray]:
     """The state that each predictor has for each bit."""
     tables = [model.vocabulary.paths if own.kind == WORD else model.states[0], *model.states[1:]]
-    return [table.take(at) for table, at in zip(tables, slots)]
+    return [table.take(at, mode="clip") for table, at in zip(tables, slots)]
 
 
 def _inputs(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -568,7 +610,7 @@ def _inputs(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.nd
         _, bit, slots = own.events(model.bits)
         states = np.stack(_states(model, own, slots))
         gate = own.kind * KIND_GATES + (states[1] & 3) * 4 + (states[2] & 3)
-        out.append((gate.astype(np.int16), bit, states))
+        out.append((gate.astype(np.uint8), bit, states))
     return tuple(np.concatenate(x, axis=-1) for x in zip(*out))
 
 
@@ -585,8 +627,8 @@ def _slopes(gate: np.ndarray, bit: np.ndarray, states: np.ndarray, weights: np.n
     order = np.argsort(gate, kind="stable")
     many = np.bincount(gate, minlength=GATES)
     edge = np.concatenate([[0], np.cumsum(many)])
-    bit = bit.take(order)
-    states = [state.take(order) for state in states]
+    bit = bit.take(order, mode="clip")
+    states = [state.take(order, mode="clip") for state in states]
     for g in np.flatnonzero(many):
         rows = slice(edge[g], edge[g + 1])
         own = np.stack([_logits(state[rows]) for state in states]).astype(np.float64)
@@ -645,6 +687,9 @@ def score_run(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     many = np.diff(tokens.first)
     owner = np.repeat(np.arange(n_docs), many)
     place = (np.arange(len(owner)) - np.repeat(tokens.first[:-1], many)) // BLOCK
+    # twice the block, and one where it is the document's last, from which nothing more is learned
+    place += place
+    place += place == np.repeat((many - 1) // BLOCK * 2, many)
     place = place.astype(np.uint16 if len(place) == 0 or place.max() < 1 << 16 else np.uint32)
     out, spelled = np.zeros(n_docs), np.zeros(len(tokens.rare))
     rare_number = np.zeros(len(owner), np.int64)
@@ -653,54 +698,60 @@ def score_run(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         if not len(own.token):
             continue
         block = place[own.token]
-        if block[-1] or block.any():
+        if (block != block[0]).any():
             own = own.ordered(np.argsort(block, kind="stable"))
             block = place[own.token]
         event, bit, slots = own.events(model.bits)
-        # events of each block of all documents
+        # events of each block of all documents: first of those that go on, then of those that end with it
         ends = np.concatenate([[0], np.cumsum(own.lengths())])
-        edge = ends[np.searchsorted(block, np.arange(int(block[-1]) + 2))]
+        edge = ends[np.searchsorted(block, np.arange((int(block[-1]) | 1) + 2))]
         states = _states(model, own, slots)
         gate = (states[1] & np.uint8(3)) * np.uint8(4) + (states[2] & np.uint8(3))
         doc = owner[own.token]
-        cell = (doc * KIND_GATES).take(event)
+        cell = (doc * KIND_GATES).take(event, mode="clip")
         cell += gate
         # for the bit that came: the logit, turned where that is a zero
         sign = bit.view(np.int8) * np.int8(2) - np.int8(1)
         x = [_logits(state, sign) for state in states]
         first = model.weights[own.kind * KIND_GATES : (own.kind + 1) * KIND_GATES].astype(np.float32)
         into = rare_number[own.token].take(event) if own.kind == BYTE else None  # else the cell tells the document
-        _mixed_online(x, cell, into, np.tile(first.T, (1, n_docs)), edge, spelled if own.kind == BYTE else out)
+        _mixed_online(x, cell, into, np.tile(first.T, (1, n_docs)), edge[::2], spelled if own.kind == BYTE else out, edge[1::2])
     return out / math.log(2), spelled / math.log(2)
 
 
-def _mixed_online(x: list[np.ndarray], cell: np.ndarray, into: np.ndarray | None, weights: np.ndarray, edge: np.ndarray, out: np.ndarray) -> None:
-    """Adds the natural log probability of each bit to out[into], or out of its cell's document; x: logits turned so that positive speaks for the bit that came."""
+def _mixed_online(x: list[np.ndarray], cell: np.ndarray, into: np.ndarray | None, weights: np.ndarray, edge: np.ndarray, out: np.ndarray, onward: np.ndarray | None = None) -> None:
+    """Adds the natural log probability of each bit to out[into], or out of its cell's document; x: logits turned so that positive speaks for the bit that came.
+
+    edge: where each block's events begin; onward: where in each those begin from which no weights
+    are refined, none but the last block's where it is not given.
+    """
     cells = weights.shape[1]
-    last = int(edge[-1])
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+    if onward is None:
+        onward = np.append(edge[1:-1], edge[-2])
+    for a, c, b in zip(edge[:-1].tolist(), onward.tolist(), edge[1:].tolist()):
         if a == b:
             continue
         at = cell[a:b]
-        z = weights[0].take(at)
+        z = weights[0].take(at, mode="clip")
         z *= x[0][a:b]
         for k in range(1, K):
-            more = weights[k].take(at)
+            more = weights[k].take(at, mode="clip")
             more *= x[k][a:b]
             z += more
         np.clip(z, -14, 14, out=z)
         np.negative(z, out=z)
         odds = np.exp(z, out=z)  # of the bit that did not come
         whole = odds + 1
-        # documents, and rare words, come in order
+        # documents, and rare words, come in order, and each once
         own = at >> GATE_BITS if into is None else into[a:b]
         first = np.flatnonzero(own[1:] != own[:-1])
         first += 1
         first = np.concatenate([_NONE, first])
         out[own[first]] -= np.add.reduceat(np.log(whole), first, dtype=np.float64)
-        if b == last:
-            break
-        other = np.divide(odds, whole, out=odds)
+        if a == c:
+            continue
+        b, at = c, at[: c - a]
+        other = np.divide(odds[: c - a], whole[: c - a], out=odds[: c - a])
         other *= np.float32(RATE)
         base = int(at[0]) & -KIND_GATES
         span = (int(at[-1]) | KIND_GATES - 1) + 1 - base
@@ -797,7 +848,7 @@ def _score_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         row = TaskContext.get().partitionId() << 40
-        log_end = math.log10(model.end_count + 0.1)
+        log_end, log_counts = math.log10(model.end_count + 0.1), np.log10(model.vocabulary.counts + 0.1)
         for batch in batches:
             for i, j, data, offsets in text_steps(batch.column(2), STEP_BYTES):
                 tokens = tokens_of(data, offsets, model.vocabulary)
@@ -806,7 +857,7 @@ def _score_batches(shared):
                 known, owner = tokens.rank >= 0, tokens.words.owners()
                 n_tokens = tokens.words.counts() + 1
                 n_known = np.bincount(owner[known], minlength=n) + (model.end_count > 0)
-                base = log_end + (np.bincount(owner[known], np.log10(model.vocabulary.counts[tokens.rank[known]] + 0.1), n) if known.any() else np.zeros(n))
+                base = log_end + (np.bincount(owner[known], log_counts[tokens.rank[known]], n) if known.any() else np.zeros(n))
                 rare = pa.StructArray.from_arrays([pa.array(tokens.words.hashes[tokens.rare].view(np.int64)), pa.array(model.vocabulary.known[tokens.rare_first]), pa.array(spelled)], names=["word", "known", "new"])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=n))]).astype(np.int32)
                 columns = [np.arange(row, row + n), batch.column(0).slice(i, n), batch.column(1).slice(i, n), np.diff(offsets), n_tokens.astype(np.int64), n_known.astype(np.int64), base, score]

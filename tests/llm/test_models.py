@@ -1,6 +1,7 @@
 """Extraction, classification, language-model scores and the pipeline."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -376,6 +377,54 @@ def test_lm_learns_from_every_training_row(spark):
         assert (model.states[k] == context_mixing.states_of(want[k])).all()
 
 
+def test_lm_counts_alike_in_any_portions(monkeypatch):
+    """Bits counted in sorted portions of any size give the same tables; an unpickled model's tables have memory of their own."""
+    lm = context_mixing
+    texts = [f"the cat {i} of w{i % 7} the" for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    counted, letters = lm._count_batches(iter([batch]))
+    word, n, affix = (np.asarray(counted.column(i)) for i in range(3))
+    spelled = np.asarray(letters.column(1))
+    distinct = {w for t in texts for w in t.split()}
+    assert spelled[:256].tolist() == np.bincount(list("".join(distinct).encode()), minlength=256).tolist() and spelled[256] == len(distinct)
+    vocabulary = lm.Vocabulary(word.view(np.uint64)[n > 1], n[n > 1], affix[n > 1].astype(np.uint32))
+    vocabulary.code(np.zeros(lm.PREFIXES + lm.OTHER, np.int64), 1, 1, 60, spelled)
+
+    class shared:  # noqa: N801
+        value = vocabulary
+
+    found = []
+    for most in (lm.SORTED_BITS, 50):
+        monkeypatch.setattr(lm, "SORTED_BITS", most)
+        found.append({r.column(0)[0].as_py(): lm._chunk_counts(r.column(1)[0]).tolist() for r in lm._learn_batches(shared, 16)(iter([batch, batch]))})
+    assert found[0] == found[1] and max(map(max, found[0].values())) > 255
+    model = lm.Model(vocabulary, 16, np.zeros((lm.K, 1 << 16), np.uint8), np.zeros((lm.GATES, lm.K)), 1, 1, 1)
+    again = pickle.loads(pickle.dumps(model))
+    assert again.states.flags.owndata and again.vocabulary._table.flags.owndata
+    assert (again.vocabulary.hashes == vocabulary.hashes).all() and again.unit == model.unit
+
+
+def test_lm_counts_travel_as_planes():
+    counts = np.zeros(context_mixing.CHUNK, np.uint32)
+    for top in (1, 255, 256, 1 << 17, (1 << 32) - 1):
+        counts[top % 1000] = top
+        assert (context_mixing._chunk_counts(context_mixing._chunk_row(3, counts).column(1)[0]) == counts).all()
+
+
+def test_lm_last_blocks_refine_nothing():
+    """Documents that end with a block, put last in it, are scored as if all documents were refined."""
+    lm, docs = context_mixing, 12
+    rng = np.random.default_rng(5)
+    cells = [np.sort(rng.choice(d, n)) * lm.KIND_GATES + rng.integers(0, lm.KIND_GATES, n) for d, n in ((range(0, docs, 2), 300), (range(1, docs, 2), 200), (range(0, docs, 2), 150))]
+    cell = np.concatenate(cells)
+    x = [rng.normal(size=len(cell)).astype(np.float32) for _ in range(lm.K)]
+    weights = rng.normal(size=(lm.K, docs * lm.KIND_GATES)).astype(np.float32)
+    out = np.zeros((2, docs))
+    lm._mixed_online(x, cell, None, weights.copy(), np.array([0, 500, 650]), out[0], np.array([300, 500]))
+    lm._mixed_online(x, cell, None, weights.copy(), np.array([0, 500, 650]), out[1], np.array([500, 650]))
+    assert out.all() and np.allclose(out[0], out[1], rtol=1e-6)
+
+
 def test_lm_codes_are_prefix_free():
     code = context_mixing.Code.of(1, np.array([5, 1, 1, 0, 40, 3]))
     paths = ["".join("01"[int(b)] for b in code.bits[i, : code.lengths[i]]) for i in range(6)]
