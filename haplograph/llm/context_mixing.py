@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX1, MIX2, SPACED, Words, crc_mod, cut, freeing, mix, text_steps
+from .common import MIX1, MIX2, SPACED, Words, crc_mod, cut, discard, freeing, mix, text_steps
 
 U = np.uint64
 #: Most words whose counts the tasks hold (a word counted once is rare in any case), and words with a symbol of their own.
@@ -48,8 +48,8 @@ FIT_ROWS, FIT_MOVE = 512, 0.02
 STEP_BYTES = 1 << 18
 #: Bits of a predictor that a task sorts before it counts them, so that it walks through the table in order.
 SORTED_BITS = 3 << 19
-#: Words that a task counts before it passes the counts on.
-COUNT_FLUSH = 1 << 22
+#: Words, and kinds of bits, that a task counts before it passes the counts on.
+COUNT_FLUSH, BITS_FLUSH = 1 << 22, 1 << 20
 #: Kinds of symbols, and gates of each.
 MAIN, ENDING, WORD, BYTE = range(4)
 GATE_BITS = 4
@@ -289,6 +289,11 @@ class Symbols:
 
         counting: twice the slot, and the bit, in 32 bits instead of the slot; nothing in the paths.
         """
+        owner, bit, slots = self.walk(bits, counting)
+        return owner, bit, list(slots)
+
+    def walk(self, bits: int, counting: bool = False) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+        """events() with the slots made one table after the other, so that they need not be held together."""
         if self.code is not None:
             owner, bit, node = self.code.paths(self.symbol)
         else:
@@ -306,28 +311,30 @@ class Symbols:
             node = code.view(np.uint64)
             node *= U(MIX1)
             node = short(node)
-        slots = []
-        for k, c in enumerate(self.contexts):
-            if k == 0 and self.path is not None:
-                if counting:
-                    slots.append(None)
+
+        def slots() -> Iterator[np.ndarray]:
+            for k, c in enumerate(self.contexts):
+                if k == 0 and self.path is not None:
+                    if counting:
+                        yield None
+                        continue
+                    slot = (self.path.astype(np.int64) + many - 1).take(owner, mode="clip")
+                    slot -= after
+                    yield slot
                     continue
-                slot = (self.path.astype(np.int64) + many - 1).take(owner, mode="clip")
-                slot -= after
-                slots.append(slot)
-                continue
-            if c is None:
-                slot = node * ODD[k]
-            else:
-                slot = c.take(owner, mode="clip")
-                slot += node
-                slot *= ODD[k]
-            slot >>= np.uint32(32 - bits)
-            if counting:
-                slot <<= np.uint32(1)
-                slot |= bit
-            slots.append(slot if counting else slot.astype(np.int64))
-        return owner, bit, slots
+                if c is None:
+                    slot = node * ODD[k]
+                else:
+                    slot = c.take(owner, mode="clip")
+                    slot += node
+                    slot *= ODD[k]
+                slot >>= np.uint32(32 - bits)
+                if counting:
+                    slot <<= np.uint32(1)
+                    slot |= bit
+                yield slot if counting else slot.astype(np.int64)
+
+        return owner, bit, slots()
 
 
 @dataclass
@@ -343,8 +350,11 @@ class Tokens:
     rare_first: np.ndarray  # their groups of first bytes
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> Tokens:
-    """Tokens, symbols and the four hashed contexts of each symbol; rare words are also spelled."""
+def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary, spell: np.ndarray | None = None) -> Tokens:
+    """Tokens, symbols and the four hashed contexts of each symbol; rare words are also spelled.
+
+    spell: whether each document's are, all where it is not given.
+    """
     words = Words(data, offsets, SPACED)
     rank = vocabulary.ranks(words.hashes)
     at = np.arange(len(rank)) + words.owners()  # token of each word
@@ -383,15 +393,16 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) ->
     symbols.append(Symbols(ENDING, some, [short(c) for c in near], ending[some], vocabulary.codes[ENDING]))
     some = some[length[some] > 0]
     symbols.append(Symbols(WORD, some, [None, one[some], short(mix(kind1[some] + U(5))), classes[some]], code[some], length=length[some], group=group_of(main[some], ending[some]), path=path[some]))
-    sizes = sizes[rare]
+    spelled = rare if spell is None else rare[np.asarray(spell)[at[rare] - rare]]
+    spelled_at, sizes = at[spelled], sizes[spelled]
     many = sizes + 1
-    which = np.repeat(np.arange(len(rare)), many)
+    which = np.repeat(np.arange(len(spelled)), many)
     place = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
     low = np.append(words.low, 0).astype(np.int64)
-    start = words.starts[rare][which]
+    start = words.starts[spelled][which]
     byte = np.where(place < sizes[which], low[np.minimum(start + place, len(low) - 1)], 256)
     before = [np.where(place >= back, low[np.maximum(start + place - back, 0)], 257).astype(np.uint64) for back in (1, 2, 3, 4)]
-    token = rare_at[which]
+    token = spelled_at[which]
     # the group, coded before, tells a word's first two bytes
     told = np.where(place < 2, main[token], 0).astype(np.uint64)
     two = ((before[0] + U(1)) * U(512) + before[1]) * U(1024) + told
@@ -597,48 +608,72 @@ class Model:
         return math.log10(self.train_tokens + 0.1 * (self.distinct + 1))
 
 
-def _states(model: Model, own: Symbols, slots: list[np.ndarray]) -> list[np.ndarray]:
-    """The state that each predictor has for each bit."""
-    tables = [model.vocabulary.paths if own.kind == WORD else model.states[0], *model.states[1:]]
-    return [table.take(at, mode="clip") for table, at in zip(tables, slots)]
+def _states(model: Model, own: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol of each bit, the bit, the state that each predictor has for it)."""
+    event, bit, slots = own.walk(model.bits)
+    states = np.empty((K, len(event)), np.uint8)
+    for k, at in enumerate(slots):
+        table = model.vocabulary.paths if k == 0 and own.kind == WORD else model.states[k]
+        table.take(at, mode="clip", out=states[k])
+    return event, bit, states
+
 
+def _gates(states: np.ndarray) -> np.ndarray:
+    """The gate of each bit among those of its kind of symbol."""
+    return (states[1] & np.uint8(3)) * np.uint8(4) + (states[2] & np.uint8(3))
 
-def _inputs(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gate, bit, states of the predictors) of all bits of all tokens."""
-    out = []
+
+def _bits(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct kinds of bits of all tokens, how often each occurs): from the top, kind of symbol, the bit, four states."""
+    keys, times = [], []
     for own in tokens.symbols:
-        _, bit, slots = own.events(model.bits)
-        states = np.stack(_states(model, own, slots))
-        gate = own.kind * KIND_GATES + (states[1] & 3) * 4 + (states[2] & 3)
-        out.append((gate.astype(np.uint8), bit, states))
-    return tuple(np.concatenate(x, axis=-1) for x in zip(*out))
+        _, bit, states = _states(model, own)
+        seen = np.zeros(len(bit), np.uint32)
+        for state in states:
+            seen <<= np.uint32(8)
+            seen |= state
+        for b, one in enumerate((~bit, bit)):
+            key = seen[one]
+            key.sort()
+            first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+            keys.append(key[first].astype(np.uint64) | U(own.kind << 33 | b << 32))
+            times.append(np.diff(first, append=len(key)))
+    return np.concatenate(keys), np.concatenate(times)
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One list of bits and how often each occurs from several."""
+    key, n = (np.concatenate(x) for x in zip(*found))
+    order, first = _runs(key)
+    return key[order[first]], np.add.reduceat(n[order], first) if len(n) else n
 
 
 def _fit_weights(model: Model, texts: list[str | None]) -> None:
     """Where the fit starts: each gate's logistic regression on some held-back rows, by Newton steps."""
-    found = [_inputs(model, tokens_of(data, offsets, model.vocabulary)) for _, _, data, offsets in text_steps(pa.array(texts, pa.large_string()), STEP_BYTES)]
+    found = _merged([_bits(model, tokens_of(data, offsets, model.vocabulary)) for _, _, data, offsets in text_steps(pa.array(texts, pa.large_string()), STEP_BYTES)])
     for _ in range(FIT_STEPS):
-        _newton(model.weights, sum(_slopes(*f, model.weights) for f in found))
+        _newton(model.weights, _slopes(*found, model.weights))
 
 
-def _slopes(gate: np.ndarray, bit: np.ndarray, states: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(gate x K x K+1): curvature of each gate's log loss, and beside it the slope."""
+def _slopes(key: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(gate x K x K+1): curvature of each gate's log loss, and beside it the slope, over bits that occur n times."""
     out = np.zeros((GATES, K, K + 1))
+    states = np.stack([(key >> U(8 * (K - 1 - k))).astype(np.uint8) for k in range(K)])
+    gate = (key >> U(33)).astype(np.uint8) * np.uint8(KIND_GATES) + _gates(states)
     order = np.argsort(gate, kind="stable")
     many = np.bincount(gate, minlength=GATES)
     edge = np.concatenate([[0], np.cumsum(many)])
-    bit = bit.take(order, mode="clip")
-    states = [state.take(order, mode="clip") for state in states]
+    bit, n, states = (key >> U(32) & U(1)).astype(np.float64)[order], n[order], states[:, order]
     for g in np.flatnonzero(many):
         rows = slice(edge[g], edge[g + 1])
-        own = np.stack([_logits(state[rows]) for state in states]).astype(np.float64)
+        own = _logits(states[:, rows]).astype(np.float64)
         p = weights[g] @ own
         np.clip(p, -14, 14, out=p)
         np.exp(np.negative(p, out=p), out=p)
         p += 1
         np.reciprocal(p, out=p)
-        out[g, :, :K] = (own * (p * (1 - p))) @ own.T
-        out[g, :, K] = own @ (bit[rows] - p)
+        out[g, :, :K] = (own * (p * (1 - p) * n[rows])) @ own.T
+        out[g, :, K] = own @ ((bit[rows] - p) * n[rows])
     return out
 
 
@@ -652,13 +687,35 @@ def _newton(weights: np.ndarray, sums: np.ndarray) -> float:
     return moved
 
 
-def _slope_batches(shared, weights: np.ndarray):
+def _bit_batches(shared):
+    """Bits of texts and how often each occurs, packed: a row holds at most about BITS_FLUSH of them."""
+
+    def row(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in _merged(found)], names=["bits", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        sums = np.zeros((GATES, K, K + 1))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, _, data, offsets in text_steps(batch.column(0), STEP_BYTES):
-                sums += _slopes(*_inputs(model, tokens_of(data, offsets, model.vocabulary)), weights)
+                held.append(_bits(model, tokens_of(data, offsets, model.vocabulary)))
+                if sum(len(key) for key, _ in held) > BITS_FLUSH:
+                    held[:] = [_merged(held)]
+                    if len(held[0][0]) > BITS_FLUSH // 2:
+                        yield row(held)
+                        held.clear()
+        if held:
+            yield row(held)
+
+    return run
+
+
+def _slope_batches(weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((GATES, K, K + 1))
+        for batch in batches:
+            for key, n in zip(batch.column(0), batch.column(1)):
+                sums += _slopes(np.frombuffer(key.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64), weights)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.reshape(-1)[at])], names=["at", "part"])
 
@@ -666,15 +723,20 @@ def _slope_batches(shared, weights: np.ndarray):
 
 
 def _fit_all(model: Model, rows: DataFrame) -> None:
-    """Goes on with Newton steps whose sums run over all rows (text), until the weights rest."""
+    """Goes on with Newton steps whose sums run over all rows (text), until the weights rest.
+
+    The states do not change meanwhile, so that the rows' bits are counted once.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    counted = cut(rows.mapInArrow(freeing(_bit_batches(shared)), "bits binary, n binary"))
+    shared.unpersist()
     for _ in range(FIT_STEPS):
         sums = np.zeros(GATES * K * (K + 1))
-        for at, part in rows.mapInArrow(freeing(_slope_batches(shared, model.weights.copy())), "at long, part double").groupBy("at").agg(F.sum("part")).collect():
+        for at, part in counted.mapInArrow(freeing(_slope_batches(model.weights.copy())), "at long, part double").groupBy("at").agg(F.sum("part")).collect():
             sums[at] = part
         if _newton(model.weights, sums.reshape(GATES, K, K + 1)) < FIT_MOVE:
             break
-    shared.unpersist()
+    discard(counted)
 
 
 def score_run(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -701,73 +763,74 @@ def score_run(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         if (block != block[0]).any():
             own = own.ordered(np.argsort(block, kind="stable"))
             block = place[own.token]
-        event, bit, slots = own.events(model.bits)
+        event, bit, states = _states(model, own)
         # events of each block of all documents: first of those that go on, then of those that end with it
         ends = np.concatenate([[0], np.cumsum(own.lengths())])
         edge = ends[np.searchsorted(block, np.arange((int(block[-1]) | 1) + 2))]
-        states = _states(model, own, slots)
-        gate = (states[1] & np.uint8(3)) * np.uint8(4) + (states[2] & np.uint8(3))
-        doc = owner[own.token]
-        cell = (doc * KIND_GATES).take(event, mode="clip")
-        cell += gate
+        cell = (owner[own.token] * KIND_GATES).take(event, mode="clip")
+        cell += _gates(states)
         # for the bit that came: the logit, turned where that is a zero
         sign = bit.view(np.int8) * np.int8(2) - np.int8(1)
-        x = [_logits(state, sign) for state in states]
+        x = _logits(states, sign)
         first = model.weights[own.kind * KIND_GATES : (own.kind + 1) * KIND_GATES].astype(np.float32)
         into = rare_number[own.token].take(event) if own.kind == BYTE else None  # else the cell tells the document
         _mixed_online(x, cell, into, np.tile(first.T, (1, n_docs)), edge[::2], spelled if own.kind == BYTE else out, edge[1::2])
     return out / math.log(2), spelled / math.log(2)
 
 
-def _mixed_online(x: list[np.ndarray], cell: np.ndarray, into: np.ndarray | None, weights: np.ndarray, edge: np.ndarray, out: np.ndarray, onward: np.ndarray | None = None) -> None:
+def _mixed_online(x: np.ndarray | list[np.ndarray], cell: np.ndarray, into: np.ndarray | None, weights: np.ndarray, edge: np.ndarray, out: np.ndarray, onward: np.ndarray | None = None) -> None:
     """Adds the natural log probability of each bit to out[into], or out of its cell's document; x: logits turned so that positive speaks for the bit that came.
 
     edge: where each block's events begin; onward: where in each those begin from which no weights
     are refined, none but the last block's where it is not given.
     """
-    cells = weights.shape[1]
+    x, cells = np.asarray(x), weights.shape[1]
+    if not len(cell):
+        return
     if onward is None:
         onward = np.append(edge[1:-1], edge[-2])
+    # blocks may be small, so that what need not be done for each is left for all together
+    whole = np.empty(len(cell), np.float32)
     for a, c, b in zip(edge[:-1].tolist(), onward.tolist(), edge[1:].tolist()):
         if a == b:
             continue
         at = cell[a:b]
-        z = weights[0].take(at, mode="clip")
-        z *= x[0][a:b]
+        parts = weights.take(at, axis=1, mode="clip")
+        parts *= x[:, a:b]
+        z = parts[0]
         for k in range(1, K):
-            more = weights[k].take(at, mode="clip")
-            more *= x[k][a:b]
-            z += more
-        np.clip(z, -14, 14, out=z)
+            z += parts[k]
+        np.maximum(z, -14, out=z)
+        np.minimum(z, 14, out=z)
         np.negative(z, out=z)
         odds = np.exp(z, out=z)  # of the bit that did not come
-        whole = odds + 1
-        # documents, and rare words, come in order, and each once
-        own = at >> GATE_BITS if into is None else into[a:b]
-        first = np.flatnonzero(own[1:] != own[:-1])
-        first += 1
-        first = np.concatenate([_NONE, first])
-        out[own[first]] -= np.add.reduceat(np.log(whole), first, dtype=np.float64)
+        np.add(odds, 1, out=whole[a:b])
         if a == c:
             continue
         b, at = c, at[: c - a]
-        other = np.divide(odds[: c - a], whole[: c - a], out=odds[: c - a])
+        other = np.divide(odds[: c - a], whole[a:c], out=odds[: c - a])
         other *= np.float32(RATE)
         base = int(at[0]) & -KIND_GATES
         span = (int(at[-1]) | KIND_GATES - 1) + 1 - base
         if b - a > cells:
             scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=cells), 1))
             for k in range(K):
-                weights[k] += np.bincount(at, other * x[k][a:b], cells) * scale
+                weights[k] += np.bincount(at, other * x[k, a:b], cells) * scale
         elif span <= 4 * (b - a):  # few documents, but near one another
             at = at - base
             root = np.sqrt(np.maximum(np.bincount(at, minlength=span), 1))
             for k in range(K):
-                weights[k, base : base + span] += np.bincount(at, other * x[k][a:b], span) / root
+                weights[k, base : base + span] += np.bincount(at, other * x[k, a:b], span) / root
         else:
             value, back, times = np.unique(at, return_inverse=True, return_counts=True)
             for k in range(K):
-                weights[k][value] += np.bincount(back, other * x[k][a:b]) / np.sqrt(times)
+                weights[k][value] += np.bincount(back, other * x[k, a:b]) / np.sqrt(times)
+    # documents, and rare words, come in order in each block
+    own = cell >> GATE_BITS if into is None else into
+    first = np.flatnonzero(own[1:] != own[:-1])
+    first += 1
+    first = np.concatenate([_NONE, first])
+    out -= np.bincount(own[first], np.add.reduceat(np.log(whole, out=whole), first, dtype=np.float64), len(out))
 
 
 # ---- the operator ----------------------------------------------------------------------------
@@ -851,10 +914,13 @@ def _score_batches(shared):
         log_end, log_counts = math.log10(model.end_count + 0.1), np.log10(model.vocabulary.counts + 0.1)
         for batch in batches:
             for i, j, data, offsets in text_steps(batch.column(2), STEP_BYTES):
-                tokens = tokens_of(data, offsets, model.vocabulary)
+                # the words of training rows are counted and so known, whatever their spelling's share
+                held_out = batch.column(1).slice(i, j - i).to_numpy() == 0
+                tokens = tokens_of(data, offsets, model.vocabulary, held_out)
                 score, spelled = (x * math.log10(2) for x in score_run(model, tokens))
                 n = j - i
                 known, owner = tokens.rank >= 0, tokens.words.owners()
+                spelled[~held_out[owner[tokens.rare]]] = np.nan  # never asked for
                 n_tokens = tokens.words.counts() + 1
                 n_known = np.bincount(owner[known], minlength=n) + (model.end_count > 0)
                 base = log_end + (np.bincount(owner[known], log_counts[tokens.rank[known]], n) if known.any() else np.zeros(n))

@@ -512,3 +512,78 @@ def test_small_blocks_are_mixed_without_sorting(monkeypatch):
     assert np.allclose(out, want, rtol=1e-4, atol=1e-4)
     states = np.arange(256, dtype=np.uint8)
     assert np.array_equal(lm._logits(states), ((np.arange(256) >> 2) - 32).astype(np.float32) / np.float32(lm.LOGIT_STEPS))
+
+
+@pytest.fixture(scope="module")
+def lm_model(spark, lm_rows):
+    d = spark.createDataFrame(lm_rows, "doc_id long, text string").coalesce(2)
+    return context_mixing.learn(d, F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 10, 0)"))[0]
+
+
+def test_lm_spells_only_held_out_rows(lm_model, lm_rows, monkeypatch):
+    """Rare words of training rows are known, so that their spelling is not scored; all other figures are those of rows that are spelled."""
+    lm = context_mixing
+
+    class shared:  # noqa: N801
+        value = lm_model
+
+    class task:  # noqa: N801
+        get = staticmethod(lambda: task)
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    monkeypatch.setattr(lm, "TaskContext", task)
+    fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 10
+    rows = [*lm_rows, *((i, f"the zq{i}x of " * 40) for i in range(300, 340))]
+    found = []
+    for folds in ([fold(i) for i, _ in rows], [0] * len(rows)):
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array(folds), pa.array([t for _, t in rows])], names=["doc_id", "fold", "text"])
+        found.append(pa.Table.from_batches(list(lm._score_batches(shared)(iter([batch])))).to_pylist())
+    seen = Counter()
+    for own, all_spelled in zip(*found):
+        assert own["score"] == pytest.approx(all_spelled["score"], rel=1e-9) and own["base"] == all_spelled["base"]
+        for a, b in zip(own["rare"], all_spelled["rare"], strict=True):
+            assert (a["word"], a["known"]) == (b["word"], b["known"]) and b["new"] < 0
+            assert math.isnan(a["new"]) if own["fold"] else a["new"] == pytest.approx(b["new"], rel=1e-6)
+            seen[bool(own["fold"])] += 1
+    assert seen[True] and seen[False]
+    # nor is it put into symbols
+    data, offsets = np.frombuffer(b"q1x the q2xyz", np.uint8), np.array([0, 3, 13])
+    bytes_of = lambda spell: lm.tokens_of(data, offsets, lm_model.vocabulary, spell).symbols[lm.BYTE]
+    assert bytes_of(None).symbol.tolist() == [*b"q1x", 256, *b"q2xyz", 256]
+    assert bytes_of(np.array([False, True])).symbol.tolist() == [*b"q2xyz", 256] and set(bytes_of(np.array([False, True])).token.tolist()) == {3}
+    assert not len(bytes_of(np.array([False, False])).token)
+
+
+def test_lm_fit_counts_bits_once(lm_model, lm_rows, monkeypatch):
+    """The fit's sums over counted bits are those over all bits one by one, in portions of any size, and each row is read into bits once."""
+    lm = context_mixing
+    texts = [t for _, t in lm_rows]
+    want = np.zeros((lm.GATES, lm.K, lm.K + 1))
+    bits = 0
+    for text in texts:
+        for symbols, _, _ in plain_events(lm_model, text):
+            for kind, path in symbols:
+                for bit, states in path:
+                    gate = kind * lm.KIND_GATES + (states[1] & 3) * 4 + (states[2] & 3)
+                    x = np.array([((s >> 2) - 32) / lm.LOGIT_STEPS for s in states])
+                    p = 1 / (1 + math.exp(-min(max(x @ lm_model.weights[gate], -14), 14)))
+                    want[gate, :, : lm.K] += np.outer(x, x) * p * (1 - p)
+                    want[gate, :, lm.K] += x * (bit - p)
+                    bits += 1
+
+    class shared:  # noqa: N801
+        value = lm_model
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for most in (lm.BITS_FLUSH, 300):
+        monkeypatch.setattr(lm, "BITS_FLUSH", most)
+        monkeypatch.setattr(lm, "STEP_BYTES", lm.STEP_BYTES if most > 300 else 500)
+        rows = list(lm._bit_batches(shared)(iter([batch])))
+        assert (len(rows) > 1) == (most == 300)
+        times = [np.frombuffer(row.column(1)[0].as_buffer(), np.int64) for row in rows]
+        assert sum(int(n.sum()) for n in times) == bits > sum(map(len, times))
+        found = np.zeros(want.size)
+        for part in lm._slope_batches(lm_model.weights)(iter(rows)):
+            found[np.asarray(part.column(0))] += np.asarray(part.column(1))
+        assert np.allclose(found.reshape(want.shape), want, rtol=1e-5, atol=1e-6)
+    assert not list(lm._bit_batches(shared)(iter([])))
