@@ -20,8 +20,15 @@ MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Bytes of text that one vectorised step takes at once (a longer document is taken alone).
 STEP_BYTES = 1 << 20
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased, by arithmetic, which is quicker than a look into a table."""
+    low = (data - np.uint8(65) < np.uint8(26)).view(np.uint8)
+    low <<= np.uint8(5)
+    low |= data
+    return low
+
+
+LOWER = lowered(np.arange(256, dtype=np.uint8))
 
 
 def _mask(outside: list[tuple[int, int]]) -> np.ndarray:
@@ -36,6 +43,15 @@ SPACED = _mask([(0x20, 0x20), (0x09, 0x0D)])
 ALNUM = _mask([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
 
+def marked(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """inside[data], from the ranges of bytes that lie outside."""
+    border = np.flatnonzero(np.diff(inside, prepend=True, append=True))
+    out = np.ones(len(data), bool)
+    for lo, end in border.reshape(-1, 2).tolist():
+        out &= data - np.uint8(lo) > np.uint8(end - 1 - lo)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -129,8 +145,8 @@ class Words:
     """The words of a run of documents: 64-bit hashes, byte spans and the first word of each document."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
-        low = LOWER[data]
-        word = inside[low]
+        low = lowered(data)
+        word = marked(low, inside)
         n = len(low)
         begins = word.copy()
         if n:
@@ -141,7 +157,11 @@ class Words:
         self.word = word
         self.first = np.searchsorted(self.starts, offsets)  # of each document, and one past the last
         if len(self.starts):
-            self._terms = np.where(word, low.astype(np.uint64) + np.uint64(1), np.uint64(0)) * _powers(BASE, n)
+            terms = low.astype(np.uint16)
+            terms += np.uint16(1)
+            terms *= word
+            self._terms = terms.astype(np.uint64)
+            self._terms *= _powers(BASE, n)
             h = np.add.reduceat(self._terms, self.starts)
             self._shift = _powers(_INVERSE, n)[self.starts]
             self.hashes = mix(h * self._shift)

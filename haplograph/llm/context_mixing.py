@@ -48,6 +48,8 @@ FIT_ROWS, FIT_MOVE = 512, 0.02
 STEP_BYTES = 1 << 18
 #: Bits of a predictor that a task sorts before it counts them, so that it walks through the table in order.
 SORTED_BITS = 3 << 19
+#: Bits in a row of one gate, on the average, from which on they are mixed in the order in which they come.
+SHORT_RUN = 8
 #: Words, and kinds of bits, that a task counts before it passes the counts on.
 COUNT_FLUSH, BITS_FLUSH = 1 << 22, 1 << 20
 #: Kinds of symbols, and gates of each.
@@ -63,7 +65,6 @@ NEW_WEIGHT = 1.0
 ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 _START = np.array([0x243F6A8885A308D3], np.uint64)
 _END = 0x13198A2E03707344
-_NONE = np.zeros(1, np.int64)
 
 
 def table_bits(tokens: int) -> int:
@@ -767,14 +768,27 @@ def score_run(model: Model, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         # events of each block of all documents: first of those that go on, then of those that end with it
         ends = np.concatenate([[0], np.cumsum(own.lengths())])
         edge = ends[np.searchsorted(block, np.arange((int(block[-1]) | 1) + 2))]
-        cell = (owner[own.token] * KIND_GATES).take(event, mode="clip")
-        cell += _gates(states)
-        # for the bit that came: the logit, turned where that is a zero
-        sign = bit.view(np.int8) * np.int8(2) - np.int8(1)
-        x = _logits(states, sign)
+        doc, gate = owner[own.token], _gates(states)
         first = model.weights[own.kind * KIND_GATES : (own.kind + 1) * KIND_GATES].astype(np.float32)
-        into = rare_number[own.token].take(event) if own.kind == BYTE else None  # else the cell tells the document
-        _mixed_online(x, cell, into, np.tile(first.T, (1, n_docs)), edge[::2], spelled if own.kind == BYTE else out, edge[1::2])
+        weights = np.tile(first.T, (1, n_docs))
+        cell = (doc * KIND_GATES).take(event, mode="clip")
+        cell += gate
+        if own.kind == BYTE:  # each rare word has a sum of its own, so that its bits stay together
+            into = rare_number[own.token].take(event)
+        else:
+            into = None
+            if SHORT_RUN * np.count_nonzero(cell[1:] != cell[:-1]) > len(cell):  # else the gates hardly change
+                # in each document's block, bits of one gate are brought together
+                border = np.ones(len(doc), bool)
+                border[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
+                part = (np.cumsum(border) - 1) * KIND_GATES
+                key = part.astype(np.uint16 if part[-1] < 1 << 16 else np.uint32).take(event, mode="clip")
+                key += gate
+                order = np.argsort(key, kind="stable")
+                cell, bit, states = cell.take(order, mode="clip"), bit.take(order, mode="clip"), states.take(order, axis=1, mode="clip")
+        # for the bit that came: the logit, turned where that is a zero
+        x = _logits(states, bit.view(np.int8) * np.int8(2) - np.int8(1))
+        _mixed_online(x, cell, into, weights, edge[::2], spelled if own.kind == BYTE else out, edge[1::2])
     return out / math.log(2), spelled / math.log(2)
 
 
@@ -784,18 +798,27 @@ def _mixed_online(x: np.ndarray | list[np.ndarray], cell: np.ndarray, into: np.n
     edge: where each block's events begin; onward: where in each those begin from which no weights
     are refined, none but the last block's where it is not given.
     """
-    x, cells = np.asarray(x), weights.shape[1]
     if not len(cell):
         return
     if onward is None:
         onward = np.append(edge[1:-1], edge[-2])
+    border = np.ones(len(cell), bool)
+    border[1:] = cell[1:] != cell[:-1]
+    if into is not None:
+        border[1:] |= into[1:] != into[:-1]
+    for at in (edge, onward):
+        border[at[at < len(cell)]] = True
+    # runs of bits of one cell, and one sum
+    first = np.flatnonzero(border)
+    whole, many = np.empty(len(cell), np.float32), np.diff(first, append=len(cell))
+    x, cell, into = np.asarray(x), cell[first], None if into is None else into[first]
     # blocks may be small, so that what need not be done for each is left for all together
-    whole = np.empty(len(cell), np.float32)
-    for a, c, b in zip(edge[:-1].tolist(), onward.tolist(), edge[1:].tolist()):
+    run_edge, run_onward = np.searchsorted(first, edge).tolist(), np.searchsorted(first, onward).tolist()
+    for i, (a, c, b) in enumerate(zip(edge[:-1].tolist(), onward.tolist(), edge[1:].tolist())):
         if a == b:
             continue
-        at = cell[a:b]
-        parts = weights.take(at, axis=1, mode="clip")
+        runs = slice(run_edge[i], run_edge[i + 1])
+        parts = np.repeat(weights.take(cell[runs], axis=1, mode="clip"), many[runs], axis=1)
         parts *= x[:, a:b]
         z = parts[0]
         for k in range(1, K):
@@ -807,30 +830,24 @@ def _mixed_online(x: np.ndarray | list[np.ndarray], cell: np.ndarray, into: np.n
         np.add(odds, 1, out=whole[a:b])
         if a == c:
             continue
-        b, at = c, at[: c - a]
         other = np.divide(odds[: c - a], whole[a:c], out=odds[: c - a])
         other *= np.float32(RATE)
-        base = int(at[0]) & -KIND_GATES
-        span = (int(at[-1]) | KIND_GATES - 1) + 1 - base
-        if b - a > cells:
-            scale = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=cells), 1))
-            for k in range(K):
-                weights[k] += np.bincount(at, other * x[k, a:b], cells) * scale
-        elif span <= 4 * (b - a):  # few documents, but near one another
-            at = at - base
-            root = np.sqrt(np.maximum(np.bincount(at, minlength=span), 1))
+        runs = slice(run_edge[i], run_onward[i])
+        at, times = cell[runs], many[runs]
+        moves = np.add.reduceat(x[:, a:c] * other, first[runs] - a, axis=1)
+        low, high = int(at.min()), int(at.max())
+        if high - low < 4 * (c - a):  # documents near one another
+            at, span = at - low, high - low + 1
+            root = np.sqrt(np.maximum(np.bincount(at, times, span), 1))
             for k in range(K):
-                weights[k, base : base + span] += np.bincount(at, other * x[k, a:b], span) / root
+                weights[k, low : high + 1] += np.bincount(at, moves[k], span) / root
         else:
-            value, back, times = np.unique(at, return_inverse=True, return_counts=True)
+            value, back = np.unique(at, return_inverse=True)
+            root = np.sqrt(np.bincount(back, times))
             for k in range(K):
-                weights[k][value] += np.bincount(back, other * x[k, a:b]) / np.sqrt(times)
-    # documents, and rare words, come in order in each block
+                weights[k][value] += np.bincount(back, moves[k]) / root
     own = cell >> GATE_BITS if into is None else into
-    first = np.flatnonzero(own[1:] != own[:-1])
-    first += 1
-    first = np.concatenate([_NONE, first])
-    out -= np.bincount(own[first], np.add.reduceat(np.log(whole, out=whole), first, dtype=np.float64), len(out))
+    out -= np.bincount(own, np.add.reduceat(np.log(whole, out=whole), first, dtype=np.float64), len(out))
 
 
 # ---- the operator ----------------------------------------------------------------------------
@@ -878,10 +895,13 @@ def learn(docs: DataFrame, remainder: Column, id_col: str = "doc_id", text_col:
     tokens = int(totals[0]) + end
     bits = table_bits(tokens)
     # a task's tables travel whole, so tasks are no more than the tokens pay for
-    tasks = max(2 * spark.sparkContext.defaultParallelism, tokens >> (bits + 2))
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(2 * cores, tokens >> (bits + 2))
 
     def counted_bits(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
-        found = rows.select("text").coalesce(tasks).mapInArrow(freeing(_learn_batches(shared, bits)), "chunk long, counts binary")
+        # the rows held back, which come last, are a ninth
+        most = tasks if before is None else max(cores, tasks // 9)
+        found = rows.select("text").coalesce(most).mapInArrow(freeing(_learn_batches(shared, bits)), "chunk long, counts binary")
         found = found if before is None else found.unionByName(before)
         return found.repartition("chunk").mapInArrow(_sum_batches, "chunk long, counts binary")
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from haplograph.llm import context_mixing, html_extract, toxicity
+from haplograph.llm import common, context_mixing, html_extract, toxicity
 from haplograph.llm.common import ALNUM, SPACED, Words, shingles
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -587,3 +587,28 @@ def test_lm_fit_counts_bits_once(lm_model, lm_rows, monkeypatch):
             found[np.asarray(part.column(0))] += np.asarray(part.column(1))
         assert np.allclose(found.reshape(want.shape), want, rtol=1e-5, atol=1e-6)
     assert not list(lm._bit_batches(shared)(iter([])))
+
+
+def test_lm_gates_in_any_order(lm_model, lm_rows, monkeypatch):
+    """Scores are the same whether the bits of a gate are brought together or stay as they come."""
+    lm = context_mixing
+    texts = [t or "" for _, t in lm_rows]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    tokens, found, mixed, ordered = lm.tokens_of(data, offsets, lm_model.vocabulary), [], lm._mixed_online, []
+    monkeypatch.setattr(lm, "_mixed_online", lambda x, cell, *rest: ordered.append(np.count_nonzero(np.diff(cell)) / len(cell)) or mixed(x, cell, *rest))
+    for most in (0, 1 << 20):
+        monkeypatch.setattr(lm, "SHORT_RUN", most)
+        found.append(lm.score_run(lm_model, tokens))
+    assert ordered[0] > ordered[4]
+    for a, b in zip(*found):
+        assert np.allclose(a, b, rtol=1e-5, atol=1e-5) and a.any()
+
+
+def test_bytes_by_arithmetic():
+    """Lower-casing and marking bytes give what a look into the tables gives."""
+    every = np.arange(256, dtype=np.uint8)
+    assert common.lowered(every).tolist() == list(bytes(every).lower())
+    rng = np.random.default_rng(2)
+    for mask in (SPACED, ALNUM, np.ones(256, bool), np.zeros(256, bool), rng.random(256) < 0.5):
+        assert (common.marked(every, mask) == mask).all()
+    assert not len(common.marked(every[:0], SPACED))
