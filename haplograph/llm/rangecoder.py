@@ -47,6 +47,8 @@ REFRESH = 32
 CHUNK = 32
 #: Steps between two lessons of the gates.
 GATE_STEPS = 4
+#: Steps whose known symbols get their intervals in one call of each function.
+GROUP = 4
 U = np.uint64
 _TOP, _BOTTOM, _LOW32 = U(1 << 48), U(1 << 32), U((1 << 32) - 1)
 #: Classes of an order-2 slot's confidence (0 to 15), and of an order-1 row's total by its bit length.
@@ -122,8 +124,13 @@ class Model:
     def predict(self) -> None:
         if _looks(self.step):
             self._refresh()
-        self.slot = ((self.last * 0x9E3779B1 + self.before * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
-        note = self.notes.take(self.slot, mode="clip").astype(np.int64)
+        self.slot = self._slots(self.last, self.before)
+        self._weigh(self.notes.take(self.slot, mode="clip").astype(np.int64))
+
+    def _slots(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return ((last * 0x9E3779B1 + before * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
+
+    def _weigh(self, note: np.ndarray) -> None:
         self.guess, self.sure = note >> 4, note & 15
         self.key = _SURE.take(self.sure, mode="clip")
         self.key += self.row_class.take(self.last, mode="clip")
@@ -174,18 +181,49 @@ class Model:
     def update(self, symbol: np.ndarray) -> None:
         self.seen.append(self.at)
         if self.step % GATE_STEPS == 0:
-            share = 1.0 / self.width
-            part0, part1 = self.got0 * share, self.got1 * share
-            for k, part in enumerate((part0, part1, 1.0 - part0 - part1)):
-                self.gate[:, k] += np.bincount(self.key, part, len(self.gate))
-        # a sure guess stays, half as sure, when another symbol came
-        note = np.where(self.sure > 1, self.guess, symbol)
-        note <<= 4
-        note += _AFTER.take(self.sure + 16 * self.right, mode="clip")
-        self.notes[self.slot] = note
+            self._teach(self.key, self.got0, self.got1, self.width)
+        self.notes[self.slot] = self._noted(self.guess, self.sure, self.right, symbol)
         self.before, self.last = self.last, symbol
         self.step += 1
 
+    def _teach(self, key: np.ndarray, got0: np.ndarray, got1: np.ndarray, width: np.ndarray) -> None:
+        """A lesson of the gates."""
+        share = 1.0 / width
+        part0, part1 = got0 * share, got1 * share
+        for k, part in enumerate((part0, part1, 1.0 - part0 - part1)):
+            self.gate[:, k] += np.bincount(key, part, len(self.gate))
+
+    def _noted(self, guess: np.ndarray, sure: np.ndarray, right: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        # a sure guess stays, half as sure, when another symbol came
+        note = np.where(sure > 1, guess, symbol)
+        note <<= 4
+        note += _AFTER.take(sure + 16 * right, mode="clip")
+        return note
+
+    def intervals(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """interval() of some steps, a row each, before the next look at the counts, and their update().
+
+        Only the order-2 table changes from one of these steps to the next.
+        """
+        if _looks(self.step):
+            self._refresh()
+        lasts = np.concatenate([self.last[None], symbols[:-1]])
+        befores = np.concatenate([self.before[None], lasts[:-1]])
+        notes, short = np.empty(symbols.shape, np.int16), symbols.astype(np.int16)
+        for slot, symbol, note in zip(self._slots(lasts, befores), short, notes):
+            self.notes.take(slot, out=note, mode="clip")
+            guess, sure = note >> 4, note & 15
+            self.notes[slot] = self._noted(guess, sure, (symbol == guess) & (sure > 0), symbol)
+        self.last = lasts
+        self._weigh(notes.astype(np.int64))
+        start, width = self.interval(symbols)
+        for i in range(-self.step % GATE_STEPS, len(symbols), GATE_STEPS):
+            self._teach(self.key[i], self.got0[i], self.got1[i], self.width[i])
+        self.seen.append(self.at.reshape(-1))
+        self.before, self.last = lasts[-1], symbols[-1]
+        self.step += len(symbols)
+        return start, width
+
 
 class Rare:
     """Adaptive order-0 frequencies of the ids that have no symbol of their own, looked at anew every few steps."""
@@ -275,14 +313,17 @@ def encode_ids(ids: np.ndarray, ranked: np.ndarray) -> tuple[int, np.ndarray, np
     size = _symbols(n, len(ranked))
     model, rare, state = Model(size, lanes), Rare(len(ranked) - size + 1), _Lanes(lanes)
     out_lane, out_word = [], []
+    ready = []
     for step in range(steps):
-        model.predict()
+        if not ready:
+            end = next((k for k in range(step + 1, min(step + GROUP, steps)) if _looks(k)), min(step + GROUP, steps))
+            symbols = np.minimum(grid[step:end], size - 1, dtype=np.int64)
+            ready = list(zip(symbols, *model.intervals(symbols)))[::-1]
+        symbol, *interval = ready.pop()
         rare.refresh(step)
-        symbol = np.minimum(grid[step], size - 1, dtype=np.int64)
-        for lane, word in state.narrow(_ALL, *model.interval(symbol)):
+        for lane, word in state.narrow(_ALL, *interval):
             out_lane.append(lane.astype(np.uint16))
             out_word.append(word)
-        model.update(symbol)
         escaped = np.flatnonzero(symbol == size - 1)
         if len(escaped):
             own = grid[step][escaped].astype(np.int64) - (size - 1)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 import numpy as np
@@ -17,7 +16,7 @@ KEPT_WORDS = 800_000
 #: Marks that may follow a word's letters without changing their ids (no apostrophe: it joins).
 MARKS = ",.;:!?%&$#*+=|~^-_/()[]{}<>@"
 #: Lower-case words of Latin letters alone.
-LETTERS = re.compile("[a-zß-öø-ÿ]+")
+LETTERS = r"\A[a-zß-öø-ÿ]+\z"
 #: A longer word is encoded each time.
 KEPT_LENGTH = 48
 #: Words encoded in one call, and words of letters that make up one text of such a call.
@@ -156,6 +155,11 @@ def _listed(words: pa.Array) -> list[str]:
     return words.to_numpy(zero_copy_only=False).tolist()
 
 
+def _marked(role: np.ndarray, flags: int) -> np.ndarray:
+    """The places of a role with any of the flags (places of truth values are found far quicker than those of numbers)."""
+    return np.flatnonzero((role & flags) != 0)
+
+
 def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The places start .. start + len - 1 of each run, one run after another."""
     ends = np.cumsum(lens, dtype=np.int64)
@@ -164,6 +168,23 @@ def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return at
 
 
+def _gathered(ids: np.ndarray, lens: np.ndarray, pieces: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of all pieces, how many come before each end), from those of the words, word by word, and each piece's word.
+
+    Arrow copies a piece's bytes at once; the words of a run lie closer together than all noted ones.
+    """
+    bounds = np.zeros(len(lens) + 1, np.int64)
+    np.cumsum(lens, out=bounds[1:])
+    bounds *= ids.itemsize
+    if not len(pieces) or not bounds[-1]:
+        return ids[:0], np.zeros(len(ends), np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+    found = words.take(pieces)
+    _, offsets, data = found.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[found.offset : found.offset + len(found) + 1]
+    return np.frombuffer(data, ids.dtype)[offsets[0] // ids.itemsize : offsets[-1] // ids.itemsize], offsets[ends] // ids.itemsize
+
+
 class Encoder:
     """ids of texts by a tokenizer that never joins characters across white space.
 
@@ -231,15 +252,17 @@ class Encoder:
                 a = b
         return out
 
-    def _learn(self, missing: list[str]) -> list[bytes]:
+    def _learn(self, missing: pa.Array) -> list[bytes]:
         """The ids of the missing words."""
         if self._letters is None:
-            return self._of_words(missing)
-        letters = [w for w in missing if LETTERS.fullmatch(w)]
-        found = dict(zip(letters, self._of_letters(letters)))
-        rest = [w for w in missing if w not in found]
-        found.update(zip(rest, self._of_words(rest)))
-        return [found[w] for w in missing]
+            return self._of_words(_listed(missing))
+        letters = pc.match_substring_regex(missing, LETTERS).to_numpy(zero_copy_only=False)
+        found = [b""] * len(missing)
+        for own, encoded in ((letters, self._of_letters), (~letters, self._of_words)):
+            at = np.flatnonzero(own)
+            for i, ids in zip(at.tolist(), encoded(_listed(missing.take(pa.array(at))))):
+                found[i] = ids
+        return found
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
         """(the pieces of all texts that are encoded on their own, how many lie before each text's end).
@@ -257,18 +280,18 @@ class Encoder:
             role <<= 3
             role |= kind
         role = np.frombuffer(bytearray(role.tobytes().translate(ROLES)), np.uint8)
-        starts = np.flatnonzero(role & BEGINS)
+        starts = _marked(role, BEGINS)
         if self.folds and len(starts):
-            broken = np.searchsorted(starts, np.flatnonzero(role & BREAKS), "right") - 1
+            broken = np.searchsorted(starts, _marked(role, BREAKS), "right") - 1
             broken = broken[np.diff(broken, prepend=-1) > 0]
             ends = np.append(starts, len(role))[broken + 1]
             role[_spans(starts[broken], ends - starts[broken])] &= BEGINS
-            rises = np.flatnonzero(role & RISES)
+            rises = _marked(role, RISES)
             if len(rises):
                 text = data.copy()
                 text[rises] += 32
                 raw = text.tobytes()
-            starts = np.flatnonzero(role & (BEGINS | TURNS))
+            starts = _marked(role, BEGINS | TURNS)
         white = np.zeros(len(kind) + 1, np.int64 if len(kind) >> 31 else np.int32)
         np.cumsum(kind == SEPARATOR, dtype=white.dtype, out=white[1:])
         bounds = np.append(starts - white[starts], len(kind) - int(white[-1])).astype(np.int64)
@@ -292,14 +315,11 @@ class Encoder:
         number[short] = self._note(distinct.take(pa.array(short)), hashes[short], starts[short], sizes[short], data)
         mark = noted.words, noted.used
         if len(long):
-            number[long] = self._add(self._learn(_listed(distinct.take(pa.array(long)))))
-        rank = number[named.indices.to_numpy()] if len(pieces) else number[:0]
-        lens = noted.lens[rank].astype(np.int64)
-        ids = noted.ids[_spans(noted.starts[rank], lens)]
+            number[long] = self._add(self._learn(distinct.take(pa.array(long))))
+        lens = noted.lens[number]
+        ids = noted.ids[_spans(noted.starts[number], lens)]
         noted.words, noted.used = mark
-        total = np.zeros(len(lens) + 1, np.int64)
-        np.cumsum(lens, out=total[1:])
-        return ids, total[text_ends]
+        return _gathered(ids, lens, named.indices, text_ends)
 
     def _add(self, found: list[bytes]) -> np.ndarray:
         """The numbers of words whose ids were found."""
@@ -313,7 +333,7 @@ class Encoder:
         again, fresh = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
         lens = older.lens[old[again]]
         first = noted.add(lens, older.ids[_spans(older.starts[old[again]], lens.astype(np.int64))])
-        self._add(self._learn(_listed(words.take(pa.array(fresh)))))
+        self._add(self._learn(words.take(pa.array(fresh))))
         order = np.concatenate([again, fresh])
         noted.name(first, hashes[order], starts[order], sizes[order], data)
         out = np.empty(len(words), np.int64)

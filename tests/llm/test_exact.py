@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from haplograph.llm import decontaminate, order_minhash, packing, rangecoder, sharding, superminhash, token_counts, tokens
@@ -93,6 +94,30 @@ def test_encoder_keeps_words_of_equal_hashes_apart(rows, plain, monkeypatch):
         assert [np.frombuffer(e, coder.dtype).tolist() for e in coder.encode(part)] == [plain(t) for t in part]
 
 
+def test_ids_are_gathered_by_words():
+    """Pieces get their words' ids, in their order, whatever the width of ids and also where words or texts have none."""
+    rng = np.random.default_rng(5)
+    for kind, n_words, n_pieces in (("<u2", 50, 400), ("<u4", 7, 60), ("<u2", 3, 0), ("<u4", 0, 0)):
+        lens = rng.integers(0, 5, n_words)
+        ids = rng.integers(0, 60_000, lens.sum()).astype(kind)
+        words = np.split(ids, np.cumsum(lens)[:-1]) if n_words else []
+        pieces = rng.integers(0, max(n_words, 1), n_pieces)
+        ends = np.append(np.sort(rng.integers(0, n_pieces + 1, 9)), n_pieces)
+        flat, at = tokens._gathered(ids, lens, pa.array(pieces, pa.int32()), ends)
+        assert flat.dtype == ids.dtype and flat.tolist() == [i for p in pieces for i in words[p].tolist()]
+        assert at.tolist() == [sum(len(words[p]) for p in pieces[:e]) for e in ends]
+    none = tokens._gathered(ids[:0], np.zeros(2, np.int64), pa.array([1, 0], pa.int32()), np.array([1, 2]))
+    assert len(none[0]) == 0 and none[1].tolist() == [0, 0]
+
+
+def test_words_of_letters_are_told_apart(plain):
+    """Arrow finds the words of letters; null, marks, digits, other letters and line ends go the other way, with the same ids."""
+    coder = tokens.Encoder(tokens.default_path())
+    words = ["abc", "straße", "çàé", "a1", "Ab", "÷", "abc\r", "\n", "ÿ", "σς", "x'y", "abcd"]
+    found = coder._learn(pa.array(words, pa.large_string()))
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in found] == [plain(w) for w in words]
+
+
 def test_noted_words_are_found_again():
     words = [f"w{i}" for i in range(20_000)] + ["a", "ab", "b"]
     data, starts = np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([0, *map(len, words[:-1])])
@@ -194,6 +219,24 @@ def test_range_coder_search():
                 assert (model.cum1[1:size] == share[:-1].astype(np.int32)).all() and (model.cum1[size] == rangecoder.PART).all()
 
 
+def test_range_coder_takes_known_symbols_in_groups():
+    """Intervals of several steps at once are those of one step after another, and leave the same model."""
+    rng = np.random.default_rng(6)
+    one, many = rangecoder.Model(64, 200), rangecoder.Model(64, 200)
+    symbols = np.minimum(rng.zipf(1.4, (150, 200)), 63)
+    step = 0
+    while step < len(symbols):
+        end = next(k for k in range(step + 1, step + 8) if k == step + 7 or k == len(symbols) or rangecoder._looks(k))
+        start, width = many.intervals(symbols[step:end])
+        for k in range(step, end):
+            one.predict()
+            want = one.interval(symbols[k])
+            assert (start[k - step] == want[0]).all() and (width[k - step] == want[1]).all()
+            one.update(symbols[k])
+        step = end
+        assert (one.notes == many.notes).all() and (one.gate == many.gate).all() and (one.last == many.last).all() and (one.before == many.before).all()
+
+
 def test_range_coder_mixes_orders():
     """Ids that depend on the one before, and on the two before, cost far less than their own frequencies tell."""
     rng = np.random.default_rng(2)
